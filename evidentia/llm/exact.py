@@ -3,10 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
-
-#: A group is hot if it holds this share of all rows or more: there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 1 / 1000
+from .shared import ascii_lower, look_up
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -17,9 +14,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts whose digests collide stay apart: within each input partition (the
     aggregation's map side; the salt is the partition's), per digest and salt, and
     per digest over the salts' winners. A group of any size thus reaches the last
-    stage as ``salts`` rows at most. On the way back the few hot groups, at most
-    1 / HOT_SHARE rows by their definition, are broadcast; all others are joined on
-    the digest, where no key holds more than HOT_SHARE of the rows.
+    stage as ``salts`` rows at most. On the way back look_up() keeps hot groups apart.
 
     A null text counts as empty. Rows with a null id take part with their text; a
     group of null ids alone has a null keep_id and keeps all its rows. Rows that
@@ -39,19 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = salted.groupBy(*names, "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size")).drop("norm")
 
-    least = max(2, int(docs.count() * HOT_SHARE))
-    hot, rest = groups.where(F.col("group_size") >= least), groups.where(F.col("group_size") < least)
-    tagged = keyed.select("id", *digest).join(
-        F.broadcast(hot.withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})), names, "left"
-    )
-    # Rows of hot groups have their answer; a key of their own spreads them over the tasks.
-    is_hot = F.col("hot_size").isNotNull()
-    tagged = tagged.withColumn("xx", F.when(is_hot, F.xxhash64("id", "xx")).otherwise(F.col("xx")))
-    found = tagged.join(rest, names, "left").select(
-        "id", "sha",
-        F.when(is_hot, F.col("hot_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("hot_size", "group_size").alias("group_size"),
-    )
+    found = look_up(keyed.select("id", *digest), groups, names, "group_size", docs.count(), "id")
     return found.select(
         F.col("id").alias(id_col),
         "keep_id",
