@@ -8,6 +8,7 @@ from .decontaminate import decontaminate
 from .exact import exact_dedup
 from .shared import table
 from .simhash import near_dedup
+from .substrings import substring_dedup
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +46,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE k > 1),
+x AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept
+      FROM (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) AS a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
