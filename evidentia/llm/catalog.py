@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .exact import exact_dedup
+from .secrets import scan_secrets
 from .shared import table
 from .simhash import near_dedup
 from .substrings import substring_dedup
@@ -31,6 +32,39 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""".replace("\'", "''")
+
+
+def _secret_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """DuckDB: one row per passing match, from the gaps that the pattern leaves and the matches in turn."""
+    return f"""
+SELECT doc_id, begin AS s, {rank} AS k, '{kind}:' || begin || ':' || (begin + length(m[i])) AS span FROM (
+  SELECT doc_id, m, g, i, list_sum(list_transform(x[1 : i], lambda e: length(e))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda e: length(e))), 0) AS begin
+  FROM (SELECT doc_id, m, g, x, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, regexp_split_to_array(t, '{pattern}') AS x
+    FROM d WHERE regexp_matches(t, '{pattern}')))
+) WHERE length(g[i]) >= {least}"""
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join([
+    _secret_spans("assign", 0, _ASSIGN, 1, 12),
+    _secret_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18),
+    _secret_spans("hex", 2, "[0-9a-f]{16,}", 0, 16),
+])}),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+      string_agg(span, ',' ORDER BY s, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,7 +85,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM g),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE k > 1),
@@ -66,6 +101,7 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op4_secret_scan": op4_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_substring_dedup": op8_substring_dedup,
@@ -73,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
