@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .exact import exact_dedup
+from .language import language_id
 from .secrets import scan_secrets
 from .shared import table
 from .simhash import near_dedup
 from .substrings import substring_dedup
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -100,6 +105,7 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
