@@ -230,7 +230,7 @@ def substring_dedup(
     levels = lengths(base, window)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     per_chunk = max(chunk_bytes, math.isqrt(total << 10))
-    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 18)
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
     n = max(1, least, -(-total // per_chunk))
     seed = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
     rows = docs.select(
