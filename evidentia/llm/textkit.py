@@ -98,12 +98,26 @@ class Block:
         """Of each word, its text."""
         return np.repeat(np.arange(self.n), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        up, down = powers(len(self.data) + 1)
+    def _sums(self) -> np.ndarray:
+        up, _ = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=sums[1:])
+        return sums
+
+    def hashes(self) -> np.ndarray:
+        sums, (_, down) = self._sums(), powers(len(self.data) + 1)
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
+    def beginnings(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size: the words that are longer, in bytes, and hashes of their beginnings of that size."""
+        sums, (_, down) = self._sums(), powers(len(self.data) + 1)
+        found = []
+        for k in sizes:
+            long = np.flatnonzero(self.ends - self.starts > k)
+            at = self.starts[long]
+            found.append((long, mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k))))
+        return found
+
     def left(self) -> np.ndarray:
         """Of each word, how many words of its text begin there or later."""
         return np.repeat(self.bounds[1:], self.counts()) - np.arange(len(self.starts))
