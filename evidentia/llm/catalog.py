@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .exact import exact_dedup
 from .language import language_id
+from .pieces import encode
 from .quality import classify_quality
 from .secrets import scan_secrets
 from .shared import table
@@ -71,6 +72,10 @@ FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
         "op4_secret_scan": op4_secret_scan,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_substring_dedup": op8_substring_dedup,
