@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import rotate
 from .decontaminate import decontaminate
 from .exact import exact_dedup
 from .language import language_id
@@ -13,6 +14,7 @@ from .secrets import scan_secrets
 from .shared import table
 from .simhash import near_dedup
 from .substrings import substring_dedup
+from .tokens import token_counts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,10 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -109,6 +115,25 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
 """
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+                  coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
+m AS (SELECT c.*, speaker, role = speaker AS own,
+        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+        text || '<|im_end|>' AS body FROM c JOIN s USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin FROM m)
+SELECT conv_id, speaker, part, CAST(0 AS BIGINT) AS share, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
+  string_agg(head || body || chr(10), '' ORDER BY turn, role, o.text) AS text,
+  coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY turn, role, o.text) FILTER (own), '') AS masks
+FROM o GROUP BY conv_id, speaker, part
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -117,14 +142,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
+        "op3_token_counts": op3_token_counts,
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_chat_format": op9_chat_format,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
