@@ -18,9 +18,9 @@ GOOD, BAD, SILENT = 1, 0, -1
 class Limits:
     """Bounds of the sample on which the scorers are fitted; all other statistics cover all rows."""
 
-    plain_texts: int = 3000
-    labelled_texts: int = 5000
-    chars_per_text: int = 20000
+    plain_texts: int = 1000
+    labelled_texts: int = 3500
+    chars_per_text: int = 8000
     epochs: int = 100
     least_score: float = 0.5
 
@@ -124,11 +124,17 @@ def insult_features() -> np.ndarray:
     return (mix(block.hashes()) % np.uint64(WORD_SPACE)).astype(np.int64)
 
 
-def insult_votes(owners: np.ndarray, features: np.ndarray, words: np.ndarray, lexicons: list[np.ndarray]) -> np.ndarray:
-    """One column per lexicon, a mask of features: a text is bad where it has several of them, densely."""
+def insult_votes(
+    owners: np.ndarray, features: np.ndarray, words: np.ndarray, lexicons: list[np.ndarray], counts: np.ndarray | None = None
+) -> np.ndarray:
+    """One column per lexicon, a mask of features: a text is bad where it has several of them, densely.
+
+    ``counts``: how often each (text, feature) stands; once if not given.
+    """
     votes = []
     for mask in lexicons:
-        hits = np.bincount(owners[mask[features]], minlength=len(words))
+        found = mask[features]
+        hits = np.bincount(owners[found], weights=None if counts is None else counts[found], minlength=len(words))
         bad = (hits >= 2) & (hits > 0.004 * words)
         votes.append(np.where(bad, BAD, np.where(hits <= 0.001 * words, GOOD, SILENT)).astype(np.int8))
     return np.stack(votes, axis=1)
@@ -136,9 +142,18 @@ def insult_votes(owners: np.ndarray, features: np.ndarray, words: np.ndarray, le
 
 def sparse(owners: np.ndarray, features: np.ndarray, words: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, value), each pair once; the value grows with the feature's share of the words."""
+    own, col, counts = tally(owners, features, space)
+    return own, col, _value(counts, words[own])
+
+
+def tally(owners: np.ndarray, features: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count), each pair once."""
     keys, counts = np.unique(owners.astype(np.int64) * space + features, return_counts=True)
-    own = keys // space
-    return own, keys % space, np.log1p(200.0 * counts / np.maximum(words, 1)[own])
+    return keys // space, keys % space, counts
+
+
+def _value(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.log1p(200.0 * counts / np.maximum(words, 1))
 
 
 # --- the weak-label model ---------------------------------------------------------------------
@@ -237,11 +252,9 @@ class Scorer:
 
 
 def _lexicon(owners: np.ndarray, features: np.ndarray, bad: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Features that several of the chosen bad texts have, and hardly any other chosen text."""
-    pairs = np.unique(np.stack([owners, features]), axis=1)
-    pairs = pairs[:, chosen[pairs[0]]]
-    with_bad = np.bincount(pairs[1, bad[pairs[0]]], minlength=WORD_SPACE)
-    with_good = np.bincount(pairs[1, ~bad[pairs[0]]], minlength=WORD_SPACE)
+    """Features that several of the chosen bad texts have, and hardly any other chosen text; each pair is given once."""
+    with_bad = np.bincount(features[(chosen & bad)[owners]], minlength=WORD_SPACE)
+    with_good = np.bincount(features[(chosen & ~bad)[owners]], minlength=WORD_SPACE)
     n_bad, n_good = max(1, (bad & chosen).sum()), max(1, (~bad & chosen).sum())
     return (with_bad >= 3) & (with_bad / n_bad > 12 * (with_good + 0.5) / n_good)
 
@@ -336,19 +349,20 @@ def _study(sample: list[tuple]) -> tuple[list[np.ndarray], tuple, tuple, list[np
     for first, _, looks, owners, features, count in _both(column):
         quality.append(quality_votes(looks))
         own, col, value = sparse(looks.owners, looks.shapes, looks.words, SHAPE_SPACE)
-        shapes.append((own + first, col, value))
-        texts.append((owners + first, features))
+        shapes.append(((own + first).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
+        own, col, times = tally(owners, features, WORD_SPACE)
+        texts.append(((own + first).astype(np.int32), col.astype(np.int32), times.astype(np.float32)))
         words.append(count)
-    none = np.zeros(0, dtype=np.int64)
-    owners, features = (np.concatenate([none, *(t[k] for t in texts)]) for k in (0, 1))
-    count = np.concatenate([none, *words])
+    none = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32))
+    shape = tuple(np.concatenate([none[k], *(s[k] for s in shapes)]) for k in range(3))
+    owners, features, times = (np.concatenate([none[k], *(t[k] for t in texts)]) for k in range(3))
+    count = np.concatenate([np.zeros(0, dtype=np.int64), *words])
     fixed = np.zeros(WORD_SPACE, dtype=bool)
     fixed[insult_features()] = True
     lexicons = [fixed, *(_lexicon(owners, features, gold[:, 1] == BAD, (gold[:, 2] == half) & (gold[:, 1] != SILENT)) for half in (0, 1))]
-    shape = tuple(np.concatenate([none, *(s[k] for s in shapes)]) for k in range(3))
-    word = sparse(owners, features, count, WORD_SPACE)
+    word = (owners, features, _value(times, count[owners]))
     votes = [
         np.concatenate([np.concatenate(quality) if quality else np.zeros((0, 6), np.int8), gold[:, :1].astype(np.int8)], axis=1),
-        np.concatenate([insult_votes(owners, features, count, lexicons), gold[:, 1:2].astype(np.int8)], axis=1),
+        np.concatenate([insult_votes(owners, features, count, lexicons, times), gold[:, 1:2].astype(np.int8)], axis=1),
     ]
     return lexicons, shape, word, votes
