@@ -28,7 +28,7 @@ PARTS = "name string, type string, kind string, part string, text string, header
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, content) of all files below a path."""
+    """(name, length, content) of all files below a path. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("name"), "length", "content")
 
