@@ -1,5 +1,8 @@
 """Sensitive phrases: detection, slugs, reversible replacement."""
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +153,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(parts) == 2).select(plain(parts[0]).alias("phrase"), plain(parts[1]).alias("slug"))
 
 
+def variants(entries: DataFrame) -> DataFrame:
+    """(phrase, slug) of all spellings: composed and decomposed, as given, lower, upper and title case, blanks collapsed.
+
+    The entry that comes first (ord) has a spelling that several share.
+    """
+    @F.pandas_udf("array<string>")
+    def forms(phrases: pd.Series) -> pd.Series:
+        return phrases.map(lambda p: sorted({unicodedata.normalize("NFC", p), unicodedata.normalize("NFD", p)}))
+
+    rows = entries.where("phrase is not null").select("ord", "slug", F.explode(forms("phrase")).alias("form"))
+    title = F.regexp_replace(F.lower("form"), r"\s+", " ")
+    words = F.array_join(F.transform(F.split(title, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")
+    cased = F.array("form", F.lower("form"), F.upper("form"), words)
+    every = F.concat(cased, F.transform(cased, lambda c: F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))))
+    spelled = rows.select("ord", "slug", F.explode(F.array_distinct(every)).alias("phrase")).where("phrase != ''")
+    return spelled.groupBy("phrase").agg(F.min_by("slug", "ord").alias("slug"))
+
+
 def unmapped(detected: DataFrame, entries: DataFrame) -> DataFrame:
     """Detected phrases that the map lacks, in either case."""
     return detected.join(entries.select(F.lower("phrase").alias("__k")), F.lower(detected["phrase"]) == F.col("__k"), "left_anti")

@@ -87,7 +87,14 @@ def content_type(content: Column) -> Column:
     for magic, kind in MAGIC:
         found = found.when(start.startswith(magic), kind)
     found = found.when(start.startswith("52494646") & (F.substring(start, 17, 8) == "57454250"), "webp")
-    found = found.when(start.startswith("D0CF11E0"), "ole").when(start.startswith("504B0304"), "zip").when(binary, "unknown")
+    # Names inside old office files are UTF-16; where they stand in the first megabyte tells the program.
+    names = F.hex(F.substring(content, 1, 1 << 20))
+
+    def named(word: str) -> Column:
+        return names.contains(word.encode("utf-16-le").hex().upper())
+
+    old = F.when(named("__substg1.0") | named("__properties_version1.0"), "msg").when(named("WordDocument"), "doc").when(named("Workbook") | named("Book"), "xls").otherwise("ole")
+    found = found.when(start.startswith("D0CF11E0"), old).when(start.startswith("504B0304"), "zip").when(binary, "unknown")
     return found.otherwise(text_type(F.decode(F.make_valid_utf8(content.cast("string")).cast("binary"), "UTF-8")))
 
 
@@ -177,7 +184,43 @@ def _mail(name: str, content: bytes) -> Iterator[dict]:
         yield {"type": "eml", "kind": "keyvalue", "part": "headers", "pairs": pairs}
 
 
+#: Groups of a rich text that hold no text. Fixed values.
+RTF_SKIPPED = {"pict", "object", "bin", "fonttbl", "colortbl", "stylesheet", "themedata", "datastore", "info"}
+RTF_TOKEN = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d*) ?|\\([^a-zA-Z])|([{}])|([^\\{}]+)", re.S)
+
+
+def rtf_text(rtf: str) -> str:
+    """The words of a rich text: groups without text are skipped by keeping one flag for each open brace."""
+    out, skipped = [], [False]
+    for m in RTF_TOKEN.finditer(rtf):
+        code, byte, word, _, _, brace, text = m.groups()
+        if brace == "{":
+            skipped.append(skipped[-1])
+        elif brace == "}":
+            if len(skipped) > 1:
+                skipped.pop()
+        elif word and word.lower() in RTF_SKIPPED:
+            skipped[-1] = True
+        elif skipped[-1]:
+            continue
+        elif code:
+            out.append(chr(int(code) & 0xFFFF))
+        elif byte:
+            out.append(chr(int(byte, 16)))
+        elif word in ("par", "pard", "line"):
+            out.append("\n")
+        elif word == "tab":
+            out.append("\t")
+        elif text:
+            out.append(text)
+    joined = re.sub(r" *\n *", "\n", re.sub(r"[ \t\f\v\r]+", " ", "".join(out)))
+    return re.sub(r"\n{3,}", "\n\n", joined).strip().encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _read_one(name: str, kind: str, content: bytes) -> Iterator[dict]:
+    if kind == "rtf":
+        yield {"type": kind, "kind": "text", "part": "", "text": rtf_text(content.decode("utf-8", "replace"))}
+        return
     if kind == "zip":
         yield from _office(name, content)
     elif kind == "eml":
@@ -202,7 +245,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(files: DataFrame) -> DataFrame:
     """(name, type, kind, part, text, headers, rows, pairs, bytes, error): what is in each file, or why it could not be read.
 
-    Formats that need a library of their own (pdf, old office files, rtf) are reported as unsupported.
+    Formats that need a library of their own (pdf, old office files) are reported as unsupported.
     """
     typed = files.withColumn("type", F.when(F.length("content") > MOST_BYTES, "too large").otherwise(content_type(F.col("content"))))
     nothing = {c.split()[0]: F.lit(None).cast(c.split(None, 1)[1]) for c in PARTS.split(", ")}
@@ -214,12 +257,12 @@ def extract(files: DataFrame) -> DataFrame:
     own = F.when(F.col("type") == "html", html_text(text)).when(F.col("type") == "xml", xml_text(text)).otherwise(text)
     plain = rows(typed.where(F.col("type").isin("html", "xml", "json", "text")), text=own, kind=F.lit("text"))
     images = rows(typed.where(F.col("type").isin("png", "jpeg", "gif", "webp")), bytes=F.col("content"), kind=F.lit("image"))
-    packed = typed.where(F.col("type").isin("zip", "eml", "csv", "tsv")).select("name", "type", "content").mapInPandas(_read, PARTS)
+    packed = typed.where(F.col("type").isin("zip", "eml", "csv", "tsv", "rtf")).select("name", "type", "content").mapInPandas(_read, PARTS)
     packed = packed.withColumn("text", F.when(F.col("kind") == "html", html_text(F.col("text")))
                                .when(F.col("kind") == "xml:w:t:w:p", paragraphs(F.col("text")))
                                .when(F.col("kind") == "xml:a:t:a:p", paragraphs(F.col("text"), "a:t", "a:p")).otherwise(F.col("text")))
     packed = packed.withColumn("kind", F.when(F.col("kind").rlike("^(html|xml:)"), "text").otherwise(F.col("kind")))
-    known = ("html", "xml", "json", "text", "png", "jpeg", "gif", "webp", "zip", "eml", "csv", "tsv")
+    known = ("html", "xml", "json", "text", "png", "jpeg", "gif", "webp", "zip", "eml", "csv", "tsv", "rtf")
     why = F.when(F.col("type") == "too large", F.lit(f"over {MOST_BYTES} bytes")).otherwise(F.lit("unsupported format; save it as one that is read"))
     return plain.unionByName(images).unionByName(packed).unionByName(rows(typed.where(~F.col("type").isin(*known)), error=why))
 

@@ -2,10 +2,12 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidentia.functions.text import html_text  # noqa: F401
+from evidentia.operators.phrases import variants
 from evidentia.operators.series import table_roles
-from evidentia.sources.files import cells_of, extract, parse_delimited, quarantine, read_files
+from evidentia.plans.reports import file_events, hide_names, mail_body, mail_link, report_lines, rewrite_folder, sizing_claims, total_claims
+from evidentia.sources.files import cells_of, extract, parse_delimited, quarantine, read_files, rtf_text
 
 
 def zipped(parts):
@@ -55,7 +57,8 @@ def test_every_file_is_reported(parts):
     assert next(r for r in rows["g.xlsx"] if r.kind == "image").bytes == b"img"
     assert [r.text for r in rows["h.docx"]] == ["Body & more", "Head"]
     assert [r.text for r in rows["i.pptx"]] == ["Slide 2", "Slide 10"]
-    for name in ("j.pdf", "l.bin", "m.zip", "n.doc", "q.rtf"):
+    assert rows["q.rtf"][0].text == "hello"
+    for name in ("j.pdf", "l.bin", "m.zip", "n.doc"):
         assert rows[name][0].error and rows[name][0].kind is None
     assert rows["k.png"][0].kind == rows["o.jpg"][0].kind == "image"
 
@@ -77,3 +80,52 @@ def test_parse_delimited():
     assert parse_delimited("a,b\n\n1\n", ",") == [["a", "b"], [""], ["1"]]
     assert parse_delimited('a"b,c"d,e', ",") == [["ab,cd", "e"]] and parse_delimited("", ",") == []
     assert parse_delimited('"open\nend', ",") == [["open\nend"]] and parse_delimited("a,\n", ",") == [["a", ""]]
+
+
+def test_rtf():
+    text = rtf_text(r"{\rtf1{\fonttbl{\f0 Arial;}}{\*\themedata 00ff}A\'e9\u8364 ? b\par {\b bold}\tab x \{y\}}")
+    assert text == "Aé€ b\nbold x y"
+
+
+def test_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Acme met Acme Blue")
+    (tmp_path / "in/b.png").write_bytes(b"x")
+    entries = spark.createDataFrame([("Acme", "EV_ORG_01"), ("Acme Blue", "EV_ORG_02")], "phrase string, slug string")
+    got = {r.name.rsplit("/", 1)[1]: (r.flag, r.n_replaced) for r in rewrite_folder(spark, str(tmp_path / "in"), entries, str(tmp_path / "out")).collect()}
+    assert got == {"a.txt": (None, 2), "b.png": ("image", 0)}
+    assert spark.read.parquet(str(tmp_path / "out/texts")).first().text == "EV_ORG_01 met EV_ORG_02"
+    (tmp_path / "in/c.txt").write_text("EV_ORG_02 is here")
+    with pytest.raises(ValueError, match="EV_ORG_02"):
+        rewrite_folder(spark, str(tmp_path / "in"), entries, str(tmp_path / "out2"))
+
+
+def test_events_and_mail(spark, parts):
+    events = file_events(parts[1], F.lit("2026-01-01T00:00:00"), F.lit("PDF"))
+    assert {r.category for r in events.collect()} == {"unsupported_format", "malformed_file"}
+    hidden = hide_names(events.withColumn("message", F.concat("message", F.lit(" in "), F.col("context")["file"]))).collect()
+    assert all("file-" in r.message and r.context["file"] not in r.message + r.title for r in hidden)
+    assert report_lines(events).count() == events.count()
+    body = mail_body(events, "Hello\n", "\nBye", 60).first().body
+    assert body.startswith("Hello\n  - ") and body.endswith("\nBye") and len(body) <= 60
+    link = spark.range(1).select(mail_link(F.lit("a@b.c"), F.lit("x y"), F.lit("z&")).alias("l")).first().l
+    assert link.startswith("mailto:a@b.c?subject=x") and "z%26" in link
+
+
+def test_variants(spark):
+    rows = spark.createDataFrame([(0, "josé  NÚÑEZ", "s1"), (1, "JOSÉ NÚÑEZ", "s2")], "ord int, phrase string, slug string")
+    got = {r.phrase: r.slug for r in variants(rows).collect()}
+    assert got["José Núñez"] == "s1" and got["josé núñez"] == "s1" and got["JOSÉ NÚÑEZ"] == "s1" and "jose\u0301 nu\u0301n\u0303ez" in got
+
+
+def test_sizing_claims(spark):
+    from evidentia.plans import costs, sizing
+    from tests.test_goldens import CASE, COSTS, INPUTS
+
+    inputs = spark.createDataFrame([CASE], INPUTS)
+    got = {r.id: r.value for r in sizing_claims(inputs, sizing.scenarios(sizing.consumed(inputs))).collect()}
+    assert got["in-primary"] == "18/45%" and got["base-conservative"] == "22" and len(got) == 8
+    parts = [(1, "license", "baseline", 1.0, 449500.0, 1.0), (1, "proposedPrimary", "proposed", 0.0, 80926.0, 0.0), (1, "warmDrAdd", "proposed", 0.0, 132723.0, 0.0), (1, "migration", "once", 0.0, 17277.0, 0.0)]
+    df = spark.createDataFrame(parts, "case int, " + COSTS)
+    told = total_claims(costs.annual_saving(df, ["case"]), costs.payback(costs.five_years(df, ["case"]), ["case"]), ["case"]).where("posture = 'warm'").first()
+    assert (told.saving, told.net, told.payback) == ("52%", "$712K", "year 2")
