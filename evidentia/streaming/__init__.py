@@ -1 +1 @@
-
+"""Empty on purpose: every operator here is a batch job, as the engine that it matches has no streams."""
