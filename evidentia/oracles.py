@@ -207,7 +207,7 @@ _distinct = "list_filter(l, lambda x, i: list_position(l, x) = i)"
 SQL["html_links"] = f"SELECT page_id, array_to_string({_distinct}, ' ') AS targets FROM (SELECT page_id, {_targets} AS l FROM pages)"
 SQL["html_text"] = f"""SELECT page_id, CASE WHEN len(l) > 0 THEN t || chr(10) || array_to_string({_distinct}, ' ') ELSE t END AS text
 FROM (SELECT page_id, {_targets} AS l, {collapsed(entities(re_all(_tagged, '<[^>]+>', "' '")))} AS t FROM pages)"""
-SQL["entity_decode"] = f"SELECT page_id, {entities('left(html, 400)')} || ' AB&lt; <&copy;&#0; \"&gt;' AS text FROM pages"
+SQL["entity_decode"] = f"SELECT page_id, {entities('html')} || ' AB&lt; <&copy;&#0; \"&gt;' AS text FROM pages"
 SQL["collapse_ws"] = "SELECT doc_id, " + collapsed(re_all("text", r"\. ", "'.  ' || chr(9) || chr(10) || chr(10) || chr(10) || ' '")) + " AS text FROM documents"
 SQL["noise_text"] = rf"""WITH d AS (SELECT doc_id, {stripped("CASE WHEN doc_id % 5 = 0 THEN 'Thanks, ' || text WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 11 = 0 THEN 'Regards, 3 shard and 4 TB storage' ELSE text END")} AS t FROM documents)
 SELECT doc_id, t = '' OR (NOT (regexp_matches(t, '[0-9]') AND regexp_matches(t, '(?i)\b(shard|replica|vcpu|core|node|cpu|ram|tb|gb|iops|ops|storage|data\s*size|utiliz|backup)\b'))
@@ -248,9 +248,9 @@ SQL["slug_conflict"] = "SELECT DISTINCT lower(left(n_name, 3)) AS slug FROM nati
 SQL["map_round_trip"] = "SELECT n_name || chr(9) || '\\t' || chr(10) || '\\' || n_name AS phrase, 's' || chr(13) || n_nationkey AS slug FROM nation"
 SQL["map_problems"] = """SELECT * FROM (VALUES ('', 'S2', 'empty'), ('zz', ' ', 'empty'), ('c', 'c', 'maps to itself'), ('a', 'S1', 'slug used twice'), ('b', 'S1', 'slug used twice'),
  ('a', 'S1', 'inside another phrase'), ('b', 'S1', 'inside another phrase'), ('c', 'c', 'inside another phrase')) AS x(phrase, slug, problem)"""
-SQL["redact_key"] = "SELECT doc_id, regexp_replace(replace(left(text, 80) || ' sk-abcDEF_12-3 key-' || doc_id || ' sk-ab', 'key-' || doc_id, '***'), 'sk-[A-Za-z0-9_-]{4,}', '***', 'g') AS text FROM documents"
+SQL["redact_key"] = "SELECT doc_id, regexp_replace(replace(text || ' sk-abcDEF_12-3 key-' || doc_id || ' sk-ab', 'key-' || doc_id, '***'), 'sk-[A-Za-z0-9_-]{4,}', '***', 'g') AS text FROM documents"
 SQL["slugs_and_escapes"] = """SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'case') AS slug,
- replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages"""
+ replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages"""
 SQL["iso_dates"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"
 SQL["type_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[1])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, type)"
 SQL["delimiter_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[2])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, delimiter)"

@@ -439,7 +439,7 @@ def html_links(spark, d):
 
 @query
 def entity_decode(spark, d):
-    marked = F.concat(F.left("html", F.lit(400)), F.lit(" &#65;&#x42;&#38;lt; &LT;&copy;&#0;&nbsp;&quot;&amp;gt;"))
+    marked = F.concat("html", F.lit(" &#65;&#x42;&#38;lt; &LT;&copy;&#0;&nbsp;&quot;&amp;gt;"))
     return t(spark, d, "pages").select("page_id", T.decode_entities(marked).alias("text"))
 
 
@@ -541,14 +541,14 @@ def map_problems(spark, d):
 
 @query
 def redact_key(spark, d):
-    text = F.concat(F.left("text", F.lit(80)), F.lit(" sk-abcDEF_12-3 key-"), F.col("doc_id").cast("string"), F.lit(" sk-ab"))
+    text = F.concat("text", F.lit(" sk-abcDEF_12-3 key-"), F.col("doc_id").cast("string"), F.lit(" sk-ab"))
     key = F.concat(F.lit("key-"), F.col("doc_id").cast("string"))
     return t(spark, d, "documents").select("doc_id", T.redact_keys(text, key).alias("text"))
 
 
 @query
 def slugs_and_escapes(spark, d):
-    return t(spark, d, "pages").select("page_id", T.slug(F.col("url"), 48, "case").alias("slug"), T.escape_html(F.left("html", F.lit(300))).alias("escaped"))
+    return t(spark, d, "pages").select("page_id", T.slug(F.col("url"), 48, "case").alias("slug"), T.escape_html(F.col("html")).alias("escaped"))
 
 
 @query
