@@ -39,8 +39,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a folder of our own only where none is set.
+
+    Tables in it stay as long as results may read them: removing them is left to whoever owns the folder.
+    """
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (set_to or "file:///tmp/checkpoints").rstrip("/")
 
 

@@ -35,6 +35,16 @@ def file_blocks(spark: SparkSession, path: str, dtype: str = "uint16", block_tok
     return blocks.select(F.col("path").alias("shard"), "block", F.substring("content", F.col("block").cast("int") * step + 1, F.lit(step)).alias("content"))
 
 
+def load_ranks(spark: SparkSession, vocabulary: str) -> dict[bytes, int]:
+    """A vocabulary's ranks, read by the driver alone unless its path is one of Spark's."""
+    if "://" in vocabulary:
+        lines = [r.value for r in spark.read.text(vocabulary).collect()]
+    else:
+        with open(vocabulary) as f:
+            lines = f.read().splitlines()
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
+
+
 def token_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
@@ -46,8 +56,7 @@ def token_blocks(
     """
     spark = docs.sparkSession
     prepare(spark)
-    lines = spark.read.text(vocabulary if "://" in vocabulary else f"file://{vocabulary}").collect()
-    ranks = spark.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in (r.value.split() for r in lines if r.value)})
+    ranks = spark.sparkContext.broadcast(load_ranks(spark, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken

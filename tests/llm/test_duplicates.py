@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from evidentia.llm.exact import exact_dedup
 from evidentia.llm.graph import components
-from evidentia.llm.shared import Scratch
+from evidentia.llm.shared import Scratch, look_up
 from evidentia.llm.simhash import covering_masks, near_dedup
 
 SCHEMA = "doc_id long, text string, keep_id string, size int, lang string"
@@ -109,3 +109,12 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = dict(map(tuple, components(df, Scratch(spark)).collect()))
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[300] == got[100] == 100
+
+
+def test_look_up_hot_and_other_groups(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 99, "v") for i in range(300)] + [(None, 99, "v"), (5, None, "v"), (6, 1000, "v")], "id long, k long, v string")
+    groups = rows.where("k != 1000").groupBy("k").count().withColumnRenamed("count", "n")
+    want = sorted(map(tuple, rows.join(groups, "k", "left").select("id", "k", "v", "n").collect()), key=repr)
+    for total in (10, 60_000, 10**9):  # all groups hot, one hot, none
+        got = look_up(rows, groups, ["k"], "n", total, "id")
+        assert got.columns == ["id", "k", "v", "n"] and sorted(map(tuple, got.collect()), key=repr) == want
