@@ -63,12 +63,16 @@ def merge_detected(lists: DataFrame) -> DataFrame:
     ).drop("key")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Rows for every task, after a check that there are at most MOST_ENTRIES."""
+    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} rows for every task")
+    return F.broadcast(rows)
+
+
 def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """(phrase, occurrences) over all texts, for a list of phrases that is checked to be short."""
-    n = phrases.count()
-    if n > MOST_ENTRIES:
-        raise ValueError(f"{n} phrases; at most {MOST_ENTRIES} are counted at once")
-    met = texts.select(text).crossJoin(F.broadcast(phrases.select("phrase")))
+    met = texts.select(text).crossJoin(few(phrases.select("phrase")))
     return met.groupBy("phrase").agg(F.sum(occurrences(F.col(text), F.col("phrase"))).alias("occurrences"))
 
 
@@ -100,7 +104,7 @@ def validate_map(entries: DataFrame) -> DataFrame:
     same = e.where("phrase = slug and trim(phrase) != ''").withColumn("problem", F.lit("maps to itself"))
     twice = e.join(e.groupBy("slug").agg(F.count_distinct("phrase").alias("n")).where("n > 1").drop("n"), "slug")
     twice = twice.select("phrase", "slug").withColumn("problem", F.lit("slug used twice"))
-    outer = F.broadcast(e.select(F.col("phrase").alias("longer")).distinct())
+    outer = few(e.select(F.col("phrase").alias("longer")).distinct())
     inside = e.where("phrase != ''").join(outer, (F.col("longer") != F.col("phrase")) & F.col("longer").contains(F.col("phrase")), "left_semi")
     return plain.unionByName(same).unionByName(twice).unionByName(inside.withColumn("problem", F.lit("inside another phrase")))
 
@@ -127,7 +131,7 @@ def replace_phrases(texts: DataFrame, entries: DataFrame, text: str = "text", re
 
 def slug_conflicts(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
     """Slugs that already stand in some text, so that replacing could not be undone."""
-    slugs = F.broadcast(entries.select("slug").where("slug != ''").distinct())
+    slugs = few(entries.select("slug").where("slug != ''").distinct())
     return texts.select(text).join(slugs, F.col(text).contains(F.col("slug"))).select("slug").distinct()
 
 
