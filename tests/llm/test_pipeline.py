@@ -50,3 +50,14 @@ def test_stages_by_brute_force(spark):
 def test_run(spark):
     got = P.run(spark, SF)
     assert got.count() == got.select("doc_id").distinct().count() > 50 and got.where("not lossless").count() == 0
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(
+        "*", "true kept", "1 id", "'x' component_id", "array(1) pieces", "0 n", "'s' salt", "0 group_size", "'h' sha", "0L fp"
+    )
+    for df in (docs.limit(0), docs.limit(30)):
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns and out.count() <= df.count()
+        assert P.STAGES[-1][1](spark, df, SF).count() == df.count()
