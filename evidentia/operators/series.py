@@ -1,12 +1,40 @@
 """Statistics of numeric series, and what columns of text cells are."""
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.numbers import is_percent, parse_number
 from evidentia.functions.text import is_currency, looks_like_time
 
 
+#: Equal parts of a series' range whose counts lead to the part that holds a rank.
+RANGE_PARTS = 4096
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, rank_value): of each series the ceil(share * n)-th smallest value, exactly; nulls do not count.
+
+    No series is gathered in one task: counts of equal parts of its range, at most RANGE_PARTS rows, tell the
+    part that holds the rank, and only the distinct values of that part are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    at = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * RANGE_PARTS
+    last = F.lit(float(RANGE_PARTS - 1))
+    part = F.least(F.floor(F.least(F.nanvl(F.coalesce(at, F.lit(0.0)), last), last)), F.lit(RANGE_PARTS - 1))
+    placed = rows.join(ends, "k").withColumn("part", part)
+    so_far = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.least(F.ceil(F.lit(share) * F.col("n")), F.col("n"))
+    counts = placed.groupBy("k", "n", "part").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(so_far))
+    chosen = counts.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select("k", "part", (rank - F.col("upto") + F.col("c")).alias("rest"))
+    values = placed.join(chosen, ["k", "part"]).groupBy("k", "rest", "v").agg(F.count(F.lit(1)).alias("c"))
+    ordered = values.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ordered.where(F.col("upto") >= F.col("rest")).groupBy("k").agg(F.min("v").alias("rank_value"))
+    return found.select("k.*", "rank_value")
+
+
 def series_stats(df: DataFrame, keys: list[str], value: str, keep_negative: bool = True) -> DataFrame:
     """Mean, peak, nearest-rank 95th percentile, least and count of each series; all 0 for an empty one.
 
@@ -14,14 +42,15 @@ def series_stats(df: DataFrame, keys: list[str], value: str, keep_negative: bool
     """
     x = F.col(value) if keep_negative else F.when(F.col(value) >= 0, F.col(value))
     zero = F.lit(0.0)
-    found = df.withColumn("__x", x).groupBy(*keys).agg(
-        F.coalesce(F.avg("__x"), zero).alias("avg"),
-        F.coalesce(F.max("__x").cast("double"), zero).alias("peak"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY __x)").cast("double"), zero).alias("p95"),
-        F.coalesce(F.min("__x").cast("double"), zero).alias("least"),
-        F.count("__x").alias("n"),
+    rows = df.select(*keys, x.cast("double").alias("__x"))
+    found = rows.groupBy(*keys).agg(
+        F.coalesce(F.avg("__x"), zero).alias("avg"), F.coalesce(F.max("__x"), zero).alias("peak"),
+        F.coalesce(F.min("__x"), zero).alias("least"), F.count("__x").alias("n"),
     )
-    return found
+    ranked = nearest_rank(rows, keys, "__x", 0.95).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    met = found.join(ranked, same, "left")
+    return met.select(*keys, "avg", "peak", F.coalesce("rank_value", zero).alias("p95"), "least", "n")
 
 
 def as_fraction(stats: DataFrame, header: Column) -> DataFrame:

@@ -89,6 +89,12 @@ def test_nearest_rank(spark, xs):
     assert got.p95 == ranked[-(-95 * len(xs) // 100) - 1] and got.n == len(xs) and got.peak == ranked[-1] and got.least == ranked[0]
 
 
+def test_ranks_of_odd_series(spark):
+    rows = [(None, 3.0), (None, 1.0), (1, 5.0), (1, 5.0), (2, None), (3, float("inf")), (3, 2.0), (3, 1.0), (4, -1e300), (4, 1e300), (4, 0.0)]
+    got = {r.k: r.p95 for r in S.series_stats(spark.createDataFrame(rows, "k int, x double"), ["k"], "x").collect()}
+    assert got == {None: 3.0, 1: 5.0, 2: 0.0, 3: float("inf"), 4: 1e300}
+
+
 def test_no_samples(spark):
     got = S.series_stats(spark.createDataFrame([(1, -1.0), (1, None)], "k int, x double"), ["k"], "x", keep_negative=False).first()
     assert tuple(got) == (1, 0.0, 0.0, 0.0, 0.0, 0)
