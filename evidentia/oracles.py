@@ -73,7 +73,7 @@ SELECT n_regionkey, idx, label, peak, ['primary', 'secondary', 'dr'][CASE WHEN w
 SQL["tier_lookup"] = f"WITH {rows('n', 'name', [(x,) for x in Q.TIER_NAMES])}, {rows('tiers', 'tier, vcpu', TIERS)} SELECT name, vcpu FROM n JOIN tiers ON upper(trim(name)) = tier"
 SQL["tier_synthesis"] = f"""WITH {rows('tiers', 'tier, vcpu', TIERS)}, {methods}, {rows('c', 'signal_id, num, str, confidence, method, source', Q.CANDIDATES)},
 best AS (SELECT c.*, vcpu FROM c JOIN methods USING (method) JOIN tiers ON upper(trim(str)) = tier WHERE signal_id = 'node.atlasTier' ORDER BY trust DESC, confidence DESC, source LIMIT 1)
-SELECT signal_id, confidence, method, source, num, str FROM c WHERE NOT (signal_id IN ('node.hoVcpu', 'node.drVcpu') AND method = 'vision' AND EXISTS (FROM best))
+SELECT signal_id, CAST(confidence AS DOUBLE) AS confidence, method, source, num, str FROM c WHERE NOT (signal_id IN ('node.hoVcpu', 'node.drVcpu') AND method = 'vision' AND EXISTS (FROM best))
 UNION ALL SELECT s, 1.0, 'table-lookup', source, vcpu, NULL FROM best, (SELECT unnest(['node.hoVcpu', 'node.drVcpu']) AS s)
  WHERE s NOT IN (SELECT signal_id FROM c WHERE method IN ('keyvalue', 'numeric-series', 'table-lookup', 'manual'))"""
 
