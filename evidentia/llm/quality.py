@@ -252,11 +252,11 @@ class Scorer:
 
 
 def _lexicon(owners: np.ndarray, features: np.ndarray, bad: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Features that several of the chosen bad texts have, and hardly any other chosen text; each pair is given once."""
+    """Features that several of the chosen bad texts have, 3 % at least, and hardly any other chosen text; each pair is given once."""
     with_bad = np.bincount(features[(chosen & bad)[owners]], minlength=WORD_SPACE)
     with_good = np.bincount(features[(chosen & ~bad)[owners]], minlength=WORD_SPACE)
     n_bad, n_good = max(1, (bad & chosen).sum()), max(1, (~bad & chosen).sum())
-    return (with_bad >= 3) & (with_bad / n_bad > 12 * (with_good + 0.5) / n_good)
+    return (with_bad >= max(3, 0.03 * n_bad)) & (with_bad / n_bad > 12 * (with_good + 0.5) / n_good)
 
 
 def classify_quality(
@@ -269,7 +269,7 @@ def classify_quality(
     of ``labels`` (id, quality 0/1, toxic 0/1), where there is one, is one labeller more of each.
     Expectation-maximisation over the vote patterns of all texts estimates every labeller's
     accuracy on good and on bad texts. The posterior labels of a sample bounded by
-    ``limits`` train two hashed linear scorers, on word shapes and on words and their
+    ``limits``, or its given labels where there are any, train two hashed linear scorers, on word shapes and on words and their
     beginnings, and these score every text. ``kept``: both scores reach ``limits.least_score``.
 
     The driver gets the sample and the counts of at most 3**7 and 3**4 patterns. A null text
@@ -307,7 +307,7 @@ def classify_quality(
     for k, n in ((0, votes[0].shape[1] - 1), (1, votes[1].shape[1] - 1)):
         patterns = np.concatenate([_unpattern(seen[:, k], n), seen[:, 2 + k : 3 + k].astype(np.int8)], axis=1)
         models.append(expectation_maximisation(patterns, seen[:, 4].astype(float)))
-    target = [posterior(v, *m) for v, m in zip(votes, models, strict=True)]
+    target = [np.where(v[:, -1] == SILENT, posterior(v, *m), v[:, -1]) for v, m in zip(votes, models, strict=True)]
     fitted = spark.sparkContext.broadcast(Scorer(
         fit_linear(*shape, target[0], SHAPE_SPACE, limits.epochs), fit_linear(*word, target[1], WORD_SPACE, limits.epochs)
     ))
