@@ -1,5 +1,6 @@
 """Sampled segmentations of text over the lattice of a SentencePiece model's pieces."""
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ CHUNK = re.compile(rb"\n| *[^ \n]+| +")
 #: Chunks of more bytes than this are walked one by one.
 WIDE = 32
 _STEP = 0x9E3779B97F4A7C15
+#: Binary digits that a prefix's weight is shifted by at once.
+_SCALE = 512
 
 
 @dataclass
@@ -94,7 +97,11 @@ def uniform(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _single(data: bytes, begin: int, end: int, seed: int, base: int, pieces: Pieces, out: np.ndarray) -> None:
-    """Forward filtering and backward sampling of one chunk, exactly and byte by byte; weights are rescaled as they go."""
+    """Forward filtering and backward sampling of one chunk, byte by byte.
+
+    The weight of a prefix is total * 2 ** (-_SCALE * scale), each with a scale of its own, so
+    that chunks of any length neither vanish nor overflow; powers of two do not round.
+    """
     n = end - begin
     chunk = data[begin:end]
     spelled = np.zeros(n, dtype=bool)
@@ -104,24 +111,32 @@ def _single(data: bytes, begin: int, end: int, seed: int, base: int, pieces: Pie
         if chunk[k : k + size] not in pieces.by_bytes:
             spelled[k : k + size] = True
         k += size
-    total = np.zeros(n + 1)
+    total, scale, sums = [0.0] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
     total[0] = 1.0
     edges: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
     for j in range(1, n + 1):
+        found = []
         for i in range(max(0, j - pieces.longest), j):
             piece = pieces.by_bytes.get(chunk[i:j])
-            if piece is not None:
-                edges[j].append((i, piece, float(pieces.weights[piece])))
-        if spelled[j - 1]:
-            edges[j].append((j - 1, int(pieces.byte_ids[chunk[j - 1]]), pieces.byte_weight))
-        total[j] = sum(total[i] * w for i, _, w in edges[j])
-        if 0 < total[j] < 1e-200:
-            total[: j + 1] *= 1e200
+            if piece is not None and total[i]:
+                found.append((i, piece, total[i] * float(pieces.weights[piece])))
+        if spelled[j - 1] and total[j - 1]:
+            found.append((j - 1, int(pieces.byte_ids[chunk[j - 1]]), total[j - 1] * pieces.byte_weight))
+        if not found:
+            continue
+        least = min(scale[i] for i, _, _ in found)
+        edges[j] = [(i, piece, math.ldexp(w, -_SCALE * (scale[i] - least)) if scale[i] > least else w) for i, piece, w in found]
+        total[j] = sums[j] = sum(w for _, _, w in edges[j])
+        scale[j] = least
+        if total[j] < 2.0**-_SCALE:
+            total[j], scale[j] = math.ldexp(total[j], _SCALE), least + 1
+        elif total[j] > 2.0**_SCALE:
+            total[j], scale[j] = math.ldexp(total[j], -_SCALE), least - 1
     j = n
     while j:
-        aim = float(uniform(np.array([seed], dtype=np.uint64), np.array([base + j]))[0]) * total[j]
+        aim = float(uniform(np.array([seed], dtype=np.uint64), np.array([base + j]))[0]) * sums[j]
         for i, piece, w in edges[j]:
-            aim -= total[i] * w
+            aim -= w
             if aim < 0:
                 break
         out[begin + i] = piece

@@ -57,6 +57,40 @@ def test_long_chunks_as_short_ones(monkeypatch):
     assert all((x == y).all() for x, y in zip(a, sample(data, seeds, TABLE), strict=True))
 
 
+def marginals(data):
+    """The chance that a piece ends at each place of a chunk, in logarithms from both ends."""
+    n, ways = len(data), [[] for _ in range(len(data) + 1)]
+    for j in range(1, n + 1):
+        for i in range(max(0, j - PIECES.longest), j):
+            piece = PIECES.by_bytes.get(data[i:j])
+            if piece is not None:
+                ways[j].append((i, np.log(PIECES.weights[piece])))
+    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = behind[n] = 0.0
+    for j in range(1, n + 1):
+        ahead[j] = np.logaddexp.reduce([ahead[i] + w for i, w in ways[j]])
+    for j in range(n, 0, -1):
+        for i, w in ways[j]:
+            behind[i] = np.logaddexp(behind[i], behind[j] + w)
+    return np.exp(ahead + behind - ahead[n])
+
+
+@pytest.mark.parametrize("text", ["x" * 3000, "theandofing" * 300])
+def test_draws_on_long_chunks_follow_the_marginals(text):
+    data, drawn = b" " + text.encode(), []
+    want = marginals(data)[1:-1]
+    for seed in (1, 2):
+        ids = sample([text.encode()], np.array([seed], dtype=np.uint64), TABLE)[0]
+        assert join(ids, PIECES) == text.encode()
+        ends = np.zeros(len(data) + 1)
+        ends[np.cumsum([len(PIECES.texts[i]) for i in ids])] = 1
+        drawn.append(ends[1:-1])
+        for part in np.array_split(np.arange(len(want)), 5):
+            spread = np.sqrt((want[part] * (1 - want[part])).sum())
+            assert abs(drawn[-1][part].sum() - want[part].sum()) <= 8 * spread + 1
+    assert (drawn[0][:1000] != drawn[1][:1000]).any()
+
+
 TEXTS = [(1, "the same text"), (2, "the same text"), (3, None), (4, ""), (5, "▁ \t\n é 漢字 😀  two"), (6, "word " * 20000), (7, "x" * 5000),
          (8, "a"), (8, "a"), (None, "no id"), (9, "  leading"), (10, "<0x41> </s>")]
 
