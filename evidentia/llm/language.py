@@ -38,20 +38,25 @@ def normal(text: str) -> bytes:
 def learn(labelled: DataFrame, limits: Limits = Limits()) -> dict[str, bytes]:
     """The dictionary of each language, from (text, lang) without nulls, the most frequent language first.
 
-    The most frequent languages, ``limits.languages`` at most, each get the beginnings
-    of ``limits.texts_per_language`` different texts, chosen by the texts' hashes. Only
+    The most frequent languages, ``limits.languages`` at most, each get the beginnings,
+    from their first letter on, of ``limits.texts_per_language`` different texts with letters, chosen by the
+    texts' hashes out of a share that is derived from the number of different texts. Only
     these reach the driver: at most 64 MB of letters with the default limits, whatever the input.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(limits.languages)
     # A text's hash decides, so that copies are chosen together and then count once.
+    lettered = F.col("text").rlike(r"\p{L}")
     texts = labelled.withColumn("h", F.xxhash64("text"))
-    share = F.pmod("h", F.lit(1 << 30)) * F.col("n") < (1 << 30) * 6.0 * limits.texts_per_language
-    few = texts.join(F.broadcast(counts), "lang").where(share).groupBy("lang", "h").agg(
-        F.min(F.substring("text", 1, limits.chars_per_text)).alias("text")
-    )
+    different = texts.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"), F.max(lettered.cast("long")).alias("different"))
+    counts = different.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("different").alias("different"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(limits.languages)
+    top = counts.collect()
+    share = F.pmod("h", F.lit(1 << 30)) * F.col("different") < (1 << 30) * 6.0 * limits.texts_per_language
+    known = labelled.sparkSession.createDataFrame([(r.lang, r.different) for r in top], "lang string, different long")
+    beginning = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{limits.chars_per_text - 1}}}", 0)
+    few = texts.where(lettered).join(F.broadcast(known), "lang").where(share).groupBy("lang", "h").agg(F.min(beginning).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
     rows = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.texts_per_language)
-    found: dict[str, list[bytes]] = {r.lang: [] for r in counts.collect()}
+    found: dict[str, list[bytes]] = {r.lang: [] for r in top}
     for lang, text in rows.select("lang", "text").orderBy("lang", "k").collect():
         found[lang].append(normal(text))
     return {lang: b" ".join(parts) for lang, parts in found.items() if any(parts)}

@@ -1,6 +1,6 @@
 import zlib
 
-from evidentia.llm.language import Limits, identify, language_id, normal
+from evidentia.llm.language import Limits, identify, language_id, learn, normal
 
 TRAIN = {"en": "the house of the rising sun and the river that ran", "de": "der Hund und die Katze sind nicht im Garten gewesen"}
 
@@ -38,3 +38,11 @@ def test_inputs_are_texts_alone(spark):
     a = {r.doc_id: r.lang_pred for r in language_id(docs).collect()}
     flipped = docs.selectExpr("doc_id", "text", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 'zz', lang) lang")
     assert a == {r.doc_id: r.lang_pred for r in language_id(flipped).collect()}
+
+
+def test_copies_do_not_thin_the_training_sample(spark):
+    rows = [(f"ein Text von vielen {k % 40} mit Buchstaben {'abcdefghij'[k % 10]}", "de") for k in range(20000)]
+    rows += [(f"{k} ?!", "de") for k in range(200)] + [("a text in another language", "en")]
+    got = learn(spark.createDataFrame(rows, "text string, lang string"), Limits(texts_per_language=8))
+    assert list(got) == ["de", "en"]
+    assert got["de"].count(b"ein text von vielen") == 8 and got["en"] == b"a text in another language"
