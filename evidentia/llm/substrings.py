@@ -16,6 +16,7 @@ from .textkit import blocks, grams, mix, spaced_words
 CHUNK_BYTES = 8 << 20
 #: At lower levels a window is known by so many bits of its hash: a clash only keeps a candidate.
 SHORT_BITS = 48
+_BLANK = ~spaced_words()
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -46,17 +47,51 @@ class Chunk:
         self.counts = np.concatenate([np.zeros(0, dtype=np.int64), *(b.counts() for b in self.blocks)])
 
 
+    def digests(self, places: np.ndarray, window: int) -> np.ndarray:
+        """Of the window at each place, the BLAKE2 digest of its words joined by one space, as two numbers."""
+        found = [np.zeros((0, 2), dtype=np.uint64)]
+        base = 0
+        for block in self.blocks:
+            lo, hi = np.searchsorted(places, (base, base + len(block.starts)))
+            own = places[lo:hi] - base
+            base += len(block.starts)
+            if not len(own):
+                continue
+            raw = bytearray(block.data.tobytes())
+            np.frombuffer(raw, dtype=np.uint8)[_BLANK[block.data]] = 0x20
+            raw, starts, ends = bytes(raw), block.starts, block.ends
+            gaps = np.zeros(len(starts), dtype=np.int64)
+            gaps[1:] = np.cumsum(starts[1:] - ends[:-1] != 1)
+            plain = gaps[own + window - 1] == gaps[own]
+            each = [
+                hashlib.blake2b(
+                    raw[s:e] if p else b" ".join([raw[a:b] for a, b in zip(starts[o : o + window].tolist(), ends[o : o + window].tolist(), strict=True)]),
+                    digest_size=16,
+                ).digest()
+                for o, s, e, p in zip(own.tolist(), starts[own].tolist(), ends[own + window - 1].tolist(), plain.tolist(), strict=True)
+            ]
+            found.append(np.frombuffer(b"".join(each), dtype=np.uint64).reshape(-1, 2))
+        return np.concatenate(found)
+
+
 class Level:
-    """The candidate windows of one length in a chunk: each distinct hash, and where it occurs."""
+    """The candidate windows of one length in a chunk: each distinct key, and where it occurs.
 
-    def __init__(self, places: np.ndarray, hashes: np.ndarray, bits: int, buckets: int):
+    A key is the beginning of a window's hash or, at the last level, a digest of its words in two numbers.
+    """
+
+    def __init__(self, places: np.ndarray, keys: np.ndarray, rest: np.ndarray | None, bits: int, buckets: int):
         self.places = places
-        keys = hashes >> np.uint64(64 - bits)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys, kind="stable") if rest is None else np.lexsort((rest, keys))
         ranked = keys[order]
         new = np.empty(len(keys), dtype=bool)
         new[:1] = True
         new[1:] = ranked[1:] != ranked[:-1]
+        self.rest = None
+        if rest is not None:
+            rest = rest[order]
+            new[1:] |= rest[1:] != rest[:-1]
+            self.rest = rest[new]
         self.values = ranked[new]
         self.group = np.empty(len(keys), dtype=np.int64)
         self.group[order] = np.cumsum(new) - 1
@@ -94,8 +129,11 @@ def _climb(chunk: Chunk, levels: list[int], answers: dict[int, dict[int, bytes]]
     places = np.flatnonzero(chunk.left[: len(hashes)] >= length)
     hashes = hashes[places]
     while True:
-        level = Level(places, hashes, SHORT_BITS if length < levels[-1] else 64, buckets)
-        if length == levels[-1] or length not in answers:
+        if length == levels[-1]:
+            first, second = chunk.digests(places, length).T
+            return Level(places, first.copy(), second.copy(), 64, buckets)
+        level = Level(places, hashes >> np.uint64(64 - SHORT_BITS), None, SHORT_BITS, buckets)
+        if length not in answers:
             return level
         repeated = (level.counts > 1) | level.flags(answers[length])
         stay = repeated[level.group]
@@ -107,7 +145,7 @@ def _climb(chunk: Chunk, levels: list[int], answers: dict[int, dict[int, bytes]]
         places, length = heads, 2 * length
 
 
-ASK = "level int, bucket int, chunk int, hashes binary, ids binary"
+ASK = "level int, bucket int, chunk int, hashes binary, rest binary, ids binary"
 ANSWER = "chunk int, level int, bucket int, found binary"
 
 
@@ -123,24 +161,33 @@ def _ask(rows: pa.Table, answers: dict, levels: list[int], step: int, buckets: i
         a, b = level.cuts[k], level.cuts[k + 1]
         if a < b:
             ids = None if owners is None else owners[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()
-            out.append((levels[step], k, number, pack(level.values[a:b]), ids))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*out, strict=True)) or [[]] * 5
+            rest = None if owners is None else level.rest[a:b].tobytes()
+            out.append((levels[step], k, number, pack(level.values[a:b]), rest, ids))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*out, strict=True)) or [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    names=["level", "bucket", "chunk", "hashes", "ids"])
+                    names=["level", "bucket", "chunk", "hashes", "rest", "ids"])
 
 
 def _answer(rows: pa.Table) -> pa.Table:
-    """Of each chunk's hashes in this bucket: those that another chunk has, or has in an earlier text."""
+    """Of each chunk's keys in this bucket: those that another chunk has, or has in an earlier text."""
     chunks = rows.column("chunk").to_numpy()
     parts = [unpack(x.as_py()) for x in rows.column("hashes")]
     sizes = np.array([len(p) for p in parts])
     values, which = np.concatenate(parts), np.repeat(chunks, sizes)
-    order = np.argsort(values)
+    last = rows.column("ids")[0].is_valid
+    if last:
+        rest = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in rows.column("rest")])
+        order = np.lexsort((rest, values))
+    else:
+        order = np.argsort(values)
     ranked = values[order]
-    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    if last:
+        new[1:] |= rest[order][1:] != rest[order][:-1]
+    starts = np.flatnonzero(new)
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ranked))))
-    if rows.column("ids")[0].is_valid:
+    if last:
         ids = np.concatenate([
             np.ascontiguousarray(np.frombuffer(x.as_py(), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
             for x in rows.column("ids")
@@ -216,7 +263,8 @@ def substring_dedup(
     occurs, to the bucket of its hash range, and gets back one bit for each: whether
     another chunk has it, or at the last level whether an earlier text has it. So a
     passage that a third of all texts share makes one entry per chunk. Neither pairs nor
-    positions are shuffled. Windows are told apart by 64-bit hashes.
+    positions are shuffled. Hashes only choose candidates: at the last level windows are
+    told apart by 128-bit BLAKE2 digests of their words.
 
     Chunks hold ``chunk_bytes`` of text, or more than that where the corpus is so large
     that chunks times buckets would pass the number of its 64 KB pieces.

@@ -16,8 +16,7 @@ BLOCK_BYTES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0xD6E8FEB86659FD93
-_powers: list[np.ndarray] = []
+_places: list[np.ndarray] = []
 
 
 def spaced_words() -> np.ndarray:
@@ -50,16 +49,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and their inverses."""
-    if not _powers or len(_powers[0]) < n:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            a = np.full(max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+def factors(n: int) -> np.ndarray:
+    """A random odd factor for each of the first n places in a word."""
+    if not _places or len(_places[0]) < n:
+        size = max(n, BLOCK_BYTES)
+        _places[:] = [mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)]
+    return _places[0]
 
 
 def texts(column: pa.Array) -> pa.Array:
@@ -99,23 +94,32 @@ class Block:
         return np.repeat(np.arange(self.n), self.counts())
 
     def _sums(self) -> np.ndarray:
-        up, _ = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=sums[1:])
+        """Running sums of bytes times their place's factor; the places are counted from the beginning of each word.
+
+        Factors are random and not powers of a base, as words of a certain shape clash modulo 2**64 for every base.
+        """
+        n = len(self.data)
+        at = np.arange(n)
+        begin = np.zeros(n, dtype=np.int64)
+        begin[self.starts] = self.starts
+        at -= np.maximum.accumulate(begin)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        if n:
+            np.cumsum(_BYTES[self.data] * factors(int(at.max()) + 1)[at], out=sums[1:])
         return sums
 
     def hashes(self) -> np.ndarray:
-        sums, (_, down) = self._sums(), powers(len(self.data) + 1)
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        sums = self._sums()
+        return mix(sums[self.ends] - sums[self.starts])
 
     def beginnings(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each size: the words that are longer, in bytes, and hashes of their beginnings of that size."""
-        sums, (_, down) = self._sums(), powers(len(self.data) + 1)
+        sums = self._sums()
         found = []
         for k in sizes:
             long = np.flatnonzero(self.ends - self.starts > k)
             at = self.starts[long]
-            found.append((long, mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k))))
+            found.append((long, mix(sums[at + k] - sums[at] + np.uint64(k))))
         return found
 
     def left(self) -> np.ndarray:
@@ -152,6 +156,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     total = words[:n].copy()
     for j in range(1, k):
+        total ^= total >> np.uint64(29)
         total *= np.uint64(_MULT)
         total += words[j : j + n]
     return mix(total)

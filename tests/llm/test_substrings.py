@@ -2,11 +2,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidentia.llm.substrings import lengths, pack, substring_dedup, unpack
+from evidentia.llm import textkit
+from evidentia.llm.substrings import Chunk, _climb, lengths, pack, substring_dedup, unpack
 
 
 def brute(rows, window):
@@ -67,3 +69,25 @@ def test_empty_and_lengths(spark):
 def test_pack(values):
     values = np.array(sorted(values), dtype=np.uint64)
     assert (unpack(pack(values)) == values).all()
+
+
+def test_words_that_clash_under_every_power_hash(spark):
+    """A Thue-Morse word and its complement are equal modulo 2**64 as polynomials of any odd base."""
+    bits = [i.bit_count() % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}"), (4, f"{one}\t{tail.replace(' ', chr(10))}")]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 20)
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 20, 4: 20}
+
+
+def test_equal_hashes_remove_nothing(spark, monkeypatch):
+    """With all words hashed alike every window is a candidate, and the digests alone decide."""
+    monkeypatch.setattr(textkit.Block, "hashes", lambda self: np.zeros(len(self.starts), dtype=np.uint64))
+    for rows in (ROWS[:8], [(i, " ".join(f"{i}w{k % 23}" for k in range(60))) for i in range(5)]):
+        column = pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]}, schema=pa.schema([("id", pa.int64()), ("text", pa.string())]))
+        level = _climb(Chunk(column), [5, 10, 20], {5: {}, 10: {}}, 1)
+        words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+        windows = {tuple(w[a : a + 20]) for w in words.values() for a in range(len(w) - 19)}
+        assert len(level.values) == len(windows)
