@@ -1,12 +1,16 @@
 """Chat formatting with every participant in turn as the assistant; DataFrame functions only."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 #: Turn numbers that one rendered part spans, and rows that it holds at most.
 PART_TURNS = 64
 PART_ROWS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Where turns without a number stand.
+NO_TURN = -(1 << 63)
 
 
 def _segment(message: Column, speaker: Column) -> Column:
@@ -21,9 +25,29 @@ def _segment(message: Column, speaker: Column) -> Column:
     )
 
 
+def _ranked(rows: DataFrame, keys: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """Distinct rows with ``n``, how many there are of each, and ``rank``, how many rows of the same keys stand before them.
+
+    Repeated rows are counted before they are shuffled. Ranges of the order, written once so that they cannot
+    change, are ranked each by itself; sums over the ranges, as many as partitions, tell where each begins.
+    """
+    counted = rows.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("n"))
+    ranges = counted.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id())
+    ranges = scratch.keep(ranges, "ranges")
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    base = ranges.groupBy(*keys, "range").agg(F.sum("n").alias("held")).select(
+        *[F.col(k).alias(f"b_{k}") for k in keys], F.col("range").alias("b_range"), F.coalesce(F.sum("held").over(before), zero).alias("base")
+    )
+    met = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys] + [F.col("range") == F.col("b_range")]
+    own = ranges.withColumn("own", F.coalesce(F.sum("n").over(inside), zero)).join(base, met)
+    return own.select(*keys, *order, "n", (F.col("base") + F.col("own")).alias("rank"))
+
+
 def rotate(
     chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    part_turns: int = PART_TURNS, part_rows: int = PART_ROWS,
+    part_turns: int | None = PART_TURNS, part_rows: int | None = PART_ROWS,
 ) -> DataFrame:
     """One row per conversation, participant and part: conv_id, speaker, part, share, n_turns, n_masked, text, masks.
 
@@ -32,32 +56,46 @@ def rotate(
     lists the spans to learn from, the assistant's words and their end mark, as start:end in
     code points, end exclusive. A conversation without participants gives no rows.
 
-    A part spans ``part_turns`` turn numbers, so that no row grows with a conversation.
-    Where turn numbers repeat so often that a part passes ``part_rows`` rows, its rows are dealt
-    by their digests into as many shares as needed. Within a part turns go by number,
-    role and text; repeated rows are all rendered. A turn without a number is in part
-    -1. A null text is empty, a null role is ``unknown``, a null conversation is one of its own.
-    The opening mark inside a text gets a blank, so that texts cannot forge turns. Other
-    columns are ignored.
+    Turns go by number, role and text; repeated rows are all rendered. A part spans ``part_turns`` turn numbers,
+    and in it share k is the k-th run of ``part_rows`` turns of that order, so that no row grows with a
+    conversation and neighbours stay neighbours. The conversation's first system turn, where it stands before
+    a share, is rendered again at its head, without a mask and uncounted. None for both gives whole dialogues, for conversations of a known size.
+
+    A turn without a number comes first, in part -1. A null text is empty, a null role is ``unknown``, a
+    null conversation is one of its own. The opening mark inside a text gets a blank, so that texts cannot
+    forge turns. Other columns are ignored.
     """
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |"))
+    part = F.lit(0).cast("long") if part_turns is None else F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long"))
     rows = chats.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.replace(F.coalesce(F.col(role_col), F.lit("unknown")), F.lit("<|"), F.lit("< |")).alias("role"), text.alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    # Sizes of parts, summed before the shuffle; only parts that are too large are told.
-    large = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
-    large = large.select(F.col("conv").alias("l_conv"), F.col("part").alias("l_part"), F.ceil(F.col("n") / part_rows * 2).alias("shares"))
-    met = F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("part") == F.col("l_part"))
-    salt = F.xxhash64("turn", "role", "text", F.monotonically_increasing_id())
-    dealt = rows.withColumn("salt", salt).join(large, met, "left").withColumn("share", F.pmod("salt", F.coalesce("shares", F.lit(1))))
-    parts = dealt.groupBy("conv", "part", "share").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    ).select("conv", part.alias("part"), F.coalesce("turn", F.lit(NO_TURN)).alias("turn"), "role", "text")
+    dealt = rows.withColumns({"share": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    if part_rows is not None:
+        # Sizes of parts, summed before the shuffle; parts of more rows than a share are told, and ranked.
+        scratch = Scratch(chats.sparkSession)
+        large = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+        large = scratch.keep(large.select(F.col("conv").alias("l_conv"), F.col("part").alias("l_part")), "large")
+        met = F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("part") == F.col("l_part"))
+        ranked = _ranked(rows.join(large, met, "left_semi"), ["conv", "part"], ["turn", "role", "text"], scratch)
+        first, last = F.floor(F.col("rank") / part_rows), F.floor((F.col("rank") + F.col("n") - 1) / part_rows)
+        shares = ranked.withColumn("share", F.explode(F.sequence(first, last))).withColumn("copies", (
+            F.least(F.col("rank") + F.col("n"), (F.col("share") + 1) * part_rows) - F.greatest("rank", F.col("share") * part_rows)
+        ).cast("long"))
+        dealt = dealt.join(large, met, "left_anti").unionByName(shares.drop("n", "rank"))
+    parts = dealt.groupBy("conv", "part", "share").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("held"))
+    messages = F.flatten(F.transform("held", lambda m: F.array_repeat(F.struct(m["turn"], m["role"], m["text"]), m["copies"].cast("int"))))
 
-    people = rows.where("role != 'system'").groupBy("conv").agg(F.array_sort(F.collect_set("role")).alias("people"))
-    people = people.withColumnRenamed("conv", "p_conv")
+    system = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text")))
+    people = rows.groupBy("conv").agg(
+        F.array_sort(F.collect_set(F.when(F.col("role") != "system", F.col("role")))).alias("people"), system.alias("system")
+    ).withColumnRenamed("conv", "p_conv")
     views = parts.join(people, F.col("conv").eqNullSafe(F.col("p_conv"))).select(
-        "conv", "part", "share", "messages", F.explode("people").alias("speaker")
+        "conv", "part", "share", "system", messages.alias("messages"), F.explode("people").alias("speaker")
     )
+    ahead = F.coalesce(F.col("system") < F.element_at("messages", 1), F.lit(False))
+    views = views.withColumn("ahead", ahead).withColumn("messages", F.when(F.col("ahead"), F.concat(F.array("system"), F.col("messages"))).otherwise(F.col("messages")))
     views = views.withColumn("segments", F.transform("messages", lambda m: _segment(m, F.col("speaker"))))
     walked = F.aggregate(
         "segments", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")),
@@ -69,7 +107,7 @@ def rotate(
         ),
     )["spans"]
     return views.select(
-        F.col("conv").alias(conv_col), "speaker", "part", "share", F.size("segments").cast("long").alias("n_turns"),
+        F.col("conv").alias(conv_col), "speaker", "part", "share", (F.size("segments") - F.col("ahead").cast("int")).cast("long").alias("n_turns"),
         F.size(F.filter("segments", lambda s: s["own"])).cast("long").alias("n_masked"),
         F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], s["tail"])), "").alias("text"),
         F.array_join(walked, ",").alias("masks"),

@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+import duckdb
+
+from evidentia.llm.catalog import OP9_SQL, op9_chat_format
 from evidentia.llm.chat import rotate
 
 ROWS = [
@@ -9,25 +12,32 @@ ROWS = [
 ]
 
 
-def brute(rows, part_turns):
-    groups, people = defaultdict(list), defaultdict(set)
+def brute(rows, part_turns, part_rows=1024):
+    groups, people, system = defaultdict(list), defaultdict(set), {}
     clean = lambda t: (t or "").replace("<|", "< |")
     for conv, turn, role, text in rows:
         role = clean(role if role is not None else "unknown")
-        groups[conv, -1 if turn is None else turn // part_turns].append((turn if turn is not None else -1, role, clean(text)))
+        row = (turn if turn is not None else -1, role, clean(text))
+        groups[conv, 0 if part_turns is None else -1 if turn is None else turn // part_turns].append(row)
         if role != "system":
             people[conv].add(role)
-    out = []
+        else:
+            system[conv] = min(system.get(conv, row), row)
+    out, shares = [], {}
     for (conv, part), messages in groups.items():
+        step = part_rows or len(messages)
+        shares |= {(conv, part, k // step): sorted(messages)[k : k + step] for k in range(0, len(messages), step)}
+    for (conv, part, share), messages in shares.items():
+        head = [system[conv]] if conv in system and system[conv] < messages[0] else []
         for speaker in people[conv]:
             text, spans = "", []
-            for _, role, body in sorted(messages):
+            for _, role, body in head + messages:
                 name = "assistant" if role == speaker else "system" if role == "system" else f"user name={role}"
                 text += f"<|im_start|>{name}\n"
                 if role == speaker:
                     spans.append(f"{len(text)}:{len(text) + len(body) + 10}")
                 text += body + "<|im_end|>\n"
-            out.append((conv, speaker, part, 0, len(messages), len(spans), text, ",".join(spans)))
+            out.append((conv, speaker, part, share, len(messages), len(spans), text, ",".join(spans)))
     return sorted(out, key=repr)
 
 
@@ -50,8 +60,39 @@ def test_masks_hold_the_speakers_words(spark):
         assert [r.text[a:b] for a, b in spans] == [t + "<|im_end|>" for t in own[r.conv_id, r.speaker]]
 
 
-def test_crowded_turns_are_dealt(spark):
-    rows = [(1, 0, "ann" if i % 2 else "bob", "same") for i in range(300)]
-    got = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_rows=20).collect()
-    assert sum(r.n_turns for r in got) == 600 and max(r.n_turns for r in got) < 40
-    assert sum(r.n_masked for r in got) == 300
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def test_crowded_turns_stay_in_order(spark):
+    rows = [(1, 0, "ann" if i % 2 else "bob", "same") for i in range(300)] + [(1, 0, "system", "rules"), (1, 1, "ann", "later"), (2, 0, "ann", "x")]
+    got = rotate(spark.createDataFrame(rows, SCHEMA), part_rows=20)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 64, 20)
+    assert max(r.n_turns for r in got.collect()) <= 20
+
+
+def test_crowded_turn_under_other_partitionings(spark):
+    """5000 rows on one turn number, some of them repeated, and as many without a number."""
+    rows = [(7, 3, f"r{i % 3}", f"text {i * 7919 % 4001}") for i in range(5000)] + [(None, None, "a", f"{i % 50}") for i in range(2500)]
+    rows += [(7, 0, "system", "be kind"), (7, 900, "r0", "far"), (8, None, "system", "no number"), (8, 1, "r1", "hi")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 64)
+    for frame in (df, df.repartition(1), df.repartition(7, "text")):
+        assert sorted(map(tuple, rotate(frame).collect()), key=repr) == want
+    assert max(r[3] for r in want) == 4
+
+
+def test_whole_dialogues(spark):
+    rows = [(1, i, "system" if not i else f"p{i % 2}", f"turn {i}") for i in range(300)] + [(1, None, "p0", "first of all")]
+    got = rotate(spark.createDataFrame(rows, SCHEMA), part_turns=None, part_rows=None).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, None, None) and len(got) == 2
+
+
+def test_query_like_its_sql_on_crowded_conversations(spark, tmp_path):
+    rows = ROWS + [(7, 3 if i % 5 else None, f"r{i % 3}", f"text {i * 7919 % 401}") for i in range(3000)] + [(7, 0, "system", "s"), (7, 99, "r1", "later")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op9_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(OP9_SQL)
+    names = [c[0] for c in cursor.description]
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
