@@ -269,7 +269,7 @@ def classify_quality(
     of ``labels`` (id, quality 0/1, toxic 0/1), where there is one, is one labeller more of each.
     Expectation-maximisation over the vote patterns of all texts estimates every labeller's
     accuracy on good and on bad texts. The posterior labels of a sample bounded by
-    ``limits``, or its given labels where there are any, train two hashed linear scorers, on word shapes and on words and their
+    ``limits`` train two hashed linear scorers, on word shapes and on words and their
     beginnings, and these score every text. ``kept``: both scores reach ``limits.least_score``.
 
     The driver gets the sample and the counts of at most 3**7 and 3**4 patterns. A null text
@@ -307,7 +307,7 @@ def classify_quality(
     for k, n in ((0, votes[0].shape[1] - 1), (1, votes[1].shape[1] - 1)):
         patterns = np.concatenate([_unpattern(seen[:, k], n), seen[:, 2 + k : 3 + k].astype(np.int8)], axis=1)
         models.append(expectation_maximisation(patterns, seen[:, 4].astype(float)))
-    target = [np.where(v[:, -1] == SILENT, posterior(v, *m), v[:, -1]) for v, m in zip(votes, models, strict=True)]
+    target = [posterior(v, *m) for v, m in zip(votes, models, strict=True)]
     fitted = spark.sparkContext.broadcast(Scorer(
         fit_linear(*shape, target[0], SHAPE_SPACE, limits.epochs), fit_linear(*word, target[1], WORD_SPACE, limits.epochs)
     ))
@@ -329,7 +329,9 @@ def _sample(rows: DataFrame, gold: DataFrame, limits: Limits) -> list[tuple]:
     cut = F.substring("text", 1, limits.chars_per_text)
 
     def thin(df: DataFrame, most: int, key: str) -> DataFrame:
-        share = min(1.0, 1.5 * most / max(1, df.count()))
+        # The share comes from the number of different keys, as copies are chosen together and count once.
+        different = df.agg(F.approx_count_distinct(F.xxhash64(key), 0.03)).first()[0]
+        share = min(1.0, 2.0 * most / max(1, different))
         return df.withColumn("h", F.xxhash64(key)).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
 
     chosen = thin(gold, limits.labelled_texts, "id").orderBy("h").limit(limits.labelled_texts)

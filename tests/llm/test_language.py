@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from evidentia.llm.language import Limits, identify, language_id, learn, normal
 
 TRAIN = {"en": "the house of the rising sun and the river that ran", "de": "der Hund und die Katze sind nicht im Garten gewesen"}
@@ -46,3 +48,25 @@ def test_copies_do_not_thin_the_training_sample(spark):
     got = learn(spark.createDataFrame(rows, "text string, lang string"), Limits(texts_per_language=8))
     assert list(got) == ["de", "en"]
     assert got["de"].count(b"ein text von vielen") == 8 and got["en"] == b"a text in another language"
+
+
+def test_predictions_by_brute_force(spark):
+    """Every text against the same dictionaries with a compressor made anew for each piece."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    share = learn(docs.where("text is not null and lang is not null").select("text", "lang"))
+    got = {r.doc_id: r for r in identify(docs, share).collect()}
+    for doc_id, text, _ in docs.collect():
+        data, sizes = normal(text or ""), {}
+        for lang, content in share.items():
+            total = 0
+            for k in range(0, max(len(data), 1), 4096):
+                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                writer = zstandard.ZstdCompressor(level=6, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
+                total += len(writer.compress(data[k : k + 4096]))
+            sizes[lang] = total
+        best, second = sorted(sizes.values())[:2]
+        if not any(c.isalpha() for c in text or ""):
+            assert got[doc_id].lang_pred == "und"
+            continue
+        assert sizes[got[doc_id].lang_pred] == best
+        assert abs(got[doc_id].score - (1 - best / second)) < 1e-12 and got[doc_id].rejected == (1 - best / second < 0.02)

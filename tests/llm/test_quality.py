@@ -1,15 +1,19 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidentia.llm.quality import Limits, classify_quality, expectation_maximisation, fit_linear, posterior
+from evidentia.llm.simhash import near_dedup
+from evidentia.llm.quality import Limits, _sample, classify_quality, expectation_maximisation, fit_linear, posterior
 
 
 def test_held_out_accuracy(spark):
-    """Labels of a quarter of the ids are kept from the model and then foretold."""
+    """Labels of a quarter of the groups of near copies are kept from the model and then foretold."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    got = classify_quality(docs, labels.where(~held)).join(labels.where(held), "doc_id").toPandas()
+    groups = near_dedup(docs).select("doc_id", (F.crc32(F.col("component_id").cast("string").cast("binary")) % 4 == 2).alias("held"))
+    labels = spark.createDataFrame(labels.join(groups, "doc_id").toPandas())
+    got = classify_quality(docs, labels.where("not held").drop("held")).join(labels.where("held"), "doc_id").toPandas()
     clean = got[(got.quality == 1) & (got.toxic == 0)]
     assert clean.kept.mean() >= 0.97
     assert got[got.quality == 0].kept.mean() <= 0.05
@@ -45,3 +49,74 @@ def test_fit_linear():
     rows, cols = np.repeat(np.arange(100), 1), np.arange(100) % 2
     w = fit_linear(rows, cols, np.ones(100), (cols == 0).astype(float), 4, 200)
     assert w[0] + w[-1] > 0 > w[1] + w[-1] and w[2] == w[3] == 0
+
+
+def plain_em(votes, counts, rounds):
+    """Expectation-maximisation with loops over patterns and labellers."""
+    good = [0.05 if 0 in v else 0.98 for v in votes]
+    for _ in range(rounds):
+        accuracy = []
+        for m in range(len(votes[0])):
+            row = []
+            for k in (0, 1):
+                weight = [(g if k == 0 else 1 - g) * c for g, c in zip(good, counts)]
+                says = sum(w for w, v in zip(weight, votes) if v[m] == 1)
+                speaks = sum(w for w, v in zip(weight, votes) if v[m] != -1)
+                row.append((says + (1.0 if k == 0 else 0.1)) / (speaks + 1.1))
+            accuracy.append(row)
+        prior = (sum(g * c for g, c in zip(good, counts)) + 1) / (sum(counts) + 2)
+        good = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for m, x in enumerate(v):
+                right = [min(max(p, 1e-4), 1 - 1e-4) for p in accuracy[m]]
+                if x == 1:
+                    a, b = a * right[0], b * right[1]
+                elif x == 0:
+                    a, b = a * (1 - right[0]), b * (1 - right[1])
+            good.append(a / (a + b))
+    return prior, accuracy, good
+
+
+def test_estimates_by_brute_force():
+    rng = np.random.default_rng(4)
+    votes = rng.choice([-1, 0, 1], size=(60, 4), p=[0.3, 0.2, 0.5]).astype(np.int8)
+    votes, counts = np.unique(votes, axis=0), rng.integers(1, 50, 60)
+    counts = counts[: len(votes)].astype(float)
+    prior, accuracy = expectation_maximisation(votes, counts, 15)
+    want = plain_em(votes.tolist(), counts.tolist(), 15)
+    assert abs(prior - want[0]) < 1e-9 and np.allclose(accuracy, want[1]) and np.allclose(posterior(votes, prior, accuracy), want[2])
+
+
+def test_scorer_by_brute_force():
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(r), int(c)) for r, c in zip(rng.integers(0, 40, 200), rng.integers(0, 12, 200))})
+    rows, cols = map(np.array, zip(*pairs))
+    values, target = rng.random(len(pairs)), rng.random(40)
+    got = fit_linear(rows, cols, values, target, 12, 20, least_texts=8)
+    often = [sum(c == k for _, c in pairs) >= 8 for k in range(12)]
+    low = [t < 0.5 for t in target]
+    extra = min(10.0, max(1.0, sum(target) / max(sum(1 - target), 1.0)))
+    balance = [extra if x else 1.0 for x in low]
+    w, pace = [0.0] * 13, [0.0] * 13
+    for _ in range(20):
+        raw = [w[12]] * 40
+        for (r, c), v in zip(pairs, values):
+            raw[r] += w[c] * v if often[c] else 0.0
+        error = [b / sum(balance) * (1 / (1 + math.exp(-x)) - t) for b, x, t in zip(balance, raw, target)]
+        slope = [1e-3 * x for x in w]
+        for (r, c), v in zip(pairs, values):
+            slope[c] += v * error[r] if often[c] else 0.0
+        slope[12] += sum(error)
+        pace = [0.9 * p + s for p, s in zip(pace, slope)]
+        w = [x - 2.0 * p for x, p in zip(w, pace)]
+    want = [0.0 if abs(x) < 1e-3 and k < 12 else x for k, x in enumerate(w)]
+    assert np.allclose(got, want)
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    rows = [(i, f"text number {i % 60} of a table that is mostly copies") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    gold = spark.createDataFrame([], "id long, gold_quality int, gold_clean int")
+    assert len(_sample(df, gold, Limits(plain_texts=40))) == 40
+    assert len(_sample(df, gold, Limits(plain_texts=100))) == 60
