@@ -18,21 +18,56 @@ END_OF_DOCUMENT = 50256
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose sums are scanned together; their totals are scanned in turn.
 BLOCKS_PER_GROUP = 1024
+#: Neighbouring blocks of a file that go to one task.
+BLOCKS_PER_READ = 64
+
+
+
+def _opens(path: str) -> bool:
+    """Whether tasks can read ranges of the file themselves."""
+    from pyarrow import fs
+
+    try:
+        source, name = fs.FileSystem.from_uri(path)
+        return source.get_file_info(name).is_file
+    except (OSError, ValueError, NotImplementedError):
+        return False
 
 
 def file_blocks(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(shard, block, content) of flat token files: each file is cut into blocks of ``block_tokens``.
 
-    A file's bytes must be whole little-endian tokens of ``dtype``, and fewer than the 2 GB that
-    Spark reads as one value.
+    A file's bytes must be whole little-endian tokens of ``dtype``. Spark lists the files with their lengths and deals the
+    blocks out, and each task reads the ranges of its own blocks, so files of any size are spread over all tasks. Where
+    only Spark itself can open the files, it reads them whole, and refuses files of 2 GB or more.
     """
     size = np.dtype(dtype).itemsize
     step = size * block_tokens
+    prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    odd = F.raise_error(F.concat(F.lit("not a whole number of tokens: "), F.col("path")))
-    files = files.select("path", F.when(F.col("length") % size == 0, F.col("content")).otherwise(F.to_binary(odd.cast("string"), F.lit("hex"))).alias("content"), "length")
-    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("length") / step) - 1))))
-    return blocks.select(F.col("path").alias("shard"), "block", F.substring("content", F.col("block").cast("int") * step + 1, F.lit(step)).alias("content"))
+    odd = F.raise_error(F.concat(F.lit("not a whole number of tokens: "), F.col("path"))).cast("long")
+    files = files.withColumn("length", F.when(F.col("length") % size == 0, F.col("length")).otherwise(odd))
+    first = files.select("path").head()
+    ranged = first is not None and _opens(first.path)
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("length") / step) - 1)
+    blocks = files.select(F.col("path").alias("shard"), "length", *([] if ranged else ["content"]), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    if not ranged:
+        return blocks.select("shard", "block", F.substring("content", F.col("block").cast("int") * step + 1, F.lit(step)).alias("content"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name, source = None, None
+        for batch in batches:
+            for shard, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != name:
+                    system, inner = fs.FileSystem.from_uri(shard)
+                    name, source = shard, system.open_input_file(inner)
+                content = source.read_at(min(step, length - block * step), block * step) if length else b""
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([content], pa.binary())], ["shard", "block", "content"])
+
+    dealt = blocks.repartition("shard", F.floor(F.col("block") / BLOCKS_PER_READ)).select("shard", "length", "block")
+    return dealt.mapInArrow(read, "shard string, block long, content binary")
 
 
 def load_ranks(spark: SparkSession, vocabulary: str) -> dict[bytes, int]:
@@ -48,11 +83,11 @@ def load_ranks(spark: SparkSession, vocabulary: str) -> dict[bytes, int]:
 def token_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
-    """(shard, block, content, labels): texts tokenised one after another into flat uint16 files, one per partition.
+    """(shard, block, content, before, labels): texts tokenised one after another into flat uint16 files, one per partition.
 
     Each text is followed by the end-of-document token; its string in a text is ordinary text.
-    Nothing in the content says where a text begins. ``labels`` holds the ids whose
-    end lies in the block, in order, so that counts can be told apart afterwards.
+    Nothing in the content says where a text begins. Beside it, ``labels`` holds the ids whose
+    end lies in the block, in order, and ``before`` how many end in earlier blocks of the shard.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -63,14 +98,16 @@ def token_blocks(
 
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         shard = f"partition-{TaskContext.get().partitionId():06d}"
-        held, labels, number = np.zeros(0, dtype=np.uint16), [], 0
+        held, labels, number, before = np.zeros(0, dtype=np.uint16), [], 0, 0
 
         def block(content: np.ndarray) -> pa.RecordBatch:
+            nonlocal before
             inside = int((content == END_OF_DOCUMENT).sum())
             own, labels[:] = labels[:inside], labels[inside:]
+            before += inside
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([number]), pa.array([content.tobytes()], pa.binary()), pa.array([own], pa.list_(pa.int64()))],
-                ["shard", "block", "content", "labels"],
+                [pa.array([shard]), pa.array([number]), pa.array([content.tobytes()], pa.binary()), pa.array([before - inside]), pa.array([own], pa.list_(pa.int64()))],
+                ["shard", "block", "content", "before", "labels"],
             )
 
         for batch in batches:
@@ -86,13 +123,11 @@ def token_blocks(
             yield block(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "shard string, block long, content binary, labels array<long>")
+    return rows.mapInArrow(run, "shard string, block long, content binary, before long, labels array<long>")
 
 
 def scan(blocks: DataFrame, dtype: str = "uint16", separator: int = END_OF_DOCUMENT) -> DataFrame:
-    """(shard, block, n, ends, labels): of each block its tokens, and where in it separators stand."""
-    if "labels" not in blocks.columns:
-        blocks = blocks.withColumn("labels", F.lit(None).cast("array<long>"))
+    """(shard, block, n, ends): of each block its tokens, and where in it separators stand."""
     prepare(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +135,15 @@ def scan(blocks: DataFrame, dtype: str = "uint16", separator: int = END_OF_DOCUM
             tokens = [np.frombuffer(c.as_buffer(), dtype=dtype) for c in batch.column(2)]
             ends = [np.flatnonzero(t == separator).astype(np.int32) for t in tokens]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.array(ends, pa.list_(pa.int32())), batch.column(3)],
-                ["shard", "block", "n", "ends", "labels"],
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in tokens], pa.int64()), pa.array(ends, pa.list_(pa.int32()))],
+                ["shard", "block", "n", "ends"],
             )
 
-    rows = blocks.select("shard", "block", "content", "labels")
-    return rows.mapInArrow(run, "shard string, block long, n long, ends array<int>, labels array<long>")
+    return blocks.select("shard", "block", "content").mapInArrow(run, "shard string, block long, n long, ends array<int>")
 
 
 def stitch(scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shard, ordinal, n_tokens, ended, label) of every document, in whichever blocks it lies.
+    """(shard, ordinal, n_tokens, ended) of every document, in whichever blocks it lies.
 
     An exclusive prefix scan over the blocks of a shard gives each block where it starts, how many
     separators stand before it, and where the last of these stands. The scan has two
@@ -137,14 +171,14 @@ def stitch(scanned: DataFrame, scratch: Scratch) -> DataFrame:
         .select("shard", "group", "g_start", "g_before", "g_previous")
     )
     placed = inside.join(base, ["shard", "group"]).select(
-        "shard", "labels", (F.col("g_start") + F.col("start")).alias("start"), (F.col("g_before") + F.col("before")).alias("before"), "n",
+        "shard", (F.col("g_start") + F.col("start")).alias("start"), (F.col("g_before") + F.col("before")).alias("before"), "n",
         F.coalesce(F.col("g_start") + F.col("previous"), "g_previous", F.lit(-1).cast("long")).alias("previous"), "ends",
     )
     stops = F.transform("ends", lambda e: F.col("start") + e)
     froms = F.concat(F.array("previous"), F.slice(stops, 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     ended = placed.where(F.size("ends") > 0).select(
-        "shard", "before", "labels", F.posexplode(F.zip_with(stops, froms, lambda a, b: a - b - 1)).alias("k", "n_tokens")
-    ).select("shard", (F.col("before") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"), F.get("labels", F.col("k")).alias("label"))
+        "shard", "before", F.posexplode(F.zip_with(stops, froms, lambda a, b: a - b - 1)).alias("k", "n_tokens")
+    ).select("shard", (F.col("before") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     # What follows a shard's last separator is a document without an end.
     whole = placed.groupBy("shard").agg(
         F.max(F.col("start") + F.col("n")).alias("size"), F.sum(F.size("ends")).alias("ordinal"),
@@ -152,7 +186,7 @@ def stitch(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     )
     tail = whole.select(
         "shard", "ordinal", (F.col("size") - 1 - F.coalesce("last", F.lit(-1).cast("long"))).alias("n_tokens"),
-        F.lit(False).alias("ended"), F.lit(None).cast("long").alias("label"),
+        F.lit(False).alias("ended"),
     ).where("n_tokens > 0")
     return ended.unionByName(tail)
 
@@ -163,15 +197,21 @@ def count_file_tokens(spark: SparkSession, path: str, dtype: str = "uint16", sep
     A document is what stands before a separator, possibly nothing; the tokens after a file's last
     separator are one document more, with ``ended`` false. An empty file has none.
     """
-    return stitch(scan(file_blocks(spark, path, dtype, block_tokens), dtype, separator), Scratch(spark)).drop("label")
+    return stitch(scan(file_blocks(spark, path, dtype, block_tokens), dtype, separator), Scratch(spark))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, shard, ordinal, counted from the flat files that it makes of them.
 
+    Spark has no sink for raw bytes, so the files are written as tables of their blocks. The scan reads shard, block and content alone; ids, written beside
+    the blocks, meet the counts by shard and ordinal.
+
     A null or empty text has no tokens. Null ids and repeated rows are documents like any
     other; other columns are ignored; no rows, no result.
     """
-    blocks = token_blocks(docs, id_col, text_col, vocabulary, block_tokens)
-    found = stitch(scan(blocks), Scratch(docs.sparkSession))
-    return found.select(F.col("label").alias(id_col), "n_tokens", "shard", "ordinal")
+    scratch = Scratch(docs.sparkSession)
+    blocks = scratch.keep(token_blocks(docs, id_col, text_col, vocabulary, block_tokens), "blocks")
+    found = stitch(scan(blocks.select("shard", "block", "content")), scratch)
+    ids = blocks.where(F.size("labels") > 0).select("shard", "before", F.posexplode("labels").alias("k", "label"))
+    ids = ids.select("shard", (F.col("before") + F.col("k")).alias("ordinal"), F.col("label").alias(id_col))
+    return found.join(ids, ["shard", "ordinal"]).select(id_col, "n_tokens", "shard", "ordinal")

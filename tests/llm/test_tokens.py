@@ -25,6 +25,29 @@ def test_files_with_all_kinds_of_blocks(spark, tmp_path, monkeypatch):
     assert {(int(r.shard[-7:-4]), r.ordinal, r.n_tokens, r.ended) for r in got} == want and len(got) == len(want)
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """A sparse file beyond the 2 GB that Spark reads as one value; zeros are tokens like any other."""
+    n = (1 << 30) + 1000
+    with open(tmp_path / "big.bin", "wb") as f:
+        for place in (5, 1 << 29, n - 3):
+            f.seek(2 * place)
+            f.write(np.array([9], dtype=np.uint16).tobytes())
+        f.truncate(2 * n)
+    got = count_file_tokens(spark, str(tmp_path), separator=9, block_tokens=1 << 22).collect()
+    assert sorted((r.ordinal, r.n_tokens, r.ended) for r in got) == [(0, 5, True), (1, (1 << 29) - 6, True), (2, n - 4 - (1 << 29), True), (3, 2, False)]
+    monkeypatch.setattr(tokens, "_opens", lambda path: False)
+    with pytest.raises(Exception, match="exceeds the max length allowed"):
+        count_file_tokens(spark, str(tmp_path), separator=9).collect()
+
+
+def test_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    np.array([1, 9, 2, 2], dtype=np.uint16).tofile(tmp_path / "a b.bin")
+    want = sorted(map(tuple, count_file_tokens(spark, str(tmp_path), separator=9, block_tokens=3).collect()))
+    assert [r[1:] for r in want] == [(0, 1, True), (1, 2, False)]
+    monkeypatch.setattr(tokens, "_opens", lambda path: False)
+    assert sorted(map(tuple, count_file_tokens(spark, str(tmp_path), separator=9, block_tokens=3).collect())) == want
+
+
 def test_uint32_and_broken_files(spark, tmp_path):
     np.array([70000, 9, 70000, 70000], dtype=np.uint32).tofile(tmp_path / "a.bin")
     got = count_file_tokens(spark, str(tmp_path), dtype="uint32", separator=9).collect()
@@ -51,4 +74,5 @@ def test_whole_table(spark):
     blocks = token_blocks(docs, block_tokens=1000)
     assert blocks.where("length(content) > 2000").count() == 0
     got = stitch(scan(blocks), Scratch(spark)).collect()
-    assert sorted(r.label for r in got) == sorted(r.doc_id for r in docs.collect()) and all(r.ended for r in got)
+    assert len(got) == docs.count() and all(r.ended for r in got)
+    assert sorted(r.doc_id for r in token_counts(docs, block_tokens=1000).collect()) == sorted(r.doc_id for r in docs.collect())
