@@ -3,10 +3,12 @@ import re
 import string
 from collections import defaultdict
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from evidentia.llm import graph
 from evidentia.llm.exact import exact_dedup
 from evidentia.llm.graph import components
 from evidentia.llm.shared import Scratch, look_up
@@ -111,6 +113,20 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[300] == got[100] == 100
 
 
+def test_components_with_hubs(spark):
+    """Stars whose hub has most edges, joined by one edge, beside many small components."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(4000, 5000)] + [(2999, 4500)] + [(10000 + 2 * i, 10001 + 2 * i) for i in range(200)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()))
+    assert {got[i] for i in [*range(3000), *range(4000, 5001)]} == {0}
+    assert all(got[10001 + 2 * i] == 10000 + 2 * i == got[10000 + 2 * i] for i in range(200)) and len(got) == 4001 + 400
+
+
+def test_components_that_never_settle_are_told(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="rounds"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), Scratch(spark))
+
+
 def test_look_up_hot_and_other_groups(spark):
     rows = spark.createDataFrame([(i, i % 7 if i % 3 else 99, "v") for i in range(300)] + [(None, 99, "v"), (5, None, "v"), (6, 1000, "v")], "id long, k long, v string")
     groups = rows.where("k != 1000").groupBy("k").count().withColumnRenamed("count", "n")
