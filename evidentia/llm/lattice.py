@@ -2,19 +2,20 @@
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from .textkit import mix
 
-#: Runs that no piece reaches across: a line end, or blanks with what follows them.
-CHUNK = re.compile(rb"\n| *[^ \n]+| +")
-#: Chunks of more bytes than this are walked one by one.
-WIDE = 32
 _STEP = 0x9E3779B97F4A7C15
-#: Binary digits that a prefix's weight is shifted by at once.
-_SCALE = 512
+#: Between texts stands a byte that no piece holds.
+_WALL = 0xFF
+#: Bytes that are worked on at once, unless no piece-free cut is found within a text.
+PART_BYTES = 1 << 18
+#: Where no piece reaches across: before a blank that follows something else, and before a line end.
+_CUT = re.compile(rb"(?<=[^ ]) |\n")
 
 
 @dataclass
@@ -58,164 +59,228 @@ class Pieces:
 
 
 class Table:
-    """The pieces by a rolling hash of their bytes, for many look-ups at once."""
+    """The pieces as a tree of their bytes, for all places of a text at once."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        rng = np.random.default_rng(7)
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        rows = []
-        for text, i in pieces.by_bytes.items():
-            h = 0
-            for b in text:
-                h = (h * _STEP + int(self.values[b])) & 0xFFFFFFFFFFFFFFFF
-            rows.append((h, len(text), i))
-        self.by_size = {}
-        for size in {r[1] for r in rows}:
-            own = sorted((h, i) for h, n, i in rows if n == size)
-            hashes = np.array([h for h, _ in own], dtype=np.uint64)
-            seen = np.zeros(1 << 16, dtype=bool)
-            seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
-            self.by_size[size] = (hashes, np.array([i for _, i in own], dtype=np.int32), seen)
-
-    def ids(self, size: int, hashes: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
-        found = np.full(len(hashes), -1, dtype=np.int32)
-        if size in self.by_size:
-            known, ids, seen = self.by_size[size]
-            maybe = np.flatnonzero(seen[(hashes >> np.uint64(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
-            hit = known[at] == hashes[maybe]
-            found[maybe[hit]] = ids[at[hit]]
-        return found
-
-
-def uniform(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Numbers in [0, 1) that depend on a row's seed and a place in its text alone."""
-    x = mix(mix(seeds) + places.astype(np.uint64) * np.uint64(_STEP))
+        used = sorted({b for t in pieces.by_bytes for b in t})
+        #: Of each byte, its column; bytes of no piece share one that leads nowhere.
+        self.column = np.full(256, len(used), dtype=np.int32)
+        self.column[used] = np.arange(len(used))
+        self.width = len(used) + 1
+        inner = {b"": 0}  # beginnings of longer pieces
+        for t in pieces.by_bytes:
+            for k in range(1, len(t)):
+                inner.setdefault(t[:k], len(inner))
+        self.piece = np.array([-1, *pieces.by_bytes.values()], dtype=np.int32)
+        leaf = {t: k for k, t in enumerate(pieces.by_bytes, 1)}
+        #: Of each beginning and byte: the beginning that follows or 0, and the place in ``piece`` of what it spells, or 0.
+        self.onward = np.zeros(len(inner) * self.width, dtype=np.int32)
+        self.spells = np.zeros(len(inner) * self.width, dtype=np.int32)
+        for t, node in inner.items():
+            if t:
+                self.onward[inner[t[:-1]] * self.width + self.column[t[-1]]] = node
+        for t, k in leaf.items():
+            self.spells[inner[t[:-1]] * self.width + self.column[t[-1]]] = k
+        weights = pieces.weights.copy()
+        weights[pieces.byte_ids] = pieces.byte_weight
+        self.weights = weights
+        #: Segments of this many bytes or fewer can neither underflow nor, as ways double with a byte at most, overflow.
+        least = max(1.0, -math.log2(weights[weights > 0].min()))
+        self.safe = int(900 / least)
+        #: Longer ones shift what gets smaller than this: two longest pieces in a row then still do not underflow.
+        spread = 2 * least * pieces.longest
+        self.number = float if spread < 1000 else np.longdouble
+        self.low = self.number(2) ** -(1000 if self.number is float else 16000) * self.number(2) ** int(spread / 2)
+        if spread > 16000:
+            raise ValueError("theta is too large for these pieces")
+
+
+def uniform(mixed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that depend on a row's mixed seed and a place in its text alone."""
+    x = mix(mixed + places.astype(np.uint64) * np.uint64(_STEP))
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _single(data: bytes, begin: int, end: int, seed: int, base: int, pieces: Pieces, out: np.ndarray) -> None:
-    """Forward filtering and backward sampling of one chunk, byte by byte.
+def _edges(raw: np.ndarray, real: np.ndarray, table: Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ends, pieces) of all pieces in the bytes, the longest first; the ends of one entry are distinct."""
+    columns = table.column[raw]
+    lead = (raw & 0xC0) != 0x80
+    begins = np.flatnonzero(lead)
+    sizes = np.diff(np.append(begins, len(raw)))
+    number = np.cumsum(lead) - 1  # of each byte, its character
+    own = ~real[begins]  # characters that need no spelling
+    at, node, found = np.flatnonzero(real).astype(np.int32), 0, []
+    for length in range(1, table.pieces.longest + 1):
+        slot = node * table.width + columns[at + (length - 1)]
+        spelt = table.spells[slot]
+        hit = np.flatnonzero(spelt)
+        if len(hit):
+            starts = at[hit]
+            found.append((length, starts + length, table.piece[spelt[hit]]))
+            if length <= 4:
+                own[number[starts[lead[starts] & (sizes[number[starts]] == length)]]] = True
+        node = table.onward[slot]
+        on = np.flatnonzero(node)
+        at, node = at[on], node[on]
+        if not len(at):
+            break
+    bare = np.flatnonzero(~own[number])
+    return [*found[::-1], (1, bare + 1, table.pieces.byte_ids[raw[bare]])]
+
 
-    The weight of a prefix is total * 2 ** (-_SCALE * scale), each with a scale of its own, so
-    that chunks of any length neither vanish nor overflow; powers of two do not round.
+def _one_by_one(js: list[int], first: list[int], source: list[int], weight: list, table: Table) -> tuple[list, list]:
+    """Of one long segment, whose pieces end at ``js``: the weight of every edge with what is before it, and their sum at each end.
+
+    What is compared lies no further apart than the longest piece, so that all weights share one scale;
+    where they get too small or too large, those that are still needed are shifted. Powers of two do not round.
     """
-    n = end - begin
-    chunk = data[begin:end]
-    spelled = np.zeros(n, dtype=bool)
-    k = 0
-    while k < n:
-        size = 1 if chunk[k] < 0x80 else 2 if chunk[k] < 0xE0 else 3 if chunk[k] < 0xF0 else 4
-        if chunk[k : k + size] not in pieces.by_bytes:
-            spelled[k : k + size] = True
-        k += size
-    total, scale, sums = [0.0] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-    total[0] = 1.0
-    edges: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        found = []
-        for i in range(max(0, j - pieces.longest), j):
-            piece = pieces.by_bytes.get(chunk[i:j])
-            if piece is not None and total[i]:
-                found.append((i, piece, total[i] * float(pieces.weights[piece])))
-        if spelled[j - 1] and total[j - 1]:
-            found.append((j - 1, int(pieces.byte_ids[chunk[j - 1]]), total[j - 1] * pieces.byte_weight))
-        if not found:
+    start, reach = min(source[first[0]:first[1]]), table.pieces.longest
+    low, high, up, down = table.low, 1 / table.low, 1 / table.low, table.low
+    total, parts, wholes = [0.0] * (js[-1] - start + 1), [], []
+    total[0] = table.number(1)
+    for k, j in enumerate(js):
+        a, b = first[k], first[k + 1]
+        own = [total[i - start] * w for i, w in zip(source[a:b], weight[a:b])]
+        whole = sum(own)
+        parts += own
+        wholes.append(whole)
+        j -= start
+        total[j] = whole
+        if not low < whole < high:
+            shift = up if whole < 1 else down
+            since = max(0, j - reach)
+            total[since : j + 1] = [x * shift for x in total[since : j + 1]]
+    return parts, wholes
+
+
+def _draw(raw: np.ndarray, real: np.ndarray, mixed: np.ndarray, places: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, whether a piece of the drawn segmentation ends there, and which.
+
+    ``mixed`` and ``places``: of each byte, its row's seed and the place in the text behind it.
+    """
+    n = len(raw)
+    edges = _edges(raw, real, table)
+    degree, over = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 2, dtype=np.int32)
+    for length, ends, _ in edges:
+        degree[ends] += 1
+        if length > 1:
+            over[ends - length + 1] += 1
+            over[ends] -= 1
+    # Segments between places that no piece reaches across are drawn independently.
+    cut = np.cumsum(over)[: n + 1] == 0
+    starts = np.flatnonzero(cut[:-1])
+    sizes = np.diff(np.append(starts, n))
+    step = np.zeros(n + 1, dtype=np.int32)
+    step[1:] = np.arange(1, n + 1) - np.repeat(starts, sizes)
+    long = np.zeros(n + 1, dtype=bool)
+    long[1:] = np.repeat(sizes > table.safe, sizes)
+    step[long] = table.safe + 1
+    held = np.flatnonzero(degree).astype(np.int32)
+    held = held[np.argsort(step[held].astype(np.uint16 if table.safe < 65535 else np.int64), kind="stable")]
+    first = np.concatenate(([0], np.cumsum(degree[held])))
+    slot = np.zeros(n + 1, dtype=np.int32)
+    slot[held] = first[:-1]
+    source, piece = np.empty(first[-1], dtype=np.int32), np.empty(first[-1], dtype=np.int32)
+    for length, ends, ids in edges:
+        at = slot[ends]
+        source[at], piece[at] = ends - length, ids
+        slot[ends] = at + 1
+    weight = table.weights[piece]
+    total, chance = np.ones(n + 1), np.ones(first[-1])
+    groups = np.searchsorted(step[held], np.arange(1, table.safe + 2)).tolist()
+    for a, b in zip(groups, groups[1:], strict=False):
+        if a == b:
             continue
-        least = min(scale[i] for i, _, _ in found)
-        edges[j] = [(i, piece, math.ldexp(w, -_SCALE * (scale[i] - least)) if scale[i] > least else w) for i, piece, w in found]
-        total[j] = sums[j] = sum(w for _, _, w in edges[j])
-        scale[j] = least
-        if total[j] < 2.0**-_SCALE:
-            total[j], scale[j] = math.ldexp(total[j], _SCALE), least + 1
-        elif total[j] > 2.0**_SCALE:
-            total[j], scale[j] = math.ldexp(total[j], -_SCALE), least - 1
-    j = n
-    while j:
-        aim = float(uniform(np.array([seed], dtype=np.uint64), np.array([base + j]))[0]) * sums[j]
-        for i, piece, w in edges[j]:
-            aim -= w
-            if aim < 0:
-                break
-        out[begin + i] = piece
-        j = i
+        ea, eb = first[a], first[b]
+        parts = total[source[ea:eb]] * weight[ea:eb]
+        whole = np.add.reduceat(parts, first[a:b] - ea)
+        chance[ea:eb] = parts / np.repeat(whole, degree[held[a:b]])
+        total[held[a:b]] = np.where(cut[held[a:b]], 1.0, whole)
+    if groups[-1] < len(held):
+        rest = held[groups[-1] :]
+        breaks = np.flatnonzero(np.diff(np.searchsorted(starts, rest, side="left")))
+        froms, weights = source.tolist(), list(weight.astype(table.number)) if table.number is not float else weight.tolist()
+        for part in np.split(np.arange(groups[-1], len(held)), breaks + 1):
+            a, b = part[0], part[-1] + 1
+            parts, wholes = _one_by_one(held[a:b].tolist(), first[a : b + 1].tolist(), froms, weights, table)
+            chance[first[a] : first[b]] = np.array(parts) / np.repeat(np.array(wholes), degree[held[a:b]])
+    pick = first[:-1].copy()
+    left = np.flatnonzero(np.diff(first) > 1)
+    aim = uniform(mixed[held[left] - 1], places[held[left] - 1]) - chance[pick[left]]
+    k = 1
+    while len(left):
+        on = (aim >= 0) & (first[left] + k < first[left + 1])
+        left, aim = left[on], aim[on]
+        own = chance[first[left] + k]
+        pick[left[own > 0]] = first[left[own > 0]] + k
+        aim, k = aim - own, k + 1
+    begin, which = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
+    begin[held], which[held] = source[pick], piece[pick]
+    # From the end of every segment, from piece to piece.
+    drawn = np.zeros(n + 1, dtype=bool)
+    inside, short = real[starts], sizes <= table.safe
+    at, floor = (starts + sizes)[inside & short], starts[inside & short]
+    while len(at):
+        drawn[at] = True
+        at = begin[at]
+        on = at > floor
+        at, floor = at[on], floor[on]
+    for a, size in zip(starts[inside & ~short].tolist(), sizes[inside & ~short].tolist(), strict=True):
+        back, path, j = (begin[a : a + size + 1] - a).tolist(), [], size
+        while j:
+            path.append(j)
+            j = back[j]
+        drawn[a + np.array(path)] = True
+    return drawn, which
+
+
+def _spans(texts: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of (text, begin, end) of PART_BYTES or so; a longer text is cut where no piece reaches across."""
+    run, size = [], 0
+    for k, text in enumerate(texts):
+        begin = 0
+        while begin < len(text):
+            end = len(text)
+            if end - begin > PART_BYTES:
+                found = _CUT.search(text, begin + PART_BYTES)
+                end = found.start() if found else end
+            if run and size + end - begin > PART_BYTES:
+                yield run
+                run, size = [], 0
+            run.append((k, begin, end))
+            size += end - begin
+            begin = end
+    if run:
+        yield run
 
 
 def sample(texts: list[bytes], seeds: np.ndarray, table: Table) -> list[np.ndarray]:
     """Piece ids of each text: one segmentation, drawn in proportion to the product of its pieces' weights.
 
     Every text gets a blank in front. A text's draw depends on its seed alone, not on
-    the other texts. Chunks of the same bytes share one forward pass; the backward
-    passes of all chunks of a length run side by side.
+    the other texts. Forward filtering gives each place the chances of the pieces that end
+    there; as a place's random number is its own, all places are drawn at once, and the backward pass
+    follows the drawn pieces from the end.
     """
-    pieces = table.pieces
     full = [b" " + t if t else b"" for t in texts]
-    data = b"".join(full)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in full]))).astype(np.int64)
-    out = np.full(len(data), -1, dtype=np.int32)
-    starts, ends, owners = [], [], []
-    for k, t in enumerate(full):
-        spans = [m.span() for m in CHUNK.finditer(t)]
-        starts += [a + int(offsets[k]) for a, _ in spans]
-        ends += [b + int(offsets[k]) for _, b in spans]
-        owners += [k] * len(spans)
-    starts, ends, owners = (np.array(x, dtype=np.int64) for x in (starts, ends, owners))
-    raw = np.frombuffer(data, dtype=np.uint8)
-    sizes = ends - starts
-    for n in np.unique(sizes).tolist():
-        here = np.flatnonzero(sizes == n)
-        if n > WIDE:
-            for c in here.tolist():
-                k = int(owners[c])
-                _single(data, int(starts[c]), int(ends[c]), int(seeds[k]), int(starts[c] - offsets[k]), pieces, out)
-            continue
-        _side_by_side(raw, starts[here], n, seeds[owners[here]], starts[here] - offsets[owners[here]], table, out)
-    held = out >= 0
-    cuts = np.concatenate(([0], np.cumsum(held)))[offsets]
-    return np.split(out[held], cuts[1:-1]) if len(full) else []
-
-
-def _side_by_side(raw, starts, n, seeds, bases, table, out) -> None:
-    pieces = table.pieces
-    bytes_of = raw[starts[:, None] + np.arange(n)]
-    _, first, which = np.unique(bytes_of.view(f"V{n}").ravel(), return_index=True, return_inverse=True)
-    chunks, m = bytes_of[first], len(first)
-    # Hashes of all runs of a chunk, and the pieces that they are.
-    ids = np.full((m, n + 1, n), -1, dtype=np.int32)  # [chunk, end, begin]
-    for i in range(n):
-        h = np.zeros(m, dtype=np.uint64)
-        for j in range(i + 1, min(n, i + pieces.longest) + 1):
-            h = h * np.uint64(_STEP) + table.values[chunks[:, j - 1]]
-            ids[:, j, i] = table.ids(j - i, h)
-    width = np.where(chunks < 0x80, 1, np.where(chunks < 0xC0, 0, np.where(chunks < 0xE0, 2, np.where(chunks < 0xF0, 3, 4))))
-    for i in range(n):
-        for size in (1, 2, 3, 4):
-            bare = width[:, i] == size
-            if i + size <= n and bare.any():
-                bare &= ids[:, i + size, i] < 0
-                for k in range(i, i + size):
-                    ids[bare, k + 1, k] = pieces.byte_ids[chunks[bare, k]]
-    spelled = np.zeros(len(pieces.weights))
-    spelled[pieces.byte_ids] = pieces.byte_weight
-    weights = np.append(pieces.weights + spelled, 0.0)
-    sums = np.zeros((m, n + 1, n))  # running sums over the beginnings, for each end
-    total = np.zeros((m, n + 1))
-    total[:, 0] = 1.0
-    for j in range(1, n + 1):
-        sums[:, j, :j] = np.cumsum(total[:, :j] * weights[ids[:, j, :j]], axis=1)
-        total[:, j] = sums[:, j, j - 1]
-    at, rows = np.full(len(starts), n), np.arange(len(starts))
-    while len(rows):
-        j, chunk = at[rows], which[rows]
-        aim = uniform(seeds[rows], bases[rows] + j) * total[chunk, j]
-        begin = np.zeros(len(rows), dtype=np.int64)
-        for i in range(int(j.max()) - 1):
-            begin += (i < j - 1) & (sums[chunk, j, i] <= aim)
-        out[starts[rows] + begin] = ids[chunk, j, begin]
-        at[rows] = begin
-        rows = rows[begin > 0]
+    mixed = mix(np.asarray(seeds, dtype=np.uint64))
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for run in _spans(full):
+        wall = bytes([_WALL])
+        raw = np.frombuffer(wall.join([full[k][a:b] for k, a, b in run]) + wall, dtype=np.uint8)
+        owner, begins, ends = np.array(run, dtype=np.int64).T
+        lengths = ends - begins + 1
+        stops = np.cumsum(lengths)
+        real = np.ones(len(raw), dtype=bool)
+        real[stops - 1] = False
+        places = np.arange(1, len(raw) + 1) - np.repeat(stops - lengths - begins, lengths)
+        drawn, which = _draw(raw, real, np.repeat(mixed[owner], lengths), places, table)
+        path = np.flatnonzero(drawn)
+        for k, part in zip(owner.tolist(), np.split(which[path], np.searchsorted(path, stops[:-1] - 1, side="right")), strict=True):
+            found[k].append(part)
+    none = np.zeros(0, dtype=np.int32)
+    return [np.concatenate(f) if len(f) > 1 else f[0] if f else none for f in found]
 
 
 def join(ids: np.ndarray, pieces: Pieces) -> bytes:

@@ -33,7 +33,7 @@ def encode(
 
     Forward filtering sums the weights of all segmentations of every prefix; backward
     sampling then draws one segmentation of the whole text from the end, in proportion
-    to the product of its pieces' weights, (1 + rank) ** -theta. Draws come from ``seed`` and
+    to the product of its pieces' weights, (1 + rank) ** -theta, whatever the text's length. Draws come from ``seed`` and
     the row's id alone, so results repeat whatever the partitions, and equal texts of
     different ids get draws of their own. Characters without a piece are spelled by bytes.
     The model is read by the driver and sent to the tasks.
