@@ -63,17 +63,25 @@ SELECT doc_id, begin AS s, {rank} AS k, '{kind}:' || begin || ':' || (begin + le
 ) WHERE length(g[i]) >= {least}"""
 
 
+_SECRETS = [
+    ("assign", _ASSIGN, 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("private_key", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----", 0, 1),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("git_token", "(?:gh[opsur]_|glpat-)[A-Za-z0-9_-]{20,}", 0, 1),
+    ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("cloud_key", "AIza[A-Za-z0-9_-]{35,}", 0, 1),
+    ("pay_key", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1),
+]
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({" UNION ALL ".join([
-    _secret_spans("assign", 0, _ASSIGN, 1, 12),
-    _secret_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18),
-    _secret_spans("hex", 2, "[0-9a-f]{16,}", 0, 16),
-])}),
-a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-      string_agg(span, ',' ORDER BY s, k) AS spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+s AS ({" UNION ALL ".join(_secret_spans(kind, rank, *rule) for rank, (kind, *rule) in enumerate(_SECRETS))}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {rank}) AS n_{kind}" for rank, (kind, *_) in enumerate(_SECRETS))},
+      string_agg(span, ',' ORDER BY s, k) AS spans, string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _SECRETS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 
