@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 # Patterns of what is looked for in texts.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-IPV4 = rf"(?:^|[^A-Za-z0-9_])({OCTET}(?:\.{OCTET}){{3}})(?:$|[^A-Za-z0-9_])"
-HOST = r"(?:^|[^A-Za-z0-9_])([A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)+\.[A-Za-z0-9-]*[A-Za-z0-9])"
+#: The edge of a word of ASCII letters, digits and underscores; it takes no character, so neighbours are all found.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+IPV4 = rf"{EDGE}{OCTET}(?:\.{OCTET}){{3}}{EDGE}"
+HOST = rf"{EDGE}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{2,}}{EDGE}"
 NAME = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+){1,3})"
 SECRET_KEY = r"sk-[A-Za-z0-9_-]{4,}"
 STOP_WORDS = (
@@ -67,6 +69,7 @@ def strip_code(html: Column) -> Column:
     return F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
 
 
+# What counts as a link's target.
 LINK = r'(?i)\b(?:href|src|data-[\w-]+)\s*=\s*"(mailto:[^"]+|https?://[^"]+|[^"\s]*@[^"\s]+)"'
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import EMAIL, HOST, IPV4, NAME, STOP_WORDS, occurrences
+from evidentia.functions.text import EMAIL, HOST, IPV4, NAME, STOP_WORDS
 
 #: Replacement maps up to this many entries go to every task.
 MOST_ENTRIES = 10_000
@@ -34,7 +34,7 @@ def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         key, surname.alias("phrase"), F.lit("person").alias("type"), F.lit(0.5).alias("confidence"), F.lit(6).alias("ord")
     )
     return (
-        found(EMAIL, 0, "email", 0.95, 2).unionByName(found(IPV4, 1, "host", 0.9, 3)).unionByName(found(HOST, 1, "host", 0.8, 4))
+        found(EMAIL, 0, "email", 0.95, 2).unionByName(found(IPV4, 0, "host", 0.9, 3)).unionByName(found(HOST, 0, "host", 0.8, 4))
         .unionByName(names.drop("words")).unionByName(surnames)
     )
 
@@ -71,9 +71,88 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """(phrase, occurrences) over all texts, for a list of phrases that is checked to be short."""
-    met = texts.select(text).crossJoin(few(phrases.select("phrase")))
-    return met.groupBy("phrase").agg(F.sum(occurrences(F.col(text), F.col("phrase"))).alias("occurrences"))
+    """(phrase, occurrences) over all texts, in either case and without overlaps of a phrase with itself.
+
+    Phrases are taken in blocks of at most MOST_ENTRIES, each as one automaton that finds all of them in a single
+    pass over a text; a task adds up its texts before anything is shuffled. Any number of phrases is
+    counted, a pass for each block. A phrase that stands nowhere has 0; an empty one too.
+    """
+    known = phrases.select("phrase").where("phrase is not null").distinct()
+    n = -(-known.count() // (MOST_ENTRIES // 2)) or 1
+    numbered = known.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(n)))
+    counts = None
+    for k in range(n):
+        rows = numbered.where(F.col("block") == k).select("phrase").limit(MOST_ENTRIES + 1).collect()
+        if len(rows) > MOST_ENTRIES:
+            raise ValueError(f"more than {MOST_ENTRIES} phrases in a block")
+        found = texts.select(F.col(text).alias("text")).mapInPandas(_counter([r.phrase for r in rows]), "phrase string, n long")
+        counts = found if counts is None else counts.unionByName(found)
+    summed = counts.groupBy("phrase").agg(F.sum("n").alias("n"))
+    return known.join(summed, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0).cast("long")).alias("occurrences"))
+
+
+def _counter(phrases: list[str]):
+    def run(batches):
+        import ahocorasick
+
+        same: dict[str, list[str]] = {}
+        for p in phrases:
+            if p:
+                same.setdefault(p.lower(), []).append(p)
+        automaton, counts = ahocorasick.Automaton(), dict.fromkeys(same, 0)
+        for key in same:
+            automaton.add_word(key, key)
+        if same:
+            automaton.make_automaton()
+        for batch in batches:
+            for t in batch["text"] if same else ():
+                ends: dict[str, int] = {}
+                for last, key in automaton.iter((t or "").lower()):
+                    if last - len(key) >= ends.get(key, -1):
+                        ends[key] = last
+                        counts[key] += 1
+        rows = [(p, counts[key]) for key, own in same.items() if counts[key] for p in own]
+        yield pd.DataFrame(rows, columns=["phrase", "n"])
+
+    return run
+
+
+def rank_candidates(found: DataFrame, texts: DataFrame, company: str | None = None, text: str = "text") -> DataFrame:
+    """Candidates with their occurrences over all texts, and ``rank``: most frequent, longest, then by phrase.
+
+    Candidates that stand nowhere go, but the company's own name.
+    """
+    met = found.join(count_phrases(texts, found, text), "phrase").where((F.col("occurrences") > 0) | (F.col("phrase") == F.lit(company or "")))
+    order = [F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")]
+    return met.orderBy(*order)
+
+
+def corpus(parts: DataFrame) -> DataFrame:
+    """(name, part, text) of all that can be searched in extracted parts: texts, headers and rows of tables, values of pairs.
+
+    Cells and values are set apart by bars, so that no name runs across two of them.
+    """
+    lines = F.concat(F.array(F.array_join("headers", " | ", "")), F.coalesce(F.transform("rows", lambda r: F.array_join(r, " | ", "")), F.array().cast("array<string>")))
+    own = (
+        F.when(F.col("kind") == "text", F.col("text")).when(F.col("kind") == "table", F.array_join(lines, "\n"))
+        .when(F.col("kind") == "keyvalue", F.array_join(F.map_values("pairs"), " | ", ""))
+    )
+    return parts.select("name", "part", own.alias("text")).where("text is not null")
+
+
+def replace_in_turn(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with every phrase replaced in turn, the longest first, so that a later phrase also finds earlier slugs.
+
+    The entries are collected into the plan, so their number is checked.
+    """
+    rows = entries.select("phrase", "slug").where("phrase != ''").limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries in a replacement map")
+    if not rows:
+        return texts
+    ordered = sorted({(r.phrase, r.slug) for r in rows}, key=lambda e: (-len(e[0]), e))
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in ordered])
+    return texts.withColumn(text, F.aggregate(pairs, F.col(text), lambda t, e: F.replace(t, e["p"], e["s"])))
 
 
 def allocate_slugs(existing: DataFrame, phrases: DataFrame, prefix: str = "EV") -> DataFrame:

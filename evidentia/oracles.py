@@ -221,15 +221,27 @@ def hits(pattern: str, group: int) -> str:
 
 _stop = lit(list(T.STOP_WORDS))
 _names = rf"nm AS (SELECT doc_id, phrase, w, CASE WHEN len(w) <= 2 THEN 'person' ELSE 'term' END AS type FROM (SELECT doc_id, phrase, regexp_split_to_array(phrase, '\s+') AS w FROM ({hits(T.NAME, 1)})) WHERE NOT list_contains({_stop}, w[1]))"
-SQL["detect_emails"] = f"SELECT doc_id, phrase, 'email' AS type, 0.95::DOUBLE AS confidence FROM ({hits(T.EMAIL, 0)})"
-SQL["detect_ipv4"] = f"SELECT doc_id, phrase, 'host' AS type, 0.9::DOUBLE AS confidence FROM ({hits(T.IPV4, 1)})"
-SQL["detect_hosts"] = f"SELECT doc_id, phrase, 'host' AS type, 0.8::DOUBLE AS confidence FROM ({hits(T.HOST, 1)})"
-SQL["detect_names"] = f"WITH {_names} SELECT doc_id, phrase, type, 0.6::DOUBLE AS confidence FROM nm"
-SQL["detect_surnames"] = f"WITH {_names} SELECT DISTINCT doc_id, w[-1] AS phrase, 'person' AS type, 0.5::DOUBLE AS confidence FROM nm WHERE type = 'person' AND length(w[-1]) >= 4"
-SQL["phrase_candidates"] = f"""WITH {_names}, h AS (SELECT doc_id, phrase, 'email' AS type, 0.95 AS confidence, 2 AS ord FROM ({hits(T.EMAIL, 0)}) UNION ALL SELECT doc_id, phrase, 'host', 0.9, 3 FROM ({hits(T.IPV4, 1)})
- UNION ALL SELECT doc_id, phrase, 'host', 0.8, 4 FROM ({hits(T.HOST, 1)}) UNION ALL SELECT doc_id, phrase, type, 0.6, 5 FROM nm UNION ALL SELECT doc_id, w[-1], 'person', 0.5, 6 FROM nm WHERE type = 'person' AND length(w[-1]) >= 4),
+_octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_ipv4 = rf"\b{_octet}(?:\.{_octet}){{3}}\b"
+_host = r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){2,}\b"
+_email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_addressed = """documents AS (SELECT doc_id, text || ' 10.' || doc_id % 256 || '.0.1 10.0.' || doc_id % 300 || '.2,10.0.0.' || doc_id % 7 || ';1.2.3.4_ 999.1.1.1 a.b.c_x -d' || doc_id % 9
+ || '.e-.f.g h.' || doc_id % 5 || '.i j.k.l.m x@y.zz,p@q.org ' AS text FROM main.documents)"""
+SQL["detect_emails"] = f"WITH {_addressed} SELECT doc_id, phrase, 'email' AS type, 0.95::DOUBLE AS confidence FROM ({hits(_email, 0)})"
+SQL["detect_ipv4"] = f"WITH {_addressed} SELECT doc_id, phrase, 'host' AS type, 0.9::DOUBLE AS confidence FROM ({hits(_ipv4, 0)})"
+SQL["detect_hosts"] = f"WITH {_addressed} SELECT doc_id, phrase, 'host' AS type, 0.8::DOUBLE AS confidence FROM ({hits(_host, 0)})"
+SQL["detect_names"] = f"WITH {_addressed}, {_names} SELECT doc_id, phrase, type, 0.6::DOUBLE AS confidence FROM nm"
+SQL["detect_surnames"] = f"WITH {_addressed}, {_names} SELECT DISTINCT doc_id, w[-1] AS phrase, 'person' AS type, 0.5::DOUBLE AS confidence FROM nm WHERE type = 'person' AND length(w[-1]) >= 4"
+SQL["phrase_candidates"] = f"""WITH {_names}, h AS (SELECT doc_id, phrase, 'email' AS type, 0.95 AS confidence, 2 AS ord FROM ({hits(_email, 0)}) UNION ALL SELECT doc_id, phrase, 'host', 0.9, 3 FROM ({hits(_ipv4, 0)})
+ UNION ALL SELECT doc_id, phrase, 'host', 0.8, 4 FROM ({hits(_host, 0)}) UNION ALL SELECT doc_id, phrase, type, 0.6, 5 FROM nm UNION ALL SELECT doc_id, w[-1], 'person', 0.5, 6 FROM nm WHERE type = 'person' AND length(w[-1]) >= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY lower(phrase) ORDER BY ord, phrase) AS k FROM h), c AS (SELECT lower(phrase) AS key, count(DISTINCT doc_id) AS texts FROM h GROUP BY 1)
 SELECT phrase, type, confidence::DOUBLE AS confidence, texts FROM r JOIN c ON key = lower(phrase) WHERE k = 1"""
+_supplied = "s_name || ' Supplier Key ' || s_suppkey || '.a.b Key Value'"
+SQL["candidate_counts"] = f"""WITH documents AS (SELECT s_suppkey AS doc_id, {_supplied} AS text FROM supplier), {_names},
+h AS (SELECT doc_id, phrase, 'host' AS type, 4 AS ord FROM ({hits(_host, 0)}) UNION ALL SELECT doc_id, phrase, type, 5 FROM nm UNION ALL SELECT doc_id, w[-1], 'person', 6 FROM nm WHERE type = 'person' AND length(w[-1]) >= 4),
+c AS (SELECT phrase, type FROM (SELECT *, row_number() OVER (PARTITION BY lower(phrase) ORDER BY ord, phrase) AS k FROM h) WHERE k = 1)
+SELECT phrase, type, sum((length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) / length(phrase))::BIGINT AS occurrences FROM documents, c GROUP BY 1, 2"""
+SQL["replaced_in_turn"] = "SELECT doc_id, replace(replace(replace(text, 'Apache License', 'the EV_1'), 'the', 'EV_2'), 'EV', 'W') AS text FROM documents"
 SQL["merge_detected"] = """WITH n AS (SELECT c_custkey % 3 AS ord, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS phrase, c_nationkey AS o, (c_custkey % 10) / 10 AS c FROM customer)
 SELECT arg_min(phrase, (ord, phrase)) AS phrase, 'org' AS type, sum(o)::BIGINT AS occurrences, max(c) AS confidence FROM n GROUP BY lower(phrase)"""
 SQL["phrase_occurrences"] = f"""WITH {rows('p', 'phrase', [(x,) for x in Q.PHRASES])} SELECT phrase, sum((length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) / length(phrase))::BIGINT AS occurrences FROM documents, p GROUP BY 1"""

@@ -465,10 +465,19 @@ def some_docs(spark, d) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", "text")
 
 
+def addressed_docs(spark, d) -> DataFrame:
+    """Documents with addresses in a row, which share the characters between them, and with some that are none."""
+    k = F.col("doc_id")
+    part = lambda m: (k % m).cast("string")
+    tail = F.concat(F.lit(" 10."), part(256), F.lit(".0.1 10.0."), part(300), F.lit(".2,10.0.0."), part(7), F.lit(";1.2.3.4_ 999.1.1.1 a.b.c_x -d"), part(9),
+                    F.lit(".e-.f.g h."), part(5), F.lit(".i j.k.l.m x@y.zz,p@q.org "))
+    return t(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+
+
 def hits_of(kind):
     def run(spark, d):
         orders = {"emails": [2], "ipv4": [3], "hosts": [4], "names": [5], "surnames": [6]}[kind]
-        return P.phrase_hits(some_docs(spark, d)).where(F.col("ord").isin(orders)).select("doc_id", "phrase", "type", "confidence").distinct()
+        return P.phrase_hits(addressed_docs(spark, d)).where(F.col("ord").isin(orders)).select("doc_id", "phrase", "type", "confidence").distinct()
 
     run.__name__ = f"detect_{kind}"
     return query(run)
@@ -483,6 +492,19 @@ def phrase_candidates(spark, d):
     return P.candidates(P.phrase_hits(some_docs(spark, d)))
 
 
+@query
+def candidate_counts(spark, d):
+    found = P.candidates(P.phrase_hits(t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat("s_name", F.lit(" Supplier Key "), F.col("s_suppkey").cast("string"), F.lit(".a.b Key Value")).alias("text"))))
+    texts = t(spark, d, "supplier").select(F.concat("s_name", F.lit(" SUPPLIER KEY "), F.col("s_suppkey").cast("string"), F.lit(".a.b key value")).alias("text"))
+    return P.rank_candidates(found, texts).select("phrase", "type", "occurrences")
+
+
+@query
+def replaced_in_turn(spark, d):
+    entries = spark.createDataFrame([("Apache License", "the EV_1"), ("the", "EV_2"), ("EV", "W")], "phrase string, slug string")
+    return P.replace_in_turn(some_docs(spark, d), entries)
+
+
 @query
 def merge_detected(spark, d):
     n = t(spark, d, "customer").select((F.col("c_custkey") % 3).cast("int").alias("ord"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("phrase"),

@@ -5,8 +5,10 @@ expression; containers, mail and quoted fields are read by small functions insid
 one file at a time, and a file that cannot be read becomes a report, not a failure.
 """
 
+import datetime
 import email
 import email.policy
+import html
 import io
 import re
 import zipfile
@@ -23,6 +25,7 @@ MOST_INFLATED = 200 << 20
 MOST_ENTRIES = 10_000
 MOST_ROWS, MOST_COLUMNS = 50_000, 1024
 MAGIC = (("25504446", "pdf"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"))
+#: How a page may start. Fixed values.
 HTML_START = r"^<(head|body|div|table|p|span|ul|ol|h[1-6]|article|section|nav|main|aside|form|figure|header|footer|script|style|meta|link)[\s>/]"
 PARTS = "name string, type string, kind string, part string, text string, headers array<string>, rows array<array<string>>, pairs map<string,string>, bytes binary, error string"
 
@@ -126,8 +129,36 @@ def _opened(content: bytes) -> zipfile.ZipFile:
     return z
 
 
-def _sheet(xml: str, shared: list[str]) -> list[list[str]]:
-    """A sheet's cells by place; texts from the shared table or inline, formulas by their results."""
+#: Built-in number formats of dates and times. Fixed values.
+DATE_FORMATS = (*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59))
+
+
+def number_text(text: str) -> str:
+    """A stored number in its shortest form; anything else as it is."""
+    try:
+        x = float(text)
+    except ValueError:
+        return text
+    return str(int(x)) if x.is_integer() and abs(x) < 1e21 else repr(x)
+
+
+def _dated_styles(styles: str) -> set[int]:
+    """The numbers of the cell styles that show dates or times."""
+    own = {int(n) for n, code in re.findall(r'<numFmt\b[^>]*numFmtId="(\d+)"[^>]*formatCode="([^"]*)"', styles)
+           if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|&quot;.*?&quot;|\[[^\]]*\]|\\.', "", code), re.I)}
+    formats = re.search(r"<cellXfs\b.*?</cellXfs>", styles, re.S)
+    used = re.findall(r'<xf\b[^>]*?numFmtId="(\d+)"', formats[0]) if formats else []
+    return {k for k, n in enumerate(used) if int(n) in DATE_FORMATS or int(n) in own}
+
+
+def _day_text(serial: str, since: datetime.datetime) -> str:
+    """Days since an epoch as an ISO time to the millisecond."""
+    at = since + datetime.timedelta(milliseconds=round(float(serial) * 86_400_000))
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+
+
+def _sheet(xml: str, shared: list[str], dated: set[int] = frozenset(), since: datetime.datetime = datetime.datetime(1899, 12, 30)) -> list[list[str]]:
+    """A sheet's cells by place: texts from the shared table or inline, formulas by their results, truth values as words, dates by the style."""
     table: list[list[str]] = []
     for row in re.findall(r"<row\b[^>]*>(.*?)</row>", xml, re.S)[: MOST_ROWS + 1]:
         cells: list[str] = []
@@ -141,8 +172,18 @@ def _sheet(xml: str, shared: list[str]) -> list[list[str]]:
                 at -= 1
             value = re.search(r"<v>(.*?)</v>", body, re.S)
             text = value[1] if value else "".join(re.findall(r"<t[^>]*>(.*?)</t>", body, re.S))
-            if 't="s"' in attributes and value:
+            kind, style = re.search(r'\bt="(\w+)"', attributes), re.search(r'\bs="(\d+)"', attributes)
+            kind = kind[1] if kind else "n"
+            if kind == "s" and value:
                 text = shared[int(text)]
+            elif kind == "b":
+                text = "true" if text == "1" else "false" if text == "0" else text
+            elif kind == "n" and text and style and int(style[1]) in dated:
+                text = _day_text(text, since)
+            elif kind == "n":
+                text = number_text(text)
+            else:
+                text = html.unescape(text)
             if at < MOST_COLUMNS:
                 cells += [""] * (at + 1 - len(cells))
                 cells[at] = text
@@ -158,10 +199,13 @@ def _office(name: str, content: bytes) -> Iterator[dict]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             items = re.findall(r"<si>(.*?)</si>", read("xl/sharedStrings.xml"), re.S)
-            shared = ["".join(re.findall(r"<t[^>]*>(.*?)</t>", s, re.S)) for s in items]
+            shared = [html.unescape("".join(re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", s, re.S))) for s in items]
+        dated = _dated_styles(read("xl/styles.xml")) if "xl/styles.xml" in names else set()
+        later = "xl/workbook.xml" in names and re.search(r'date1904="(?:1|true)"', read("xl/workbook.xml"))
+        since = datetime.datetime(1904, 1, 1) if later else datetime.datetime(1899, 12, 30)
         number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
         for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=number):
-            rows = _sheet(read(n), shared)
+            rows = _sheet(read(n), shared, dated, since)
             cut = " (cut)" if len(rows) > MOST_ROWS else ""
             yield {"type": "xlsx", "kind": "table", "part": f"sheet{number(n)}{cut}", "headers": rows[0] if rows else [], "rows": rows[1:]}
         parts = [n for n in names if re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", n)]

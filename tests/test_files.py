@@ -129,3 +129,23 @@ def test_sizing_claims(spark):
     df = spark.createDataFrame(parts, "case int, " + COSTS)
     told = total_claims(costs.annual_saving(df, ["case"]), costs.payback(costs.five_years(df, ["case"]), ["case"]), ["case"]).where("posture = 'warm'").first()
     assert (told.saving, told.net, told.payback) == ("52%", "$712K", "year 2")
+
+
+def test_cells_as_they_are_shown(spark, tmp_path):
+    """Entities, truth values, dates by style, errors and results of formulas."""
+    sheet = ('<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t xml:space="preserve">x &lt; y</t></is></c></row>'
+             '<row r="2"><c r="A2" t="b"><v>1</v></c><c r="B2" t="b"><v>0</v></c><c r="C2" s="1"><v>45292.5</v></c><c r="D2" s="2"><v>45292</v></c></row>'
+             '<row r="3"><c r="A3" t="e"><v>#DIV/0!</v></c><c r="B3" t="str"><f>A1</f><v>a &amp; b</v></c><c r="C3" s="0"><v>3.0</v></c><c r="D3"><f>1/3</f><v>0.33333333333333331</v></c></row></sheetData></worksheet>')
+    styles = '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="165"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+    data = {"xl/sharedStrings.xml": "<sst><si><t>A &amp;amp; B &#233;</t></si></sst>", "xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet}
+    (tmp_path / "a.xlsx").write_bytes(zipped(data))
+    got = extract(read_files(spark, str(tmp_path))).first()
+    assert got.headers == ["A &amp; B é", "x < y"]
+    assert got.rows == [["true", "false", "2024-01-01T12:00:00.000Z", "2024-01-01T00:00:00.000Z"], ["#DIV/0!", "a & b", "3", "0.3333333333333333"]]
+
+
+def test_names_in_tables_are_found(parts):
+    from evidentia.operators.phrases import corpus
+
+    texts = {r.name.rsplit("/", 1)[1]: r.text for r in corpus(parts[1]).where("part = '' or part is null or part = 'headers'").collect()}
+    assert texts["a.csv"] == 'metric | value\nshards | 3\nquo"ted | x,y' and texts["c.json"] == '{"a": 1}' and "Cores" in texts["f.eml"]

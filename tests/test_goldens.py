@@ -215,3 +215,28 @@ def test_documents_and_archive(spark, tmp_path):
         archive.with_blobs(archive.current(every).withColumn("blobs", F.array(F.lit("b9"))), kept).collect()
     with pytest.raises(ValueError):
         archive.save_version(spark.createDataFrame([("../x", "001", now, "", [])], rows), blob, path)
+
+
+def test_neighbouring_addresses(spark):
+    text = "10.0.0.1 10.0.0.2 10.0.0.3,10.0.0.4 1.2.3.4_ 1.2.3.256 a.b.c d.e.f_x"
+    hits = P.phrase_hits(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert {r.phrase for r in hits if r.ord == 3} == {f"10.0.0.{k}" for k in range(1, 5)}
+    assert "a.b.c" in {r.phrase for r in hits} and "d.e.f" not in {r.phrase for r in hits}
+
+
+def test_counts_of_phrases(spark, monkeypatch):
+    texts = spark.createDataFrame([("aaaa Okafor OKAFORs",), ("okafor aa",), (None,)], "text string")
+    phrases = spark.createDataFrame([("aa",), ("Okafor",), ("okafor",), ("none",), ("",), (None,)], "phrase string")
+    want = {"aa": 3, "Okafor": 3, "okafor": 3, "none": 0, "": 0}
+    assert dict(map(tuple, P.count_phrases(texts, phrases).collect())) == want
+    monkeypatch.setattr(P, "MOST_ENTRIES", 4)
+    assert dict(map(tuple, P.count_phrases(texts, phrases).collect())) == want
+    found = spark.createDataFrame([("Okafor",), ("aa",), ("gone",), ("Acme",)], "phrase string")
+    ranked = P.rank_candidates(found, texts, "Acme").collect()
+    assert [(r.phrase, r.occurrences) for r in ranked] == [("Okafor", 3), ("aa", 3), ("Acme", 0)]
+
+
+def test_replacing_in_turn(spark):
+    e = spark.createDataFrame([("Northern Mutual", "EV_1"), ("EV", "x"), ("", "y")], "phrase string, slug string")
+    got = P.replace_in_turn(spark.createDataFrame([("Northern Mutual EV",), (None,)], "text string"), e).collect()
+    assert [r.text for r in got] == ["x_1 x", None]
