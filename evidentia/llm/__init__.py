@@ -1,5 +1,5 @@
 """Training-data operators: language, leaks, secrets, tokens, duplicates, quality.
 
-Nothing outside this subpackage imports it. Functions that run on executors are
-pickled by value, so that executors need no installed copy of the package.
+Nothing outside this subpackage imports it. ``shared.prepare`` ships the package to the executors'
+Python once a session, so that they need no installed copy.
 """

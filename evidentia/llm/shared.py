@@ -39,11 +39,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set.
+    """The folder that driver and executors share; one of this machine only for a session that runs on this machine alone.
 
     Tables in it stay as long as results may read them: removing them is left to whoever owns the folder.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_to and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (set_to or "file:///tmp/checkpoints").rstrip("/")
 
 
