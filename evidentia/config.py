@@ -83,6 +83,44 @@ SIGNALS = (
 )
 
 
+# Signals as people read them.
+LABELS = (
+    ("cluster.shardCount", "Shard count (data-bearing replica-set count)"),
+    ("node.hoVcpu", "vCPU per data-bearing node — home/primary region"),
+    ("node.drVcpu", "vCPU per data-bearing node — DR region"),
+    ("util.primary", "System-CPU utilization — primary role (avg & peak)"),
+    ("util.hoSec", "System-CPU utilization — home-region HA secondary (avg & peak)"),
+    ("util.dr", "System-CPU utilization — DR region (avg & peak)"),
+    ("data.storageSizeGb", "On-disk (compressed) storage size"),
+    ("topology.nodesPerShard", "Data-bearing nodes per shard (replica-set members)"),
+    ("data.logicalSizeGb", "Logical data size"),
+    ("data.indexSizeGb", "Total index size"),
+    ("workingSetGb", "Working-set size"),
+    ("node.ramGb", "RAM per data-bearing node"),
+    ("node.atlasTier", "Atlas cluster tier (M10–M300)"),
+    ("disk.iops", "Disk IOPS (avg & peak)"),
+    ("workload.opsPerSec", "Operations per second (avg & peak)"),
+    ("workload.concurrency", "Concurrency (avg & peak)"),
+    ("workload.oplogGbPerHour", "Oplog churn"),
+    ("mongo.edition", "MongoDB edition"),
+    ("workload.readPreference", "Read preference"),
+    ("growth.annualPct", "Annual growth rate"),
+    ("dr.posture", "DR posture"),
+    ("data.collectionProfile", "Per-collection profile"),
+    ("network.egressGbMonth", "Network egress"),
+    ("workload.peakWindow", "Peak window"),
+)
+
+# Kinds of what people say, of databases' licences, and of recovery.
+CONTEXT_KINDS = ("concern", "objection", "timeline", "positioning")
+POSTURES = ("none", "cold", "warm")
+QUALITIES = ("published", "synthesized", "training-cutoff")
+
+
+def label_table(spark: SparkSession, labels: tuple = LABELS) -> DataFrame:
+    return spark.createDataFrame(list(labels), "signal_id string, label string")
+
+
 def signal_table(spark: SparkSession, signals: tuple = SIGNALS) -> DataFrame:
     """signal_id, value_kind, criticality, defaultable, tco_critical, derivable_by, aliases, ord."""
     rows = [(*s[:5], s[5].split(), s[6].split("|"), k) for k, s in enumerate(signals)]

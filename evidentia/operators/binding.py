@@ -153,26 +153,29 @@ def tier_lookup(names: DataFrame, tiers: DataFrame, column: str = "tier") -> Dat
     ).drop("__t")
 
 
-def synthesize_tiers(candidates: DataFrame, methods: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Candidates with processors from the best tier's name instead of from pictures.
+def synthesize_tiers(candidates: DataFrame, methods: DataFrame, tiers: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates with processors from the best tier's name instead of from pictures, case by case (``keys``).
 
     Where the tier is known, pictures' readings of processors go, and a look-up is added
     for each kind of node that no exact method has bound.
     """
-    best = merge_bindings(candidates.where("signal_id = 'node.atlasTier'"), methods)
-    known = tier_lookup(best.select("source", "locator", F.col("value.str").alias("tier")), tiers)
+    best = merge_bindings(candidates.where("signal_id = 'node.atlasTier'"), methods, (*keys, "signal_id"))
+    known = tier_lookup(best.select(*keys, "source", "locator", F.col("value.str").alias("tier")), tiers)
     nodes = ["node.hoVcpu", "node.drVcpu"]
     exact = candidates.where(F.col("method").isin("keyvalue", "numeric-series", "table-lookup", "manual")).where(F.col("signal_id").isin(nodes))
-    added = known.select(F.explode(F.array(*map(F.lit, nodes))).alias("signal_id"), "source", "locator", "vcpu").join(
-        exact.select("signal_id").distinct(), "signal_id", "left_anti"
+    added = known.select(*keys, F.explode(F.array(*map(F.lit, nodes))).alias("signal_id"), "source", "locator", "vcpu").join(
+        exact.select(*keys, "signal_id").distinct(), [*keys, "signal_id"], "left_anti"
     )
     added = added.select(
-        "signal_id", _value(num=F.col("vcpu")).alias("value"), F.lit(1.0).alias("confidence"), F.lit("table-lookup").alias("method"), "source", "locator"
+        *keys, "signal_id", _value(num=F.col("vcpu")).alias("value"), F.lit(1.0).alias("confidence"), F.lit("table-lookup").alias("method"), "source", "locator"
     )
     seen = F.col("signal_id").isin(nodes) & (F.col("method") == "vision")
-    flag = known.agg((F.count(F.lit(1)) > 0).alias("known"))
-    left = candidates.crossJoin(F.broadcast(flag)).where(~(F.col("known") & seen)).drop("known")
-    return left.select(BINDING).unionByName(added.select(BINDING))
+    if keys:
+        flagged = candidates.join(known.select(*keys).distinct().withColumn("known", F.lit(True)), list(keys), "left")
+    else:
+        flagged = candidates.crossJoin(F.broadcast(known.agg((F.count(F.lit(1)) > 0).alias("known"))))
+    left = flagged.where(~(F.coalesce("known", F.lit(False)) & seen))
+    return left.select(*keys, *BINDING).unionByName(added.select(*keys, *BINDING))
 
 
 def apply_answers(bindings: DataFrame, answers: DataFrame, methods: DataFrame) -> DataFrame:
@@ -191,9 +194,9 @@ def missing_required(bindings: DataFrame, signals: DataFrame) -> DataFrame:
     return signals.where("criticality = 'required'").select("signal_id", "ord").join(bound, "signal_id", "left_anti")
 
 
-def sizing_inputs(bindings: DataFrame, signals: DataFrame) -> DataFrame:
-    """One row of inputs, or none while a required signal has no value."""
-    wide = bindings.groupBy().agg(*[
+def sizing_inputs(bindings: DataFrame, signals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row of inputs for each case (``keys``), or none while a required signal of it has no value."""
+    wide = bindings.groupBy(*keys).agg(*[
         F.max(F.when(F.col("signal_id") == s, F.col(f"value.{part}"))).alias(name)
         for s, part, name in (
             ("cluster.shardCount", "num", "shards"), ("node.hoVcpu", "num", "ho_vcpu"), ("node.drVcpu", "num", "dr_vcpu"),
@@ -202,6 +205,10 @@ def sizing_inputs(bindings: DataFrame, signals: DataFrame) -> DataFrame:
             ("data.storageSizeGb", "num", "storage_gb"),
         )
     ])
+    if keys:
+        required = signals.where("criticality = 'required'").select("signal_id")
+        bound = bindings.where("value is not null").join(F.broadcast(required), "signal_id").groupBy(*keys).agg(F.count_distinct("signal_id").alias("bound"))
+        return wide.join(bound, list(keys)).where(F.col("bound") == required.count()).drop("bound")
     gaps = missing_required(bindings, signals).agg(F.count(F.lit(1)).alias("gaps"))
     return wide.crossJoin(gaps).where("gaps = 0").drop("gaps")
 

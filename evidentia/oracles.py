@@ -1,7 +1,7 @@
 """SQL for DuckDB that says independently what each query of evidentia.queries returns."""
 
 from evidentia import queries as Q
-from evidentia.config import METHODS, SIGNALS, TIERS
+from evidentia.config import LABELS, METHODS, SIGNALS, TIERS
 from evidentia.functions import text as T
 
 SQL: dict[str, str] = {}
@@ -87,6 +87,18 @@ SQL["verdict"] = f"""WITH {_cov}, v AS (SELECT count(*) AS required_total, count
  string_agg(signal_id, ',' ORDER BY ord) FILTER (status = 'missing') AS gaps, string_agg(signal_id, ',' ORDER BY ord) FILTER (effective < 0.7) AS weak FROM cov WHERE criticality = 'required')
 SELECT CASE WHEN required_missing > 0 THEN 'blocked' WHEN required_partial = 0 AND least >= 0.7 AND m >= 0.69 AND NOT assumed THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier,
  required_total, required_satisfied, required_partial, required_missing, {r6('m')} AS mean_confidence, coalesce(CASE WHEN required_missing > 0 THEN gaps ELSE weak END, '') AS limiting FROM v"""
+_labels = rows("lab", "signal_id, label", LABELS)
+SQL["verdict_text"] = f"""WITH {_cov}, {_labels}, v AS (SELECT count(*) AS n, count(*) FILTER (status = 'satisfied') AS s, count(*) FILTER (status = 'missing') AS m, avg(effective) AS a,
+ bool_and(status = 'satisfied') AND avg(effective) >= 0.69 AND NOT coalesce(bool_or(method = 'assumption-default'), FALSE) AS sure, list(label ORDER BY ord) FILTER (status = 'missing') AS gaps, list(label ORDER BY ord) FILTER (effective < 0.7) AS weak
+ FROM cov JOIN lab USING (signal_id) WHERE criticality = 'required'),
+w AS (SELECT *, CASE WHEN m > 0 THEN 'blocked' WHEN sure THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier FROM v), x AS (SELECT string_agg(label, ', ' ORDER BY ord) AS c, count(*) AS k FROM cov JOIN lab USING (signal_id) WHERE criticality <> 'required' AND tco_critical AND status <> 'satisfied')
+SELECT tier, CASE tier WHEN 'blocked' THEN 'Blocked — ' || m || ' required signal(s) missing: ' || array_to_string(gaps[1:2], ', ') WHEN 'engineering-grade' THEN 'Engineering-grade — all required signals satisfied'
+ ELSE 'Directional estimate — collect ' || array_to_string(weak[1:2], ', ') || ' to reach an engineering-grade number' END AS headline,
+ s || '/' || n || ' required signals satisfied (mean confidence ' || printf('%.2f', a) || ').' || CASE WHEN tier = 'directional-estimate' THEN ' Limited by: ' || array_to_string(weak, ', ') || '.' ELSE '' END
+ || CASE WHEN k > 0 THEN ' Note: ' || c || ' (a dominant cost driver) ' || CASE WHEN k > 1 THEN 'are' ELSE 'is' END || ' not yet evidenced — the cost case is not defensible until provided.' ELSE '' END AS rationale FROM w, x"""
+SQL["nation_verdicts"] = f"""WITH {signals}, e AS (SELECT n_nationkey, CASE WHEN ord % (n_regionkey + 1) = 0 THEN 1.0::DOUBLE - n_nationkey / 100 ELSE 0 END AS x FROM nation, signals WHERE criticality = 'required')
+SELECT n_nationkey, CASE WHEN min(x) < 0.2 THEN 'blocked' WHEN min(x) >= 0.7 AND avg(x) >= 0.69 THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier,
+ count(*) FILTER (x >= 0.7) AS required_satisfied, count(*) FILTER (x < 0.2) AS required_missing, {r6('avg(x)')} AS mean_confidence FROM e GROUP BY 1"""
 SQL["what_to_collect"] = f"""WITH {_cov} SELECT signal_id, criticality, CASE WHEN status = 'missing' AND criticality = 'required' THEN 'blocking' ELSE 'upgrade' END AS severity,
  CASE WHEN status = 'missing' THEN 'missing' ELSE 'low-confidence' END AS state, effective FROM cov WHERE (criticality = 'required' OR tco_critical) AND status <> 'satisfied'"""
 SQL["gate_items"] = f"WITH {_cov} SELECT signal_id, status, effective FROM cov WHERE criticality = 'required' AND (status = 'missing' OR (status = 'partial' AND effective < 0.7))"
@@ -139,6 +151,12 @@ SQL["cost_bars"] = f"""WITH {_costs}, b AS (SELECT yr, list_position(['license',
 t AS (SELECT yr, floor(sum(central) / 1000 + 0.5)::BIGINT AS total_k, sum(floor(central / 1000 + 0.5)) FILTER (ord < 3)::BIGINT AS head FROM b GROUP BY 1)
 SELECT yr, ord, CASE WHEN ord < 3 THEN floor(central / 1000 + 0.5)::BIGINT ELSE total_k - head END AS value_k, total_k FROM b JOIN t USING (yr)"""
 SQL["chart_axes"] = f"WITH {_costs} SELECT yr, ceil((floor(central / 1000 + 0.5) + 50) / 100)::BIGINT * 100 AS max_k, ceil((central * 5 / 1000000 + 0.2::DOUBLE) * 2) / 2 AS max_m FROM base"
+SQL["case_models"] = f"""WITH {_costs}, f AS (SELECT DISTINCT yr, CASE WHEN yr % 2 = 1 THEN 0.75 ELSE 1.0 END::DOUBLE AS f FROM y),
+p AS (SELECT prop.yr, base.central AS onprem, max(prop.central * f) FILTER (posture = 'warm') AS warm, max(prop.central * f) FILTER (posture = 'cold') AS cold, max(prop.central) FILTER (posture = 'warm' AND f < 1) AS list_warm, any_value(m.central) AS move
+ FROM prop JOIN base ON prop.yr = base.yr JOIN f ON f.yr = prop.yr JOIN (SELECT * FROM costs WHERE component = 'migration') AS m ON m.yr = prop.yr GROUP BY prop.yr, base.central),
+u AS (SELECT *, (SELECT min(k) FROM (SELECT unnest([2, 3, 4, 5]) AS k) WHERE k * onprem >= onprem + move + k * warm) AS payback_warm FROM p)
+SELECT yr, {r6('onprem')} AS onprem, {r6('warm')} AS warm, {r6('cold')} AS cold, {r6('list_warm')} AS list_warm, floor(100 * (onprem - warm) / nullif(onprem, 0) + 0.5)::BIGINT AS saving_warm_pct,
+ {r6('5 * onprem - (onprem + move + 5 * warm)')} AS net_warm, payback_warm, {r6('onprem + move + warm')} AS transition, ceil(1.0::DOUBLE + 0.2::DOUBLE * (yr / 100)::DOUBLE)::BIGINT AS cold_hours FROM u"""
 SQL["range_normalize"] = f"""WITH {rows('r', 'component, low, central, high', Q.RANGES)}, v AS (SELECT component, low::DOUBLE AS low, central::DOUBLE AS central, high::DOUBLE AS high,
  CASE WHEN low IS NULL OR low < 0 THEN 'low is not a number of 0 or more' WHEN central IS NULL OR central < 0 THEN 'central is not a number of 0 or more' WHEN high IS NULL OR high < 0 THEN 'high is not a number of 0 or more' END AS p FROM r),
 w AS (SELECT *, p IS NULL AND central > 0 AND low <= central AND central <= high AND high - low < 0.1 * central AS pt FROM v),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.config import METHODS, method_table, signal_table, tier_table
+from evidentia.config import METHODS, label_table, method_table, signal_table, tier_table
 from evidentia.functions import numbers as N
 from evidentia.functions import text as T
 from evidentia.operators import binding as B
@@ -11,6 +11,7 @@ from evidentia.operators import coverage as C
 from evidentia.operators import layout as L
 from evidentia.operators import phrases as P
 from evidentia.operators import series as S
+from evidentia.plans import case as X
 from evidentia.plans import claims as K
 from evidentia.plans import costs as M
 from evidentia.plans import ledger as G
@@ -167,6 +168,34 @@ def verdict(spark, d):
     return C.verdict(covered(spark, d)).withColumn("mean_confidence", r6(F.col("mean_confidence")))
 
 
+@query
+def verdict_text(spark, d):
+    c = covered(spark, d)
+    return C.verdict_text(C.verdict(c), c, label_table(spark)).select("tier", "headline", "rationale")
+
+
+@query
+def nation_verdicts(spark, d):
+    """A case for each nation, with the signals whose number the region divides."""
+    n = t(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).alias("every"))
+    k = F.col("ord")
+    b = n.crossJoin(F.broadcast(signal_table(spark).select("signal_id", "ord"))).where(k % F.col("every") == 0)
+    value = F.struct(k.cast("double").alias("num"), F.lit(None).cast("double").alias("avg"), F.lit(None).cast("double").alias("peak"), F.lit(None).cast("string").alias("str"))
+    b = b.select("n_nationkey", "signal_id", value.alias("value"), (F.lit(1.0) - F.col("n_nationkey") / 100).alias("confidence"), F.lit("keyvalue").alias("method"))
+    judged = C.verdict(C.coverage(signal_table(spark), b, method_table(spark), cases=n.select("n_nationkey")), keys=("n_nationkey",))
+    return judged.select("n_nationkey", "tier", "required_satisfied", "required_missing", r6(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+@query
+def case_models(spark, d):
+    """Models of a case for each year of shipment, with a discount in odd years."""
+    cases = t(spark, d, "lineitem").select(F.year("l_shipdate").alias("yr")).distinct().select(
+        "yr", (F.col("yr") % 2 * 25).cast("double").alias("discount_pct"), (F.col("yr") * 10).cast("double").alias("data_gb"))
+    m = X.cost_model(costs(spark, d), cases, ["yr"])
+    return m.select("yr", r6(F.col("onprem")).alias("onprem"), r6(F.col("warm")).alias("warm"), r6(F.col("cold")).alias("cold"), r6(F.col("list_warm")).alias("list_warm"),
+                    "saving_warm_pct", r6(F.col("net_warm")).alias("net_warm"), "payback_warm", r6(F.col("transition")).alias("transition"), "cold_hours")
+
+
 @query
 def what_to_collect(spark, d):
     return C.what_to_collect(covered(spark, d))
