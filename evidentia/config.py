@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -117,23 +118,29 @@ POSTURES = ("none", "cold", "warm")
 QUALITIES = ("published", "synthesized", "training-cutoff")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows as a local relation, whose size the planner knows, so that it can broadcast them."""
+    names = [column.split()[0] for column in schema.split(", ")]
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, row)) for row in rows]), schema)
+
+
 def label_table(spark: SparkSession, labels: tuple = LABELS) -> DataFrame:
-    return spark.createDataFrame(list(labels), "signal_id string, label string")
+    return small_table(spark, list(labels), "signal_id string, label string")
 
 
 def signal_table(spark: SparkSession, signals: tuple = SIGNALS) -> DataFrame:
     """signal_id, value_kind, criticality, defaultable, tco_critical, derivable_by, aliases, ord."""
     rows = [(*s[:5], s[5].split(), s[6].split("|"), k) for k, s in enumerate(signals)]
-    return spark.createDataFrame(
-        rows,
+    return small_table(
+        spark, rows,
         "signal_id string, value_kind string, criticality string, defaultable boolean, tco_critical boolean, "
         "derivable_by array<string>, aliases array<string>, ord int",
     )
 
 
 def method_table(spark: SparkSession, methods: tuple = METHODS) -> DataFrame:
-    return spark.createDataFrame(list(methods), "method string, cap double, trust int")
+    return small_table(spark, list(methods), "method string, cap double, trust int")
 
 
 def tier_table(spark: SparkSession, tiers: tuple = TIERS) -> DataFrame:
-    return spark.createDataFrame(list(tiers), "tier string, vcpu int")
+    return small_table(spark, list(tiers), "tier string, vcpu int")

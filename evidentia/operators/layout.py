@@ -1,6 +1,6 @@
 """Places on a chart: labels that keep a distance, boxes that overlap, a line's crossing."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,15 +21,26 @@ def declutter(marks: DataFrame, keys: list[str], y: str, tie: str, gap: float) -
 def overlaps(boxes: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
     """Pairs (i < j) of the boxes (keys, idx, x, y, w, h) of one chart that come nearer than ``gap``.
 
-    A chart has few boxes; charts are spread by their keys.
+    Boxes meet by the cells of a grid, not chart by chart. A cell is as wide as the root of the mean square of the
+    chart's box sizes, so a box covers ten cells or fewer on average, whatever the sizes; a pair counts in the cell
+    where what they share begins.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    size = F.greatest("w", "h") + gap
+    sides = boxes.groupBy(*keys).agg(F.sqrt(F.avg(size * size)).alias("__g"))
+    rows = boxes.select(*keys, "idx", "x", "y", "w", "h").join(sides.withColumn("__g", F.when(F.col("__g") > 0, F.col("__g")).otherwise(1.0)), keys)
+
+    def cells(at: str, extent: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(at) / F.col("__g")), F.floor((F.col(at) + F.col(extent) + gap) / F.col("__g"))))
+
+    spread = rows.withColumn("__cx", cells("x", "w")).withColumn("__cy", cells("y", "h"))
+    a, b = spread.alias("a"), spread.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__cx", "__cy"]]
     near = (
         (F.col("a.x") < F.col("b.x") + F.col("b.w") + gap) & (F.col("b.x") < F.col("a.x") + F.col("a.w") + gap)
         & (F.col("a.y") < F.col("b.y") + F.col("b.h") + gap) & (F.col("b.y") < F.col("a.y") + F.col("a.h") + gap)
     )
-    met = a.join(b, [*same, F.col("a.idx") < F.col("b.idx"), near])
+    begins = [F.floor(F.greatest(f"a.{at}", f"b.{at}") / F.col("a.__g")) == F.col(f"a.{cell}") for at, cell in (("x", "__cx"), ("y", "__cy"))]
+    met = a.join(b, [*same, F.col("a.idx") < F.col("b.idx"), near, *begins])
     return met.select(*[F.col(f"a.{k}") for k in keys], F.col("a.idx").alias("i"), F.col("b.idx").alias("j"))
 
 

@@ -13,30 +13,27 @@ MOST_ENTRIES = 10_000
 
 
 def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, phrase, type, confidence, ord): every detected phrase where it stands, once per text and kind.
+    """(key, phrase, type, confidence, ord): every detected phrase where it stands, once per text and kind, in one pass.
 
     Addresses, IPv4, hosts of three labels or more, and names of two to four capitalised words
     that no stop word opens; two words are a person, more a term. The last word of
     a person is a surname if it has four letters or more.
     """
-    stop = F.array(*map(F.lit, STOP_WORDS))
-
-    def found(pattern: str, group: int, kind: str, confidence: float, order: int) -> DataFrame:
+    def found(pattern: str, group: int, kind: str, confidence: float, order: int) -> Column:
         hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-        return texts.select(
-            key, F.explode(hits).alias("phrase"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(order).alias("ord")
-        )
-
-    names = found(NAME, 1, "term", 0.6, 5).withColumn("words", F.split("phrase", r"\s+"))
-    names = names.where(~F.array_contains(stop, F.get("words", F.lit(0)))).withColumn("type", F.when(F.size("words") <= 2, "person").otherwise("term"))
-    surname = F.element_at("words", -1)
-    surnames = names.where((F.col("type") == "person") & (F.length(surname) >= 4)).select(
-        key, surname.alias("phrase"), F.lit("person").alias("type"), F.lit(0.5).alias("confidence"), F.lit(6).alias("ord")
-    )
-    return (
-        found(EMAIL, 0, "email", 0.95, 2).unionByName(found(IPV4, 0, "host", 0.9, 3)).unionByName(found(HOST, 0, "host", 0.8, 4))
-        .unionByName(names.drop("words")).unionByName(surnames)
-    )
+        return F.transform(hits, lambda p: F.struct(p.alias("phrase"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(order).alias("ord")))
+
+    every = F.concat(found(EMAIL, 0, "email", 0.95, 2), found(IPV4, 0, "host", 0.9, 3), found(HOST, 0, "host", 0.8, 4), found(NAME, 1, "term", 0.6, 5))
+    # Texts without hits go afterwards: from a plain explode a filter would be inferred that does all the matching once more.
+    hits = texts.select(key, F.explode_outer(every).alias("h")).select(key, "h.*").where("phrase is not null")
+    words, name = F.split("phrase", r"\s+"), F.col("ord") == 5
+    stopped = F.array_contains(F.array(*map(F.lit, STOP_WORDS)), F.get(words, F.lit(0)))
+    kept = hits.where(~(name & stopped)).withColumn("type", F.when(name & (F.size(words) <= 2), "person").otherwise(F.col("type")))
+    surname = F.element_at(words, -1)
+    own = F.struct("phrase", "type", "confidence", "ord")
+    last = F.struct(surname.alias("phrase"), F.lit("person").alias("type"), F.lit(0.5).alias("confidence"), F.lit(6).alias("ord"))
+    both = F.when((F.col("type") == "person") & (F.length(surname) >= 4), F.array(own, last)).otherwise(F.array(own))
+    return kept.select(key, F.explode(both).alias("h")).select(key, "h.*")
 
 
 def company_tokens(spark, company: str) -> DataFrame:
@@ -63,15 +60,8 @@ def merge_detected(lists: DataFrame) -> DataFrame:
     ).drop("key")
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """Rows for every task, after a check that there are at most MOST_ENTRIES."""
-    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} rows for every task")
-    return F.broadcast(rows)
-
-
-def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """(phrase, occurrences) over all texts, in either case and without overlaps of a phrase with itself.
+def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text", either_case: bool = True) -> DataFrame:
+    """(phrase, occurrences) over all texts, in either case unless told otherwise, and without overlaps of a phrase with itself.
 
     Phrases are taken in blocks of at most MOST_ENTRIES, each as one automaton that finds all of them in a single
     pass over a text; a task adds up its texts before anything is shuffled. Any number of phrases is
@@ -85,20 +75,22 @@ def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text") -> D
         rows = numbered.where(F.col("block") == k).select("phrase").limit(MOST_ENTRIES + 1).collect()
         if len(rows) > MOST_ENTRIES:
             raise ValueError(f"more than {MOST_ENTRIES} phrases in a block")
-        found = texts.select(F.col(text).alias("text")).mapInPandas(_counter([r.phrase for r in rows]), "phrase string, n long")
+        found = texts.select(F.col(text).alias("text")).mapInPandas(_counter([r.phrase for r in rows], either_case), "phrase string, n long")
         counts = found if counts is None else counts.unionByName(found)
     summed = counts.groupBy("phrase").agg(F.sum("n").alias("n"))
     return known.join(summed, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0).cast("long")).alias("occurrences"))
 
 
-def _counter(phrases: list[str]):
+def _counter(phrases: list[str], either_case: bool):
+    fold = str.lower if either_case else str
+
     def run(batches):
         import ahocorasick
 
         same: dict[str, list[str]] = {}
         for p in phrases:
             if p:
-                same.setdefault(p.lower(), []).append(p)
+                same.setdefault(fold(p), []).append(p)
         automaton, counts = ahocorasick.Automaton(), dict.fromkeys(same, 0)
         for key in same:
             automaton.add_word(key, key)
@@ -107,7 +99,7 @@ def _counter(phrases: list[str]):
         for batch in batches:
             for t in batch["text"] if same else ():
                 ends: dict[str, int] = {}
-                for last, key in automaton.iter((t or "").lower()):
+                for last, key in automaton.iter(fold(t or "")):
                     if last - len(key) >= ends.get(key, -1):
                         ends[key] = last
                         counts[key] += 1
@@ -183,8 +175,9 @@ def validate_map(entries: DataFrame) -> DataFrame:
     same = e.where("phrase = slug and trim(phrase) != ''").withColumn("problem", F.lit("maps to itself"))
     twice = e.join(e.groupBy("slug").agg(F.count_distinct("phrase").alias("n")).where("n > 1").drop("n"), "slug")
     twice = twice.select("phrase", "slug").withColumn("problem", F.lit("slug used twice"))
-    outer = few(e.select(F.col("phrase").alias("longer")).distinct())
-    inside = e.where("phrase != ''").join(outer, (F.col("longer") != F.col("phrase")) & F.col("longer").contains(F.col("phrase")), "left_semi")
+    # A phrase stands once in itself; what stands more often among all phrases is inside another.
+    met = count_phrases(e.select("phrase").distinct(), e, "phrase", either_case=False).where("occurrences > 1")
+    inside = e.where("phrase != ''").join(met, "phrase", "left_semi")
     return plain.unionByName(same).unionByName(twice).unionByName(inside.withColumn("problem", F.lit("inside another phrase")))
 
 
@@ -209,9 +202,9 @@ def replace_phrases(texts: DataFrame, entries: DataFrame, text: str = "text", re
 
 
 def slug_conflicts(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
-    """Slugs that already stand in some text, so that replacing could not be undone."""
-    slugs = few(entries.select("slug").where("slug != ''").distinct())
-    return texts.select(text).join(slugs, F.col(text).contains(F.col("slug"))).select("slug").distinct()
+    """Slugs that already stand in some text, so that replacing could not be undone; all are looked for in one pass over a text."""
+    slugs = entries.select(F.col("slug").alias("phrase")).where("slug != ''")
+    return count_phrases(texts, slugs, text, either_case=False).where("occurrences > 0").select(F.col("phrase").alias("slug"))
 
 
 def map_lines(entries: DataFrame) -> DataFrame:

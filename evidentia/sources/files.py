@@ -12,7 +12,8 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,8 @@ MOST_BYTES = 25 << 20
 MOST_INFLATED = 200 << 20
 MOST_ENTRIES = 10_000
 MOST_ROWS, MOST_COLUMNS = 50_000, 1024
+#: Pictures taken from one container.
+MOST_IMAGES = 50
 MAGIC = (("25504446", "pdf"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"))
 #: How a page may start. Fixed values.
 HTML_START = r"^<(head|body|div|table|p|span|ul|ol|h[1-6]|article|section|nav|main|aside|form|figure|header|footer|script|style|meta|link)[\s>/]"
@@ -121,11 +124,31 @@ def parse_delimited(text: str, delimiter: str) -> list[list[str]]:
     return records
 
 
+def _has_long_sizes(extra: bytes) -> bool:
+    """Whether an entry's extra fields hold 64-bit sizes (field 1)."""
+    at = 0
+    while at + 4 <= len(extra):
+        if int.from_bytes(extra[at:at + 2], "little") == 1:
+            return True
+        at += 4 + int.from_bytes(extra[at + 2:at + 4], "little")
+    return False
+
+
+def container_type(names: list[str]) -> str:
+    """docx, pptx or xlsx by the folders of a container's parts, ooxml where none is known."""
+    for folder, kind in (("word/", "docx"), ("ppt/", "pptx"), ("xl/", "xlsx")):
+        if any(n.startswith(folder) for n in names):
+            return kind
+    return "ooxml"
+
+
 def _opened(content: bytes) -> zipfile.ZipFile:
     z = zipfile.ZipFile(io.BytesIO(content))
     entries = z.infolist()
     if len(entries) > MOST_ENTRIES or sum(e.file_size for e in entries) > MOST_INFLATED:
         raise ValueError("the container is too large")
+    if any(_has_long_sizes(e.extra) for e in entries):
+        raise ValueError("the container's sizes are in an extension that is refused")
     return z
 
 
@@ -191,43 +214,88 @@ def _sheet(xml: str, shared: list[str], dated: set[int] = frozenset(), since: da
     return table
 
 
-def _office(name: str, content: bytes) -> Iterator[dict]:
-    """Tables of sheets; the xml of documents and slides, which expressions turn to text; images."""
+def _number(name: str) -> int:
+    return int(re.search(r"(\d+)\.xml$", name)[1])
+
+
+def _part(z: zipfile.ZipFile, name: str) -> str:
+    return z.read(name).decode("utf-8", "replace")
+
+
+def _sheets(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        items = re.findall(r"<si>(.*?)</si>", _part(z, "xl/sharedStrings.xml"), re.S)
+        shared = [html.unescape("".join(re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", s, re.S))) for s in items]
+    dated = _dated_styles(_part(z, "xl/styles.xml")) if "xl/styles.xml" in names else set()
+    later = "xl/workbook.xml" in names and re.search(r'date1904="(?:1|true)"', _part(z, "xl/workbook.xml"))
+    since = datetime.datetime(1904, 1, 1) if later else datetime.datetime(1899, 12, 30)
+    for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
+        rows = _sheet(_part(z, n), shared, dated, since)
+        cut = " (cut)" if len(rows) > MOST_ROWS else ""
+        yield {"type": "xlsx", "kind": "table", "part": f"sheet{_number(n)}{cut}", "headers": rows[0] if rows else [], "rows": rows[1:]}
+
+
+def _document(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    """The body, then headers, footers, notes and comments by name, then who commented."""
+    parts = [n for n in names if re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", n, re.I)]
+    for n in sorted(parts, key=lambda n: (n != "word/document.xml", n)):
+        yield {"type": "docx", "kind": "xml:w:t:w:p", "part": n, "text": _part(z, n)}
+    authors = [html.unescape(a) for n in parts if n.lower().endswith("comments.xml") for a in re.findall(r'w:author="([^"]+)"', _part(z, n), re.I)]
+    if authors:
+        yield {"type": "docx", "kind": "text", "part": "word/comments.xml authors", "text": "comment authors: " + "; ".join(authors)}
+
+
+def _slides(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    for folder in ("slides/slide", "notesSlides/notesSlide"):
+        for n in sorted((n for n in names if re.fullmatch(rf"ppt/{folder}\d+\.xml", n)), key=_number):
+            yield {"type": "pptx", "kind": "xml:a:t:a:p", "part": n, "text": _part(z, n)}
+
+
+def _pictures(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    """The first pictures of a container; empty, very large and unreadable ones are passed over."""
+    for n in [n for n in names if re.fullmatch(r"(word|ppt|xl)/media/[^/]+\.(png|jpe?g|gif|webp)", n, re.I)][:MOST_IMAGES]:
+        try:
+            data = z.read(n) if 0 < z.getinfo(n).file_size <= MOST_BYTES else b""
+        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
+            continue
+        if data:
+            yield {"type": n.rsplit(".", 1)[1].lower().replace("jpg", "jpeg"), "kind": "image", "part": n, "bytes": data}
+
+
+CONTAINERS = {"xlsx": _sheets, "docx": _document, "pptx": _slides}
+
+
+def read_office(name: str, content: bytes) -> Iterator[dict]:
+    """Tables of sheets; the xml of documents and slides, which expressions turn to text; pictures. Other containers have nothing."""
     with _opened(content) as z:
         names = z.namelist()
-        read = lambda n: z.read(n).decode("utf-8", "replace")
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            items = re.findall(r"<si>(.*?)</si>", read("xl/sharedStrings.xml"), re.S)
-            shared = [html.unescape("".join(re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", s, re.S))) for s in items]
-        dated = _dated_styles(read("xl/styles.xml")) if "xl/styles.xml" in names else set()
-        later = "xl/workbook.xml" in names and re.search(r'date1904="(?:1|true)"', read("xl/workbook.xml"))
-        since = datetime.datetime(1904, 1, 1) if later else datetime.datetime(1899, 12, 30)
-        number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
-        for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=number):
-            rows = _sheet(read(n), shared, dated, since)
-            cut = " (cut)" if len(rows) > MOST_ROWS else ""
-            yield {"type": "xlsx", "kind": "table", "part": f"sheet{number(n)}{cut}", "headers": rows[0] if rows else [], "rows": rows[1:]}
-        parts = [n for n in names if re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", n)]
-        for n in sorted(parts, key=lambda n: (n != "word/document.xml", n)):
-            yield {"type": "docx", "kind": "xml:w:t:w:p", "part": n, "text": read(n)}
-        for folder in ("slides/slide", "notesSlides/notesSlide"):
-            for n in sorted((n for n in names if re.fullmatch(rf"ppt/{folder}\d+\.xml", n)), key=number):
-                yield {"type": "pptx", "kind": "xml:a:t:a:p", "part": n, "text": read(n)}
-        for n in [n for n in names if re.fullmatch(r"(word|ppt|xl)/media/[^/]+\.(png|jpe?g|gif|webp)", n, re.I)][:50]:
-            yield {"type": "image", "kind": "image", "part": n, "bytes": z.read(n)}
-
-
-def _mail(name: str, content: bytes) -> Iterator[dict]:
+        read = CONTAINERS.get(container_type(names))
+        if read:
+            yield from read(z, names)
+            yield from _pictures(z, names)
+
+
+def read_mail(name: str, content: bytes) -> Iterator[dict]:
+    """The body and the pairs of its headers; people as name and address, so that no address is lost."""
     message = email.message_from_bytes(content, policy=email.policy.default)
     body = message.get_body(("plain", "html"))
     if body is not None:
         yield {"type": "eml", "kind": "html" if body.get_content_type() == "text/html" else "text", "part": "body", "text": body.get_content()}
-    pairs = {k: str(message[k]) for k in ("subject", "from", "to", "cc", "bcc", "reply-to", "date") if message[k]}
+    pairs = {k: str(message[k]) for k in ("subject", "date") if message[k]}
+    for k in ("from", "to", "cc", "bcc", "reply-to"):
+        people = [f"{a.display_name} <{a.addr_spec}>" if a.display_name and a.addr_spec else a.display_name or a.addr_spec for a in getattr(message[k], "addresses", ())]
+        if any(people):
+            pairs[k] = "; ".join(p for p in people if p)
     if pairs:
         yield {"type": "eml", "kind": "keyvalue", "part": "headers", "pairs": pairs}
 
 
+def image_mime(kind: Column) -> Column:
+    """The media type of a picture's type; null for anything else."""
+    return F.when(kind.isin("png", "jpeg", "gif", "webp"), F.concat(F.lit("image/"), kind))
+
+
 #: Groups of a rich text that hold no text. Fixed values.
 RTF_SKIPPED = {"pict", "object", "bin", "fonttbl", "colortbl", "stylesheet", "themedata", "datastore", "info"}
 RTF_TOKEN = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d*) ?|\\([^a-zA-Z])|([{}])|([^\\{}]+)", re.S)
@@ -261,36 +329,49 @@ def rtf_text(rtf: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", joined).strip().encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _read_one(name: str, kind: str, content: bytes) -> Iterator[dict]:
-    if kind == "rtf":
-        yield {"type": kind, "kind": "text", "part": "", "text": rtf_text(content.decode("utf-8", "replace"))}
-        return
-    if kind == "zip":
-        yield from _office(name, content)
-    elif kind == "eml":
-        yield from _mail(name, content)
-    else:
-        records = parse_delimited(content.decode("utf-8", "replace"), "," if kind == "csv" else "\t")
+def read_rich_text(name: str, content: bytes) -> Iterator[dict]:
+    yield {"type": "rtf", "kind": "text", "part": "", "text": rtf_text(content.decode("utf-8", "replace"))}
+
+
+def _delimited(kind: str, delimiter: str):
+    def read(name: str, content: bytes) -> Iterator[dict]:
+        records = parse_delimited(content.decode("utf-8", "replace"), delimiter)
         yield {"type": kind, "kind": "table", "part": "", "headers": records[0] if records else [], "rows": records[1:]}
 
+    return read
+
+
+#: A reader of one file's bytes by type; extract() takes others beside or instead of these.
+Reader = Callable[[str, bytes], Iterator[dict]]
+READERS: dict[str, Reader] = {"zip": read_office, "eml": read_mail, "csv": _delimited("csv", ","), "tsv": _delimited("tsv", "\t"), "rtf": read_rich_text}
+
+#: What a person can do about a type that is not read.
+ADVICE = {"pdf": "export its text or its pictures", "msg": "save it as .eml", "doc": "save it as .docx", "xls": "save it as .xlsx or .csv", "ole": "save it in a current format"}
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _reads(readers: dict[str, Reader]):
     columns = [c.split()[0] for c in PARTS.split(", ")]
-    for batch in batches:
-        out = []
-        for name, kind, content in batch.itertuples(index=False):
-            try:
-                out += [{"name": name} | p for p in _read_one(name, kind, bytes(content))] or [{"name": name, "type": kind, "error": "nothing was found in it"}]
-            except Exception as e:  # one bad file is one report
-                out.append({"name": name, "type": kind, "error": " ".join(str(e).split())[:120]})
-        yield pd.DataFrame(out, columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, kind, content in batch.itertuples(index=False):
+                try:
+                    out += [{"name": name} | p for p in readers[kind](name, bytes(content))] or [{"name": name, "type": kind, "error": "nothing was found in it"}]
+                except Exception as e:  # one bad file is one report
+                    out.append({"name": name, "type": kind, "error": " ".join(str(e).split())[:120]})
+            yield pd.DataFrame(out, columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+    return read
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """(name, type, kind, part, text, headers, rows, pairs, bytes, error): what is in each file, or why it could not be read.
 
-    Formats that need a library of their own (pdf, old office files) are reported as unsupported.
+    ``readers`` by type come beside READERS or take their place. Formats without one (pdf, old office files, which
+    need libraries of their own) are reported as unsupported, with what to do about it.
     """
+    readers = READERS | (readers or {})
     typed = files.withColumn("type", F.when(F.length("content") > MOST_BYTES, "too large").otherwise(content_type(F.col("content"))))
     nothing = {c.split()[0]: F.lit(None).cast(c.split(None, 1)[1]) for c in PARTS.split(", ")}
 
@@ -299,16 +380,19 @@ def extract(files: DataFrame) -> DataFrame:
 
     text = F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8")
     own = F.when(F.col("type") == "html", html_text(text)).when(F.col("type") == "xml", xml_text(text)).otherwise(text)
-    plain = rows(typed.where(F.col("type").isin("html", "xml", "json", "text")), text=own, kind=F.lit("text"))
-    images = rows(typed.where(F.col("type").isin("png", "jpeg", "gif", "webp")), bytes=F.col("content"), kind=F.lit("image"))
-    packed = typed.where(F.col("type").isin("zip", "eml", "csv", "tsv", "rtf")).select("name", "type", "content").mapInPandas(_read, PARTS)
+    texts, pictures = [[k for k in kinds if k not in readers] for kinds in (("html", "xml", "json", "text"), ("png", "jpeg", "gif", "webp"))]
+    plain = rows(typed.where(F.col("type").isin(*texts)), text=own, kind=F.lit("text"))
+    images = rows(typed.where(F.col("type").isin(*pictures)), bytes=F.col("content"), kind=F.lit("image"))
+    packed = typed.where(F.col("type").isin(*readers)).select("name", "type", "content").mapInPandas(_reads(readers), PARTS)
     packed = packed.withColumn("text", F.when(F.col("kind") == "html", html_text(F.col("text")))
                                .when(F.col("kind") == "xml:w:t:w:p", paragraphs(F.col("text")))
                                .when(F.col("kind") == "xml:a:t:a:p", paragraphs(F.col("text"), "a:t", "a:p")).otherwise(F.col("text")))
     packed = packed.withColumn("kind", F.when(F.col("kind").rlike("^(html|xml:)"), "text").otherwise(F.col("kind")))
-    known = ("html", "xml", "json", "text", "png", "jpeg", "gif", "webp", "zip", "eml", "csv", "tsv", "rtf")
-    why = F.when(F.col("type") == "too large", F.lit(f"over {MOST_BYTES} bytes")).otherwise(F.lit("unsupported format; save it as one that is read"))
-    return plain.unionByName(images).unionByName(packed).unionByName(rows(typed.where(~F.col("type").isin(*known)), error=why))
+    why = F.when(F.col("type") == "too large", F.lit(f"over {MOST_BYTES} bytes")).when(F.col("type") == "unknown", F.lit("unrecognized file type"))
+    for kind, advice in ADVICE.items():
+        why = why.when(F.col("type") == kind, F.lit(f"unsupported format; {advice}"))
+    why = why.otherwise(F.lit("unsupported format; save it as one that is read"))
+    return plain.unionByName(images).unionByName(packed).unionByName(rows(typed.where(~F.col("type").isin(*texts, *pictures, *readers)), error=why))
 
 
 def cells_of(parts: DataFrame) -> DataFrame:

@@ -149,3 +149,30 @@ def test_names_in_tables_are_found(parts):
 
     texts = {r.name.rsplit("/", 1)[1]: r.text for r in corpus(parts[1]).where("part = '' or part is null or part = 'headers'").collect()}
     assert texts["a.csv"] == 'metric | value\nshards | 3\nquo"ted | x,y' and texts["c.json"] == '{"a": 1}' and "Cores" in texts["f.eml"]
+
+
+def test_containers_and_readers(spark):
+    from evidentia.sources.files import container_type, image_mime, read_mail, read_office
+
+    assert [container_type(n) for n in (["xl/a"], ["word/x"], ["ppt/y"], ["z"])] == ["xlsx", "docx", "pptx", "ooxml"]
+    doc = zipped({"word/document.xml": "<w:p><w:t>x</w:t></w:p>", "word/comments.xml": '<w:comment w:author="A &amp; B"/><w:comment w:author="C"/>', "word/media/a.JPG": "p", "word/media/b.png": ""})
+    found = list(read_office("d", doc))
+    assert [p["text"] for p in found if p["kind"] == "text"] == ["comment authors: A & B; C"]
+    assert [(p["type"], p["bytes"]) for p in found if p["kind"] == "image"] == [("jpeg", b"p")]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z, z.open("xl/workbook.xml", "w", force_zip64=True) as f:
+        f.write(b"x")
+    entry = zipfile.ZipFile(out).infolist()[0]
+    entry.extra = b"\x07\x00\x01\x00z\x01\x00\x08\x00" + bytes(8)
+    from evidentia.sources.files import _has_long_sizes
+
+    assert _has_long_sizes(entry.extra) and not _has_long_sizes(b"\x07\x00\x02\x00\x01\x00")
+    pairs = [p for p in read_mail("m", b'From: "Ann Lee" <ann@x.org>\nTo: b@x.org, Cy <c@x.org>\nSubject: s\n\nhi') if p["kind"] == "keyvalue"][0]["pairs"]
+    assert pairs == {"subject": "s", "from": "Ann Lee <ann@x.org>", "to": "b@x.org; Cy <c@x.org>"}
+    kinds = spark.createDataFrame([("png",), ("pdf",)], "t string").select(image_mime(F.col("t")).alias("m")).collect()
+    assert [r.m for r in kinds] == ["image/png", None]
+    files = spark.createDataFrame([("a.pdf", 8, b"%PDF-1.4"), ("b.doc", 8, b"\xd0\xcf\x11\xe0" + "WordDocument".encode("utf-16-le"))], "name string, length long, content binary")
+    errors = {r.name: r.error for r in extract(files).collect()}
+    assert errors["a.pdf"].endswith("its pictures") and errors["b.doc"].endswith(".docx")
+    own = extract(files, {"pdf": lambda name, content: iter([{"type": "pdf", "kind": "text", "part": "", "text": "read"}])})
+    assert own.where("name = 'a.pdf'").first().text == "read"
