@@ -22,16 +22,16 @@ def _value(num=None, avg=None, peak=None, text=None) -> Column:
 def alias_match(headers: DataFrame, header: str, signals: DataFrame) -> DataFrame:
     """``headers`` with the signal whose longest alias stands in the normalised header; unmatched ones go.
 
-    The first signal in the profile's order wins a tie. The aliases of a profile are few
-    and go to every task; only distinct headers meet them.
+    The first signal in the profile's order wins a tie. The aliases of a profile are one sorted array that goes
+    to every task, so rows are neither shuffled nor gathered by header.
     """
     aliases = signals.select("signal_id", "value_kind", "ord", F.explode("aliases").alias("alias"))
-    distinct = headers.select(header).distinct()
-    met = distinct.join(F.broadcast(aliases), norm(F.col(header)).contains(F.col("alias")))
-    best = met.groupBy(header).agg(
-        F.max_by(F.struct("signal_id", "value_kind"), F.struct(F.length("alias"), -F.col("ord"))).alias("m")
-    ).select(header, "m.signal_id", "m.value_kind")
-    return headers.join(best, header)
+    ranked = aliases.agg(
+        F.sort_array(F.collect_list(F.struct((-F.length("alias")).alias("by"), "ord", "alias", "signal_id", "value_kind"))).alias("__aliases")
+    )
+    hits = F.filter("__aliases", lambda a: F.col("__norm").contains(a["alias"]))
+    met = headers.withColumn("__norm", norm(F.col(header))).join(F.broadcast(ranked)).withColumn("__hit", F.get(hits, F.lit(0)))
+    return met.where("__hit is not null").select(*headers.columns, "__hit.signal_id", "__hit.value_kind")
 
 
 def bind_pairs(pairs: DataFrame, signals: DataFrame) -> DataFrame:
