@@ -285,3 +285,29 @@ SQL["iso_dates"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftim
 SQL["type_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[1])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, type)"
 SQL["delimiter_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[2])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, delimiter)"
 SQL["text_types_of_tables"] = "SELECT 'page' AS k, page_id AS id, 'html' AS type FROM pages UNION ALL SELECT 'event', event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END FROM events"
+
+# Bindings: what each key or header stands for, the longest alias first, then the profile's order.
+_kinds = f"""{signals}, al AS (SELECT signal_id, value_kind, ord, unnest(aliases) AS alias FROM signals),
+kinds AS (SELECT key, arg_max({{'s': signal_id, 'k': value_kind}}, (length(alias), -ord)) AS m FROM keys JOIN al ON contains({_norm.format('key')}, alias) GROUP BY key)"""
+_key = f"({lit(list(Q.KEYS))})[p_partkey % 5 + 1]"
+_kept = "((m.k = 'scalar' AND num IS NOT NULL) OR (m.k = 'enum' AND str IS NOT NULL))"
+_bound = "m.s AS signal_id, CASE WHEN m.k = 'scalar' THEN num END AS num, CASE WHEN m.k = 'enum' THEN str END AS str"
+SQL["pair_bindings"] = f"""WITH p AS (SELECT p_partkey::VARCHAR AS source, {_key} AS key, CASE WHEN p_partkey % 4 <> 0 THEN p_size END::DOUBLE AS num, CASE WHEN p_partkey % 4 <> 0 THEN p_size || ' units' END AS str FROM part),
+keys AS (SELECT DISTINCT key FROM p), {_kinds} SELECT source, {_bound}, CASE WHEN m.k = 'scalar' THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence, 'keyvalue' AS method, key AS locator FROM p JOIN kinds USING (key) WHERE {_kept}"""
+SQL["wide_bindings"] = """SELECT s_nationkey::VARCHAR AS source, 'cluster.shardCount' AS signal_id, arg_min(s_suppkey % 7, s_suppkey)::DOUBLE AS num, NULL::VARCHAR AS str, 0.95::DOUBLE AS confidence, 'table-lookup' AS method, 'Number of shards' AS locator
+ FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1 UNION ALL
+SELECT s_nationkey::VARCHAR, 'node.atlasTier', NULL, 'M' || arg_min(s_suppkey % 3 * 10, s_suppkey), 0.9, 'table-lookup', 'Atlas Tier' FROM supplier GROUP BY 1"""
+SQL["long_bindings"] = f"""WITH p AS (SELECT p_brand AS source, {_key} AS key, p_size::DOUBLE AS num, CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE p_size::VARCHAR END AS str FROM part),
+keys AS (SELECT DISTINCT key FROM p), {_kinds}, b AS (SELECT source, {_bound}, key AS locator FROM p JOIN kinds USING (key) WHERE {_kept})
+SELECT source, signal_id, locator, count(*) AS n, sum(num) AS num, max(str) AS str FROM b GROUP BY 1, 2, 3"""
+SQL["series_bindings"] = f"""WITH e AS (SELECT event_type AS source, unnest([{{'h': 'System CPU', 's': 'util.primary', 'x': value}}, {{'h': 'DR CPU', 's': 'util.dr', 'x': value - 50}}], recursive := true) FROM events),
+g AS (SELECT source, s, h, avg(x) AS a, max(x) AS p FROM e WHERE x >= 0 GROUP BY 1, 2, 3), f AS (SELECT *, CASE WHEN p > 1.5 THEN 100.0 ELSE 1.0 END::DOUBLE AS k FROM g)
+SELECT source, s AS signal_id, {r6('a / k')} AS avg, {r6('p / k')} AS peak, 0.95::DOUBLE AS confidence, 'numeric-series' AS method, h AS locator FROM f"""
+_versions = "SELECT 'c-' || o_custkey AS case_id, lpad(o_orderkey::VARCHAR, 12, '0') AS version, strftime(o_orderdate, '%Y-%m-%d') AS saved_at, [o_orderpriority, o_orderstatus] AS blobs FROM orders"
+SQL["archive_listing"] = f"SELECT case_id, count(*) AS versions, max(saved_at) AS updated_at FROM ({_versions}) GROUP BY 1"
+SQL["archive_blobs"] = f"SELECT case_id, version, blob, case_id || '/' || blob AS content FROM (SELECT case_id, max(version) AS version, unnest(arg_max(blobs, version)) AS blob FROM ({_versions}) GROUP BY 1)"
+SQL["dollar_amounts"] = """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) * 10000 ELSE floor(o_totalprice) END AS x FROM orders)
+SELECT o_orderkey, CASE WHEN x >= 1000000 THEN '$' || printf('%.2f', x / 1000000) || 'M' ELSE '$' || floor(x / 1000 + 0.5)::BIGINT || 'K' END AS amount FROM a"""
+SQL["xml_text"] = f"""SELECT page_id, CASE WHEN len(l) > 0 THEN t || chr(10) || array_to_string({_distinct}, ' ') ELSE t END AS text
+FROM (SELECT page_id, {_targets} AS l, {collapsed(entities(re_all(code_free('html'), '<[^>]+>', "' '")))} AS t FROM pages)"""
+SQL["office_paragraphs"] = "SELECT doc_id, doc_id || ' x' || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END AS text FROM documents"

@@ -11,10 +11,12 @@ from evidentia.operators import coverage as C
 from evidentia.operators import layout as L
 from evidentia.operators import phrases as P
 from evidentia.operators import series as S
+from evidentia.plans import archive as V
 from evidentia.plans import case as X
 from evidentia.plans import claims as K
 from evidentia.plans import costs as M
 from evidentia.plans import ledger as G
+from evidentia.plans import render as D
 from evidentia.plans import sizing as Z
 from evidentia.sources import files as R
 
@@ -237,6 +239,88 @@ def sizing_inputs(spark, d):
     return B.sizing_inputs(answered(spark, d), signal_table(spark))
 
 
+KEYS = ("Number of  Shards", "Atlas Tier", "System CPU", "no such thing", "DR region cores")
+
+
+def flat(bindings: DataFrame) -> DataFrame:
+    return bindings.select("source", "signal_id", F.col("value.num").alias("num"), F.col("value.str").alias("str"), "confidence", "method", "locator")
+
+
+@query
+def pair_bindings(spark, d):
+    k = F.col("p_partkey")
+    value = F.when(k % 4 == 0, F.lit(" ")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" units")))
+    key = F.element_at(F.array(*map(F.lit, KEYS)), (k % 5 + 1).cast("int"))
+    return flat(B.bind_pairs(t(spark, d, "part").select(k.cast("string").alias("source"), key.alias("key"), value.alias("value")), signal_table(spark)))
+
+
+def supplier_cells(spark, d) -> DataFrame:
+    """A table for each nation, a row for each of its suppliers."""
+    k = F.col("s_suppkey")
+    s = t(spark, d, "supplier").select(
+        "s_nationkey", "s_suppkey", F.when(k % 2 == 0, F.lit("")).otherwise((k % 7).cast("string")).alias("Number of shards"),
+        F.concat(F.lit(" M"), (k % 3 * 10).cast("string")).alias("Atlas Tier"), F.concat(F.lit("$"), k.cast("string")).alias("Price of storage size"))
+    return S.long_cells(s, F.col("s_nationkey").cast("string"), F.col("s_suppkey"), ["Number of shards", "Atlas Tier", "Price of storage size"])
+
+
+@query
+def wide_bindings(spark, d):
+    c = supplier_cells(spark, d)
+    return flat(B.bind_wide(c, S.table_roles(c), S.column_facts(c), signal_table(spark)))
+
+
+@query
+def long_bindings(spark, d):
+    p = t(spark, d, "part").select("p_brand", "p_partkey", F.element_at(F.array(*map(F.lit, KEYS)), (F.col("p_partkey") % 5 + 1).cast("int")).alias("label"),
+                                   F.when(F.col("p_partkey") % 3 == 0, F.lit("-")).alias("note"), F.col("p_size").alias("size"))
+    c = S.long_cells(p, F.col("p_brand"), F.col("p_partkey"), ["label", "note", "size"])
+    rows = flat(B.bind_long(c, S.table_roles(c), signal_table(spark)))
+    return rows.groupBy("source", "signal_id", "locator").agg(F.count(F.lit(1)).alias("n"), F.sum("num").alias("num"), F.max("str").alias("str"))
+
+
+@query
+def series_bindings(spark, d):
+    e = t(spark, d, "events").select("event_type", "event_id", "ts", F.col("value").alias("System CPU"), (F.col("value") - 50).alias("DR CPU"), F.col("value").alias("Process CPU"))
+    c = S.long_cells(e, F.col("event_type"), F.col("event_id"), ["ts", "System CPU", "DR CPU", "Process CPU"])
+    b = B.bind_series(c, S.table_roles(c), signal_table(spark))
+    return b.select("source", "signal_id", r6(F.col("value.avg")).alias("avg"), r6(F.col("value.peak")).alias("peak"), "confidence", "method", "locator")
+
+
+def case_versions(spark, d) -> DataFrame:
+    return t(spark, d, "orders").select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("case_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("version"),
+                                        F.date_format("o_orderdate", "yyyy-MM-dd").alias("saved_at"), F.array("o_orderpriority", "o_orderstatus").alias("blobs"))
+
+
+@query
+def archive_listing(spark, d):
+    return V.listing(case_versions(spark, d))
+
+
+@query
+def archive_blobs(spark, d):
+    last = V.current(case_versions(spark, d))
+    blobs = case_versions(spark, d).select("case_id", F.explode("blobs").alias("blob"))
+    blobs = blobs.withColumn("content", F.concat("case_id", F.lit("/"), "blob").cast("binary"))
+    return V.with_blobs(last, blobs).select("case_id", "version", "blob", F.col("content").cast("string").alias("content"))
+
+
+@query
+def dollar_amounts(spark, d):
+    x = F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice") * 10000).otherwise(F.floor("o_totalprice")).cast("double")
+    return t(spark, d, "orders").select("o_orderkey", D.dollars(x).alias("amount"))
+
+
+@query
+def xml_text(spark, d):
+    return t(spark, d, "pages").select("page_id", T.xml_text(F.col("html")).alias("text"))
+
+
+@query
+def office_paragraphs(spark, d):
+    xml = F.concat(F.lit("<w:p><w:t>"), F.col("doc_id").cast("string"), F.lit('</w:t><w:t xml:space="preserve"> x</w:t></w:p><w:p></w:p><w:p><w:t>'), T.escape_html(F.col("text")), F.lit("</w:t></w:p>"))
+    return t(spark, d, "documents").select("doc_id", T.paragraphs(xml).alias("text"))
+
+
 # --- sizing -----------------------------------------------------------------------------------
 
 
