@@ -311,3 +311,16 @@ SELECT o_orderkey, CASE WHEN x >= 1000000 THEN '$' || printf('%.2f', x / 1000000
 SQL["xml_text"] = f"""SELECT page_id, CASE WHEN len(l) > 0 THEN t || chr(10) || array_to_string({_distinct}, ' ') ELSE t END AS text
 FROM (SELECT page_id, {_targets} AS l, {collapsed(entities(re_all(code_free('html'), '<[^>]+>', "' '")))} AS t FROM pages)"""
 SQL["office_paragraphs"] = "SELECT doc_id, doc_id || ' x' || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END AS text FROM documents"
+
+SQL["values_read_outside"] = f"""WITH e AS (SELECT event_id::VARCHAR AS source, ['util.primary', 'node.hoVcpu', 'mongo.edition', 'unknown'][event_id % 4 + 1] AS signal_id, value - 20 AS n, value / 100 AS a, event_id % 110 / 100 AS p,
+ CASE WHEN event_id % 3 <> 0 THEN event_type END AS s, CASE WHEN event_id % 5 = 0 THEN 0.6 ELSE least(greatest(event_id % 130 / 100 - 0.1::DOUBLE, 0), 1) END::DOUBLE AS c FROM events)
+SELECT source, signal_id, CASE WHEN signal_id = 'node.hoVcpu' THEN n END AS num, CASE WHEN signal_id = 'util.primary' THEN a END AS avg, CASE WHEN signal_id = 'util.primary' THEN p END AS peak,
+ CASE WHEN signal_id = 'mongo.edition' THEN s END AS str, {r6('c')} AS confidence FROM e
+WHERE (signal_id = 'util.primary' AND a BETWEEN 0 AND 1 AND p BETWEEN 0 AND 1 AND a <= p) OR (signal_id = 'node.hoVcpu' AND n >= 0) OR (signal_id = 'mongo.edition' AND s IS NOT NULL)"""
+SQL["researched_claims"] = """SELECT 'cost-' || p_partkey AS id, 'B' AS section, p_partkey::VARCHAR AS claim, p_brand AS declared_label,
+ CASE WHEN p_partkey % 120 >= 70 THEN 'medium' ELSE 'low' END AS declared_conf, FALSE AS derived FROM part"""
+SQL["unmapped_phrases"] = """SELECT upper(n_name[1]) || lower(n_name[2:]) AS phrase FROM nation WHERE n_regionkey >= 3 AND NOT contains(n_name, ' ')
+ UNION ALL SELECT array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM nation WHERE n_regionkey >= 3 AND contains(n_name, ' ')
+ UNION ALL SELECT p_brand FROM part"""
+SQL["phrase_spellings"] = """WITH n AS (SELECT 'S' || n_nationkey AS slug, lower(n_name) AS l, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i FROM nation),
+f AS (SELECT slug, unnest([l || '  Of  It', l || '  of  it', upper(l) || '  OF  IT', i || ' Of It', l || ' Of It', l || ' of it', upper(l) || ' OF IT']) AS phrase FROM n) SELECT DISTINCT phrase, slug FROM f"""

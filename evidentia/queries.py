@@ -645,6 +645,38 @@ def slug_alloc(spark, d):
     return P.allocate_slugs(existing, new)
 
 
+@query
+def values_read_outside(spark, d):
+    k = F.col("event_id")
+    signal = F.element_at(F.array(*map(F.lit, ("util.primary", "node.hoVcpu", "mongo.edition", "unknown"))), (k % 4 + 1).cast("int"))
+    raw = t(spark, d, "events").select(
+        signal.alias("signal_id"), (F.col("value") - 20).alias("num"), (F.col("value") / 100).alias("avg"), (k % 110 / 100).alias("peak"),
+        F.when(k % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "event_type")).alias("str"), F.when(k % 5 != 0, k % 130 / 100 - 0.1).alias("confidence"),
+        F.lit("vision").alias("method"), k.cast("string").alias("source"), F.lit("x").alias("locator"))
+    b = B.read_values(raw, signal_table(spark))
+    return b.select("source", "signal_id", *[F.col(f"value.{c}").alias(c) for c in ("num", "avg", "peak", "str")], r6(F.col("confidence")).alias("confidence"))
+
+
+@query
+def researched_claims(spark, d):
+    p = t(spark, d, "part")
+    found = K.source_claims(p.select(F.col("p_partkey").cast("string").alias("component"), F.col("p_brand").alias("label"), (F.col("p_partkey") % 120 / 100 - 0.1).alias("confidence")))
+    return found.select("id", "section", "claim", "declared_label", "declared_conf", "derived")
+
+
+@query
+def unmapped_phrases(spark, d):
+    entries = t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.upper("c_mktsegment").alias("phrase")).union(t(spark, d, "nation").where("n_regionkey < 3").select(F.lower("n_name")))
+    return P.unmapped(t(spark, d, "nation").select(F.initcap("n_name").alias("phrase")).union(t(spark, d, "part").select("p_brand")), entries)
+
+
+@query
+def phrase_spellings(spark, d):
+    n = t(spark, d, "nation")
+    entries = n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lower("n_name"), F.lit("  Of  It")).alias("phrase"), F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("slug"))
+    return P.variants(entries)
+
+
 @query
 def anonymize(spark, d):
     return P.replace_phrases(some_docs(spark, d), entry_rows(spark))
