@@ -51,18 +51,18 @@ def flags(
         F.col("text").rlike(r"[#$%&*|]"),
     ]
     digest = [F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("xx"), F.octet_length("text").alias("size")]
-    facts = scratch.keep(read.select("id", "part", _mask(own).alias("own"), *digest), "facts")
+    facts = scratch.keep(read.select("id", "part", _mask(own).alias("own"), *digest, F.monotonically_increasing_id().alias("row")), "facts")
 
     keys = ["sha", "xx", "size"]
     groups = facts.groupBy(*keys).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    met = look_up(facts, groups, keys, "n", facts.count(), "xx")
+    met = look_up(facts, groups, keys, "n", facts.count(), "row")
     mask = F.col("own").bitwiseOR(F.when(F.col("id") > F.col("first"), F.lit(1 << 4)).otherwise(F.lit(0)))
 
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.bool_or(F.coalesce(F.col(quality_col) == 1, F.lit(False))).alias("good"), F.bool_or(F.coalesce(F.col(toxic_col) == 1, F.lit(False))).alias("toxic")
     ).withColumn("spread", F.lit(0).cast("long"))
-    # Rows without an id have no label; they are spread by their text, not gathered as one key.
-    rows = met.select("id", "part", mask.alias("mask"), F.when(F.col("id").isNull(), F.col("xx")).otherwise(F.lit(0)).alias("spread"))
+    # Rows without an id have no label; they are spread, not gathered as one key.
+    rows = met.select("id", "part", mask.alias("mask"), F.when(F.col("id").isNull(), F.col("row")).otherwise(F.lit(0)).alias("spread"))
     return rows.join(marks, ["id", "spread"], "left").select(
         "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
     )
