@@ -4,12 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of what is looked for in texts.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_LOCAL = "[A-Za-z0-9._%+-]"
+#: It begins where a run of such characters begins or the last hit ended, and takes the run at once: a long run without @ is read once.
+EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: The edge of a word of ASCII letters, digits and underscores; it takes no character, so neighbours are all found.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 IPV4 = rf"{EDGE}{OCTET}(?:\.{OCTET}){{3}}{EDGE}"
-HOST = rf"{EDGE}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{2,}}{EDGE}"
+HOST = rf"{EDGE}[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+){{2,}}{EDGE}"
 NAME = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+){1,3})"
 SECRET_KEY = r"sk-[A-Za-z0-9_-]{4,}"
 STOP_WORDS = (

@@ -3,13 +3,14 @@
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import EMAIL, HOST, IPV4, NAME, STOP_WORDS
+from evidentia.operators.matching import count_phrases, replace_in_turn, replace_phrases
+from evidentia.operators.numbering import numbered
 
-#: Replacement maps up to this many entries go to every task.
-MOST_ENTRIES = 10_000
+__all__ = ["count_phrases", "replace_in_turn", "replace_phrases"]
 
 
 def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,63 +61,13 @@ def merge_detected(lists: DataFrame) -> DataFrame:
     ).drop("key")
 
 
-def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text", either_case: bool = True) -> DataFrame:
-    """(phrase, occurrences) over all texts, in either case unless told otherwise, and without overlaps of a phrase with itself.
-
-    Phrases are taken in blocks of at most MOST_ENTRIES, each as one automaton that finds all of them in a single
-    pass over a text; a task adds up its texts before anything is shuffled. Any number of phrases is
-    counted, a pass for each block. A phrase that stands nowhere has 0; an empty one too.
-    """
-    known = phrases.select("phrase").where("phrase is not null").distinct()
-    n = -(-known.count() // (MOST_ENTRIES // 2)) or 1
-    numbered = known.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(n)))
-    counts = None
-    for k in range(n):
-        rows = numbered.where(F.col("block") == k).select("phrase").limit(MOST_ENTRIES + 1).collect()
-        if len(rows) > MOST_ENTRIES:
-            raise ValueError(f"more than {MOST_ENTRIES} phrases in a block")
-        found = texts.select(F.col(text).alias("text")).mapInPandas(_counter([r.phrase for r in rows], either_case), "phrase string, n long")
-        counts = found if counts is None else counts.unionByName(found)
-    summed = counts.groupBy("phrase").agg(F.sum("n").alias("n"))
-    return known.join(summed, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0).cast("long")).alias("occurrences"))
-
-
-def _counter(phrases: list[str], either_case: bool):
-    fold = str.lower if either_case else str
-
-    def run(batches):
-        import ahocorasick
-
-        same: dict[str, list[str]] = {}
-        for p in phrases:
-            if p:
-                same.setdefault(fold(p), []).append(p)
-        automaton, counts = ahocorasick.Automaton(), dict.fromkeys(same, 0)
-        for key in same:
-            automaton.add_word(key, key)
-        if same:
-            automaton.make_automaton()
-        for batch in batches:
-            for t in batch["text"] if same else ():
-                ends: dict[str, int] = {}
-                for last, key in automaton.iter(fold(t or "")):
-                    if last - len(key) >= ends.get(key, -1):
-                        ends[key] = last
-                        counts[key] += 1
-        rows = [(p, counts[key]) for key, own in same.items() if counts[key] for p in own]
-        yield pd.DataFrame(rows, columns=["phrase", "n"])
-
-    return run
-
-
 def rank_candidates(found: DataFrame, texts: DataFrame, company: str | None = None, text: str = "text") -> DataFrame:
     """Candidates with their occurrences over all texts, and ``rank``: most frequent, longest, then by phrase.
 
-    Candidates that stand nowhere go, but the company's own name.
+    Candidates that stand nowhere go, but the company's own name. Ranks come from counted ranges, not from one sorted task.
     """
     met = found.join(count_phrases(texts, found, text), "phrase").where((F.col("occurrences") > 0) | (F.col("phrase") == F.lit(company or "")))
-    order = [F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")]
-    return met.orderBy(*order)
+    return numbered(met, [], [F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")], "rank")
 
 
 def corpus(parts: DataFrame) -> DataFrame:
@@ -132,26 +83,11 @@ def corpus(parts: DataFrame) -> DataFrame:
     return parts.select("name", "part", own.alias("text")).where("text is not null")
 
 
-def replace_in_turn(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
-    """``texts`` with every phrase replaced in turn, the longest first, so that a later phrase also finds earlier slugs.
-
-    The entries are collected into the plan, so their number is checked.
-    """
-    rows = entries.select("phrase", "slug").where("phrase != ''").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries in a replacement map")
-    if not rows:
-        return texts
-    ordered = sorted({(r.phrase, r.slug) for r in rows}, key=lambda e: (-len(e[0]), e))
-    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in ordered])
-    return texts.withColumn(text, F.aggregate(pairs, F.col(text), lambda t, e: F.replace(t, e["p"], e["s"])))
-
-
 def allocate_slugs(existing: DataFrame, phrases: DataFrame, prefix: str = "EV") -> DataFrame:
     """(phrase, slug) of ``phrases`` (ord, phrase, type): known ones keep their slug, others get the next numbers of their type.
 
-    Numbers go on from the highest in use, so a gap is never filled. The window runs over the new
-    phrases of one type.
+    Numbers go on from the highest in use, so a gap is never filled. New phrases are numbered in ranges of their
+    order, so that a type of any size is spread over many tasks.
     """
     number = F.regexp_extract("slug", r"_(\d+)$", 1).try_cast("int")
     kind = F.regexp_extract("slug", rf"^{prefix}_([A-Z0-9]+)_\d+$", 1)
@@ -160,8 +96,7 @@ def allocate_slugs(existing: DataFrame, phrases: DataFrame, prefix: str = "EV")
     category = F.regexp_replace(F.upper("type"), "[^A-Z0-9]", "")
     met = phrases.withColumn("key", F.lower("phrase")).join(known, "key", "left")
     new = met.where("known is null").withColumn("category", F.when(category == "", "TERM").otherwise(category))
-    rank = F.row_number().over(Window.partitionBy("category").orderBy("ord", "phrase"))
-    new = new.withColumn("n", rank).join(top, "category", "left").withColumn("n", F.col("n") + F.coalesce("top", F.lit(0)))
+    new = numbered(new, ["category"], ["ord", "phrase"]).join(top, "category", "left").withColumn("n", F.col("n") + F.coalesce("top", F.lit(0)))
     digits = F.col("n").cast("string")
     slug = F.concat(F.lit(f"{prefix}_"), "category", F.lit("_"), F.lpad(digits, 2, "0"))
     slug = F.when(F.col("n") > 99, F.concat(F.lit(f"{prefix}_"), "category", F.lit("_"), digits)).otherwise(slug)
@@ -181,26 +116,6 @@ def validate_map(entries: DataFrame) -> DataFrame:
     return plain.unionByName(same).unionByName(twice).unionByName(inside.withColumn("problem", F.lit("inside another phrase")))
 
 
-def replace_phrases(texts: DataFrame, entries: DataFrame, text: str = "text", reverse: bool = False) -> DataFrame:
-    """``texts`` with ``text`` replaced and ``n_replaced``: one pass from the left, longest phrase first, nothing twice.
-
-    The map is collected into the plan, so its size is checked. The alternation of all phrases splits each
-    text; matches are looked up in the map and put back between the gaps.
-    """
-    rows = entries.select("phrase", "slug").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries in a replacement map")
-    table = {(s if reverse else p): (p if reverse else s) for p, s in ((r.phrase, r.slug) for r in rows) if (s if reverse else p)}
-    if not table:
-        return texts.withColumn("n_replaced", F.lit(0))
-    quoted = ["\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in sorted(table, key=lambda k: (-len(k), k))]
-    pattern = "|".join(quoted)
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.concat_ws("", F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.try_element_at(pairs, m), F.lit("")))))
-    return texts.withColumns({"n_replaced": F.size(found), text: F.when(F.size(found) > 0, joined).otherwise(F.col(text))})
-
-
 def slug_conflicts(texts: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
     """Slugs that already stand in some text, so that replacing could not be undone; all are looked for in one pass over a text."""
     slugs = entries.select(F.col("slug").alias("phrase")).where("slug != ''")

@@ -257,8 +257,9 @@ SELECT phrase, type, confidence::DOUBLE AS confidence, texts FROM r JOIN c ON ke
 _supplied = "s_name || ' Supplier Key ' || s_suppkey || '.a.b Key Value'"
 SQL["candidate_counts"] = f"""WITH documents AS (SELECT s_suppkey AS doc_id, {_supplied} AS text FROM supplier), {_names},
 h AS (SELECT doc_id, phrase, 'host' AS type, 4 AS ord FROM ({hits(_host, 0)}) UNION ALL SELECT doc_id, phrase, type, 5 FROM nm UNION ALL SELECT doc_id, w[-1], 'person', 6 FROM nm WHERE type = 'person' AND length(w[-1]) >= 4),
-c AS (SELECT phrase, type FROM (SELECT *, row_number() OVER (PARTITION BY lower(phrase) ORDER BY ord, phrase) AS k FROM h) WHERE k = 1)
-SELECT phrase, type, sum((length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) / length(phrase))::BIGINT AS occurrences FROM documents, c GROUP BY 1, 2"""
+c AS (SELECT phrase, type FROM (SELECT *, row_number() OVER (PARTITION BY lower(phrase) ORDER BY ord, phrase) AS k FROM h) WHERE k = 1),
+o AS (SELECT phrase, type, sum((length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) / length(phrase))::BIGINT AS occurrences FROM documents, c GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY occurrences DESC, length(phrase) DESC, phrase) AS rank FROM o WHERE occurrences > 0"""
 SQL["replaced_in_turn"] = "SELECT doc_id, replace(replace(replace(text, 'Apache License', 'the EV_1'), 'the', 'EV_2'), 'EV', 'W') AS text FROM documents"
 SQL["merge_detected"] = """WITH n AS (SELECT c_custkey % 3 AS ord, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS phrase, c_nationkey AS o, (c_custkey % 10) / 10 AS c FROM customer)
 SELECT arg_min(phrase, (ord, phrase)) AS phrase, 'org' AS type, sum(o)::BIGINT AS occurrences, max(c) AS confidence FROM n GROUP BY lower(phrase)"""

@@ -609,7 +609,7 @@ def phrase_candidates(spark, d):
 def candidate_counts(spark, d):
     found = P.candidates(P.phrase_hits(t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat("s_name", F.lit(" Supplier Key "), F.col("s_suppkey").cast("string"), F.lit(".a.b Key Value")).alias("text"))))
     texts = t(spark, d, "supplier").select(F.concat("s_name", F.lit(" SUPPLIER KEY "), F.col("s_suppkey").cast("string"), F.lit(".a.b key value")).alias("text"))
-    return P.rank_candidates(found, texts).select("phrase", "type", "occurrences")
+    return P.rank_candidates(found, texts).select("phrase", "type", "occurrences", "rank")
 
 
 @query
