@@ -66,8 +66,7 @@ def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sealed(sums: np.ndarray, length: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(sums + np.uint64(length) * _LENGTH)
+    return mix(sums + np.array([max(length, 0)], dtype=np.uint64) * _LENGTH)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
