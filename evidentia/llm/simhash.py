@@ -117,10 +117,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A-Z; shingles of ``shingle`` words keep their repeats, and a shorter text is one
     shingle. A text without words, or null, has fingerprint zero and links like any
     other. Fingerprints link at ``radius`` or fewer differing bits; component_id is the
-    smallest id reachable. Rows of the same fingerprint are one node of the graph, so
-    copies cost nothing. Rows with a null id take part with their fingerprint, which has
-    no node of its own unless another row shares it; their component_id is then null.
-    Repeated rows give repeated results. Other columns are ignored; no rows, no result.
+    smallest id reachable. A node of the graph is a fingerprint, so copies cost nothing, and
+    rows are joined through their fingerprints alone: those that share an id and not a fingerprint are joined only if these
+    are linked, and rows with a null id link like any other. component_id is null where a component has no id at
+    all. Ids are whole numbers. Repeated rows give repeated results. Other columns are ignored; no rows, no result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -133,11 +133,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = scratch.keep(ids.mapInArrow(run, "id long, fp long"), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = scratch.keep(nodes, "nodes")
-    named = components(near_links(nodes.where("node is not null").select("node", "fp"), radius), scratch)
-    groups = nodes.join(named, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    found = look_up(rows, groups, ["fp"], "n", rows.count(), "id")
+    named = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), radius), scratch)
+    owned = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("c"))
+    owned = scratch.keep(owned, "owned")
+    firsts = owned.groupBy("c").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    groups = look_up(owned, firsts, ["c"], "size", total, "fp").select("fp", "n", "component_id")
+    found = look_up(rows, groups, ["fp"], "n", total, "id")
     return found.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -98,6 +98,46 @@ def test_near_null_ids_and_empty(spark):
     assert near_dedup(frame(spark, [])).count() == 0
 
 
+def chain():
+    """Three texts whose fingerprints differ by 1, 1 and at last more than 2 bits at the ends, found by trying words."""
+    found = {}
+    base = [f"t{i * 7 % 301}" for i in range(400)]
+    for k in range(4000):
+        words = list(base)
+        words[k % 400] = f"new{k}"
+        found.setdefault(brute_fingerprint(" ".join(words)), " ".join(words))
+    fps = list(found)
+    for m in fps:
+        near = [f for f in fps if 0 < (f ^ m).bit_count() <= 2]
+        for a in near:
+            for b in near:
+                if (a ^ b).bit_count() > 2:
+                    return [found[a], found[m], found[b]]
+    raise AssertionError("no chain")
+
+
+def brute_by_fingerprint(rows):
+    """component_id of each row: fingerprints are the nodes, a component is named by its least id."""
+    fps = [brute_fingerprint(t) for _, t in rows]
+    named = brute_components({f: f for f in fps})
+    least = {}
+    for (i, _), f in zip(rows, fps):
+        if i is not None:
+            least[named[f]] = min(i, least.get(named[f], i))
+    return sorted(((i, f"{f:016x}", least.get(named[f])) for (i, _), f in zip(rows, fps)), key=repr)
+
+
+def test_near_null_id_within_a_chain_and_shared_ids(spark):
+    a, m, b = chain()
+    for rows in (
+        [(1, a), (None, m), (3, b)], [(1, a), (2, m), (3, b)], [(None, a), (None, m), (None, b)], [(1, a), (1, "quite another text of words"), (7, b)],
+        [(0, a), (5, b), (5, "quite another text of words"), (7, "quite another text of words"), (None, "alone")],
+    ):
+        got = sorted(map(tuple, near_dedup(frame(spark, rows)).collect()), key=repr)
+        assert got == brute_by_fingerprint(rows)
+    assert {r.component_id for r in near_dedup(frame(spark, [(1, a), (None, m), (3, b)])).collect()} == {1}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 63), min_size=0, max_size=4))
 def test_masks_cover(bits):
