@@ -132,26 +132,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-                  coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part FROM conversations),
-n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // 1024 AS share FROM c),
-f AS (SELECT conv_id, turn, text FROM c WHERE role = 'system'
-      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) = 1),
-l AS (SELECT conv_id, part, share, turn, role, text FROM n
-      QUALIFY row_number() OVER (PARTITION BY conv_id, part, share ORDER BY turn NULLS FIRST, role, text) = 1),
-k AS (SELECT l.conv_id, l.part, l.share, f.text FROM l JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id
-      WHERE (coalesce(f.turn, -1e30), 'system', f.text) < (coalesce(l.turn, -1e30), l.role, l.text)),
-t AS (SELECT *, 1 AS real FROM n UNION ALL SELECT conv_id, NULL, 'system', text, part, share, 0 FROM k),
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+n AS (SELECT *, (k - 1) // 1024 AS piece FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c)),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
-m AS (SELECT t.*, speaker, t.role = speaker AS own,
-        '<|im_start|>' || CASE WHEN t.role = speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
-        t.text || '<|im_end|>' AS body FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+m AS (SELECT n.*, speaker, n.role = speaker AS own,
+        '<|im_start|>' || CASE WHEN n.role = speaker THEN 'assistant' WHEN n.role = 'system' THEN 'system' ELSE 'user name=' || n.role END || chr(10) AS head,
+        n.text || '<|im_end|>' AS body FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER w, 0) + length(head) AS begin
-      FROM m WINDOW w AS (PARTITION BY conv_id, speaker, part, share ORDER BY real, turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, speaker, part, CAST(share AS BIGINT) AS share, CAST(sum(real) AS BIGINT) AS n_turns, count(*) FILTER (own) AS n_masked,
-  string_agg(head || body || chr(10), '' ORDER BY real, turn NULLS FIRST, role, o.text) AS text,
-  coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY real, turn NULLS FIRST, role, o.text) FILTER (own), '') AS masks
-FROM o GROUP BY conv_id, speaker, part, share
+      FROM m WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, speaker, CAST(piece AS BIGINT) AS piece, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
+  string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+  coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY k) FILTER (own), '') AS masks
+FROM o GROUP BY conv_id, speaker, piece
 """
 
 

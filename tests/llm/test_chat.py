@@ -12,39 +12,33 @@ ROWS = [
 ]
 
 
-def brute(rows, part_turns, part_rows=1024):
-    groups, people, system = defaultdict(list), defaultdict(set), {}
+def brute(rows, step=1024):
+    """Whole renderings, and then their pieces of ``step`` turns."""
+    groups = defaultdict(list)
     clean = lambda t: (t or "").replace("<|", "< |")
     for conv, turn, role, text in rows:
-        role = clean(role if role is not None else "unknown")
-        row = (turn if turn is not None else -1, role, clean(text))
-        groups[conv, 0 if part_turns is None else -1 if turn is None else turn // part_turns].append(row)
-        if role != "system":
-            people[conv].add(role)
-        else:
-            system[conv] = min(system.get(conv, row), row)
-    out, shares = [], {}
-    for (conv, part), messages in groups.items():
-        step = part_rows or len(messages)
-        shares |= {(conv, part, k // step): sorted(messages)[k : k + step] for k in range(0, len(messages), step)}
-    for (conv, part, share), messages in shares.items():
-        head = [system[conv]] if conv in system and system[conv] < messages[0] else []
-        for speaker in people[conv]:
-            text, spans = "", []
-            for _, role, body in head + messages:
+        groups[conv].append((turn if turn is not None else -1, clean(role if role is not None else "unknown"), clean(text)))
+    out = []
+    for conv, messages in groups.items():
+        for speaker in {m[1] for m in messages} - {"system"}:
+            at, turns = 0, []
+            for _, role, body in sorted(messages):
                 name = "assistant" if role == speaker else "system" if role == "system" else f"user name={role}"
-                text += f"<|im_start|>{name}\n"
-                if role == speaker:
-                    spans.append(f"{len(text)}:{len(text) + len(body) + 10}")
-                text += body + "<|im_end|>\n"
-            out.append((conv, speaker, part, share, len(messages), len(spans), text, ",".join(spans)))
+                head = f"<|im_start|>{name}\n"
+                text = f"{head}{body}<|im_end|>\n"
+                turns.append((text, f"{at + len(head)}:{at + len(text) - 1}" if role == speaker else None))
+                at += len(text)
+            for k in range(0, len(turns), step):
+                part = turns[k : k + step]
+                spans = [s for _, s in part if s]
+                out.append((conv, speaker, k // step, len(part), len(spans), "".join(t for t, _ in part), ",".join(spans)))
     return sorted(out, key=repr)
 
 
 def test_like_brute_force(spark):
-    df = spark.createDataFrame([(c, t, r, x, 1, "s") for c, t, r, x in ROWS], "conv_id long, turn long, role string, text string, part int, speaker string")
-    assert sorted(map(tuple, rotate(df).collect()), key=repr) == brute(ROWS, 64)
-    assert sorted(map(tuple, rotate(df, part_turns=2).collect()), key=repr) == brute(ROWS, 2)
+    df = spark.createDataFrame([(c, t, r, x, 1, "s") for c, t, r, x in ROWS], "conv_id long, turn long, role string, text string, piece int, speaker string")
+    assert sorted(map(tuple, rotate(df).collect()), key=repr) == brute(ROWS)
+    assert sorted(map(tuple, rotate(df, piece_turns=2).collect()), key=repr) == brute(ROWS, 2)
     assert rotate(df.limit(0)).count() == 0
 
 
@@ -63,28 +57,29 @@ def test_masks_hold_the_speakers_words(spark):
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-def test_crowded_turns_stay_in_order(spark):
-    rows = [(1, 0, "ann" if i % 2 else "bob", "same") for i in range(300)] + [(1, 0, "system", "rules"), (1, 1, "ann", "later"), (2, 0, "ann", "x")]
-    got = rotate(spark.createDataFrame(rows, SCHEMA), part_rows=20)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 64, 20)
-    assert max(r.n_turns for r in got.collect()) <= 20
-
-
 def test_crowded_turn_under_other_partitionings(spark):
     """5000 rows on one turn number, some of them repeated, and as many without a number."""
     rows = [(7, 3, f"r{i % 3}", f"text {i * 7919 % 4001}") for i in range(5000)] + [(None, None, "a", f"{i % 50}") for i in range(2500)]
     rows += [(7, 0, "system", "be kind"), (7, 900, "r0", "far"), (8, None, "system", "no number"), (8, 1, "r1", "hi")]
     df = spark.createDataFrame(rows, SCHEMA)
-    want = brute(rows, 64)
+    want = brute(rows)
     for frame in (df, df.repartition(1), df.repartition(7, "text")):
-        assert sorted(map(tuple, rotate(frame).collect()), key=repr) == want
-    assert max(r[3] for r in want) == 4
+        got = rotate(frame).collect()
+        assert sorted(map(tuple, got), key=repr) == want and max(r.n_turns for r in got) <= 1024
+    assert max(r[2] for r in want) == 4
 
 
-def test_whole_dialogues(spark):
-    rows = [(1, i, "system" if not i else f"p{i % 2}", f"turn {i}") for i in range(300)] + [(1, None, "p0", "first of all")]
-    got = rotate(spark.createDataFrame(rows, SCHEMA), part_turns=None, part_rows=None).collect()
-    assert sorted(map(tuple, got), key=repr) == brute(rows, None, None) and len(got) == 2
+def test_pieces_are_one_whole_dialogue(spark):
+    rows = [(1, i, "system" if not i else f"p{i % 2}", f"turn {i}") for i in range(200)] + [(1, None, "p0", "first of all")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {r.speaker: r for r in rotate(df).collect()}
+    assert len(whole) == 2 and sorted(map(tuple, whole.values()), key=repr) == brute(rows)
+    pieces = rotate(df, piece_turns=7).orderBy("piece").collect()
+    for speaker, r in whole.items():
+        own = [p for p in pieces if p.speaker == speaker]
+        assert "".join(p.text for p in own) == r.text and ",".join(p.masks for p in own if p.masks) == r.masks
+        spans = [tuple(map(int, s.split(":"))) for s in r.masks.split(",")]
+        assert all(r.text[b - 10 : b] == "<|im_end|>" for _, b in spans)
 
 
 def test_query_like_its_sql_on_crowded_conversations(spark, tmp_path):
