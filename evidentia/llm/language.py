@@ -21,8 +21,10 @@ _LETTERS_ONLY = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in ran
 class Limits:
     """Bounds of the sample that is learned from, and of the pieces that texts are judged in."""
 
-    languages: int = 256
+    texts: int = 65536
     texts_per_language: int = 256
+    #: More labels than there are languages are no languages: they raise.
+    languages: int = 8192
     chars_per_text: int = 1024
     piece_bytes: int = 4096
     level: int = 6
@@ -38,24 +40,26 @@ def normal(text: str) -> bytes:
 def learn(labelled: DataFrame, limits: Limits = Limits()) -> dict[str, bytes]:
     """The dictionary of each language, from (text, lang) without nulls, the most frequent language first.
 
-    The most frequent languages, ``limits.languages`` at most, each get the beginnings,
-    from their first letter on, of ``limits.texts_per_language`` different texts with letters, chosen by the
-    texts' hashes out of a share that is derived from the number of different texts. Only
-    these reach the driver: at most 64 MB of letters with the default limits, whatever the input.
+    Every language gets the beginnings, from their first letter on, of as many different texts with letters as ``limits.texts`` has
+    for each language, ``limits.texts_per_language`` at most. They are chosen by the texts' hashes out
+    of a share that is derived from the number of different texts. Only these reach the driver: at most 64 MB of letters with
+    the default limits, whatever the input. No language is left out; more than ``limits.languages`` labels raise.
     """
     # A text's hash decides, so that copies are chosen together and then count once.
     lettered = F.col("text").rlike(r"\p{L}")
     texts = labelled.withColumn("h", F.xxhash64("text"))
     different = texts.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"), F.max(lettered.cast("long")).alias("different"))
     counts = different.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("different").alias("different"))
-    counts = counts.orderBy(F.desc("n"), "lang").limit(limits.languages)
-    top = counts.collect()
-    share = F.pmod("h", F.lit(1 << 30)) * F.col("different") < (1 << 30) * 6.0 * limits.texts_per_language
+    top = counts.orderBy(F.desc("n"), "lang").limit(limits.languages + 1).collect()
+    if len(top) > limits.languages:
+        raise ValueError(f"more than {limits.languages} languages")
+    each = max(1, min(limits.texts_per_language, limits.texts // max(1, len(top))))
+    share = F.pmod("h", F.lit(1 << 30)) * F.col("different") < (1 << 30) * 6.0 * each
     known = labelled.sparkSession.createDataFrame([(r.lang, r.different) for r in top], "lang string, different long")
     beginning = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{limits.chars_per_text - 1}}}", 0)
     few = texts.where(lettered).join(F.broadcast(known), "lang").where(share).groupBy("lang", "h").agg(F.min(beginning).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    rows = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limits.texts_per_language)
+    rows = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
     found: dict[str, list[bytes]] = {r.lang: [] for r in top}
     for lang, text in rows.select("lang", "text").orderBy("lang", "k").collect():
         found[lang].append(normal(text))

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 import zstandard
 
 from evidentia.llm.language import Limits, identify, language_id, learn, normal
@@ -32,7 +34,13 @@ def test_odd_rows(spark):
     assert all(r.rejected for r in got[:3])
     assert {r.lang_pred for r in identify(df, {}).collect()} == {"und"}
     assert language_id(df.limit(0)).count() == 0
-    assert language_id(df, limits=Limits(languages=1)).count() == 7
+    with pytest.raises(ValueError, match="languages"):
+        language_id(df, limits=Limits(languages=1))
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(f"{chr(97 + k // 26)}{chr(97 + k % 26)}word " * 5, f"l{k}") for k in range(300)]
+    assert len(learn(spark.createDataFrame(rows, "text string, lang string"), Limits(texts=600))) == 300
 
 
 def test_inputs_are_texts_alone(spark):
