@@ -65,3 +65,16 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
             out = stage(spark, df, SF)
             assert out.columns == df.columns and out.count() <= df.count()
         assert P.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_rows_that_share_an_id_have_their_own_verdicts(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    fine = [" ".join(f"{w}{k}" for k in range(60)) for w in ("rain", "stone", "field")]
+    rows = [(7, fine[0]), (7, f"{fine[1]} {bench} {fine[1]}"), (8, fine[1]), (8, fine[1]), (8, fine[1].upper()), (9, fine[2]), (None, fine[2]), (3, " ".join(fine[2].split()[:-1]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = sorted((r.doc_id, r.text) for r in P.decontamination_stage(spark, docs.where("doc_id = 7"), SF).collect())
+    assert clean == [(7, fine[0])]
+    once = [(r.doc_id, r.text.lower()) for r in P.exact_stage(spark, docs, SF).collect()]
+    assert sorted(once) == sorted([(7, fine[0]), (7, rows[1][1].lower()), (8, fine[1]), (9, fine[2]), (3, rows[-1][1])])
+    near = sorted((r.doc_id, r.text) for r in P.near_stage(spark, docs.where("doc_id in (3, 7, 9)"), SF).collect())
+    assert near == sorted([(3, rows[-1][1]), (7, fine[0]), (7, rows[1][1])])
