@@ -57,30 +57,30 @@ TIERS = (
 
 # Signal, kind of value, criticality, defaultable, critical to cost, methods, aliases.
 SIGNALS = (
-    ("cluster.shardCount", "scalar", "required", False, False, "keyvalue table-lookup llm-text vision", "shards|shard count|number of shards|sh.status"),
-    ("node.hoVcpu", "scalar", "required", False, False, "keyvalue table-lookup llm-text vision", "hovcpu|cores per node|vcpu per node|primary cores|node cores"),
-    ("node.drVcpu", "scalar", "required", True, False, "keyvalue table-lookup llm-text vision", "drvcpu|dr cores|dr vcpu|dr region cores"),
-    ("util.primary", "avgPeak", "required", False, False, "numeric-series vision manual", "system cpu|cpu utilization|process cpu|primary cpu|cpu percent"),
-    ("util.hoSec", "avgPeak", "required", True, False, "numeric-series vision manual", "secondary cpu|ha secondary cpu|electable secondary cpu|secondary system cpu"),
-    ("util.dr", "avgPeak", "required", True, False, "numeric-series vision manual", "dr cpu|dr region cpu|disaster recovery cpu|dr system cpu"),
-    ("data.storageSizeGb", "scalar", "required", True, True, "keyvalue table-lookup llm-text numeric-series vision", "storage size|storagesize|disk usage|compressed data size"),
-    ("topology.nodesPerShard", "scalar", "recommended", True, False, "keyvalue table-lookup llm-text", "nodes per shard|replica set members|rs members|members per shard"),
-    ("data.logicalSizeGb", "scalar", "recommended", True, True, "keyvalue table-lookup llm-text numeric-series", "logical data size|data size|datasize|db.stats datasize"),
-    ("data.indexSizeGb", "scalar", "recommended", True, False, "keyvalue table-lookup numeric-series", "index size|indexsize|total index size"),
-    ("workingSetGb", "scalar", "recommended", True, False, "numeric-series vision llm-text", "working set|working set size|hot data size|cache working set"),
-    ("node.ramGb", "scalar", "recommended", True, False, "keyvalue table-lookup llm-text", "node ram|ram per node|memory per node|wiredtiger cache size"),
-    ("node.atlasTier", "enum", "recommended", True, False, "vision llm-text keyvalue", "instance size|cluster tier|atlas tier|instancesize|tier"),
-    ("disk.iops", "avgPeak", "recommended", True, False, "numeric-series vision", "disk iops|iops|disk io|io operations"),
-    ("workload.opsPerSec", "avgPeak", "recommended", True, False, "numeric-series vision llm-text", "ops per sec|opcounters|operations per second|ops/sec"),
-    ("workload.concurrency", "avgPeak", "recommended", True, False, "numeric-series vision", "concurrency|active connections|connections|active tickets"),
-    ("workload.oplogGbPerHour", "scalar", "recommended", True, False, "numeric-series keyvalue llm-text", "oplog gb/hour|oplog churn|oplog throughput|oplog gb per hour"),
-    ("mongo.edition", "enum", "recommended", True, False, "llm-text keyvalue vision", "mongodb edition|edition|enterprise advanced|community edition"),
-    ("workload.readPreference", "enum", "recommended", True, False, "llm-text keyvalue", "read preference|readpreference|reads to secondaries|secondary reads"),
-    ("growth.annualPct", "scalar", "recommended", True, False, "llm-text", "growth rate|annual growth|yearly growth|data growth"),
-    ("dr.posture", "enum", "recommended", True, False, "llm-text keyvalue", "dr posture|disaster recovery|dr strategy|bcp"),
-    ("data.collectionProfile", "scalar", "optional", True, False, "keyvalue table-lookup llm-text", "collection profile|collstats|per-collection breakdown|collection stats"),
-    ("network.egressGbMonth", "scalar", "optional", True, False, "numeric-series vision", "network egress|egress|network throughput|egress gb/month"),
-    ("workload.peakWindow", "enum", "optional", True, False, "numeric-series vision llm-text", "peak window|peak hours|batch window|peak period"),
+    ("cluster.shardCount", "scalar", "required", False, False, ("keyvalue", "table-lookup", "llm-text", "vision"), ("shards", "shard count", "number of shards", "sh.status")),
+    ("node.hoVcpu", "scalar", "required", False, False, ("keyvalue", "table-lookup", "llm-text", "vision"), ("hovcpu", "cores per node", "vcpu per node", "primary cores", "node cores")),
+    ("node.drVcpu", "scalar", "required", True, False, ("keyvalue", "table-lookup", "llm-text", "vision"), ("drvcpu", "dr cores", "dr vcpu", "dr region cores")),
+    ("util.primary", "avgPeak", "required", False, False, ("numeric-series", "vision", "manual"), ("system cpu", "cpu utilization", "process cpu", "primary cpu", "cpu percent")),
+    ("util.hoSec", "avgPeak", "required", True, False, ("numeric-series", "vision", "manual"), ("secondary cpu", "ha secondary cpu", "electable secondary cpu", "secondary system cpu")),
+    ("util.dr", "avgPeak", "required", True, False, ("numeric-series", "vision", "manual"), ("dr cpu", "dr region cpu", "disaster recovery cpu", "dr system cpu")),
+    ("data.storageSizeGb", "scalar", "required", True, True, ("keyvalue", "table-lookup", "llm-text", "numeric-series", "vision"), ("storage size", "storagesize", "disk usage", "compressed data size")),
+    ("topology.nodesPerShard", "scalar", "recommended", True, False, ("keyvalue", "table-lookup", "llm-text"), ("nodes per shard", "replica set members", "rs members", "members per shard")),
+    ("data.logicalSizeGb", "scalar", "recommended", True, True, ("keyvalue", "table-lookup", "llm-text", "numeric-series"), ("logical data size", "data size", "datasize", "db.stats datasize")),
+    ("data.indexSizeGb", "scalar", "recommended", True, False, ("keyvalue", "table-lookup", "numeric-series"), ("index size", "indexsize", "total index size")),
+    ("workingSetGb", "scalar", "recommended", True, False, ("numeric-series", "vision", "llm-text"), ("working set", "working set size", "hot data size", "cache working set")),
+    ("node.ramGb", "scalar", "recommended", True, False, ("keyvalue", "table-lookup", "llm-text"), ("node ram", "ram per node", "memory per node", "wiredtiger cache size")),
+    ("node.atlasTier", "enum", "recommended", True, False, ("vision", "llm-text", "keyvalue"), ("instance size", "cluster tier", "atlas tier", "instancesize", "tier")),
+    ("disk.iops", "avgPeak", "recommended", True, False, ("numeric-series", "vision"), ("disk iops", "iops", "disk io", "io operations")),
+    ("workload.opsPerSec", "avgPeak", "recommended", True, False, ("numeric-series", "vision", "llm-text"), ("ops per sec", "opcounters", "operations per second", "ops/sec")),
+    ("workload.concurrency", "avgPeak", "recommended", True, False, ("numeric-series", "vision"), ("concurrency", "active connections", "connections", "active tickets")),
+    ("workload.oplogGbPerHour", "scalar", "recommended", True, False, ("numeric-series", "keyvalue", "llm-text"), ("oplog gb/hour", "oplog churn", "oplog throughput", "oplog gb per hour")),
+    ("mongo.edition", "enum", "recommended", True, False, ("llm-text", "keyvalue", "vision"), ("mongodb edition", "edition", "enterprise advanced", "community edition")),
+    ("workload.readPreference", "enum", "recommended", True, False, ("llm-text", "keyvalue"), ("read preference", "readpreference", "reads to secondaries", "secondary reads")),
+    ("growth.annualPct", "scalar", "recommended", True, False, ("llm-text",), ("growth rate", "annual growth", "yearly growth", "data growth")),
+    ("dr.posture", "enum", "recommended", True, False, ("llm-text", "keyvalue"), ("dr posture", "disaster recovery", "dr strategy", "bcp")),
+    ("data.collectionProfile", "scalar", "optional", True, False, ("keyvalue", "table-lookup", "llm-text"), ("collection profile", "collstats", "per-collection breakdown", "collection stats")),
+    ("network.egressGbMonth", "scalar", "optional", True, False, ("numeric-series", "vision"), ("network egress", "egress", "network throughput", "egress gb/month")),
+    ("workload.peakWindow", "enum", "optional", True, False, ("numeric-series", "vision", "llm-text"), ("peak window", "peak hours", "batch window", "peak period")),
 )
 
 
@@ -128,9 +128,26 @@ def label_table(spark: SparkSession, labels: tuple = LABELS) -> DataFrame:
     return small_table(spark, list(labels), "signal_id string, label string")
 
 
+#: How a person can deliver what a method reads.
+DELIVERIES = (
+    ("keyvalue", "a list of settings"), ("table-lookup", "a table"), ("numeric-series", "measurements over time"), ("vision", "a picture of the chart"),
+    ("llm-text", "a sentence in a mail or note"), ("manual", "your own figure"),
+)
+
+
+def request_table(spark: SparkSession, signals: tuple = SIGNALS, labels: tuple = LABELS) -> DataFrame:
+    """signal_id, request, why: what to ask for, in which forms it can be delivered, and what hangs on it."""
+    names, forms = dict(labels), dict(DELIVERIES)
+    rows = []
+    for signal, _, criticality, _, costly, methods, _ in signals:
+        why = "Without it there is no size" if criticality == "required" else "Costs hang on it" if costly else "It makes the estimate surer"
+        rows.append((signal, f"{names.get(signal, signal)}: {' or '.join(forms[m] for m in methods)}", why))
+    return small_table(spark, rows, "signal_id string, request string, why string")
+
+
 def signal_table(spark: SparkSession, signals: tuple = SIGNALS) -> DataFrame:
     """signal_id, value_kind, criticality, defaultable, tco_critical, derivable_by, aliases, ord."""
-    rows = [(*s[:5], s[5].split(), s[6].split("|"), k) for k, s in enumerate(signals)]
+    rows = [(*s[:5], list(s[5]), list(s[6]), k) for k, s in enumerate(signals)]
     return small_table(
         spark, rows,
         "signal_id string, value_kind string, criticality string, defaultable boolean, tco_critical boolean, "

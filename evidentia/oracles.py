@@ -1,8 +1,7 @@
 """SQL for DuckDB that says independently what each query of evidentia.queries returns."""
 
 from evidentia import queries as Q
-from evidentia.config import LABELS, METHODS, SIGNALS, TIERS
-from evidentia.functions import text as T
+from evidentia.config import DELIVERIES, LABELS, METHODS, SIGNALS, TIERS
 
 SQL: dict[str, str] = {}
 
@@ -29,7 +28,7 @@ def r6(x: str) -> str:
 
 NUM = "try_cast(nullif(regexp_extract(regexp_replace({0}, '[,%]', '', 'g'), '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1), '') AS DOUBLE)"
 STATS = "coalesce(avg({x}), 0) AS avg, coalesce(max({x}), 0) AS peak, coalesce(quantile_disc({x}, 0.95), 0) AS p95, coalesce(min({x}), 0) AS least, count({x}) AS n"
-signals = rows("signals", "signal_id, value_kind, criticality, defaultable, tco_critical, derivable, aliases, ord", [(*s[:6], s[6].split("|"), k) for k, s in enumerate(SIGNALS)])
+signals = rows("signals", "signal_id, value_kind, criticality, defaultable, tco_critical, derivable, aliases, ord", [(*s, k) for k, s in enumerate(SIGNALS)])
 methods = rows("methods", "method, cap, trust, i", [(*m, k) for k, m in enumerate(METHODS)])
 
 SQL["series_stats"] = f"SELECT event_type, {r6('avg')} AS avg, peak, p95, least, n FROM (SELECT event_type, {STATS.format(x='value')} FROM events GROUP BY 1)"
@@ -57,9 +56,9 @@ SQL["parse_numeric"] = f"""SELECT p_partkey, {NUM.format("p_size || ' units'")}
  {NUM.format("' 1,' || lpad(p_size::VARCHAR, 3, '0') || '% off'")} AS priced FROM part"""
 
 _norm = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
-SQL["alias_match"] = f"""WITH {signals}, {rows('h', 'header', [(x,) for x in Q.HEADERS])}, a AS (SELECT signal_id, value_kind, ord, unnest(aliases) AS alias FROM signals),
-m AS (SELECT header, signal_id, value_kind, row_number() OVER (PARTITION BY header ORDER BY length(alias) DESC, ord) AS k FROM h JOIN a ON contains({_norm.format('header')}, alias))
-SELECT header, signal_id, value_kind FROM m WHERE k = 1"""
+SQL["alias_match"] = f"""WITH {signals}, h AS (SELECT ({lit(list(Q.HEADERS))})[p_partkey % {len(Q.HEADERS)} + 1] || ' ' || p_brand AS header, count(*) AS n FROM part GROUP BY 1), a AS (SELECT signal_id, value_kind, ord, unnest(aliases) AS alias FROM signals),
+m AS (SELECT header, n, signal_id, value_kind, row_number() OVER (PARTITION BY header ORDER BY length(alias) DESC, ord) AS k FROM h JOIN a ON contains({_norm.format('header')}, alias))
+SELECT header, signal_id, value_kind, n FROM m WHERE k = 1"""
 SQL["merge_bindings"] = f"""WITH {methods}, c AS (SELECT event_type AS signal_id, value AS num, (event_id % 100) / 100 AS confidence, method, trust, 'e' || event_id AS source
  FROM events JOIN methods ON i = user_id % 8), r AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY trust DESC, confidence DESC, source) AS k FROM c)
 SELECT signal_id, num, confidence, method, source FROM r WHERE k = 1"""
@@ -70,12 +69,15 @@ w AS (SELECT *, tok > 0 AND row_number() OVER (PARTITION BY n_regionkey, tok ORD
 c AS (SELECT *, list(tok) FILTER (won) OVER (PARTITION BY n_regionkey) AS claimed, max(pk) FILTER (NOT won) OVER (PARTITION BY n_regionkey) >= 0 AS any_peak FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey, won ORDER BY CASE WHEN any_peak THEN -pk ELSE idx END, tok, idx) AS k, list_filter([1, 2, 3], lambda x: NOT list_contains(coalesce(claimed, []), x)) AS open FROM c)
 SELECT n_regionkey, idx, label, peak, ['primary', 'secondary', 'dr'][CASE WHEN won THEN tok ELSE coalesce(open[k], 3) END] AS role, NOT won AS heuristic FROM k"""
-SQL["tier_lookup"] = f"WITH {rows('n', 'name', [(x,) for x in Q.TIER_NAMES])}, {rows('tiers', 'tier, vcpu', TIERS)} SELECT name, vcpu FROM n JOIN tiers ON upper(trim(name)) = tier"
-SQL["tier_synthesis"] = f"""WITH {rows('tiers', 'tier, vcpu', TIERS)}, {methods}, {rows('c', 'signal_id, num, str, confidence, method, source', Q.CANDIDATES)},
-best AS (SELECT c.*, vcpu FROM c JOIN methods USING (method) JOIN tiers ON upper(trim(str)) = tier WHERE signal_id = 'node.atlasTier' ORDER BY trust DESC, confidence DESC, source LIMIT 1)
-SELECT signal_id, CAST(confidence AS DOUBLE) AS confidence, method, source, num, str FROM c WHERE NOT (signal_id IN ('node.hoVcpu', 'node.drVcpu') AND method = 'vision' AND EXISTS (FROM best))
-UNION ALL SELECT s, 1.0, 'table-lookup', source, vcpu, NULL FROM best, (SELECT unnest(['node.hoVcpu', 'node.drVcpu']) AS s)
- WHERE s NOT IN (SELECT signal_id FROM c WHERE method IN ('keyvalue', 'numeric-series', 'table-lookup', 'manual'))"""
+SQL["tier_lookup"] = f"WITH {rows('tiers', 'tier, vcpu', TIERS)} SELECT s_suppkey, ' m' || s_suppkey % 31 * 10 || ' ' AS name, vcpu FROM supplier JOIN tiers ON 'M' || s_suppkey % 31 * 10 = tier"
+SQL["tier_synthesis"] = f"""WITH {rows('tiers', 'tier, vcpu', TIERS)}, {methods}, c AS (SELECT s_nationkey AS "case", ['node.atlasTier', 'node.hoVcpu', 'node.drVcpu', 'cluster.shardCount'][s_suppkey % 4 + 1] AS signal_id,
+ CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 7 + 1 END::DOUBLE AS num, CASE WHEN s_suppkey % 4 = 0 THEN 'M' || s_suppkey % 9 * 10 END AS str, (s_suppkey % 100 / 100)::DOUBLE AS confidence,
+ CASE WHEN s_suppkey % 4 = 2 AND s_nationkey % 2 = 0 THEN 'keyvalue' ELSE ['llm-text', 'vision', 'vision', 'table-lookup'][s_suppkey % 4 + 1] END AS method, 's' || s_suppkey AS source FROM supplier),
+top AS (SELECT c.*, row_number() OVER (PARTITION BY "case" ORDER BY trust DESC, confidence DESC, source) AS k FROM c JOIN methods USING (method) WHERE signal_id = 'node.atlasTier'),
+best AS (SELECT top.*, vcpu FROM top JOIN tiers ON str = tier WHERE k = 1)
+SELECT "case", signal_id, confidence, method, source, num, str FROM c WHERE NOT (signal_id IN ('node.hoVcpu', 'node.drVcpu') AND method = 'vision' AND "case" IN (SELECT "case" FROM best))
+UNION ALL SELECT b."case", s, 1.0, 'table-lookup', source, vcpu, NULL FROM best AS b, (SELECT unnest(['node.hoVcpu', 'node.drVcpu']) AS s)
+ WHERE NOT EXISTS (FROM c WHERE c."case" = b."case" AND c.signal_id = s AND c.method IN ('keyvalue', 'numeric-series', 'table-lookup', 'manual'))"""
 
 _bound = f"""{signals}, {methods}, b AS (SELECT signal_id, ord, method, cap, trust, CASE WHEN n_nationkey % 6 <> 5 THEN n_nationkey::DOUBLE END AS num, (n_nationkey * 37 % 100) / 100 AS confidence, n_name
  FROM signals JOIN nation ON ord = n_nationkey JOIN methods ON i = n_nationkey % 8)"""
@@ -92,15 +94,21 @@ SQL["verdict_text"] = f"""WITH {_cov}, {_labels}, v AS (SELECT count(*) AS n, co
  bool_and(status = 'satisfied') AND avg(effective) >= 0.69 AND NOT coalesce(bool_or(method = 'assumption-default'), FALSE) AS sure, list(label ORDER BY ord) FILTER (status = 'missing') AS gaps, list(label ORDER BY ord) FILTER (effective < 0.7) AS weak
  FROM cov JOIN lab USING (signal_id) WHERE criticality = 'required'),
 w AS (SELECT *, CASE WHEN m > 0 THEN 'blocked' WHEN sure THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier FROM v), x AS (SELECT string_agg(label, ', ' ORDER BY ord) AS c, count(*) AS k FROM cov JOIN lab USING (signal_id) WHERE criticality <> 'required' AND tco_critical AND status <> 'satisfied')
-SELECT tier, CASE tier WHEN 'blocked' THEN 'Blocked — ' || m || ' required signal(s) missing: ' || array_to_string(gaps[1:2], ', ') WHEN 'engineering-grade' THEN 'Engineering-grade — all required signals satisfied'
- ELSE 'Directional estimate — collect ' || array_to_string(weak[1:2], ', ') || ' to reach an engineering-grade number' END AS headline,
- s || '/' || n || ' required signals satisfied (mean confidence ' || printf('%.2f', a) || ').' || CASE WHEN tier = 'directional-estimate' THEN ' Limited by: ' || array_to_string(weak, ', ') || '.' ELSE '' END
- || CASE WHEN k > 0 THEN ' Note: ' || c || ' (a dominant cost driver) ' || CASE WHEN k > 1 THEN 'are' ELSE 'is' END || ' not yet evidenced — the cost case is not defensible until provided.' ELSE '' END AS rationale FROM w, x"""
+SELECT tier, CASE tier WHEN 'blocked' THEN 'Not ready: ' || m || ' of ' || n || ' required values are unknown. Ask first for: ' || array_to_string(gaps[1:2], ', ')
+ WHEN 'engineering-grade' THEN 'Ready to build on: each of the ' || n || ' required values has strong evidence'
+ ELSE 'A first estimate. Better evidence would firm it up, to begin with on: ' || array_to_string(weak[1:2], ', ') END AS headline,
+ 'Of ' || n || ' required values ' || s || ' have strong evidence, ' || (n - s - m) || ' have weak evidence and ' || m || ' none; trust is ' || printf('%.2f', a) || ' on average.'
+ || CASE WHEN tier = 'directional-estimate' THEN ' The weakest: ' || array_to_string(weak, ', ') || '.' ELSE '' END
+ || CASE WHEN k > 0 THEN ' The costs also hang on what nothing shows so far: ' || c || '.' ELSE '' END AS rationale FROM w, x"""
 SQL["nation_verdicts"] = f"""WITH {signals}, e AS (SELECT n_nationkey, CASE WHEN ord % (n_regionkey + 1) = 0 THEN 1.0::DOUBLE - n_nationkey / 100 ELSE 0 END AS x FROM nation, signals WHERE criticality = 'required')
 SELECT n_nationkey, CASE WHEN min(x) < 0.2 THEN 'blocked' WHEN min(x) >= 0.7 AND avg(x) >= 0.69 THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier,
  count(*) FILTER (x >= 0.7) AS required_satisfied, count(*) FILTER (x < 0.2) AS required_missing, {r6('avg(x)')} AS mean_confidence FROM e GROUP BY 1"""
-SQL["what_to_collect"] = f"""WITH {_cov} SELECT signal_id, criticality, CASE WHEN status = 'missing' AND criticality = 'required' THEN 'blocking' ELSE 'upgrade' END AS severity,
- CASE WHEN status = 'missing' THEN 'missing' ELSE 'low-confidence' END AS state, effective FROM cov WHERE (criticality = 'required' OR tco_critical) AND status <> 'satisfied'"""
+_forms = rows("forms", "method, form", DELIVERIES)
+_requests = f"""{_forms}, req AS (SELECT signal_id, label || ': ' || (SELECT string_agg(form, ' or ' ORDER BY list_position(derivable, method)) FROM forms WHERE list_contains(derivable, method)) AS request,
+ CASE WHEN criticality = 'required' THEN 'Without it there is no size' WHEN tco_critical THEN 'Costs hang on it' ELSE 'It makes the estimate surer' END AS why FROM signals JOIN lab USING (signal_id))"""
+SQL["what_to_collect"] = f"""WITH {_cov}, {_labels}, {_requests}, w AS (SELECT signal_id, criticality, CASE WHEN status = 'missing' AND criticality = 'required' THEN 'blocking' ELSE 'upgrade' END AS severity,
+ CASE WHEN status = 'missing' THEN 'missing' ELSE 'low-confidence' END AS state, effective FROM cov WHERE (criticality = 'required' OR tco_critical) AND status <> 'satisfied')
+SELECT *, CAST(row_number() OVER (ORDER BY severity, effective, signal_id) AS INTEGER) AS rank FROM w JOIN req USING (signal_id)"""
 SQL["gate_items"] = f"WITH {_cov} SELECT signal_id, status, effective FROM cov WHERE criticality = 'required' AND (status = 'missing' OR (status = 'partial' AND effective < 0.7))"
 SQL["missing_required"] = f"WITH {_bound} SELECT signal_id FROM signals WHERE criticality = 'required' AND signal_id NOT IN (SELECT signal_id FROM b WHERE num IS NOT NULL)"
 SQL["inventory"] = f"""WITH {_bound} SELECT name, ok, CASE WHEN name = 'f' THEN found ELSE '' END AS signals, CASE WHEN name = 'f' THEN 'evidence' WHEN ok THEN 'noise' ELSE 'unrecognized' END AS role
@@ -157,13 +165,16 @@ p AS (SELECT prop.yr, base.central AS onprem, max(prop.central * f) FILTER (post
 u AS (SELECT *, (SELECT min(k) FROM (SELECT unnest([2, 3, 4, 5]) AS k) WHERE k * onprem >= onprem + move + k * warm) AS payback_warm FROM p)
 SELECT yr, {r6('onprem')} AS onprem, {r6('warm')} AS warm, {r6('cold')} AS cold, {r6('list_warm')} AS list_warm, floor(100 * (onprem - warm) / nullif(onprem, 0) + 0.5)::BIGINT AS saving_warm_pct,
  {r6('5 * onprem - (onprem + move + 5 * warm)')} AS net_warm, payback_warm, {r6('onprem + move + warm')} AS transition, ceil(1.0::DOUBLE + 0.2::DOUBLE * (yr / 100)::DOUBLE)::BIGINT AS cold_hours FROM u"""
-SQL["range_normalize"] = f"""WITH {rows('r', 'component, low, central, high', Q.RANGES)}, v AS (SELECT component, low::DOUBLE AS low, central::DOUBLE AS central, high::DOUBLE AS high,
+SQL["range_normalize"] = f"""WITH r AS (SELECT p_partkey AS component, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN -p_size WHEN 2 THEN p_size * 3 WHEN 3 THEN p_size * 0.5::DOUBLE ELSE p_size END AS low, p_size AS central,
+ CASE p_partkey % 7 WHEN 4 THEN p_size * 1.01::DOUBLE WHEN 5 THEN p_size ELSE p_size * 2 END AS high FROM part), v AS (SELECT component, low::DOUBLE AS low, central::DOUBLE AS central, high::DOUBLE AS high,
  CASE WHEN low IS NULL OR low < 0 THEN 'low is not a number of 0 or more' WHEN central IS NULL OR central < 0 THEN 'central is not a number of 0 or more' WHEN high IS NULL OR high < 0 THEN 'high is not a number of 0 or more' END AS p FROM r),
 w AS (SELECT *, p IS NULL AND central > 0 AND low <= central AND central <= high AND high - low < 0.1 * central AS pt FROM v),
 x AS (SELECT component, CASE WHEN pt THEN floor(central * 0.8::DOUBLE + 0.5) ELSE low END AS low, central, CASE WHEN pt THEN floor(central * 1.2::DOUBLE + 0.5) ELSE high END AS high, p FROM w)
 SELECT component, low, central, high, coalesce(p, CASE WHEN NOT (low <= central AND central <= high) THEN 'not in order' END) AS problem FROM x"""
-_sources = rows("src", '"case", quality, as_of, component, label, ord', [(*s, k) for k, s in enumerate(Q.SOURCES)])
-SQL["source_confidence"] = f"""WITH {_sources}, s AS (SELECT *, quality = 'training-cutoff' AS cut, quality <> 'training-cutoff' AND coalesce(date_diff('day', try_cast(as_of AS DATE), DATE '2026-03-01') > 180, FALSE) AS stale,
+_sources = """src AS (SELECT o_custkey AS "case", CASE WHEN o_orderkey % 5 < 2 THEN 'published' WHEN o_orderkey % 5 = 2 THEN 'synthesized' ELSE 'training-cutoff' END AS quality,
+ CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '2026-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS as_of, ['license', 'hardware', 'storage', 'labor'][o_orderkey % 4 + 1] AS component,
+ o_orderpriority AS label, o_orderkey AS ord FROM orders)"""
+SQL["source_confidence"] = f"""WITH {_sources}, s AS (SELECT *, quality = 'training-cutoff' AS cut, quality <> 'training-cutoff' AND coalesce(date_diff('day', try_cast(as_of AS DATE), DATE '1996-03-01') > 180, FALSE) AS stale,
  CASE quality WHEN 'published' THEN 0.75 WHEN 'synthesized' THEN 0.65 ELSE 0.5 END AS b FROM src),
 g AS (SELECT "case", min(CASE WHEN stale THEN least(b, 0.6) ELSE b END) AS c, bool_or(stale) AS stale, bool_and(cut) AS all_cutoff FROM s GROUP BY 1)
 SELECT "case", CASE WHEN all_cutoff THEN least(c, 0.5) ELSE least(c, 0.75) END::DOUBLE AS confidence, stale, all_cutoff FROM g"""
@@ -177,7 +188,7 @@ res AS (SELECT id, section, claim, CASE WHEN asked THEN coalesce(srcs, '(no cove
 SQL["claims_confidence"] = f"WITH {_resolved} SELECT * FROM res"
 SQL["checklist_summary"] = f"""WITH {_resolved} SELECT count(*) AS total, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low,
  string_agg(id, ',' ORDER BY id) FILTER (confidence <> 'high') AS to_check FROM res"""
-SQL["claims_merge"] = f"WITH {_claims} SELECT id, section, claim FROM cl UNION ALL SELECT 'c9', 'B', 'extra'"
+SQL["claims_merge"] = "SELECT 'c' || n_nationkey AS id, 'A' AS section, n_name AS claim FROM nation UNION ALL SELECT 'c' || c_custkey, 'B', c_name FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)"
 
 _uses = "u AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) ELSE 0 END AS i, CASE WHEN role <> 'user' THEN length(text) ELSE 0 END AS o FROM conversations)"
 _ledger = f"{_uses}, v AS (SELECT *, (i * 3.0::DOUBLE + o * 15.0::DOUBLE) / 1000 AS cost FROM u), g AS (SELECT *, sum(i + o) OVER w AS tt, sum(cost) OVER w AS tc FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"
@@ -205,7 +216,7 @@ def code_free(x: str) -> str:
 
 
 def entities(x: str) -> str:
-    for name, char in T.NAMED_ENTITIES:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
         x = re_all(x, f"(?i)&{name};", lit(char.replace("\\", "\\\\")))
     return x
 
@@ -219,7 +230,8 @@ def collapsed(x: str) -> str:
     return stripped(re_all(re_all(x, " *\\n *", "chr(10)"), r"\n{3,}", "chr(10) || chr(10)"))
 
 
-_targets = f"list_transform(regexp_extract_all({code_free('html')}, {lit(T.LINK)}, 1), lambda t: regexp_replace(t, '(?i)^mailto:', ''))"
+_link = r'(?i)\b(?:href|src|data-[\w-]+)\s*=\s*"(mailto:[^"]+|https?://[^"]+|[^"\s]*@[^"\s]+)"'
+_targets = f"list_transform(regexp_extract_all({code_free('html')}, {lit(_link)}, 1), lambda t: regexp_replace(t, '(?i)^mailto:', ''))"
 _tagged = re_all(re_all(code_free("html"), r"(?i)<br\s*/?>", "chr(10)"), r"(?i)</(?:p|div|li|tr|h[1-6]|table|section|article|header|footer|ul|ol|blockquote)\s*>", "chr(10)")
 _distinct = "list_filter(l, lambda x, i: list_position(l, x) = i)"
 SQL["html_links"] = f"SELECT page_id, array_to_string({_distinct}, ' ') AS targets FROM (SELECT page_id, {_targets} AS l FROM pages)"
@@ -237,8 +249,11 @@ def hits(pattern: str, group: int) -> str:
     return f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {lit(pattern)}, {group})) AS phrase FROM documents"
 
 
-_stop = lit(list(T.STOP_WORDS))
-_names = rf"nm AS (SELECT doc_id, phrase, w, CASE WHEN len(w) <= 2 THEN 'person' ELSE 'term' END AS type FROM (SELECT doc_id, phrase, regexp_split_to_array(phrase, '\s+') AS w FROM ({hits(T.NAME, 1)})) WHERE NOT list_contains({_stop}, w[1]))"
+_stop = lit(
+    "The This That These Those A An In On For And Or But Our Your We It As At By To Of If Is Are With From Per Via All Each When While Note See Table Figure Section Summary Overview".split()
+)
+_name = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+){1,3})"
+_names = rf"nm AS (SELECT doc_id, phrase, w, CASE WHEN len(w) <= 2 THEN 'person' ELSE 'term' END AS type FROM (SELECT doc_id, phrase, regexp_split_to_array(phrase, '\s+') AS w FROM ({hits(_name, 1)})) WHERE NOT list_contains({_stop}, w[1]))"
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _ipv4 = rf"\b{_octet}(?:\.{_octet}){{3}}\b"
 _host = r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){2,}\b"
@@ -277,14 +292,18 @@ SELECT doc_id, len(f) AS n_replaced, array_to_string(list_transform(range(1, len
 SQL["anonymize_round_trip"] = "SELECT doc_id, text FROM documents"
 SQL["slug_conflict"] = "SELECT DISTINCT lower(left(n_name, 3)) AS slug FROM nation WHERE EXISTS (FROM documents WHERE contains(text, lower(left(n_name, 3))))"
 SQL["map_round_trip"] = "SELECT n_name || chr(9) || '\\t' || chr(10) || '\\' || n_name AS phrase, 's' || chr(13) || n_nationkey AS slug FROM nation"
-SQL["map_problems"] = """SELECT * FROM (VALUES ('', 'S2', 'empty'), ('zz', ' ', 'empty'), ('c', 'c', 'maps to itself'), ('a', 'S1', 'slug used twice'), ('b', 'S1', 'slug used twice'),
- ('a', 'S1', 'inside another phrase'), ('b', 'S1', 'inside another phrase'), ('c', 'c', 'inside another phrase')) AS x(phrase, slug, problem)"""
+SQL["map_problems"] = """WITH e AS (SELECT CASE s_suppkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN 'x' || s_name ELSE s_name END AS phrase,
+ CASE s_suppkey % 10 WHEN 2 THEN s_name WHEN 3 THEN '' WHEN 5 THEN 'EV_' || (s_suppkey - 1) ELSE 'EV_' || s_suppkey END AS slug FROM supplier
+ UNION ALL SELECT right(s_name, 6), 'IN_' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 6)
+SELECT phrase, slug, 'empty' AS problem FROM e WHERE trim(phrase) = '' OR trim(slug) = '' UNION ALL SELECT phrase, slug, 'maps to itself' FROM e WHERE phrase = slug AND trim(phrase) <> ''
+ UNION ALL SELECT phrase, slug, 'slug used twice' FROM e WHERE slug IN (SELECT slug FROM e GROUP BY slug HAVING count(DISTINCT phrase) > 1)
+ UNION ALL SELECT phrase, slug, 'inside another phrase' FROM e WHERE phrase <> '' AND EXISTS (FROM e AS o WHERE o.phrase <> e.phrase AND contains(o.phrase, e.phrase))"""
 SQL["redact_key"] = "SELECT doc_id, regexp_replace(replace(text || ' sk-abcDEF_12-3 key-' || doc_id || ' sk-ab', 'key-' || doc_id, '***'), 'sk-[A-Za-z0-9_-]{4,}', '***', 'g') AS text FROM documents"
 SQL["slugs_and_escapes"] = """SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'case') AS slug,
  replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages"""
 SQL["iso_dates"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"
-SQL["type_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[1])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, type)"
-SQL["delimiter_detect"] = f"SELECT * FROM (VALUES {', '.join(f'({k}, {lit(x[2])})' for k, x in enumerate(Q.TEXTS))}) AS x(id, delimiter)"
+SQL["type_detect"] = f"SELECT c_custkey, ({lit([x[1] for x in Q.TEXTS])})[c_custkey % {len(Q.TEXTS)} + 1] AS type FROM customer"
+SQL["delimiter_detect"] = f"SELECT c_custkey, ({lit([x[2] for x in Q.TEXTS])})[c_custkey % {len(Q.TEXTS)} + 1] AS delimiter FROM customer"
 SQL["text_types_of_tables"] = "SELECT 'page' AS k, page_id AS id, 'html' AS type FROM pages UNION ALL SELECT 'event', event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END FROM events"
 
 # Bindings: what each key or header stands for, the longest alias first, then the profile's order.
@@ -305,7 +324,7 @@ SQL["series_bindings"] = f"""WITH e AS (SELECT event_type AS source, unnest([{{'
 g AS (SELECT source, s, h, avg(x) AS a, max(x) AS p FROM e WHERE x >= 0 GROUP BY 1, 2, 3), f AS (SELECT *, CASE WHEN p > 1.5 THEN 100.0 ELSE 1.0 END::DOUBLE AS k FROM g)
 SELECT source, s AS signal_id, {r6('a / k')} AS avg, {r6('p / k')} AS peak, 0.95::DOUBLE AS confidence, 'numeric-series' AS method, h AS locator FROM f"""
 _versions = "SELECT 'c-' || o_custkey AS case_id, lpad(o_orderkey::VARCHAR, 12, '0') AS version, strftime(o_orderdate, '%Y-%m-%d') AS saved_at, [o_orderpriority, o_orderstatus] AS blobs FROM orders"
-SQL["archive_listing"] = f"SELECT case_id, count(*) AS versions, max(saved_at) AS updated_at FROM ({_versions}) GROUP BY 1"
+SQL["archive_listing"] = f"SELECT *, row_number() OVER (ORDER BY updated_at DESC, case_id) AS rank FROM (SELECT case_id, count(*) AS versions, max(saved_at) AS updated_at FROM ({_versions}) GROUP BY 1)"
 SQL["archive_blobs"] = f"SELECT case_id, version, blob, case_id || '/' || blob AS content FROM (SELECT case_id, max(version) AS version, unnest(arg_max(blobs, version)) AS blob FROM ({_versions}) GROUP BY 1)"
 SQL["dollar_amounts"] = """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) * 10000 ELSE floor(o_totalprice) END AS x FROM orders)
 SELECT o_orderkey, CASE WHEN x >= 1000000 THEN '$' || printf('%.2f', x / 1000000) || 'M' ELSE '$' || floor(x / 1000 + 0.5)::BIGINT || 'K' END AS amount FROM a"""

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators.numbering import numbered
+
 CASE_ID = r"^[a-z0-9][a-z0-9-]{0,63}$"
 
 
@@ -39,6 +41,6 @@ def with_blobs(cases: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def listing(all_versions: DataFrame) -> DataFrame:
-    """Cases with their number of versions, the newest first."""
+    """Cases with their number of versions and their rank, the newest first."""
     found = all_versions.groupBy("case_id").agg(F.count(F.lit(1)).alias("versions"), F.max("saved_at").alias("updated_at"))
-    return found.orderBy(F.desc("updated_at"), "case_id")
+    return numbered(found, [], [F.desc("updated_at"), F.asc("case_id")], "rank")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.config import METHODS, label_table, method_table, signal_table, tier_table
+from evidentia.config import METHODS, label_table, method_table, request_table, signal_table, tier_table
 from evidentia.functions import numbers as N
 from evidentia.functions import text as T
 from evidentia.operators import binding as B
@@ -92,8 +92,11 @@ HEADERS = ("System CPU", "Secondary  CPU (%)", "DR CPU", "Number of Shards", "in
 
 @query
 def alias_match(spark, d):
-    headers = spark.createDataFrame([(h,) for h in HEADERS], "header string")
-    return B.alias_match(headers, "header", signal_table(spark))
+    """How many parts stand under each header, with the brand in it, and what it is."""
+    p = t(spark, d, "part")
+    word = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("p_partkey") % len(HEADERS) + 1).cast("int"))
+    headers = p.groupBy(F.concat(word, F.lit(" "), "p_brand").alias("header")).agg(F.count(F.lit(1)).alias("n"))
+    return B.alias_match(headers, "header", signal_table(spark)).select("header", "signal_id", "value_kind", "n")
 
 
 def event_candidates(spark, d) -> DataFrame:
@@ -120,31 +123,29 @@ def role_assign(spark, d):
     return B.assign_roles(n.select("n_regionkey", idx.alias("idx"), label.alias("label"), "peak"), ["n_regionkey"])
 
 
-TIER_NAMES = (" m80 ", "M30", "M5", "m300", "", "M80")
-
-
 @query
 def tier_lookup(spark, d):
-    return B.tier_lookup(spark.createDataFrame([(x,) for x in TIER_NAMES], "name string"), tier_table(spark), "name")
-
-
-# signal, num, str, confidence, method, source
-CANDIDATES = (
-    ("node.atlasTier", None, "M80", 0.9, "vision", "a.png"), ("node.atlasTier", None, "M30", 0.6, "llm-text", "b.txt"),
-    ("node.hoVcpu", 24.0, None, 0.7, "vision", "a.png"), ("node.drVcpu", 16.0, None, 1.0, "keyvalue", "c.csv"),
-    ("cluster.shardCount", 3.0, None, 0.95, "table-lookup", "c.csv"),
-)
+    name = F.concat(F.lit(" m"), (F.col("s_suppkey") % 31 * 10).cast("string"), F.lit(" "))
+    return B.tier_lookup(t(spark, d, "supplier").select("s_suppkey", name.alias("name")), tier_table(spark), "name").select("s_suppkey", "name", "vcpu")
 
 
-def candidate_rows(spark) -> DataFrame:
-    rows = [(s, (n, None, None, x), c, m, f, s) for s, n, x, c, m, f in CANDIDATES]
-    return spark.createDataFrame(rows, f"signal_id string, value {B.VALUE}, confidence double, method string, source string, locator string")
+def supplier_candidates(spark, d) -> DataFrame:
+    """A case for each nation; its suppliers tell tiers, processors and shards, in pictures, texts and tables."""
+    k = F.col("s_suppkey")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % 4 + 1).cast("int"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("M"), (k % 9 * 10).cast("string")))
+    value = F.struct(F.when(k % 4 != 0, (k % 7 + 1).cast("double")).alias("num"), F.lit(None).cast("double").alias("avg"), F.lit(None).cast("double").alias("peak"), text.alias("str"))
+    method = F.when((k % 4 == 2) & (F.col("s_nationkey") % 2 == 0), "keyvalue").otherwise(pick("llm-text", "vision", "vision", "table-lookup"))
+    source = F.concat(F.lit("s"), k.cast("string"))
+    return t(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("case"), pick("node.atlasTier", "node.hoVcpu", "node.drVcpu", "cluster.shardCount").alias("signal_id"), value.alias("value"),
+        (k % 100 / 100).alias("confidence"), method.alias("method"), source.alias("source"), source.alias("locator"))
 
 
 @query
 def tier_synthesis(spark, d):
-    found = B.synthesize_tiers(candidate_rows(spark), method_table(spark), tier_table(spark))
-    return found.select("signal_id", "confidence", "method", "source", F.col("value.num").alias("num"), F.col("value.str").alias("str"))
+    found = B.synthesize_tiers(supplier_candidates(spark, d), method_table(spark), tier_table(spark), ("case",))
+    return found.select("case", "signal_id", "confidence", "method", "source", F.col("value.num").alias("num"), F.col("value.str").alias("str"))
 
 
 def nation_bindings(spark, d) -> DataFrame:
@@ -200,7 +201,7 @@ def case_models(spark, d):
 
 @query
 def what_to_collect(spark, d):
-    return C.what_to_collect(covered(spark, d))
+    return C.what_to_collect(covered(spark, d), request_table(spark))
 
 
 @query
@@ -422,31 +423,33 @@ def chart_axes(spark, d):
     return b.select("yr", M.axis_thousands(N.thousands(F.col("central"))).alias("max_k"), M.axis_millions(F.col("central") * 5).alias("max_m"))
 
 
-RANGES = (("a", 90.0, 100.0, 99.0), ("b", 99.0, 100.0, 101.0), ("c", 50.0, 100.0, 200.0), ("d", -1.0, 1.0, 2.0), ("e", 0.0, 0.0, 0.0), ("f", 200.0, 100.0, 300.0), ("g", None, 1.0, 2.0), ("h", 2.5, 2.5, 2.5))
-
-
 @query
 def range_normalize(spark, d):
-    return M.normalize_ranges(spark.createDataFrame(list(RANGES), "component string, low double, central double, high double"))
-
-
-SOURCES = ((1, "published", "2026-01-10", "license", "vendor list"), (1, "synthesized", "2026-02-01", "hardware", "two quotes"), (2, "published", "2025-01-01", "license", "old list"),
-           (3, "training-cutoff", "2020-01-01", "storage", "memory"), (3, "training-cutoff", None, "license", "memory"), (4, "published", "2025-13-40", "license", "odd date"), (4, "training-cutoff", "2026-01-01", "x", "m"))
+    """Ranges of parts: points, ranges, and some that are out of order or no numbers."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    low = F.when(k % 7 == 0, None).when(k % 7 == 1, -size).when(k % 7 == 2, size * 3).when(k % 7 == 3, size * 0.5).otherwise(size)
+    high = F.when(k % 7 == 4, size * 1.01).when(k % 7 == 5, size).otherwise(size * 2)
+    return M.normalize_ranges(t(spark, d, "part").select(k.alias("component"), low.alias("low"), size.alias("central"), high.alias("high")))
 
 
-def source_rows(spark) -> DataFrame:
-    return spark.createDataFrame([(*s, k) for k, s in enumerate(SOURCES)], "case int, quality string, as_of string, component string, label string, ord int")
+def source_rows(spark, d) -> DataFrame:
+    """Sources of costs: an order is one, its customer's the case; some dates are missing or none."""
+    k = F.col("o_orderkey")
+    day = F.when(k % 11 == 0, None).when(k % 11 == 1, F.lit("2026-02-30")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    quality = F.when(k % 5 < 2, "published").when(k % 5 == 2, "synthesized").otherwise("training-cutoff")
+    component = F.element_at(F.array(*map(F.lit, ("license", "hardware", "storage", "labor"))), (k % 4 + 1).cast("int"))
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("case"), quality.alias("quality"), day.alias("as_of"), component.alias("component"), "o_orderpriority", k.alias("ord")).withColumnRenamed("o_orderpriority", "label")
 
 
 @query
 def source_confidence(spark, d):
-    return M.source_confidence(source_rows(spark), ["case"], F.lit("2026-03-01").cast("date"))
+    return M.source_confidence(source_rows(spark, d), ["case"], F.lit("1996-03-01").cast("date"))
 
 
 @query
 def first_source(spark, d):
     components = costs(spark, d).select("component").distinct()
-    return M.first_sources(components, source_rows(spark))
+    return M.first_sources(components, source_rows(spark, d))
 
 
 # --- claims -----------------------------------------------------------------------------------
@@ -476,8 +479,9 @@ def checklist_summary(spark, d):
 
 @query
 def claims_merge(spark, d):
-    more = spark.createDataFrame([("c4", "A", "other rate"), ("c9", "B", "extra")], "id string, section string, claim string")
-    return K.merge_claims(claim_rows(spark).select("id", "section", "claim"), more)
+    own = t(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("A").alias("section"), F.col("n_name").alias("claim"))
+    more = t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit("B").alias("section"), F.col("c_name").alias("claim"))
+    return K.merge_claims(own, more)
 
 
 # --- ledgers and logs -------------------------------------------------------------------------
@@ -702,8 +706,13 @@ def map_round_trip(spark, d):
 
 @query
 def map_problems(spark, d):
-    rows = [("a", "S1"), ("b", "S1"), ("", "S2"), ("c", "c"), ("abc", "S3"), ("zz", " ")]
-    return P.validate_map(spark.createDataFrame(rows, "phrase string, slug string"))
+    """A map of suppliers' names: some are empty, their own slug, share a slug, or stand within others."""
+    k = F.col("s_suppkey")
+    phrase = F.when(k % 10 == 0, " ").when(k % 10 == 1, F.concat(F.lit("x"), "s_name")).otherwise(F.col("s_name"))
+    slug = F.when(k % 10 == 2, F.col("s_name")).when(k % 10 == 3, F.lit("")).otherwise(F.concat(F.lit("EV_"), (k - F.when(k % 10 == 5, 1).otherwise(0)).cast("string")))
+    rows = t(spark, d, "supplier").select(phrase.alias("phrase"), slug.alias("slug"))
+    within = t(spark, d, "supplier").where("s_suppkey % 10 = 6").select(F.right("s_name", F.lit(6)).alias("phrase"), F.concat(F.lit("IN_"), k.cast("string")).alias("slug"))
+    return P.validate_map(rows.unionByName(within))
 
 
 @query
@@ -732,16 +741,21 @@ TEXTS = (
 )
 
 
+def written(spark, d) -> DataFrame:
+    """A text of each customer, of one of the kinds of TEXTS, with the customer's number in it."""
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(*[F.lit(x) for x, _, _ in TEXTS]), (k % len(TEXTS) + 1).cast("int"))
+    return t(spark, d, "customer").select("c_custkey", F.replace(text, F.lit("1"), k.cast("string")).alias("text"))
+
+
 @query
 def type_detect(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, (x, _, _) in enumerate(TEXTS)], "id int, text string")
-    return rows.select("id", R.text_type(F.col("text")).alias("type"))
+    return written(spark, d).select("c_custkey", R.text_type(F.col("text")).alias("type"))
 
 
 @query
 def delimiter_detect(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, (x, _, _) in enumerate(TEXTS)], "id int, text string")
-    return rows.select("id", R.delimiter_of(F.col("text")).alias("delimiter"))
+    return written(spark, d).select("c_custkey", R.delimiter_of(F.col("text")).alias("delimiter"))
 
 
 @query

@@ -61,10 +61,10 @@ def test_sufficiency_by_case(spark, found):
     assert covered.count() == 72
     judged = C.verdict_text(C.verdict(covered, keys=("case",)), covered, label_table(spark), ("case",))
     rows = {r.case: r for r in judged.collect()}
-    assert rows["one"].tier == "engineering-grade" and rows["one"].headline == "Engineering-grade — all required signals satisfied"
+    assert rows["one"].tier == "engineering-grade" and rows["one"].headline == "Ready to build on: each of the 7 required values has strong evidence"
     assert rows["two"].tier == "blocked" and "On-disk (compressed) storage size" in rows["two"].headline
-    assert rows["three"].headline.startswith("Blocked — 7 required signal(s) missing: Shard count")
-    assert rows["one"].rationale.endswith("Note: Logical data size (a dominant cost driver) is not yet evidenced — the cost case is not defensible until provided.")
+    assert rows["three"].headline.startswith("Not ready: 7 of 7 required values are unknown. Ask first for: Shard count")
+    assert rows["one"].rationale.endswith("The costs also hang on what nothing shows so far: Logical data size.")
     inputs = B.sizing_inputs(found.bindings, signal_table(spark), ("case",))
     assert [(r.case, r.shards) for r in inputs.collect()] == [("one", 3.0)]
     asked = X.cost_profiles(inputs, found.bindings).first()
