@@ -5,11 +5,16 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.numbers import thousands
 from evidentia.functions.text import redact_keys
+from evidentia.operators.numbering import numbered
 from evidentia.operators.phrases import replace_phrases, slug_conflicts
 from evidentia.plans.claims import percent_pair
-from evidentia.sources.files import quarantine, read_files
+from evidentia.scratch import Scratch
+from evidentia.sources.files import quarantine, read_files, write_files
+from evidentia.sources.folder import plain_path
 
 MAIL_CHARS = 1500
+#: Longer texts are not rewritten. Fixed value.
+MOST_TEXT = 64 << 20
 
 
 def file_events(parts: DataFrame, at: Column, key: Column | None = None) -> DataFrame:
@@ -24,13 +29,11 @@ def file_events(parts: DataFrame, at: Column, key: Column | None = None) -> Data
 
 def hide_names(events: DataFrame, text: str = "message") -> DataFrame:
     """File names in messages and titles become file-1, file-2 and so on, in the order of time and name; an event's own name is hidden."""
-    names = events.select(F.col("context")["file"].alias("name"), "at").where("name is not null").groupBy("name").agg(F.min("at").alias("at"))
-    # The numbers of a report's few files; a report is one person's.
-    ranked = names.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
-    met = events.crossJoin(F.broadcast(ranked))
-    alias = F.concat(F.lit("file-"), F.array_position("names", F.col("context")["file"]).cast("string"))
-    own = F.col("context")["file"]
-    return met.withColumns({c: F.when(own.isNotNull(), F.replace(c, own, alias)).otherwise(F.col(c)) for c in (text, "title")}).drop("names")
+    own = events.select(F.col("context")["file"].alias("__name"), "at").where("__name is not null").groupBy("__name").agg(F.min("at").alias("__at"))
+    ranked = numbered(own, [], ["__at", "__name"], "__k").select("__name", "__k")
+    met = events.join(ranked, events["context"]["file"] == F.col("__name"), "left")
+    alias = F.concat(F.lit("file-"), F.col("__k").cast("string"))
+    return met.withColumns({c: F.when(F.col("__k").isNotNull(), F.replace(c, F.col("__name"), alias)).otherwise(F.col(c)) for c in (text, "title")}).drop("__name", "__k")
 
 
 def report_lines(events: DataFrame) -> DataFrame:
@@ -91,19 +94,32 @@ def total_claims(savings: DataFrame, paid: DataFrame, keys: list[str]) -> DataFr
 
 
 def rewrite_folder(spark: SparkSession, path: str, entries: DataFrame, out: str, reverse: bool = False) -> DataFrame:
-    """Replaces phrases in every text file below ``path``; returns (name, flag, n_replaced).
+    """Replaces phrases in every text file below ``path``; returns (name, flag, n_replaced), names below the folder.
 
-    Nothing is written if a slug already stands in some text, as it could not be undone.
-    Texts go to ``out``/texts as (name, text), files that are not texts to ``out``/flagged as they are.
+    Nothing is written if a slug already stands in some text, as it could not be undone. ``out``/texts gets the texts, name
+    for name, and ``out``/flagged the files that are no texts, as they are; each all at once. A flagged file beyond
+    the reader's limits is listed and stays where it is.
     """
-    files = quarantine(read_files(spark, path))
+    top = path.rstrip("/") + "/"
+    files = quarantine(read_files(spark, path, MOST_TEXT)).withColumn("name", F.replace("name", F.lit(plain_path(top) or top), F.lit("")))
+    files = files.withColumn("flag", F.when(F.col("content").isNull(), F.coalesce("flag", F.lit("binary"))).otherwise(F.col("flag")))
     texts = files.where("flag is null").select("name", F.decode("content", "UTF-8").alias("text"))
     if not reverse:
         held = [r.slug for r in slug_conflicts(texts, entries).limit(10).collect()]
         if held:
             raise ValueError(f"slugs already in the texts: {', '.join(sorted(held))}")
-    done = replace_phrases(texts, entries, reverse=reverse)
-    done.write.mode("overwrite").parquet(f"{out}/texts")
-    files.where("flag is not null").select("name", "flag", "content").write.mode("overwrite").parquet(f"{out}/flagged")
-    kept = spark.read.parquet(f"{out}/texts").select("name", F.lit(None).cast("string").alias("flag"), "n_replaced")
-    return kept.unionByName(spark.read.parquet(f"{out}/flagged").select("name", "flag", F.lit(0).alias("n_replaced"))).orderBy("name")
+    done = Scratch(spark).keep(replace_phrases(texts, entries, reverse=reverse), "rewritten")
+    write_files(done.select("name", F.col("text").alias("content")), f"{out}/texts")
+    write_files(files.where("flag is not null and content is not null"), f"{out}/flagged")
+    return done.select("name", F.lit(None).cast("string").alias("flag"), "n_replaced").unionByName(files.where("flag is not null").select("name", "flag", F.lit(0).alias("n_replaced")))
+
+
+def format_report(rewritten: DataFrame, shown: int = 20) -> DataFrame:
+    """One row, report: what ``rewrite_folder`` did as text: counts by flag, and the first ``shown`` flagged names."""
+    counts = rewritten.groupBy(F.coalesce("flag", F.lit("rewritten")).alias("what")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_replaced").alias("hits"))
+    lines = counts.select("what", F.concat(F.lit("  "), "what", F.lit(": "), F.col("n").cast("string"), F.lit(" file(s), "), F.col("hits").cast("string"), F.lit(" replacement(s)")).alias("line"))
+    flagged = rewritten.where("flag is not null").orderBy("name").limit(shown)  # a report's length, not a result's
+    both = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("what", "line"))), lambda x: x["line"]), "\n").alias("a")).crossJoin(
+        flagged.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "flag"))), lambda x: F.concat(F.lit("  left as it is: "), x["name"], F.lit(" ("), x["flag"], F.lit(")"))), "\n").alias("b"))
+    )
+    return both.select(F.concat_ws("\n", F.lit("Files:"), F.nullif("a", F.lit("")), F.nullif("b", F.lit(""))).alias("report"))

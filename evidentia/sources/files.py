@@ -1,6 +1,6 @@
 """Mixed files: type by content, and the text, tables, pairs and images in them.
 
-Files come from Spark's binaryFile reader. Everything that has a built-in function is an
+Files come from ``folder`` or from Spark's binaryFile reader. Everything that has a built-in function is an
 expression; containers, mail and quoted fields are read by small functions inside tasks,
 one file at a time, and a file that cannot be read becomes a report, not a failure.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import html_text, paragraphs, strip, xml_text
+from evidentia.scratch import prepare
+from evidentia.sources.folder import Folder, plain_path
 
 MOST_BYTES = 25 << 20
 MOST_INFLATED = 200 << 20
@@ -33,10 +35,31 @@ HTML_START = r"^<(head|body|div|table|p|span|ul|ol|h[1-6]|article|section|nav|ma
 PARTS = "name string, type string, kind string, part string, text string, headers array<string>, rows array<array<string>>, pairs map<string,string>, bytes binary, error string"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, content) of all files below a path. Spark's reader passes over empty files."""
+def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, every_type: bool = False) -> DataFrame:
+    """(name, length, head, content) of all files below a path; the content of those that are refused is never read.
+
+    A folder that all machines mount is read in ranges (``folder.FolderReader``): a file's first bytes tell whether the rest is read;
+    ``every_type`` reads the rest of types without a reader too, for readers that a caller brings.
+    Of another store, listing and length come first, and only files of up to ``most_bytes`` are opened; Spark's
+    reader passes over empty files there.
+    """
+    if plain_path(path):
+        prepare(spark)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(Folder)
+        return spark.read.format(Folder.name()).option("path", path).option("most_bytes", most_bytes).option("every_type", every_type).load().drop("n_read")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("name"), "length", "content")
+    none = F.lit(None).cast("binary")
+    small = files.where(F.col("length") <= most_bytes).select(F.col("path").alias("name"), "length", none.alias("head"), "content")
+    return small.unionByName(files.where(F.col("length") > most_bytes).select(F.col("path").alias("name"), "length", none.alias("head"), none.alias("content")))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Rows (name, content: text or bytes) as files below a folder that all machines mount; all of them appear, or none."""
+    spark = files.sparkSession
+    prepare(spark)
+    spark.dataSource.register(Folder)
+    files.select("name", "content").write.format(Folder.name()).mode("append").option("path", path).save()
 
 
 def unquoted_count(line: Column, delimiter: str) -> Column:
@@ -372,7 +395,10 @@ def extract(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataF
     need libraries of their own) are reported as unsupported, with what to do about it.
     """
     readers = READERS | (readers or {})
-    typed = files.withColumn("type", F.when(F.length("content") > MOST_BYTES, "too large").otherwise(content_type(F.col("content"))))
+    # A file whose content was not read is told by its first bytes.
+    known = F.coalesce(F.col("content"), F.col("head")) if "head" in files.columns else F.col("content")
+    size = F.col("length") if "length" in files.columns else F.length("content")
+    typed = files.withColumn("type", F.when((size > MOST_BYTES) | known.isNull(), "too large").otherwise(content_type(known)))
     nothing = {c.split()[0]: F.lit(None).cast(c.split(None, 1)[1]) for c in PARTS.split(", ")}
 
     def rows(df: DataFrame, **given: Column) -> DataFrame:
@@ -406,7 +432,8 @@ def cells_of(parts: DataFrame) -> DataFrame:
 
 def quarantine(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """With ``flag``: why a file's text is not to be rewritten (image, large, binary, not UTF-8), or null."""
-    text = F.col("content").cast("string")
+    content = F.coalesce(F.col("content"), F.col("head")) if "head" in files.columns else F.col("content")
+    text = content.cast("string")
     image = F.lower("name").rlike(r"\.(png|jpe?g|gif|webp|bmp|tiff?|ico)$")
     controls = F.length(F.regexp_replace(text, r"[\x01-\x08\x0E-\x1F]", ""))
     binary = text.contains("\u0000") | ((F.length(text) > 0) & ((F.length(text) - controls) / F.length(text) > 0.05))

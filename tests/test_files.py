@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.phrases import variants
 from evidentia.operators.series import table_roles
-from evidentia.plans.reports import file_events, hide_names, mail_body, mail_link, report_lines, rewrite_folder, sizing_claims, total_claims
+from evidentia.plans.reports import file_events, format_report, hide_names, mail_body, mail_link, report_lines, rewrite_folder, sizing_claims, total_claims
 from evidentia.sources.files import cells_of, extract, parse_delimited, quarantine, read_files, rtf_text
 
 
@@ -47,7 +47,7 @@ def test_every_file_is_reported(parts):
     rows = {}
     for r in found.collect():
         rows.setdefault(r.name.rsplit("/", 1)[1], []).append(r)
-    assert set(rows) == set(FILES) - {"empty"}
+    assert set(rows) == set(FILES)
     assert rows["c.json"][0].text == '{"a": 1}' and rows["d.html"][0].text == "Hi there" and rows["p.xml"][0].text == "n"
     assert rows["a.csv"][0].rows == [["shards", "3"], ['quo"ted', "x,y"]]
     mail = {r.kind: r for r in rows["f.eml"]}
@@ -92,9 +92,17 @@ def test_folder(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("Acme met Acme Blue")
     (tmp_path / "in/b.png").write_bytes(b"x")
     entries = spark.createDataFrame([("Acme", "EV_ORG_01"), ("Acme Blue", "EV_ORG_02")], "phrase string, slug string")
-    got = {r.name.rsplit("/", 1)[1]: (r.flag, r.n_replaced) for r in rewrite_folder(spark, str(tmp_path / "in"), entries, str(tmp_path / "out")).collect()}
-    assert got == {"a.txt": (None, 2), "b.png": ("image", 0)}
-    assert spark.read.parquet(str(tmp_path / "out/texts")).first().text == "EV_ORG_01 met EV_ORG_02"
+    (tmp_path / "in/deep").mkdir()
+    (tmp_path / "in/deep/e.txt").write_text("é none")
+    (tmp_path / "in/deep/f.bin").write_bytes(b"\0\1\2")
+    done = rewrite_folder(spark, str(tmp_path / "in"), entries, str(tmp_path / "out"))
+    assert {r.name: (r.flag, r.n_replaced) for r in done.collect()} == {"a.txt": (None, 2), "b.png": ("image", 0), "deep/e.txt": (None, 0), "deep/f.bin": ("binary", 0)}
+    assert (tmp_path / "out/texts/a.txt").read_text() == "EV_ORG_01 met EV_ORG_02" and (tmp_path / "out/texts/deep/e.txt").read_text() == "é none"
+    assert (tmp_path / "out/flagged/b.png").read_bytes() == b"x"
+    report = format_report(done).first().report
+    assert report == "Files:\n  binary: 1 file(s), 0 replacement(s)\n  image: 1 file(s), 0 replacement(s)\n  rewritten: 2 file(s), 2 replacement(s)\n  left as it is: b.png (image)\n  left as it is: deep/f.bin (binary)"
+    back = rewrite_folder(spark, str(tmp_path / "out/texts"), entries, str(tmp_path / "back"), reverse=True)
+    assert back.count() == 2 and (tmp_path / "back/texts/a.txt").read_text() == "Acme met Acme Blue"
     (tmp_path / "in/c.txt").write_text("EV_ORG_02 is here")
     with pytest.raises(ValueError, match="EV_ORG_02"):
         rewrite_folder(spark, str(tmp_path / "in"), entries, str(tmp_path / "out2"))
