@@ -68,8 +68,8 @@ def flags(
     )
 
 
-def replay(flagged: DataFrame, letters: str = FILTERS) -> DataFrame:
-    """One row per part, order and step: what the step's filter does there; see ``filter_audit``.
+def step_counts(flagged: DataFrame, letters: str = FILTERS) -> DataFrame:
+    """One row per part, order (its number) and step: what the step's filter does there, without ``shapley``; see ``filter_audit``.
 
     Every document's mask meets every order (120 rows, in every task), each meeting is exploded into its steps, and the
     first step whose filter fails is where the document goes. Counts are added up within each task
@@ -84,7 +84,7 @@ def replay(flagged: DataFrame, letters: str = FILTERS) -> DataFrame:
     steps = played.withColumn("first", first).withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(1, n + 1)])))
     bit = F.element_at("bits", F.col("step"))
     fails, here = mask.bitwiseAND(bit) != 0, F.col("first") == F.col("step")
-    counted = steps.groupBy("part", "number", "step").agg(
+    return steps.groupBy("part", "number", "step").agg(
         F.count_if(F.col("first") > F.col("step")).alias("kept"),
         F.count_if(here).alias("removed"),
         F.count_if(fails & (F.col("first") < F.col("step"))).alias("redundant"),
@@ -92,6 +92,11 @@ def replay(flagged: DataFrame, letters: str = FILTERS) -> DataFrame:
         F.count_if(here & F.col("good")).alias("good_lost"),
         F.count_if(here & F.col("toxic")).alias("toxic_lost"),
     )
+
+
+def replay(flagged: DataFrame, letters: str = FILTERS) -> DataFrame:
+    """``step_counts`` with the orders' names, and each filter's removals over all orders."""
+    counted = Scratch(flagged.sparkSession).keep(step_counts(flagged, letters), "counted")  # used twice below
     named = counted.join(F.broadcast(orders(flagged.sparkSession, letters).select("number", "filter_order")), "number")
     letter = F.substr("filter_order", F.col("step"), F.lit(1))
     # A filter's removals over all orders: as many rows of a part as there are orders, whatever the part's size.

@@ -90,7 +90,9 @@ def look_up(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tota
     tagged = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     own = [F.when(F.col("__hot"), F.lit(-1)).otherwise(F.lit(0)).alias("__k"),
            F.when(F.col("__hot"), F.xxhash64(spread)).otherwise(F.lit(0)).alias("__s")]
-    rest = groups.where(F.col(size) < least).withColumns({"__k": F.lit(0), "__s": F.lit(0).cast("long")})
+    # Zeros that the optimiser does not know: it would turn the comparison with constants into a condition, and rows would not be dealt by it.
+    zero = F.pmod(F.col(size).cast("long"), F.lit(1))
+    rest = groups.where(F.col(size) < least).withColumns({"__k": zero.cast("int"), "__s": zero})
     met = tagged.select("*", *own).join(rest, [*keys, "__k", "__s"], "left")
     return met.select(
         *rows.columns, *[F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]

@@ -174,3 +174,12 @@ def test_look_up_hot_and_other_groups(spark):
     for total in (10, 60_000, 10**9):  # all groups hot, one hot, none
         got = look_up(rows, groups, ["k"], "n", total, "id")
         assert got.columns == ["id", "k", "v", "n"] and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_look_up_deals_rows_of_hot_keys_apart(spark, capsys):
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    groups = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    look_up(rows, groups, ["k"], "n", 1000, "id").explain()
+    plan = capsys.readouterr().out
+    assert "__s" in plan and ("SortMergeJoin [k" in plan or "HashJoin [k" in plan)
+    assert all("__s" in line for line in plan.splitlines() if "Join [k" in line and "__k" in line) and any("Join [k" in line and "__s" in line for line in plan.splitlines())

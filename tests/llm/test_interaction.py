@@ -2,7 +2,7 @@ import re
 from collections import Counter
 from itertools import permutations
 
-from evidentia.llm.interaction import filter_audit, orders
+from evidentia.llm.interaction import filter_audit, orders, step_counts
 
 LONG = " ".join(f"w{i}" for i in range(30000))
 DUP = "same words again and again " * 12
@@ -68,7 +68,6 @@ def test_orders_and_empty_tables(spark):
 
 
 def test_documents_are_not_shuffled_for_the_replay(spark, capsys):
-    docs = spark.createDataFrame([(1, "Short.", "a")], "doc_id long, text string, source string")
-    filter_audit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).explain()
+    step_counts(spark.createDataFrame([("a", 1, True, False)], "part string, mask int, good boolean, toxic boolean")).explain()
     plan = capsys.readouterr().out
     assert "partial_count" in plan and "BroadcastNestedLoopJoin" in plan and "Python" not in plan and "Arrow" not in plan
