@@ -33,6 +33,8 @@ MARKS = b"#$%&*!@^~|<>=_{}[]\\/+"
 #: Words longer than this many bytes also count by their beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 WORD_SPACE = 1 << 18
+#: Features of the sample that the fit multiplies at once, so that the driver holds no copies of all.
+AT_ONCE = 1 << 19
 SHAPE_SPACE = 1 << 12
 
 _CLASS = np.full(256, 6, dtype=np.int64)  # other marks
@@ -194,15 +196,22 @@ def fit_linear(
     no text is learned by heart. Bad texts weigh more where they are rare.
     """
     often = np.bincount(cols, minlength=space)[cols] >= least_texts
-    rows, cols, values = rows[often], cols[often], values[often]
+    rows, cols, values = rows[often], cols[often], values[often].astype(np.float32)
+    del often
+    parts = [slice(k, k + AT_ONCE) for k in range(0, len(rows), AT_ONCE)]
     w = np.zeros(space + 1)
     pace = np.zeros_like(w)
     balance = np.where(target < 0.5, min(10.0, max(1.0, target.sum() / max((1 - target).sum(), 1.0))), 1.0)
     balance /= max(balance.sum(), 1.0)
     for _ in range(epochs):
-        raw = np.bincount(rows, weights=w[cols] * values, minlength=len(target)) + w[-1]
+        raw = np.full(len(target), w[-1])
+        for p in parts:
+            raw += np.bincount(rows[p], weights=w[cols[p]] * values[p], minlength=len(target))
         error = balance * (_squash(raw) - target)
-        slope = np.append(np.bincount(cols, weights=values * error[rows], minlength=space), error.sum()) + shrink * w
+        slope = shrink * w
+        slope[-1] += error.sum()
+        for p in parts:
+            slope[:-1] += np.bincount(cols[p], weights=values[p] * error[rows[p]], minlength=space)
         pace = 0.9 * pace + slope
         w -= rate * pace
     w[:-1][np.abs(w[:-1]) < 1e-3] = 0.0
@@ -286,8 +295,7 @@ def classify_quality(
     gold = gold.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     gold = gold.select("id", F.coalesce("quality", F.lit(SILENT)).alias("gold_quality"), F.coalesce(1 - F.col("toxic"), F.lit(SILENT)).alias("gold_clean"))
 
-    sample = _sample(rows, gold, limits)
-    lexicons, shape, word, votes = _study(sample)
+    lexicons, shape, word, votes = _study(_sample(rows, gold, limits))
     shared = spark.sparkContext.broadcast(lexicons)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +316,9 @@ def classify_quality(
         patterns = np.concatenate([_unpattern(seen[:, k], n), seen[:, 2 + k : 3 + k].astype(np.int8)], axis=1)
         models.append(expectation_maximisation(patterns, seen[:, 4].astype(float)))
     target = [posterior(v, *m) for v, m in zip(votes, models, strict=True)]
-    fitted = spark.sparkContext.broadcast(Scorer(
-        fit_linear(*shape, target[0], SHAPE_SPACE, limits.epochs), fit_linear(*word, target[1], WORD_SPACE, limits.epochs)
-    ))
+    scorers = fit_linear(*shape, target[0], SHAPE_SPACE, limits.epochs), fit_linear(*word, target[1], WORD_SPACE, limits.epochs)
+    del shape, word, votes, target
+    fitted = spark.sparkContext.broadcast(Scorer(*scorers))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +370,7 @@ def _study(sample: list[tuple]) -> tuple[list[np.ndarray], tuple, tuple, list[np
     fixed = np.zeros(WORD_SPACE, dtype=bool)
     fixed[insult_features()] = True
     lexicons = [fixed, *(_lexicon(owners, features, gold[:, 1] == BAD, (gold[:, 2] == half) & (gold[:, 1] != SILENT)) for half in (0, 1))]
-    word = (owners, features, _value(times, count[owners]))
+    word = (owners, features, _value(times, count[owners].astype(np.float32)))
     votes = [
         np.concatenate([np.concatenate(quality) if quality else np.zeros((0, 6), np.int8), gold[:, :1].astype(np.int8)], axis=1),
         np.concatenate([insult_votes(owners, features, count, lexicons, times), gold[:, 1:2].astype(np.int8)], axis=1),
