@@ -146,6 +146,14 @@ def merge_bindings(candidates: DataFrame, methods: DataFrame, keys: tuple[str, .
     return best.select(*keys, "b.*").select(candidates.columns)
 
 
+def merge_more(best: DataFrame, candidates: DataFrame, methods: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """The best of the bindings so far and of candidates that came since.
+
+    What wins among all wins against the winner so far, so earlier candidates are not read again.
+    """
+    return merge_bindings(best.unionByName(candidates.select(best.columns)), methods, keys)
+
+
 def tier_lookup(names: DataFrame, tiers: DataFrame, column: str = "tier") -> DataFrame:
     """The processors of known tiers; unknown names give no row."""
     return names.withColumn("__t", F.upper(F.trim(column))).join(

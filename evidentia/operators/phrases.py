@@ -13,6 +13,29 @@ from evidentia.operators.numbering import numbered
 __all__ = ["count_phrases", "replace_in_turn", "replace_phrases"]
 
 
+#: Where a text can be cut: after white space, where no name goes on. No hit of phrase_hits() stands across it.
+SAFE_CUT = r"(?<=\s)(?![\s\p{Lu}])"
+PIECE = 1 << 20
+
+
+def in_pieces(texts: DataFrame, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+    """(key, piece, text): texts longer than ``piece`` characters in pieces of about as many, spread over tasks.
+
+    A piece ends at the first SAFE_CUT after its size, so hits of the pieces together are those of the text;
+    a text without one for so long stays together there. Only long texts are shuffled. For tables with very long texts: they are read once more.
+    """
+    n = F.ceil(F.length(text) / piece).cast("int")
+    window = lambda i: F.substr(F.col(text), i * piece + 1, F.lit(piece))
+    found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(i.alias("i"), F.regexp_instr(window(i), F.lit(SAFE_CUT)).alias("p")))
+    starts = F.concat(F.array(F.lit(1)), F.transform(F.filter(found, lambda x: x["p"] > 0), lambda x: x["i"] * piece + x["p"]))
+    long = texts.where((F.length(text) > piece) & (n > 1)).withColumn("__s", starts)
+    cut = F.transform("__s", lambda b, k: F.substr(F.col(text), b, F.coalesce(F.get("__s", k + 1), F.length(text) + 1) - b))
+    # As many tasks as a shuffle has: of their few rows Spark would make one task again.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = long.select(key, F.posexplode(cut).alias("piece", text)).repartition(tasks, key, "piece")
+    return texts.where(F.coalesce(F.length(text) <= piece, F.lit(True))).select(key, F.lit(0).alias("piece"), text).unionByName(parts)
+
+
 def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, phrase, type, confidence, ord): every detected phrase where it stands, once per text and kind, in one pass.
 

@@ -344,3 +344,109 @@ SQL["unmapped_phrases"] = """SELECT upper(n_name[1]) || lower(n_name[2:]) AS phr
  UNION ALL SELECT p_brand FROM part"""
 SQL["phrase_spellings"] = """WITH n AS (SELECT 'S' || n_nationkey AS slug, lower(n_name) AS l, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i FROM nation),
 f AS (SELECT slug, unnest([l || '  Of  It', l || '  of  it', upper(l) || '  OF  IT', i || ' Of It', l || ' Of It', l || ' of it', upper(l) || ' OF IT']) AS phrase FROM n) SELECT DISTINCT phrase, slug FROM f"""
+SQL["ledger_in_batches"] = SQL["ledger"]
+SQL["bindings_in_batches"] = SQL["merge_bindings"]
+_all_hits = f"""nm_ AS (SELECT DISTINCT doc_id, phrase, type, 0.6::DOUBLE AS confidence FROM nm) SELECT doc_id, phrase, 'email' AS type, 0.95::DOUBLE AS confidence FROM ({hits(_email, 0)})
+ UNION SELECT doc_id, phrase, 'host', 0.9 FROM ({hits(_ipv4, 0)}) UNION SELECT doc_id, phrase, 'host', 0.8 FROM ({hits(_host, 0)}) UNION SELECT * FROM nm_"""
+SQL["detect_in_pieces"] = f"WITH {_addressed}, {_names}, {_all_hits}"
+SQL["refinement_history"] = """SELECT conv_id, string_agg(trim(left(text, 30)), ' Then: ' ORDER BY turn) AS instruction FROM conversations WHERE role = 'user' AND turn % 3 <> 0 AND trim(left(text, 30)) <> '' GROUP BY 1"""
+
+# Documents of nations: coverage by the signals whose number the region divides, the load of the first supplier, suppliers as files.
+_nation_cov = """nc AS (SELECT n_nationkey, n_regionkey, n_name, signal_id, label, ord, criticality, tco_critical, derivable, CASE WHEN ord % (n_regionkey + 1) = 0 THEN 'keyvalue' END AS method,
+ CASE WHEN ord % (n_regionkey + 1) = 0 THEN 1.0::DOUBLE - n_nationkey / 100 ELSE 0 END AS effective FROM nation, signals JOIN lab USING (signal_id)),
+ns AS (SELECT *, CASE WHEN effective < 0.2 THEN 'missing' WHEN effective >= 0.7 THEN 'satisfied' ELSE 'partial' END AS status FROM nc),
+ask AS (SELECT n_nationkey, signal_id, CASE WHEN status = 'missing' AND criticality = 'required' THEN 'blocking' ELSE 'upgrade' END AS severity, effective, request, why,
+ row_number() OVER (PARTITION BY n_nationkey ORDER BY CASE WHEN status = 'missing' AND criticality = 'required' THEN 'blocking' ELSE 'upgrade' END, effective, signal_id) AS rank
+ FROM ns JOIN req USING (signal_id) WHERE (criticality = 'required' OR tco_critical) AND status <> 'satisfied'),
+rq AS (SELECT n_nationkey, count(*) AS n, count(*) FILTER (status = 'satisfied') AS s, count(*) FILTER (status = 'missing') AS m, count(*) FILTER (status = 'partial') AS w, avg(effective) AS a, min(effective) AS least,
+ list(label ORDER BY ord) FILTER (status = 'missing') AS gaps, list(label ORDER BY ord) FILTER (effective < 0.7) AS weak FROM ns WHERE criticality = 'required' GROUP BY 1),
+tr AS (SELECT *, CASE WHEN m > 0 THEN 'blocked' WHEN w = 0 AND least >= 0.7 AND a >= 0.69 THEN 'engineering-grade' ELSE 'directional-estimate' END AS tier FROM rq),
+co AS (SELECT n_nationkey, string_agg(label, ', ' ORDER BY ord) AS c FROM ns WHERE criticality <> 'required' AND tco_critical AND status <> 'satisfied' GROUP BY 1),
+vt AS (SELECT n_nationkey, tier, CASE tier WHEN 'blocked' THEN 'Not ready: ' || m || ' of ' || n || ' required values are unknown. Ask first for: ' || array_to_string(gaps[1:2], ', ')
+ WHEN 'engineering-grade' THEN 'Ready to build on: each of the ' || n || ' required values has strong evidence'
+ ELSE 'A first estimate. Better evidence would firm it up, to begin with on: ' || array_to_string(weak[1:2], ', ') END AS headline,
+ 'Of ' || n || ' required values ' || s || ' have strong evidence, ' || w || ' have weak evidence and ' || m || ' none; trust is ' || printf('%.2f', a) || ' on average.'
+ || CASE WHEN tier = 'directional-estimate' THEN ' The weakest: ' || array_to_string(weak, ', ') || '.' ELSE '' END
+ || coalesce(' The costs also hang on what nothing shows so far: ' || c || '.', '') AS rationale FROM tr LEFT JOIN co USING (n_nationkey)),
+fl AS (SELECT s_nationkey AS n_nationkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'evidence' ELSE 'noise' END AS role FROM supplier),
+ld AS (SELECT f.n_nationkey, s_suppkey % 5 + 1 AS shards, [2, 4, 8, 16, 32][s_nationkey % 5 + 1] AS ho, (s_suppkey * 7) % 50 / 100 AS pa, (s_suppkey * 11) % 100 / 100 AS pp, (s_suppkey * 3) % 40 / 100 AS ha,
+ (s_suppkey * 13) % 90 / 100 AS hp, s_suppkey % 30 / 100 AS da, (s_suppkey * 5) % 60 / 100 AS dp, s_suppkey * 100 AS gb
+ FROM supplier JOIN (SELECT s_nationkey AS n_nationkey, min(s_suppkey) AS k FROM supplier GROUP BY 1) AS f ON f.k = s_suppkey),
+cn AS (SELECT *, (shards * ho)::DOUBLE * pa AS wa, (shards * ho)::DOUBLE * pp AS wp FROM ld),
+sc AS (SELECT *, ceil(greatest(wp / n, wa))::BIGINT AS base FROM cn, (VALUES (0, 'Conservative', 2), (1, 'Aggressive', 3)) AS p(i, posture, n)),
+cy AS (SELECT *, 12 * floor(base * 0.0807::DOUBLE * 730.0::DOUBLE + 0.5)::BIGINT AS cc, 12 * floor(gb * 0.1156::DOUBLE + 0.5)::BIGINT AS cs FROM sc)"""
+_nation = f"{signals}, {_labels}, {_requests}, {_nation_cov}"
+
+
+def usd(x: str) -> str:
+    return f"CASE WHEN {x} >= 1000000 THEN '$' || printf('%.2f', ({x}) / 1000000) || 'M' ELSE '$' || floor(({x}) / 1000 + 0.5)::BIGINT || 'K' END"
+
+
+def esc(x: str) -> str:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = f"replace({x}, {lit(char)}, {lit(name)})"
+    return x
+
+
+def cells(*values: str) -> str:
+    return "'<tr>' || " + " || ".join(f"'<td>' || coalesce(({v})::VARCHAR, '') || '</td>'" for v in values) + " || '</tr>'"
+
+
+def heads(*names: str) -> str:
+    return "'<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>'"
+
+
+def per_nation(source: str, line: str, order: str) -> str:
+    return f"coalesce((SELECT string_agg({line}, '' ORDER BY {order}) FROM {source} AS r WHERE r.n_nationkey = n.n_nationkey), '')"
+
+
+def passage(name: str) -> str:
+    return f"'<p>{name} &lt;' || n_regionkey || '&gt;</p>'"
+
+
+def page_sql(title: str, body: list[str]) -> str:
+    head = f"n_name || ' — {title}'"
+    start = f"""'<!doctype html><html><head><meta charset="utf-8"><title>' || {head} || '</title></head><body><h1>' || {head} || '</h1><p>2026-06-30 · draft</p>'"""
+    return " || ".join([start, *body, "'</body></html>'"])
+
+
+def fixed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', floor({x} * 1e{digits} + 0.5) / 1e{digits})"
+
+
+def pct_sql(x: str) -> str:
+    return f"floor({x} * 100 + 0.5)::BIGINT || '%'"
+
+
+_base_cells = ["posture", "base", "base * 2 || ' / ' || base * 3"]
+_brief = page_sql("Sizing Brief", [
+    passage("context"), "'<h2>Environment</h2>'", heads("Attribute", "Value"),
+    cells("'Shards'", "c.shards"), cells("'Processors per home node'", "c.ho"), cells("'Processors per recovery node'", "CASE WHEN c.ho IS NOT NULL THEN 8 END"), cells("'Data on disk'", fixed("c.gb / 1000", 1) + " || ' TB'"), "'</table>'",
+    "'<h2>Load by role</h2>'", heads("Role", "Mean", "Peak"), *[cells(f"'{n}'", pct_sql(f"c.{a}"), pct_sql(f"c.{p}")) for n, a, p in (("Primary", "pa", "pp"), ("Secondary", "ha", "hp"), ("Recovery", "da", "dp"))], "'</table>'",
+    f"'<p>The peak is ' || coalesce({fixed('c.wp / nullif(c.wa, 0)', 2)}, '—') || ' times the mean of ' || {fixed('c.wa', 1)} || ': ' || {fixed('c.wp', 1)} || '</p>'", "'<h2>Approach</h2>'", passage("approach"),
+    "'<h2>Scenarios</h2>'", heads("Scenario", "Base", "2x / 3x", "Compute a year", "Storage a year", "Total a year"), per_nation("cy", cells(*_base_cells, usd("cc"), usd("cs"), usd("cc + cs")), "i"), "'</table>'",
+    "'<h2>Evidence</h2>'", passage("evidence"), "'<h2>Open questions</h2>'",
+    f"CASE WHEN EXISTS (FROM ask WHERE ask.n_nationkey = n.n_nationkey) THEN '<ul>' || {per_nation('ask', "'<li>' || " + esc('request') + " || '</li>'", 'rank')} || '</ul>' ELSE {passage('questions')} END",
+])
+_file = "trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') || '.html' AS filename"
+SQL["sizing_briefs"] = f"WITH {_nation} SELECT n.n_nationkey, 'sizing-brief-' || {_file}, {_brief} AS html FROM nation AS n LEFT JOIN cn AS c ON c.n_nationkey = n.n_nationkey"
+_review = page_sql("Technical Review", [
+    "'<h2>Rationale</h2>'", passage("notes"), "'<h2>Evidence</h2>'", f"'<p><b>' || tier || '</b> ' || {esc('headline')} || '. ' || {esc('rationale')} || '</p>'",
+    "'<h3>Files</h3>'", heads("File", "Role", "Signals"), per_nation("fl", cells("s_name", "role", "''"), "s_name"), "'</table>'",
+    "'<h3>Signals</h3>'", heads("Signal", "Criticality", "Status", "Confidence", "Method"), per_nation("ns", cells("signal_id", "criticality", "status", "printf('%.2f', effective)", "coalesce(method, '—')"), "ord"), "'</table>'",
+    f"CASE WHEN EXISTS (FROM ask WHERE ask.n_nationkey = n.n_nationkey) THEN '<h3>To collect</h3>' || {heads('Signal', 'Severity', 'Request', 'Why')} || {per_nation('ask', cells('signal_id', 'severity', esc('request'), 'why'), 'rank')} || '</table>' ELSE '' END",
+    "'<h2>Sensitivity</h2>'", heads("Posture", "Base", "2x / 3x"), per_nation("sc", cells(*_base_cells), "i"), "'</table>'",
+    "'<h2>Risk</h2>'", passage("risk"), "'<h2>Data model</h2>'", passage("data_model"), "'<h2>Validation</h2>'", passage("validation"),
+])
+SQL["technical_reviews"] = f"WITH {_nation} SELECT n.n_nationkey, 'technical-review-' || {_file}, {_review} AS html FROM nation AS n JOIN vt ON vt.n_nationkey = n.n_nationkey"
+_told = """cd AS (SELECT * FROM (VALUES ('in-shards', 'F', 'Shards', ['cluster.shardCount'], FALSE), ('in-ho-vcpu', 'F', 'Processors per home node', ['node.hoVcpu'], FALSE), ('in-dr-vcpu', 'F', 'Processors per recovery node', ['node.drVcpu'], FALSE),
+ ('in-primary', 'F', 'Use of primaries, mean/peak', ['util.primary'], FALSE), ('in-ho-sec', 'F', 'Use of secondaries, mean/peak', ['util.hoSec'], FALSE), ('in-dr', 'F', 'Use in recovery, mean/peak', ['util.dr'], FALSE),
+ ('base-conservative', 'C', 'Conservative base', ['util.primary', 'node.hoVcpu', 'cluster.shardCount'], TRUE), ('base-aggressive', 'C', 'Aggressive base', ['util.primary', 'node.hoVcpu', 'cluster.shardCount'], TRUE)) AS x(id, section, claim, on_, der)),
+ce AS (SELECT n_nationkey, id, section, claim, on_, der, min(effective) AS e FROM (SELECT n_nationkey, id, section, claim, on_, der, unnest(on_) AS signal_id FROM cn, cd) JOIN ns USING (n_nationkey, signal_id) GROUP BY ALL),
+ct AS (SELECT *, CASE WHEN e >= 0.85 THEN 'high' WHEN e >= 0.6 THEN 'medium' ELSE 'low' END AS t FROM ce),
+cf AS (SELECT n_nationkey, id, section, claim, array_to_string(on_, ', ') AS source, CASE WHEN NOT der THEN t WHEN t = 'high' THEN 'medium' ELSE 'low' END AS confidence FROM ct)"""
+SQL["case_claims"] = f"WITH {_nation}, {_told} SELECT * FROM cf"
+SQL["case_documents"] = f"""WITH {_nation}, {_told} SELECT n.n_nationkey, n_name AS company, tier, (SELECT count(*) FROM fl WHERE fl.n_nationkey = n.n_nationkey)::INTEGER AS files, 24 AS signals,
+ (SELECT count(*) FROM ask WHERE ask.n_nationkey = n.n_nationkey AND severity = 'blocking')::INTEGER AS blocking, (SELECT any_value(signal_id) FROM ask WHERE ask.n_nationkey = n.n_nationkey AND rank = 1) AS ask_first,
+ (SELECT any_value(base) FROM sc WHERE sc.n_nationkey = n.n_nationkey AND i = 0) AS base, (SELECT count(*) FROM cf WHERE cf.n_nationkey = n.n_nationkey)::INTEGER AS claims,
+ (SELECT count(*) FROM cf WHERE cf.n_nationkey = n.n_nationkey AND confidence = 'high')::INTEGER AS sure FROM nation AS n JOIN vt ON vt.n_nationkey = n.n_nationkey"""

@@ -14,6 +14,7 @@ from evidentia.operators.series import column_facts, table_roles
 from evidentia.plans.costs import annual_saving, baseline_total, discount, five_years, payback, proposed_total
 from evidentia.plans.render import dollars, page
 from evidentia.plans.sizing import restore_hours
+from evidentia.scratch import Scratch
 from evidentia.sources.files import cells_of
 
 #: Files beyond this many bytes are not archived. Fixed value.
@@ -41,22 +42,23 @@ def triage(
 
     ``case_of`` tells a source's case. Noise is left out; tables, pairs and the values that readers outside
     deliver (``readings``: as for read_values, with ``heuristic`` where a panel's role was guessed) give candidates, tiers
-    give processors, and the most trusted candidate of a signal stays. Parts, cells and candidates are kept with
-    persist(), as each is used several times.
+    give processors, and the most trusted candidate of a signal stays. Parts, cells, candidates and bindings are written to the
+    shared folder, as each is used several times; what comes after reads them there.
     """
+    scratch = Scratch(parts.sparkSession)
     source = F.when(F.coalesce("part", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws("#", "name", "part"))
-    parts = parts.persist()  # read once for all that follows; a lost executor's share is read again
+    parts = scratch.keep(parts, "parts")
     read = parts.where("kind is not null").withColumn("source", source)
-    cells = cells_of(parts).persist()
+    cells = scratch.keep(cells_of(parts), "cells")
     roles, facts = table_roles(cells), column_facts(cells)
     pairs = read.where("kind = 'keyvalue'").select("source", F.explode("pairs").alias("key", "value"))
     found = bind_wide(cells, roles, facts, signals).unionByName(bind_long(cells, roles, signals)).unionByName(bind_series(cells, roles, signals))
     found = found.unionByName(bind_pairs(pairs, signals))
     if readings is not None:
         found = found.unionByName(read_values(readings, signals))
-    found = found.persist()
+    found = scratch.keep(found, "found")
     named = found.select(case_of(F.col("source")).alias("case"), *BINDING)
-    bindings = merge_bindings(synthesize_tiers(named, methods, tiers, ("case",)), methods, ("case", "signal_id"))
+    bindings = scratch.keep(merge_bindings(synthesize_tiers(named, methods, tiers, ("case",)), methods, ("case", "signal_id")), "bindings")
 
     own = found.groupBy("source").agg(F.array_sort(F.collect_set("signal_id")).alias("signals"))
     noise = F.when(F.col("kind") == "text", is_noise(F.col("text"))).when(F.col("kind") == "table", F.col("table_role").isNull()).otherwise(False)
@@ -75,7 +77,7 @@ def triage(
     warnings = guessed.groupBy(case_of(F.col("source")).alias("case")).agg(F.count(F.lit(1)).alias("n")).select(
         "case", F.concat(F.col("n").cast("string"), F.lit(" panel(s) had no role label; their roles were assigned by load. Check the topology.")).alias("warning")
     )
-    return Triage(bindings, inventory, warnings)
+    return Triage(bindings, scratch.keep(inventory, "inventory"), warnings)
 
 
 def asked_of(signals: DataFrame, method: str) -> DataFrame:

@@ -17,17 +17,17 @@ def downgrade(tier: Column) -> Column:
     return F.when(tier == "high", "medium").otherwise("low")
 
 
-def resolve_claims(claims: DataFrame, covered: DataFrame) -> DataFrame:
+def resolve_claims(claims: DataFrame, covered: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Claims (id, section, claim, depends_on, declared_label, declared_conf, derived) with confidence and source.
 
     A claim on signals is as sure as the least sure of them, unknown ones left out, and low without any;
-    else its declared source counts; else it is unsourced. A derived claim is a tier lower.
+    else its declared source counts; else it is unsourced. A derived claim is a tier lower. ``keys`` name the case in both tables.
     """
-    links = claims.select("id", F.posexplode("depends_on").alias("pos", "signal_id"))
-    met = links.join(covered.select("signal_id", "effective"), "signal_id").groupBy("id").agg(
+    links = claims.select(*keys, "id", F.posexplode("depends_on").alias("pos", "signal_id"))
+    met = links.join(covered.select(*keys, "signal_id", "effective"), [*keys, "signal_id"]).groupBy(*keys, "id").agg(
         F.min("effective").alias("least"), F.array_sort(F.collect_list(F.struct("pos", "signal_id"))).alias("on")
     )
-    rows = claims.join(met, "id", "left")
+    rows = claims.join(met, [*keys, "id"], "left")
     derived = F.coalesce("derived", F.lit(False))
     from_signals = F.when(F.col("least").isNull(), "low").otherwise(tier_of(F.col("least")))
     asked = F.coalesce(F.size("depends_on") > 0, F.lit(False))
@@ -38,7 +38,7 @@ def resolve_claims(claims: DataFrame, covered: DataFrame) -> DataFrame:
         F.when(asked, F.coalesce(F.array_join(F.transform("on", lambda x: x["signal_id"]), ", "), F.lit("(no coverage)")))
         .when(F.col("declared_conf").isNotNull(), F.col("declared_label")).otherwise("(unsourced)")
     )
-    return rows.select("id", "section", "claim", source.alias("source"), confidence.alias("confidence"))
+    return rows.select(*keys, "id", "section", "claim", source.alias("source"), confidence.alias("confidence"))
 
 
 def checklist(resolved: DataFrame) -> DataFrame:

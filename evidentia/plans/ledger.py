@@ -12,6 +12,31 @@ def ledger(uses: DataFrame, keys: list[str], order: list[str], rate_in: float, r
     return rows.withColumns({"total_tokens": F.sum(F.col("input_tokens") + F.col("output_tokens")).over(run), "total_cost": F.sum("cost").over(run)})
 
 
+def totals(uses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, input_tokens, output_tokens, uses): what a ledger has come to, a row for each case."""
+    return uses.groupBy(*keys).agg(
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.count(F.lit(1)).alias("uses")
+    )
+
+
+def merge_totals(before: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of the history so far and of what came since, as one; no history is read again."""
+    both = before.unionByName(more)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "uses")])
+
+
+def ledger_on(before: DataFrame, uses: DataFrame, keys: list[str], order: list[str], rate_in: float, rate_out: float) -> DataFrame:
+    """``ledger`` of new uses that go on from the totals ``before``; a case that has none begins at zero."""
+    own = ledger(uses, keys, order, rate_in, rate_out)
+    zero = F.lit(0).cast("long")
+    past = before.select(*keys, F.coalesce("input_tokens", zero).alias("__in"), F.coalesce("output_tokens", zero).alias("__out"))
+    met = own.join(past, keys, "left").withColumns({"__in": F.coalesce("__in", zero), "__out": F.coalesce("__out", zero)})
+    return met.withColumns({
+        "total_tokens": F.col("total_tokens") + F.col("__in") + F.col("__out"),
+        "total_cost": F.col("total_cost") + (F.col("__in") * rate_in + F.col("__out") * rate_out) / 1000,
+    }).drop("__in", "__out")
+
+
 def guard(ledgered: DataFrame, most_tokens: Column | None, most_cost: Column | None) -> DataFrame:
     """With ``decision``: tokens, cost or ok. Only what is strictly beyond a limit is stopped, tokens first."""
     none = F.lit(None).cast("double")

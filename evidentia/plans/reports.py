@@ -62,21 +62,22 @@ def mail_link(to: Column, subject: Column, body: Column) -> Column:
     return F.concat(F.lit("mailto:"), to, F.lit("?subject="), F.url_encode(subject), F.lit("&body="), F.url_encode(body))
 
 
-def sizing_claims(inputs: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Claims of one sizing: its inputs by signal, and what was derived from them."""
+def sizing_claims(inputs: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Claims of a sizing, or of each case (``keys``): its inputs by signal, and what was derived from them."""
     def claim(i: str, section: str, text: str, value: Column, on: tuple[str, ...], derived: bool) -> Column:
         return F.struct(F.lit(i).alias("id"), F.lit(section).alias("section"), F.lit(text).alias("claim"), value.cast("string").alias("value"),
                         F.array(*map(F.lit, on)).alias("depends_on"), F.lit(derived).alias("derived"))
 
-    own = inputs.select(F.explode(F.array(
+    own = inputs.select(*keys, F.explode(F.array(
         claim("in-shards", "F", "Shards", F.col("shards"), ("cluster.shardCount",), False),
         claim("in-ho-vcpu", "F", "Processors per home node", F.col("ho_vcpu"), ("node.hoVcpu",), False),
         claim("in-dr-vcpu", "F", "Processors per recovery node", F.col("dr_vcpu"), ("node.drVcpu",), False),
         claim("in-primary", "F", "Use of primaries, mean/peak", percent_pair(F.col("primary_avg"), F.col("primary_peak")), ("util.primary",), False),
         claim("in-ho-sec", "F", "Use of secondaries, mean/peak", percent_pair(F.col("ho_sec_avg"), F.col("ho_sec_peak")), ("util.hoSec",), False),
         claim("in-dr", "F", "Use in recovery, mean/peak", percent_pair(F.col("dr_avg"), F.col("dr_peak")), ("util.dr",), False),
-    )).alias("c")).select("c.*")
+    )).alias("c")).select(*keys, "c.*")
     base = scenarios.select(
+        *keys,
         F.concat(F.lit("base-"), "posture").alias("id"), F.lit("C").alias("section"), F.concat(F.initcap("posture"), F.lit(" base")).alias("claim"), F.col("base").cast("string").alias("value"),
         F.array(*map(F.lit, ("util.primary", "node.hoVcpu", "cluster.shardCount"))).alias("depends_on"), F.lit(True).alias("derived"),
     )

@@ -15,8 +15,10 @@ from evidentia.plans import archive as V
 from evidentia.plans import case as X
 from evidentia.plans import claims as K
 from evidentia.plans import costs as M
+from evidentia.plans import documents as O
 from evidentia.plans import ledger as G
 from evidentia.plans import render as D
+from evidentia.plans import reports as E
 from evidentia.plans import sizing as Z
 from evidentia.sources import files as R
 
@@ -180,13 +182,72 @@ def verdict_text(spark, d):
 @query
 def nation_verdicts(spark, d):
     """A case for each nation, with the signals whose number the region divides."""
+    judged = C.verdict(nation_coverage(spark, d), keys=("n_nationkey",))
+    return judged.select("n_nationkey", "tier", "required_satisfied", "required_missing", r6(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+def nation_coverage(spark, d) -> DataFrame:
+    """Coverage of a case for each nation, with the signals whose number the region divides."""
     n = t(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).alias("every"))
     k = F.col("ord")
     b = n.crossJoin(F.broadcast(signal_table(spark).select("signal_id", "ord"))).where(k % F.col("every") == 0)
     value = F.struct(k.cast("double").alias("num"), F.lit(None).cast("double").alias("avg"), F.lit(None).cast("double").alias("peak"), F.lit(None).cast("string").alias("str"))
     b = b.select("n_nationkey", "signal_id", value.alias("value"), (F.lit(1.0) - F.col("n_nationkey") / 100).alias("confidence"), F.lit("keyvalue").alias("method"))
-    judged = C.verdict(C.coverage(signal_table(spark), b, method_table(spark), cases=n.select("n_nationkey")), keys=("n_nationkey",))
-    return judged.select("n_nationkey", "tier", "required_satisfied", "required_missing", r6(F.col("mean_confidence")).alias("mean_confidence"))
+    return C.coverage(signal_table(spark), b, method_table(spark), cases=n.select("n_nationkey"))
+
+
+def nation_documents(spark, d) -> DataFrame:
+    """A document for each nation: the load of its first supplier, its suppliers as files, its coverage, and claims on both."""
+    key = ["n_nationkey"]
+    c = nation_coverage(spark, d)
+    first = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias("s_suppkey"))
+    sized = Z.consumed(loads(spark, d).join(first, "s_suppkey")).drop("s_suppkey")
+    scenarios = Z.scenarios(sized)
+    role = F.when(F.col("s_suppkey") % 2 == 0, "evidence").otherwise("noise")
+    files = t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("name"), role.alias("role"), F.lit("").alias("signals"))
+    cases = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("company"), F.lit("x").alias("platform"), F.lit("2026-06-30").alias("prepared"), F.lit("draft").alias("status"),
+                                         *[F.concat(F.lit(f"{p} <"), F.col("n_regionkey").cast("string"), F.lit(">")).alias(p) for p in (*O.BRIEF_PASSAGES, *O.REVIEW_PASSAGES)])
+    judged = C.verdict_text(C.verdict(c, keys=("n_nationkey",)), c, label_table(spark), ("n_nationkey",))
+    asked = C.what_to_collect(c, request_table(spark), ("n_nationkey",))
+    report = O.sufficiency_report(cases, files, c, judged, asked, key)
+    told = E.sizing_claims(sized, scenarios, ("n_nationkey",)).withColumns({x: F.lit(None).cast("string") for x in ("declared_label", "declared_conf")})
+    return O.assemble(cases, sized, scenarios, report, key, claims=K.resolve_claims(told, c, ("n_nationkey",)))
+
+
+@query
+def case_documents(spark, d):
+    """What the documents hold, case by case."""
+    doc = nation_documents(spark, d)
+    count = lambda a, f: F.size(F.filter(a, f))
+    return doc.select(
+        "n_nationkey", "company", F.col("sufficiency.verdict.tier").alias("tier"), F.size("sufficiency.inventory").alias("files"), F.size("sufficiency.coverage").alias("signals"),
+        count("sufficiency.collect", lambda x: x["severity"] == "blocking").alias("blocking"), F.get("sufficiency.collect.signal_id", F.lit(0)).alias("ask_first"),
+        F.get("sizing.scenarios.base", F.lit(0)).alias("base"), F.size("claims").alias("claims"), count("claims", lambda x: x["confidence"] == "high").alias("sure"),
+    )
+
+
+@query
+def sizing_briefs(spark, d):
+    return O.sizing_brief(nation_documents(spark, d), ["n_nationkey"])
+
+
+@query
+def technical_reviews(spark, d):
+    return O.technical_review(nation_documents(spark, d), ["n_nationkey"])
+
+
+@query
+def case_claims(spark, d):
+    """Claims of sizings with their confidence, by case."""
+    c = nation_documents(spark, d).select("n_nationkey", F.explode("claims").alias("c"))
+    return c.select("n_nationkey", "c.*")
+
+
+@query
+def refinement_history(spark, d):
+    c = t(spark, d, "conversations").where("role = 'user'")
+    text = F.when(F.col("turn") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.left("text", F.lit(30))))
+    return O.refinements(c.select("conv_id", "turn", text.alias("text")), ["conv_id"], ["turn"])
 
 
 @query
@@ -502,6 +563,28 @@ def ledger(spark, d):
     return ledgered(spark, d).withColumns({"cost": r6(F.col("cost")), "total_cost": r6(F.col("total_cost"))})
 
 
+@query
+def ledger_in_batches(spark, d):
+    """The same ledger from three batches, each on the totals of those before."""
+    u, key, rows, before = uses(spark, d), ["conv_id"], None, None
+    for low, high in ((0, 2), (2, 4), (4, 1 << 31)):
+        batch = u.where((F.col("turn") >= low) & (F.col("turn") < high))
+        new = G.ledger_on(before, batch, key, ["turn"], 3.0, 15.0) if before is not None else G.ledger(batch, key, ["turn"], 3.0, 15.0)
+        rows = new if rows is None else rows.unionByName(new)
+        before = G.totals(batch, key) if before is None else G.merge_totals(before, G.totals(batch, key), key)
+    return rows.withColumns({"cost": r6(F.col("cost")), "total_cost": r6(F.col("total_cost"))})
+
+
+@query
+def bindings_in_batches(spark, d):
+    """The same bindings from three batches of candidates, each merged into the best so far."""
+    found, methods, k = event_candidates(spark, d), method_table(spark), F.col("locator").cast("long") % 3
+    best = B.merge_bindings(found.where(k == 0), methods)
+    for i in (1, 2):
+        best = B.merge_more(best, found.where(k == i), methods)
+    return best.select("signal_id", F.col("value.num").alias("num"), "confidence", "method", "source")
+
+
 @query
 def budget_guard(spark, d):
     return G.guard(ledgered(spark, d), F.lit(1500), F.lit(12.0)).select("conv_id", "turn", "decision")
@@ -604,6 +687,13 @@ for _kind in ("emails", "ipv4", "hosts", "names", "surnames"):
     hits_of(_kind)
 
 
+@query
+def detect_in_pieces(spark, d):
+    """Hits of documents cut into pieces of 500 characters."""
+    hits = P.phrase_hits(P.in_pieces(addressed_docs(spark, d), piece=500))
+    return hits.where(F.col("ord") <= 5).select("doc_id", "phrase", "type", "confidence").distinct()
+
+
 @query
 def phrase_candidates(spark, d):
     return P.candidates(P.phrase_hits(some_docs(spark, d)))

@@ -108,3 +108,53 @@ def test_small_checks(spark):
                ("license", "s", None, "2026-01-01", "published"), ("license", "s", None, "2026-01-01", "training-cutoff"), ("license", "s", "u", "2026-02-30", "published")]
     got = X.source_problems(spark.createDataFrame(sources, "component string, source string, url string, as_of string, quality string"), ("license",)).collect()
     assert [r.problem and r.problem.split()[0] for r in got] == [None, "component", "quality", "source", "url", None, "as_of"]
+
+
+def test_documents_of_cases_that_lack_parts(spark, found):
+    """Two cases with files, one of them without a size, and one without anything."""
+    from evidentia.config import request_table
+    from evidentia.plans import claims as K
+    from evidentia.plans import documents as O
+    from evidentia.plans.reports import sizing_claims
+
+    keys = ["case"]
+    cases = spark.createDataFrame([("one", "A & B"), ("two", "C"), ("three", None)], "case string, company string")
+    cases = cases.withColumns({c: F.lit(f"{c} <i>") for c in (*O.HEAD[1:], *O.BRIEF_PASSAGES, *O.REVIEW_PASSAGES)})
+    covered = C.coverage(signal_table(spark), found.bindings, method_table(spark), cases=cases.select("case"))
+    judged = C.verdict_text(C.verdict(covered, keys=("case",)), covered, label_table(spark), ("case",))
+    asked = C.what_to_collect(covered, request_table(spark), ("case",))
+    files = found.inventory.select("case", F.col("source").alias("name"), "role", F.array_join("signals", ",").alias("signals"))
+    report = O.sufficiency_report(cases, files, covered, judged, asked, keys)
+    sized = sizing.consumed(B.sizing_inputs(found.bindings, signal_table(spark), ("case",)))
+    scenarios = sizing.scenarios(sized)
+    told = sizing_claims(sized, scenarios, ("case",)).withColumns({x: F.lit(None).cast("string") for x in ("declared_label", "declared_conf")})
+    documents = O.assemble(cases, sized, scenarios, report, keys, claims=K.resolve_claims(told, covered, ("case",)))
+    rows = {r.case: r for r in documents.collect()}
+    assert len(rows) == 3 and [len(rows[c].claims) for c in ("one", "two", "three")] == [8, 0, 0]
+    assert rows["one"].sizing.basis.shards == 3 and [s.posture for s in rows["one"].sizing.scenarios] == ["conservative", "aggressive"] and rows["two"].sizing is None
+    assert all(len(r.sufficiency.coverage) == 24 for r in rows.values()) and rows["three"].sufficiency.inventory == [] and len(rows["three"].sufficiency.collect) == 8
+    assert rows["one"].claims[0].section == "C" and {c.confidence for c in rows["one"].claims} <= {"high", "medium", "low"}
+    first = rows["three"].sufficiency.collect[0]
+    assert (first.severity, first.why) == ("blocking", "Without it there is no size") and first.request.startswith("Shard count") and " or " in first.request
+    briefs = {r.case: r for r in O.sizing_brief(documents, keys).collect()}
+    reviews = {r.case: r for r in O.technical_review(documents, keys).collect()}
+    assert briefs["one"].filename == "sizing-brief-a-b.html" and briefs["three"].filename == "sizing-brief-case.html"
+    assert "<td>32</td>" in briefs["one"].html and "A &amp; B" in briefs["one"].html and "<i>" not in briefs["one"].html and "&lt;i&gt;" in briefs["one"].html
+    assert "cpu.csv" in reviews["one"].html and reviews["three"].html.count("<td>blocking</td>") == 7 and "<h3>To collect</h3>" in reviews["three"].html
+
+
+def test_pieces_of_a_long_text(spark):
+    from evidentia.operators.phrases import in_pieces, phrase_hits
+
+    words = ["plain", "Jane Okafor", "a@b.org", "10.0.0.1", "x.y.zz", "The Plan", "José Núñez Paz", "\n\n", "Ann  Lee"]
+    text = " ".join(words[k * 7 % 9] for k in range(60000))
+    rows = [(1, text), (2, "short Jane Okafor"), (3, None), (4, "x" * 5000 + " Jane Okafor"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    pieces = in_pieces(df, piece=1000)
+    held = {}
+    for r in sorted(pieces.collect()):
+        held.setdefault(r.doc_id, []).append(r.text)
+    assert {k: v for k, v in rows} == {k: None if v == [None] else "".join(v) for k, v in held.items()} and len(held[1]) > 400
+    assert pieces.where("doc_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    want = {tuple(r) for r in phrase_hits(df).collect()}
+    assert {tuple(r) for r in phrase_hits(pieces).collect()} == want and len(want) > 10

@@ -209,7 +209,7 @@ def test_documents_and_archive(spark, tmp_path):
     assert archive.current(every).first().state == "state 002"
     assert archive.current(every, spark.createDataFrame([("c-1", "001")], "case_id string, version string")).first().state == "state 001"
     assert archive.listing(every).first().versions == 2
-    kept = spark.read.parquet(f"{path}/blobs")
+    kept = archive.stored_blobs(spark, path)
     assert archive.with_blobs(archive.current(every), kept).first().content == b"x"
     with pytest.raises(Exception, match="missing blob"):
         archive.with_blobs(archive.current(every).withColumn("blobs", F.array(F.lit("b9"))), kept).collect()
