@@ -60,11 +60,18 @@ def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return kept.select(key, F.explode(both).alias("h")).select(key, "h.*")
 
 
+def company_phrases(companies: DataFrame, keys: list[str], company: str = "company") -> DataFrame:
+    """(keys, phrase, type, confidence, ord) of each company: its name, and the capitalised words of four letters or more in a longer one."""
+    words = F.filter(F.split(F.trim(company), r"\s+"), lambda w: w != "")
+    one = lambda p, sure, k: F.struct(p.alias("phrase"), F.lit("org").alias("type"), F.lit(sure).alias("confidence"), F.lit(k).alias("ord"))
+    tokens = F.when(F.size(words) > 1, F.filter(words, lambda w: (F.length(w) >= 4) & w.rlike("^[A-Z]"))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(one(F.col(company), 1.0, 0)), F.transform(tokens, lambda w: one(w, 0.9, 1)))
+    return companies.where(F.col(company).isNotNull()).select(*keys, F.explode(every).alias("h")).select(*keys, "h.*")
+
+
 def company_tokens(spark, company: str) -> DataFrame:
-    """The company's name, and its capitalised words of four letters or more."""
-    tokens = [t for t in company.split() if len(t) >= 4 and "A" <= t[0] <= "Z"]
-    rows = [(company, "org", 1.0, 0)] + ([(t, "org", 0.9, 1) for t in tokens] if len(company.split()) > 1 else [])
-    return spark.createDataFrame(rows, "phrase string, type string, confidence double, ord int")
+    """``company_phrases`` of one company."""
+    return company_phrases(spark.createDataFrame([(company,)], "company string"), [])
 
 
 def candidates(hits: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -450,3 +450,55 @@ SQL["case_documents"] = f"""WITH {_nation}, {_told} SELECT n.n_nationkey, n_name
  (SELECT count(*) FROM ask WHERE ask.n_nationkey = n.n_nationkey AND severity = 'blocking')::INTEGER AS blocking, (SELECT any_value(signal_id) FROM ask WHERE ask.n_nationkey = n.n_nationkey AND rank = 1) AS ask_first,
  (SELECT any_value(base) FROM sc WHERE sc.n_nationkey = n.n_nationkey AND i = 0) AS base, (SELECT count(*) FROM cf WHERE cf.n_nationkey = n.n_nationkey)::INTEGER AS claims,
  (SELECT count(*) FROM cf WHERE cf.n_nationkey = n.n_nationkey AND confidence = 'high')::INTEGER AS sure FROM nation AS n JOIN vt ON vt.n_nationkey = n.n_nationkey"""
+
+_models = f"""{_costs}, f AS (SELECT DISTINCT yr, CASE WHEN yr % 2 = 1 THEN 0.75 ELSE 1.0 END::DOUBLE AS f FROM y),
+mo AS (SELECT prop.yr, base.central AS onprem, max(prop.central) FILTER (posture = 'none') AS none, max(prop.central) FILTER (posture = 'warm') AS warm, max(prop.central) FILTER (posture = 'cold') AS cold, any_value(m.central) AS move, any_value(f) AS f
+ FROM prop JOIN base ON prop.yr = base.yr JOIN f ON f.yr = prop.yr JOIN (SELECT * FROM costs WHERE component = 'migration') AS m ON m.yr = prop.yr GROUP BY prop.yr, base.central)"""
+SQL["recovery_options"] = f"""WITH {_models} SELECT yr, 0 AS ord, 'warm' AS posture, 'Warm' AS title, warm - none AS added, warm AS total, '< 10 min' AS restore, '0 (switchover) / ≤ 1 min (failover)' AS lost, 'manual cross-region' AS failover FROM mo
+ UNION ALL SELECT yr, 1, 'cold', 'Cold', cold - none, cold, '~' || ceil(1.0::DOUBLE + 0.2::DOUBLE * (yr / 100)::DOUBLE)::BIGINT || ' hrs', '~1 min', 'manual cross-region' FROM mo"""
+SQL["component_labels"] = f"WITH {_costs} SELECT yr, component, CASE component WHEN 'license' THEN 'Licences' WHEN 'hardware' THEN 'Servers' WHEN 'storage' THEN 'Storage' ELSE component END AS label FROM costs"
+
+
+def card_sql(title: str, total: str, restore: str, lost: str) -> str:
+    return (f"'<h3>{title}</h3><ul><li>Added a year: +' || {usd(f'({total} - none) * f')} || ', in all ' || {usd(f'{total} * f')} || '</li><li>Restored in: ' || {restore} || '</li><li>Data lost: {lost}</li><li>Failover: manual cross-region</li></ul>'")
+
+
+def prose_sql(name: str, tag: str = "p") -> str:
+    return f"'<{tag}>{name} &amp; ' || yr || '</{tag}>'"
+
+
+_hours = "'~' || ceil(1.0::DOUBLE + 0.2::DOUBLE * (yr / 100)::DOUBLE)::BIGINT || ' hrs'"
+_case_html = " || ".join([
+    """'<!doctype html><html><head><meta charset="utf-8"><title>Year ' || yr || ' — Business Case</title></head><body><h1>Year ' || yr || ' — Business Case</h1><p>2026-06-30 · draft</p>'""", prose_sql("summary"),
+    f"'<div><b>' || {usd('onprem')} || '</b> a year today</div>'",
+    f"'<div><b>' || CASE WHEN f < 1 THEN '<s>' || {usd('warm')} || '</s> ' || {usd('warm * f')} || ' (25% discount)' ELSE {usd('warm')} END || '</b> a year with warm recovery</div>'",
+    "'<div><b>' || floor(100 * (onprem - warm * f) / nullif(onprem, 0) + 0.5)::BIGINT || '%</b> lower cost</div>'",
+    "'<div><b>Yr ' || coalesce((SELECT min(k) FROM (SELECT unnest([2, 3, 4, 5]) AS k) WHERE k * onprem >= onprem + move + k * warm * f)::VARCHAR, '—') || '</b> payback</div>'",
+    "'<h2>Comparison</h2>'", prose_sql("comparison"), "'<h2>Path</h2>'", prose_sql("path"), "'<h2>Recovery</h2>'", prose_sql("recovery"),
+    card_sql("Warm", "warm", "'&lt; 10 min'", "0 (switchover) / ≤ 1 min (failover)"), card_sql("Cold", "cold", _hours, "~1 min"),
+    "'<h2>Assumptions</h2>'", prose_sql("assumptions"), prose_sql("quote", "blockquote"), "'<h2>Next steps</h2>'", prose_sql("next_steps"), "'</body></html>'",
+])
+SQL["business_cases"] = f"WITH {_models} SELECT yr, 'business-case-year-' || yr || '.html' AS filename, {_case_html} AS html FROM mo"
+
+_supplier_part = """sp AS (SELECT s_nationkey AS "case", 'n' || s_nationkey || '/' || s_name AS source, s_suppkey % 4 AS k, s_suppkey % 7 + 1 AS shards FROM supplier)"""
+SQL["triage_bindings"] = f"""WITH {_supplier_part}, p AS (SELECT "case", arg_min(shards, source) AS shards, min(source) AS source FROM sp WHERE k = 0 GROUP BY 1)
+SELECT "case", 'cluster.shardCount' AS signal_id, shards::DOUBLE AS num, NULL::VARCHAR AS str, 1.0::DOUBLE AS confidence, 'keyvalue' AS method, source FROM p
+ UNION ALL SELECT "case", 'node.hoVcpu', 8, NULL, 1.0, 'keyvalue', source FROM p UNION ALL SELECT "case", 'mongo.edition', NULL, 'standard', 0.9, 'keyvalue', source FROM p"""
+SQL["triage_inventory"] = f"""WITH {_supplier_part} SELECT "case", source, ['keyvalue', 'text', 'text', 'image'][k + 1] AS kind, ['topology', 'prose', 'noise', 'chart'][k + 1] AS role,
+ CASE WHEN k = 0 THEN 'cluster.shardCount,mongo.edition,node.hoVcpu' ELSE '' END AS signals, k = 2 AS ignored FROM sp"""
+SQL["cost_profiles"] = """SELECT s_suppkey, (s_suppkey % 5 + 1)::DOUBLE AS shards, [2, 4, 8, 16, 32][s_nationkey % 5 + 1]::DOUBLE AS ho_vcpu, 8.0::DOUBLE AS dr_vcpu, (s_suppkey * 100)::DOUBLE AS data_gb,
+ ['none', 'cold', 'warm', NULL][s_suppkey % 4 + 1] AS dr_posture FROM supplier"""
+SQL["profile_problems"] = """SELECT s_suppkey, [NULL, 'shards is not a positive number', 'ho_vcpu is not a positive number', 'dr_vcpu is not a number of 0 or more', 'data_gb is not a positive number', 'dr_posture is unknown', NULL][s_suppkey % 7 + 1] AS problem FROM supplier"""
+SQL["source_problems"] = f"""WITH {_sources} SELECT ord, CASE WHEN ord % 13 = 0 THEN 'component is unknown' WHEN ord % 17 = 0 THEN 'quality is unknown' WHEN ord % 9 = 0 THEN 'source is empty'
+ WHEN ord % 6 = 0 AND quality <> 'training-cutoff' THEN 'url is missing' WHEN try_cast(as_of AS DATE) IS NULL THEN 'as_of is no date' END AS problem FROM src"""
+_said = """i AS (SELECT trim(left(text, 20), ' ') AS text, conv_id::VARCHAR AS source, ['concern', 'objection', 'joke', 'timeline', 'positioning'][turn % 5 + 1] AS category FROM conversations WHERE turn % 4 <> 3 AND turn % 5 <> 2 AND trim(left(text, 20), ' ') <> '')"""
+SQL["said_items"] = f"WITH {_said} SELECT * FROM i"
+SQL["said_twice"] = f"WITH {_said} SELECT source, category, text, count(*) AS n FROM (SELECT * FROM i UNION ALL SELECT * FROM i WHERE category = 'concern') GROUP BY ALL"
+SQL["searchable_corpus"] = """SELECT c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'name |  | segment' || chr(10) || c_name || ' | - | ' || c_mktsegment || chr(10) || 'x | y | ' || c_custkey WHEN 1 THEN c_name || ' | ' || c_mktsegment ELSE c_mktsegment END AS text
+ FROM customer WHERE c_custkey % 4 <> 3"""
+SQL["company_phrases"] = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '  of Acme Co ' || c_name END AS company FROM customer)
+SELECT c_custkey, company AS phrase, 'org' AS type, 1.0::DOUBLE AS confidence, 0 AS ord FROM c
+ UNION ALL SELECT c_custkey, w, 'org', 0.9, 1 FROM (SELECT c_custkey, unnest(regexp_split_to_array(company, '\\s+')) AS w FROM c WHERE contains(company, ' ')) WHERE length(w) >= 4 AND regexp_matches(w, '^[A-Z]')"""
+SQL["hidden_names"] = """WITH e AS (SELECT event_id, ts, 'file ' || event_id * 7 % 50 || '.csv' AS name, event_id % 5 <> 0 AS own FROM events),
+r AS (SELECT name, row_number() OVER (ORDER BY min(ts), name) AS k FROM e WHERE own GROUP BY name), m AS (SELECT event_id, CASE WHEN own THEN 'file-' || k ELSE e.name END AS a FROM e LEFT JOIN r ON e.name = r.name)
+SELECT event_id, 'cannot read ' || a || ' or ' || a AS message, 'bad: ' || a AS title FROM m"""

@@ -3,14 +3,16 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.config import CONTEXT_KINDS, POSTURES, QUALITIES
 from evidentia.functions.numbers import finite, iso_date, thousands
 from evidentia.functions.text import escape_html, is_noise, slug
 from evidentia.operators.binding import BINDING, bind_long, bind_pairs, bind_series, bind_wide, merge_bindings, read_values, synthesize_tiers
+from evidentia.operators.numbering import numbered
 from evidentia.operators.series import column_facts, table_roles
+from evidentia.plans.charts import bar_chart, line_chart
 from evidentia.plans.costs import annual_saving, baseline_total, discount, five_years, payback, proposed_total
 from evidentia.plans.render import dollars, page
 from evidentia.plans.sizing import restore_hours
@@ -98,6 +100,12 @@ def merge_context(*lists: DataFrame) -> DataFrame:
     return whole
 
 
+def with_places(parts: DataFrame) -> DataFrame:
+    """Extracted parts with ``idx``, their place from 0 in the order of name and part, by ranges of that order."""
+    found = numbered(parts, [], ["name", F.coalesce("part", F.lit("")), "kind"], "idx")
+    return found.withColumn("idx", F.col("idx") - 1)
+
+
 def without_images(parts: DataFrame, excluded: DataFrame) -> DataFrame:
     """Parts without the pictures that are excluded by their place (idx), not by their source."""
     gone = excluded.select(F.col("idx").alias("__idx"))
@@ -162,7 +170,8 @@ def cost_model(costs: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame
           for p, c, n in (("warm", "cum_b", "stay_cum"), ("warm", "cum_a", "warm_cum"), ("cold", "cum_a", "cold_cum"))],
     )
     parts = [
-        baseline_total(own, keys).select(*keys, F.col("central").alias("onprem")), by_posture(proposed_total(own, keys), ("central", "")),
+        baseline_total(own, keys).select(*keys, F.col("central").alias("onprem")),
+        proposed_total(own, keys).where("posture = 'none'").select(*keys, F.col("central").alias("primary")), by_posture(proposed_total(own, keys), ("central", "")),
         by_posture(proposed_total(costs, keys), ("central", "list")), by_posture(annual_saving(own, keys), ("saving", "saving"), ("saving_pct", "pct")),
         by_posture(payback(streams, keys), ("net", "net"), ("payback_year", "payback")), runs,
     ]
@@ -204,12 +213,61 @@ def cost_claims(model: DataFrame, sized: DataFrame, keys: list[str]) -> DataFram
     return peak.unionByName(rows)
 
 
+#: Ways to recover: posture, title, time to restore (null: the model's hours), lost data, how one switches over. Fixed values.
+RECOVERY = (
+    ("warm", "Warm", "< 10 min", "0 (switchover) / ≤ 1 min (failover)", "manual cross-region"),
+    ("cold", "Cold", None, "~1 min", "manual cross-region"),
+)
+#: Names of components for people; others go by their own.
+COMPONENT_LABELS = (("license", "Licences"), ("hardware", "Servers"), ("storage", "Storage"), ("facility", "Data centre"), ("labor", "Staff"), ("backup", "Backup and recovery"))
+
+
+def recovery_options(model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, posture, title, added, total, restore, lost, failover) of cost_model() rows, two for each case."""
+    hours = F.concat(F.lit("~"), F.col("cold_hours").cast("string"), F.lit(" hrs"))
+    ways = F.array(*[
+        F.struct(F.lit(k).alias("ord"), F.lit(p).alias("posture"), F.lit(title).alias("title"), (F.col(p) - F.col("primary")).alias("added"), F.col(p).alias("total"),
+                 (F.lit(restore) if restore else hours).alias("restore"), F.lit(lost).alias("lost"), F.lit(over).alias("failover"))
+        for k, (p, title, restore, lost, over) in enumerate(RECOVERY)
+    ])
+    return model.select(*keys, F.explode(ways).alias("o")).select(*keys, "o.*")
+
+
+def component_labels(costs: DataFrame) -> DataFrame:
+    """``costs`` with ``label``: a component's name for people, or its own."""
+    label = F.col("component")
+    for name, told in COMPONENT_LABELS:
+        label = F.when(F.col("component") == name, told).otherwise(label)
+    return costs.withColumn("label", label)
+
+
+def case_charts(costs: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cost_svg, years_svg): today's components and both postures as bars, and the running costs of five years as lines."""
+    own = component_labels(costs.where("side = 'baseline'"))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("central"), "component"))  # a case's few components
+    today = own.select(*keys, F.lit(0).alias("bar"), order.alias("ord"), F.lit("today").alias("label"), thousands(F.col("central")).alias("value"))
+    ways = [
+        F.struct(F.lit(bar).alias("bar"), F.lit(k).alias("ord"), F.lit(p).alias("label"), thousands(x).alias("value"))
+        for bar, p in ((1, "warm"), (2, "cold")) for k, x in enumerate((F.col("primary"), F.col(p) - F.col("primary")))
+    ]
+    bars = bar_chart(today.unionByName(model.select(*keys, F.explode(F.array(*ways)).alias("s")).select(*keys, "s.*")), keys)
+    runs = model.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("line"), F.col(c).alias("ys")) for n, c in (("stay", "stay_cum"), ("warm", "warm_cum"), ("cold", "cold_cum"))])).alias("r"))
+    points = runs.select(*keys, "r.line", F.posexplode("r.ys").alias("x", "y"))
+    return bars.withColumnRenamed("svg", "cost_svg").join(line_chart(points, keys).withColumnRenamed("svg", "years_svg"), keys)
+
+
 #: Passages of a business case, each a column of text that is supplied.
 PASSAGES = ("summary", "comparison", "path", "recovery", "assumptions", "quote", "next_steps")
 
 
-def business_case(model: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, filename, html) of cost_model() rows with company, prepared, status and the PASSAGES; no figure is computed here."""
+def business_case(model: DataFrame, keys: list[str], charts: DataFrame | None = None) -> DataFrame:
+    """(keys, filename, html) of cost_model() rows with company, prepared, status and the PASSAGES; no figure is computed here.
+
+    ``charts`` of case_charts() stand by the comparison and the path.
+    """
+    model = model.join(charts, keys, "left") if charts is not None else model.withColumns({"cost_svg": F.lit(""), "years_svg": F.lit("")})
+    svg = lambda c: F.coalesce(c, F.lit(""))
+    told = recovery_options(model, keys)
     def text(c: str) -> Column:
         return escape_html(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
@@ -219,9 +277,13 @@ def business_case(model: DataFrame, keys: list[str]) -> DataFrame:
     def stat(value: Column, label: str) -> Column:
         return block("div", block("b", value), F.lit(f" {label}"))
 
-    def posture(p: str, title: str, restore: Column) -> Column:
-        return block("div", F.lit(f"<h3>{title}</h3>"), dollars(F.col(p)), F.lit(" a year; restored in "), restore)
-
+    line = lambda name, value: F.concat(F.lit(f"<li>{name}: "), value, F.lit("</li>"))
+    card = F.concat(
+        F.lit("<h3>"), "title", F.lit("</h3><ul>"), line("Added a year", F.concat(F.lit("+"), dollars(F.col("added")), F.lit(", in all "), dollars(F.col("total")))),
+        line("Restored in", escape_html(F.col("restore"))), line("Data lost", escape_html(F.col("lost"))), line("Failover", escape_html(F.col("failover"))), F.lit("</ul>"),
+    )
+    cards = told.withColumn("card", card).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "card"))), lambda x: x["card"]), "").alias("cards"))
+    model = model.join(cards, keys)
     off = F.col("list_warm").isNotNull()
     percent = F.concat(F.col("discount_pct").cast("int").cast("string"), F.lit("%"))
     warm = F.when(off, F.concat(block("s", dollars(F.col("list_warm"))), F.lit(" "), dollars(F.col("warm")), F.lit(" ("), percent, F.lit(" discount)"))).otherwise(dollars(F.col("warm")))
@@ -229,8 +291,8 @@ def business_case(model: DataFrame, keys: list[str]) -> DataFrame:
         block("p", text("prepared"), F.lit(" · "), text("status")), block("p", text("summary")),
         stat(dollars(F.col("onprem")), "a year today"), stat(warm, "a year with warm recovery"),
         stat(F.concat(F.col("saving_warm_pct").cast("string"), F.lit("%")), "lower cost"), stat(F.concat(F.lit("Yr "), F.coalesce(F.col("payback_warm").cast("string"), F.lit("—"))), "payback"),
-        F.lit("<h2>Comparison</h2>"), block("p", text("comparison")), F.lit("<h2>Path</h2>"), block("p", text("path")),
-        F.lit("<h2>Recovery</h2>"), block("p", text("recovery")), posture("warm", "Warm", F.lit("&lt; 10 min")), posture("cold", "Cold", F.concat(F.lit("~"), F.col("cold_hours").cast("string"), F.lit(" hrs"))),
+        F.lit("<h2>Comparison</h2>"), svg(F.col("cost_svg")), block("p", text("comparison")), F.lit("<h2>Path</h2>"), block("p", text("path")), svg(F.col("years_svg")),
+        F.lit("<h2>Recovery</h2>"), block("p", text("recovery")), F.col("cards"),
         F.lit("<h2>Assumptions</h2>"), block("p", text("assumptions")), block("blockquote", text("quote")), F.lit("<h2>Next steps</h2>"), block("p", text("next_steps")),
     )
     name = F.concat(F.lit("business-case-"), slug(F.col("company"), None, "case"), F.lit(".html"))

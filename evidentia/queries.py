@@ -260,6 +260,123 @@ def case_models(spark, d):
                     "saving_warm_pct", r6(F.col("net_warm")).alias("net_warm"), "payback_warm", r6(F.col("transition")).alias("transition"), "cold_hours")
 
 
+@query
+def business_cases(spark, d):
+    """Pages of the same cases, without charts."""
+    cases = t(spark, d, "lineitem").select(F.year("l_shipdate").alias("yr")).distinct().select(
+        "yr", (F.col("yr") % 2 * 25).cast("double").alias("discount_pct"), (F.col("yr") * 10).cast("double").alias("data_gb"), F.concat(F.lit("Year "), F.col("yr").cast("string")).alias("company"),
+        F.lit("2026-06-30").alias("prepared"), F.lit("draft").alias("status"), *[F.concat(F.lit(f"{p} & "), F.col("yr").cast("string")).alias(p) for p in X.PASSAGES])
+    return X.business_case(X.cost_model(costs(spark, d), cases, ["yr"]), ["yr"])
+
+
+@query
+def recovery_options(spark, d):
+    cases = t(spark, d, "lineitem").select(F.year("l_shipdate").alias("yr")).distinct().select("yr", F.lit(0.0).alias("discount_pct"), (F.col("yr") * 10).cast("double").alias("data_gb"))
+    return X.recovery_options(X.cost_model(costs(spark, d), cases, ["yr"]), ["yr"])
+
+
+@query
+def component_labels(spark, d):
+    return X.component_labels(costs(spark, d)).select("yr", "component", "label")
+
+
+def supplier_parts(spark, d) -> DataFrame:
+    """A part of each supplier, in its nation's case: settings, a note, thanks, or a picture."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), "s_name")
+    kind = F.element_at(F.array(*map(F.lit, ("keyvalue", "text", "text", "image"))), (k % 4 + 1).cast("int"))
+    pairs = F.when(k % 4 == 0, F.create_map(F.lit("Shards"), (k % 7 + 1).cast("string"), F.lit("Cores per node"), F.lit("8"), F.lit("Edition"), F.lit("standard")))
+    text = F.when(k % 4 == 1, F.lit("We run 4 shards on M80 today.")).when(k % 4 == 2, F.lit("Thanks and best wishes"))
+    none = lambda c: F.lit(None).cast(c)
+    return t(spark, d, "supplier").select(
+        name.alias("name"), F.lit("x").alias("type"), kind.alias("kind"), F.lit("").alias("part"), text.alias("text"), none("array<string>").alias("headers"),
+        none("array<array<string>>").alias("rows"), pairs.alias("pairs"), none("binary").alias("bytes"), none("string").alias("error"))
+
+
+def triaged(spark, d) -> X.Triage:
+    return X.triage(supplier_parts(spark, d), signal_table(spark), method_table(spark), tier_table(spark), case_of=lambda s: F.regexp_extract(s, "^n([0-9]+)/", 1).cast("int"))
+
+
+@query
+def triage_bindings(spark, d):
+    return triaged(spark, d).bindings.select("case", "signal_id", F.col("value.num").alias("num"), F.col("value.str").alias("str"), "confidence", "method", "source")
+
+
+@query
+def triage_inventory(spark, d):
+    return triaged(spark, d).inventory.select("case", "source", "kind", "role", F.array_join("signals", ",").alias("signals"), "ignored")
+
+
+@query
+def cost_profiles(spark, d):
+    posture = F.element_at(F.array(*map(F.lit, ("none", "cold", "warm", "hot"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    bound = t(spark, d, "supplier").select("s_suppkey", F.lit("dr.posture").alias("signal_id"), F.struct(posture.alias("str")).alias("value"))
+    return X.cost_profiles(loads(spark, d), bound, ("s_suppkey",))
+
+
+@query
+def profile_problems(spark, d):
+    k = F.col("s_suppkey")
+    p = loads(spark, d).select(
+        "s_suppkey", F.when(k % 7 == 1, 0.0).otherwise(F.col("shards")).alias("shards"), F.when(k % 7 == 2, F.lit(float("nan"))).otherwise(F.col("ho_vcpu")).alias("ho_vcpu"),
+        F.when(k % 7 == 3, -1.0).otherwise(F.col("dr_vcpu")).alias("dr_vcpu"), F.when(k % 7 != 4, F.col("storage_gb") + 1).alias("data_gb"), F.when(k % 7 == 5, "hot").when(k % 7 == 6, "warm").alias("dr_posture"))
+    return X.profile_problems(p).select("s_suppkey", "problem")
+
+
+@query
+def source_problems(spark, d):
+    k = F.col("ord")
+    url = F.when(k % 6 == 0, F.lit(" ")).otherwise(F.lit("http://x"))
+    s = source_rows(spark, d).select("ord", F.when(k % 13 == 0, "zzz").otherwise(F.col("component")).alias("component"), F.when(k % 9 == 0, "  ").otherwise(F.col("label")).alias("source"), url.alias("url"), "as_of",
+                                     F.when(k % 17 == 0, "guess").otherwise(F.col("quality")).alias("quality"))
+    return X.source_problems(s, ("license", "hardware", "storage", "labor")).select("ord", "problem")
+
+
+def said(spark, d) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("concern", "objection", "joke", "timeline", "positioning"))), (F.col("turn") % 5 + 1).cast("int"))
+    text = F.when(F.col("turn") % 4 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.left("text", F.lit(20)), F.lit(" ")))
+    return t(spark, d, "conversations").select(text.alias("text"), F.col("conv_id").cast("string").alias("source"), kind.alias("category"))
+
+
+@query
+def said_items(spark, d):
+    return X.context_items(said(spark, d))
+
+
+@query
+def said_twice(spark, d):
+    """What two lists say stays twice."""
+    items = X.context_items(said(spark, d))
+    return X.merge_context(items, items.where("category = 'concern'")).groupBy("source", "category", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def searchable_corpus(spark, d):
+    none = lambda c: F.lit(None).cast(c)
+    kinds = ("table", "keyvalue", "text", "image")
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (k % 4 + 1).cast("int"))
+    c = t(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.lit("").alias("part"), kind.alias("kind"), F.when(k % 4 == 2, F.col("c_mktsegment")).alias("text"), F.when(k % 4 == 0, F.array(F.lit("name"), none("string"), F.lit("segment"))).alias("headers"),
+        F.when(k % 4 == 0, F.array(F.array("c_name", F.lit("-"), F.col("c_mktsegment")), F.array(F.lit("x"), F.lit("y"), k.cast("string")))).alias("rows"), F.when(k % 4 == 1, F.create_map(F.lit("a"), F.col("c_name"), F.lit("b"), F.col("c_mktsegment"))).alias("pairs"))
+    return P.corpus(c).select("name", "text")
+
+
+@query
+def company_phrases(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.initcap("c_mktsegment"), F.lit("  of Acme Co "), "c_name")).alias("company"))
+    return P.company_phrases(c, ["c_custkey"])
+
+
+@query
+def hidden_names(spark, d):
+    k = F.col("event_id")
+    name = F.concat(F.lit("file "), (k * 7 % 50).cast("string"), F.lit(".csv"))
+    context = F.when(k % 5 == 0, F.create_map(F.lit("other"), F.lit("x"))).otherwise(F.create_map(F.lit("file"), name))
+    e = t(spark, d, "events").select("event_id", F.col("ts").alias("at"), F.concat(F.lit("cannot read "), name, F.lit(" or "), name).alias("message"), F.concat(F.lit("bad: "), name).alias("title"), context.alias("context"))
+    return E.hide_names(e).select("event_id", "message", "title")
+
+
 @query
 def what_to_collect(spark, d):
     return C.what_to_collect(covered(spark, d), request_table(spark))

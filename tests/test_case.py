@@ -88,6 +88,10 @@ def test_model_claims_and_page(spark):
     prose = model.withColumns({"company": F.lit("A & <B>"), "prepared": F.lit("2026-06-30"), "status": F.lit("draft"), **{p: F.lit(f"{p} <x>") for p in X.PASSAGES}})
     pages = {r.case: r for r in X.business_case(prose, ["case"]).collect()}
     assert pages[1].filename == "business-case-a-b.html" and "A &amp; &lt;B&gt;" in pages[1].html and "<x>" not in pages[1].html
+    charts = X.case_charts(costs, model, ["case"])
+    drawn = {r.case: r.html for r in X.business_case(prose, ["case"], charts).collect()}
+    assert drawn[1].count("<svg") == 2 and drawn[1].count("<polyline") == 3 and drawn[1].count("<rect") == 5 and pages[1].html.count("<svg") == 0
+    assert "Added a year: +$133K, in all $214K" in pages[1].html and "Restored in: ~11 hrs" in pages[1].html and "0 (switchover) / ≤ 1 min (failover)" in pages[1].html
     assert "$450K" in pages[1].html and "discount" not in pages[1].html and "<s>$214K</s> $107K (50% discount)" in pages[2].html
 
 
@@ -98,6 +102,8 @@ def test_small_checks(spark):
     assert X.asked_of(signal_table(spark), "manual").count() == 3
     parts = spark.createDataFrame([(0, "image", "a"), (1, "image", "a"), (1, "text", "b")], "idx int, kind string, name string")
     assert [(r.idx, r.kind) for r in X.without_images(parts, spark.createDataFrame([(1,)], "idx int")).orderBy("idx").collect()] == [(0, "image"), (1, "text")]
+    placed = X.with_places(spark.createDataFrame([("b", None, "image"), ("a", "2", "image"), ("a", "1", "text")], "name string, part string, kind string")).orderBy("idx").collect()
+    assert [(r.idx, r.name, r.part) for r in placed] == [(0, "a", "1"), (1, "a", "2"), (2, "b", None)]
     assert X.archived_sources(spark.createDataFrame([(50 << 20,), ((50 << 20) + 1,)], "length long")).count() == 1
     made = spark.range(1).select(X.new_case_id(F.lit("Ümlaut & Co!"), F.timestamp_millis(F.lit(1700000000000))).alias("i")).first().i
     assert made == "mlaut-co-loyw3v28"
