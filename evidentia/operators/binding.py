@@ -130,6 +130,29 @@ def read_values(raw: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
+#: Where the use of a role's nodes is kept. Fixed values.
+ROLE_SIGNALS = (("primary", "util.primary"), ("secondary", "util.hoSec"), ("dr", "util.dr"))
+
+
+def read_panels(panels: DataFrame, signals: DataFrame) -> DataFrame:
+    """Bindings of a picture's panels (source, idx, label, signal_id, num, avg, peak, str, confidence), with ``heuristic``.
+
+    Panels of use are told apart by role, picture by picture (assign_roles), and their signal is the role's; ``heuristic``
+    marks those whose role was not on the label. All others keep their signal. What read_values() refuses goes before roles are dealt.
+    """
+    named = panels.withColumns({"method": F.lit("vision"), "locator": F.col("idx").cast("string")})
+    good = read_values(named, signals)
+    use = F.col("signal_id").startswith("util.")
+    placed = good.where(use).select("source", F.col("locator").cast("long").alias("idx"), "value", "confidence", "method", "locator")
+    labels = panels.select("source", F.col("idx").cast("long").alias("idx"), "label")
+    roles = assign_roles(placed.join(labels, ["source", "idx"]).withColumn("peak", F.col("value.peak")).select("source", "idx", "label", "peak"), ["source"])
+    signal = F.lit(None).cast("string")
+    for role, name in ROLE_SIGNALS:
+        signal = F.when(F.col("role") == role, name).otherwise(signal)
+    dealt = placed.join(roles.select("source", "idx", signal.alias("signal_id"), "heuristic"), ["source", "idx"])
+    return good.where(~use).withColumn("heuristic", F.lit(False)).unionByName(dealt.drop("idx"))
+
+
 def merge_bindings(candidates: DataFrame, methods: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
     """One binding per signal, whatever the order of the candidates: trust, confidence, source, value.
 

@@ -502,3 +502,11 @@ SELECT c_custkey, company AS phrase, 'org' AS type, 1.0::DOUBLE AS confidence, 0
 SQL["hidden_names"] = """WITH e AS (SELECT event_id, ts, 'file ' || event_id * 7 % 50 || '.csv' AS name, event_id % 5 <> 0 AS own FROM events),
 r AS (SELECT name, row_number() OVER (ORDER BY min(ts), name) AS k FROM e WHERE own GROUP BY name), m AS (SELECT event_id, CASE WHEN own THEN 'file-' || k ELSE e.name END AS a FROM e LEFT JOIN r ON e.name = r.name)
 SELECT event_id, 'cannot read ' || a || ' or ' || a AS message, 'bad: ' || a AS title FROM m"""
+SQL["panel_bindings"] = f"""WITH {signals}, e AS (SELECT (event_id // 20)::VARCHAR AS source, event_id AS idx, ['Primary CPU', 'panel', 'HA secondary', 'panel', 'DR site'][event_id % 5 + 1] AS label, [1, 0, 2, 0, 3][event_id % 5 + 1] AS tok,
+ ['util.primary', 'util.primary', 'util.hoSec', 'disk.iops', 'node.hoVcpu', 'none'][event_id % 6 + 1] AS signal_id, value AS num, event_id * 37 % 120 / 100 AS peak, event_id % 100 / 100 AS confidence FROM events),
+g AS (SELECT e.*, value_kind, coalesce(peak, -1) AS pk FROM e JOIN signals USING (signal_id) WHERE CASE WHEN value_kind = 'avgPeak' THEN peak <= 1 ELSE num >= 0 END),
+u AS (SELECT *, tok > 0 AND row_number() OVER (PARTITION BY source, tok ORDER BY pk DESC, idx) = 1 AS won FROM g WHERE signal_id LIKE 'util.%'),
+c AS (SELECT *, list(tok) FILTER (won) OVER (PARTITION BY source) AS claimed FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, won ORDER BY -pk, tok, idx) AS k, list_filter([1, 2, 3], lambda x: NOT list_contains(coalesce(claimed, []), x)) AS open FROM c)
+SELECT source, idx, ['util.primary', 'util.hoSec', 'util.dr'][CASE WHEN won THEN tok ELSE coalesce(open[k], 3) END] AS signal_id, NULL::DOUBLE AS num, {r6('peak')} AS peak, {r6('confidence')} AS confidence, NOT won AS heuristic FROM r
+ UNION ALL SELECT source, idx, signal_id, CASE WHEN value_kind = 'scalar' THEN {r6('num')} END, CASE WHEN value_kind = 'avgPeak' THEN {r6('peak')} END, {r6('confidence')}, FALSE FROM g WHERE signal_id NOT LIKE 'util.%'"""

@@ -868,6 +868,19 @@ def values_read_outside(spark, d):
     return b.select("source", "signal_id", *[F.col(f"value.{c}").alias(c) for c in ("num", "avg", "peak", "str")], r6(F.col("confidence")).alias("confidence"))
 
 
+@query
+def panel_bindings(spark, d):
+    """A picture for each twenty events, a panel for each of them; some cannot be read."""
+    k = F.col("event_id")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int"))
+    peak = k * 37 % 120 / 100
+    p = t(spark, d, "events").select(
+        F.floor(k / 20).cast("string").alias("source"), k.alias("idx"), pick("Primary CPU", "panel", "HA secondary", "panel", "DR site").alias("label"), pick("util.primary", "util.primary", "util.hoSec", "disk.iops", "node.hoVcpu", "none").alias("signal_id"),
+        F.col("value").alias("num"), (peak / 2).alias("avg"), peak.alias("peak"), F.lit(None).cast("string").alias("str"), (k % 100 / 100).alias("confidence"))
+    b = B.read_panels(p, signal_table(spark))
+    return b.select("source", F.col("locator").cast("long").alias("idx"), "signal_id", r6(F.col("value.num")).alias("num"), r6(F.col("value.peak")).alias("peak"), r6(F.col("confidence")).alias("confidence"), "heuristic")
+
+
 @query
 def researched_claims(spark, d):
     p = t(spark, d, "part")
