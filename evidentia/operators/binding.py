@@ -112,7 +112,7 @@ def read_values(raw: DataFrame, signals: DataFrame) -> DataFrame:
     scalars are finite and not negative; enumerations are not blank. Confidence is clamped
     to [0, 1], and is 0.6 where it is missing. All else goes.
     """
-    met = raw.join(F.broadcast(signals.select("signal_id", "value_kind")), "signal_id")
+    met = raw.join(signals.select("signal_id", "value_kind"), "signal_id")
     pair = finite(F.col("avg")) & finite(F.col("peak")) & F.col("avg").between(0, 1) & F.col("peak").between(0, 1) & (F.col("avg") <= F.col("peak"))
     good = (
         F.when(F.col("value_kind") == "avgPeak", pair)
@@ -163,7 +163,7 @@ def merge_bindings(candidates: DataFrame, methods: DataFrame, keys: tuple[str, .
         F.to_json("value").alias("v"),
     )
     others = [c for c in candidates.columns if c not in keys]
-    best = candidates.join(F.broadcast(methods.select("method", "trust")), "method", "left").groupBy(*keys).agg(
+    best = candidates.join(methods.select("method", "trust"), "method", "left").groupBy(*keys).agg(
         F.min_by(F.struct(*others), rank).alias("b")
     )
     return best.select(*keys, "b.*").select(candidates.columns)
@@ -180,7 +180,7 @@ def merge_more(best: DataFrame, candidates: DataFrame, methods: DataFrame, keys:
 def tier_lookup(names: DataFrame, tiers: DataFrame, column: str = "tier") -> DataFrame:
     """The processors of known tiers; unknown names give no row."""
     return names.withColumn("__t", F.upper(F.trim(column))).join(
-        F.broadcast(tiers.select(F.col("tier").alias("__t"), "vcpu")), "__t"
+        tiers.select(F.col("tier").alias("__t"), "vcpu"), "__t"
     ).drop("__t")
 
 
@@ -238,7 +238,7 @@ def sizing_inputs(bindings: DataFrame, signals: DataFrame, keys: tuple[str, ...]
     ])
     if keys:
         required = signals.where("criticality = 'required'").select("signal_id")
-        bound = bindings.where("value is not null").join(F.broadcast(required), "signal_id").groupBy(*keys).agg(F.count_distinct("signal_id").alias("bound"))
+        bound = bindings.where("value is not null").join(required, "signal_id").groupBy(*keys).agg(F.count_distinct("signal_id").alias("bound"))
         return wide.join(bound, list(keys)).where(F.col("bound") == required.count()).drop("bound")
     gaps = missing_required(bindings, signals).agg(F.count(F.lit(1)).alias("gaps"))
     return wide.crossJoin(gaps).where("gaps = 0").drop("gaps")
