@@ -271,7 +271,7 @@ def decontaminate(
     Items whose texts have at most ``broadcast_bytes`` go to every task, and the texts
     are not shuffled; beyond that, fingerprints meet in a shuffled join. A null text
     has no words. Items with a null id or without words occur nowhere; items that share
-    an id count once. Repeated rows and null ids of ``docs`` are rows like any other.
+    an id count once. Repeated rows and null ids of ``docs`` are rows like any other; ids of ``docs`` are whole numbers.
     """
     prepare(docs.sparkSession)
     bench = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text"))

@@ -99,7 +99,7 @@ def identify(
     Each whole text is cut into pieces of ``limits.piece_bytes``, which are compressed with
     the dictionary of every language; the language of the smallest total is taken, the most
     frequent in training of equals. ``rejected`` marks narrow margins. A null text, or one without any
-    letter, is ``und`` with score 0, and so is every text if nothing was learned. Null ids and
+    letter, is ``und`` with score 0, and so is every text if nothing was learned. Ids are whole numbers; null ids and
     repeated rows are rows like any other; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -38,7 +38,7 @@ def encode(
     different ids get draws of their own. Characters without a piece are spelled by bytes.
     The model is read by the driver and sent to the tasks.
 
-    Every text is decoded again; ``lossless`` says that it came back unchanged. A null text
+    Ids are whole numbers. Every text is decoded again; ``lossless`` says that it came back unchanged. A null text
     has null pieces and n_pieces 0; an empty one has no pieces. A null id has a seed of its
     own. Repeated rows have the same draw. Other columns are ignored.
     """

@@ -283,7 +283,7 @@ def classify_quality(
 
     The driver gets the sample and the counts of at most 3**7 and 3**4 patterns. A null text
     is empty; texts without words get the scorers' bias alone. Without labels, the fixed
-    words are the only lexicon that speaks. Null ids and repeated rows are rows like any
+    words are the only lexicon that speaks. A score of just the least keeps. Ids are whole numbers, the first column of ``labels`` is the id; null ids and repeated rows are rows like any
     other; of labels that share an id, the worst counts. Other columns are ignored.
     """
     spark = docs.sparkSession

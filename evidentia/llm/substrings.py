@@ -269,7 +269,7 @@ def substring_dedup(
     Chunks hold ``chunk_bytes`` of text, or more than that where the corpus is so large
     that chunks times buckets would pass the number of its 64 KB pieces.
 
-    A null text has no words. A row with a null id comes after all others. Rows that
+    A null text has no words. Ids are whole numbers; a row with a null id comes after all others. Rows that
     share an id follow one another in the order of their texts, so repeated rows lose
     their repeats. Other columns are ignored; no rows, no result.
     """

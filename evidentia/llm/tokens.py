@@ -206,7 +206,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spark has no sink for raw bytes, so the files are written as tables of their blocks. The scan reads shard, block and content alone; ids, written beside
     the blocks, meet the counts by shard and ordinal.
 
-    A null or empty text has no tokens. Null ids and repeated rows are documents like any
+    A null or empty text has no tokens. Ids are whole numbers; null ids and repeated rows are documents like any
     other; other columns are ignored; no rows, no result.
     """
     scratch = Scratch(docs.sparkSession)

@@ -1,10 +1,14 @@
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.llm.simhash import near_dedup
-from evidentia.llm.quality import Limits, _sample, classify_quality, expectation_maximisation, fit_linear, posterior
+from evidentia.llm.quality import (
+    WORD_SPACE, Limits, _both, _lexicon, _sample, classify_quality, expectation_maximisation, fit_linear, insult_features, insult_votes, posterior, quality_votes,
+)
 
 
 def test_held_out_accuracy(spark):
@@ -120,3 +124,64 @@ def test_copies_do_not_thin_the_sample(spark):
     gold = spark.createDataFrame([], "id long, gold_quality int, gold_clean int")
     assert len(_sample(df, gold, Limits(plain_texts=40))) == 40
     assert len(_sample(df, gold, Limits(plain_texts=100))) == 60
+
+
+INSULT_WORDS = {"clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"}
+
+
+def plain_votes(text):
+    """The six labellers' votes of one text, byte by byte and word by word."""
+    data, blanks = text.encode(), b"\t\n\x0b\x0c\r "
+    words = [w for w in bytes(32 if b in blanks else b for b in data).split(b" ") if w]
+    n, some = len(words), max(len(words), 1)
+    upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    solid = lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    x = {
+        "upper": upper / max(upper + lower, 1), "marks": sum(b in b"#$%&*!@^~|<>=_{}[]\\/+" for b in data) / some,
+        "stutter": sum(a == b for a, b in zip(words, words[1:])) / some, "bare": sum(not any(map(solid, w)) for w in words) / some,
+        "loops": 1 - len({tuple(words[i : i + 4]) for i in range(n - 3)}) / (n - 3) if n > 3 else 0,
+    }
+    x["mild"] = 2 * x["upper"] + 2 * x["marks"] + 3 * x["stutter"] + 5 * x["bare"] + 2 * x["loops"]
+    limits = {"upper": (0.15, 0.30), "marks": (0.05, 0.15), "stutter": (0.05, 0.10), "bare": (0.005, 0.02), "loops": (0.10, 0.25), "mild": (0.40, 0.80)}
+    return [-1 if n < 8 else 0 if x[k] > bad else 1 if x[k] < good else -1 for k, (good, bad) in limits.items()]
+
+
+def plain_insult(text):
+    """The fixed words' vote; longer words also count by their beginnings of 4 to 8 bytes."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    hits = sum(x.decode(errors="replace") in INSULT_WORDS for w in map(str.encode, words) for x in [w] + [w[:k] for k in range(4, 9) if len(w) > k])
+    return 0 if hits >= 2 and hits > 0.004 * len(words) else 1 if hits <= 0.001 * len(words) else -1
+
+
+def test_labellers_by_brute_force(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    odd = ["", "a", "a a a a a a a a a", "WORDS IN CAPITALS AND A few in small letters to be sure", "! ! ? é é é — – word", "x\ty\nz " * 9, "Idiot, you idiot of an IDIOT " + "word " * 500]
+    texts = docs + odd
+    quality, insult = [], []
+    fixed = np.zeros(WORD_SPACE, dtype=bool)
+    fixed[insult_features()] = True
+    for _, _, looks, owners, features, words in _both(pa.array(texts, pa.large_string())):
+        quality += quality_votes(looks).tolist()
+        insult += insult_votes(owners, features, words, [fixed])[:, 0].tolist()
+    assert quality == [plain_votes(t) for t in texts]
+    # Features are hashes, so another word may share one with an insult: that adds hits, and never takes any.
+    both = list(zip(insult, map(plain_insult, texts)))
+    assert not any((a == 1 and b != 1) or (b == 0 and a != 0) for a, b in both) and sum(a == b for a, b in both) >= 0.95 * len(texts) and insult[-1] == 0
+    assert len({tuple(v) for v in quality}) > 10
+
+
+def test_lexicon_by_brute_force():
+    rng = np.random.default_rng(4)
+    owners, features = np.unique(np.stack([rng.integers(0, 400, 9000), rng.integers(0, 300, 9000)]), axis=1)
+    bad, chosen = rng.random(400) < 0.2, rng.random(400) < 0.7
+    extra = np.array([(k, 1000) for k in range(400) if bad[k] and k % 2] + [(k, 1001) for k in range(400) if k % 2])
+    owners, features = np.append(owners, extra[:, 0]), np.append(features, extra[:, 1])
+    got = set(np.flatnonzero(_lexicon(owners, features, bad, chosen)).tolist())
+    want = set()
+    n_bad, n_good = sum(bad & chosen), sum(~bad & chosen)
+    for f in set(features.tolist()):
+        own = [o for o, x in zip(owners, features) if x == f and chosen[o]]
+        b, g = sum(bool(bad[o]) for o in own), sum(not bad[o] for o in own)
+        if b >= max(3, 0.03 * n_bad) and b / n_bad > 12 * (g + 0.5) / n_good:
+            want.add(f)
+    assert got == want and 1000 in got and 1001 not in got
