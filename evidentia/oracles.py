@@ -510,3 +510,23 @@ c AS (SELECT *, list(tok) FILTER (won) OVER (PARTITION BY source) AS claimed FRO
 r AS (SELECT *, row_number() OVER (PARTITION BY source, won ORDER BY -pk, tok, idx) AS k, list_filter([1, 2, 3], lambda x: NOT list_contains(coalesce(claimed, []), x)) AS open FROM c)
 SELECT source, idx, ['util.primary', 'util.hoSec', 'util.dr'][CASE WHEN won THEN tok ELSE coalesce(open[k], 3) END] AS signal_id, NULL::DOUBLE AS num, {r6('peak')} AS peak, {r6('confidence')} AS confidence, NOT won AS heuristic FROM r
  UNION ALL SELECT source, idx, signal_id, CASE WHEN value_kind = 'scalar' THEN {r6('num')} END, CASE WHEN value_kind = 'avgPeak' THEN {r6('peak')} END, {r6('confidence')}, FALSE FROM g WHERE signal_id NOT LIKE 'util.%'"""
+
+_claims_head = """'<!doctype html><html><head><meta charset="utf-8"><title>Claims &amp; sources</title></head><body><h1>Claims &amp; sources</h1>'"""
+SQL["checklist_pages"] = f"""WITH {_nation}, {_told} SELECT n_nationkey, {_claims_head} || {heads('Section', 'Claim', 'Source', 'Confidence')} || string_agg({cells('section', 'claim', 'source', 'confidence')}, '' ORDER BY section, id) || '</table></body></html>' AS html
+FROM cf GROUP BY n_nationkey"""
+SQL["case_json"] = """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","more":{"region":' || n_regionkey || ',"names":["' || n_name || '"]}}' AS json FROM nation"""
+SQL["valid_case_ids"] = "SELECT c_custkey, c_custkey % 5 > 2 AS valid FROM customer"
+SQL["archived_pages"] = "SELECT page_id, strlen(html)::INTEGER AS length FROM pages WHERE strlen(html) <= 2000"
+SQL["label_widths"] = f"SELECT s_suppkey, {r6('(length(s_name) + 2) * 12.5::DOUBLE * 0.6::DOUBLE')} AS width FROM supplier"
+_failures = """f AS (SELECT c_name AS file, ['msg', 'unknown', 'too large', 'csv', 'csv'][c_custkey % 5 + 1] AS type, ['unsupported format; save it as .eml', 'unrecognized file type', 'over 10 bytes', 'bad header *** in it', ''][c_custkey % 5 + 1] AS message,
+ ['unsupported_format', 'unsupported_format', 'too_large', 'malformed_file', ''][c_custkey % 5 + 1] AS category FROM customer WHERE c_custkey % 5 < 4)"""
+SQL["failed_files"] = f"WITH {_failures} SELECT '2026-01-01' AS at, category, category || ': ' || file AS title, message, file, type FROM f"
+SQL["report_texts"] = f"""WITH {_failures} SELECT '2026-01-01' AS at, '[2026-01-01] ' || upper(category) || ' - ' || category || ': ' || file || chr(10) || '  ' || message || chr(10) || '  context: file=' || file || ' type=' || type AS line FROM f"""
+SQL["report_mail"] = f"""WITH {_failures}, c AS (SELECT category, count(*) AS n FROM f GROUP BY 1)
+SELECT 'Files that were not read:' || chr(10) || string_agg('  - ' || n || ' x ' || category || chr(10), '' ORDER BY n DESC, category) || 'Sent by hand' AS body FROM c"""
+SQL["quarantined"] = """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'image' WHEN strlen(text) + CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END > 3000 THEN 'large' WHEN doc_id % 4 = 1 THEN 'not UTF-8' WHEN doc_id % 4 = 0 THEN 'binary' END AS flag FROM documents"""
+SQL["role_warnings"] = """SELECT s_nationkey AS "case", count(*) || ' panel(s) had no role label; their roles were assigned by load. Check the topology.' AS warning FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 GROUP BY 1"""
+SQL["extracted_files"] = f"""SELECT 'p' || page_id AS name, 'html' AS type, 'text' AS kind, text, NULL::VARCHAR AS headers, NULL::VARCHAR AS cells, NULL::VARCHAR AS error FROM ({SQL['html_text']})
+ UNION ALL SELECT 'e' || event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END, 'text', props, NULL, NULL, NULL FROM events
+ UNION ALL SELECT 'c' || c_custkey, 'csv', 'table', NULL, 'name|segment', c_name || '|' || c_mktsegment || '|-|' || c_custkey, NULL FROM customer
+ UNION ALL SELECT 'n' || n_nationkey, 'text', 'text', 'Of ' || n_name, NULL, NULL, NULL FROM nation"""

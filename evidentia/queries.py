@@ -13,6 +13,7 @@ from evidentia.operators import phrases as P
 from evidentia.operators import series as S
 from evidentia.plans import archive as V
 from evidentia.plans import case as X
+from evidentia.plans import charts as H
 from evidentia.plans import claims as K
 from evidentia.plans import costs as M
 from evidentia.plans import documents as O
@@ -243,6 +244,90 @@ def case_claims(spark, d):
     return c.select("n_nationkey", "c.*")
 
 
+@query
+def checklist_pages(spark, d):
+    c = nation_documents(spark, d).select("n_nationkey", F.explode("claims").alias("c")).select("n_nationkey", "c.*")
+    return D.checklist_page(c, ["n_nationkey"], "Claims & sources")
+
+
+@query
+def case_json(spark, d):
+    return D.as_json(t(spark, d, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("region"), F.array("n_name").alias("names")).alias("more")), ["n_nationkey"])
+
+
+@query
+def valid_case_ids(spark, d):
+    k = F.col("c_custkey")
+    i = F.when(k % 5 == 0, F.col("c_name")).when(k % 5 == 1, F.concat(F.lit("-"), k.cast("string"))).when(k % 5 == 2, F.lit("../x")).otherwise(F.concat(F.lit("c-"), k.cast("string")))
+    return t(spark, d, "customer").select("c_custkey", i.rlike(V.CASE_ID).alias("valid"))
+
+
+@query
+def archived_pages(spark, d):
+    return X.archived_sources(t(spark, d, "pages").select("page_id", F.octet_length("html").alias("length")), 2000)
+
+
+@query
+def label_widths(spark, d):
+    return t(spark, d, "supplier").select("s_suppkey", r6(H.text_width(F.concat("s_name", F.lit(" é")), 12.5)).alias("width"))
+
+
+def failures(spark, d) -> DataFrame:
+    """Files of customers that could not be read."""
+    k = F.col("c_custkey")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % 5 + 1).cast("int"))
+    error = F.when(k % 5 < 4, pick("unsupported format; save it as .eml", "unrecognized file type", "over 10 bytes", "bad header sk-abcd1234 in it", ""))
+    parts = t(spark, d, "customer").select(F.col("c_name").alias("name"), pick("msg", "unknown", "too large", "csv", "csv").alias("type"), error.alias("error"))
+    return E.file_events(parts, F.lit("2026-01-01"))
+
+
+@query
+def failed_files(spark, d):
+    return failures(spark, d).select("at", "category", "title", "message", F.col("context")["file"].alias("file"), F.col("context")["type"].alias("type"))
+
+
+@query
+def report_texts(spark, d):
+    return E.report_lines(failures(spark, d))
+
+
+@query
+def report_mail(spark, d):
+    return E.mail_body(failures(spark, d), "Files that were not read:\n", "Sent by hand")
+
+
+@query
+def quarantined(spark, d):
+    k = F.col("doc_id")
+    name = F.concat(F.lit("d"), k.cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".PNG", ".md"))), (k % 3 + 1).cast("int")))
+    tail = F.when(k % 4 == 0, F.unhex(F.lit("00"))).when(k % 4 == 1, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    files = t(spark, d, "documents").select("doc_id", name.alias("name"), F.concat(F.col("text").cast("binary"), tail).alias("content"))
+    return R.quarantine(files.withColumn("length", F.octet_length("content")), 3000).select("doc_id", "flag")
+
+
+@query
+def role_warnings(spark, d):
+    k = F.col("s_suppkey")
+    none = lambda c: F.lit(None).cast(c)
+    readings = t(spark, d, "supplier").select(
+        F.when(k % 3 == 0, "disk.iops").otherwise("util.dr").alias("signal_id"), none("double").alias("num"), F.lit(0.1).alias("avg"), F.lit(0.2).alias("peak"), none("string").alias("str"), F.lit(0.9).alias("confidence"),
+        F.lit("vision").alias("method"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), "s_name").alias("source"), F.lit("x").alias("locator"), (k % 2 == 0).alias("heuristic"))
+    return X.triage(supplier_parts(spark, d), signal_table(spark), method_table(spark), tier_table(spark), readings, lambda s: F.regexp_extract(s, "^n([0-9]+)/", 1).cast("int")).warnings
+
+
+@query
+def extracted_files(spark, d):
+    """Pages, events and customers as files, read by their content."""
+    row = F.concat(F.lit("name,segment\n"), "c_name", F.lit(","), "c_mktsegment", F.lit("\n-,"), F.col("c_custkey").cast("string"))
+    parts = [(t(spark, d, "pages"), F.concat(F.lit("p"), F.col("page_id").cast("string")), F.col("html")), (t(spark, d, "events"), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("props")),
+             (t(spark, d, "customer"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")), row), (t(spark, d, "nation"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("Of "), "n_name"))]
+    files = None
+    for df, name, content in parts:
+        one = df.select(name.alias("name"), F.octet_length(content).cast("long").alias("length"), content.cast("binary").alias("content"))
+        files = one if files is None else files.unionByName(one)
+    return R.extract(files).select("name", "type", "kind", "text", F.array_join("headers", "|").alias("headers"), F.array_join(F.flatten("rows"), "|").alias("cells"), "error")
+
+
 @query
 def refinement_history(spark, d):
     c = t(spark, d, "conversations").where("role = 'user'")
