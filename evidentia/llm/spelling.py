@@ -188,7 +188,8 @@ def variant_groups(words: DataFrame, ratio: int = 5, sketch_bytes: int = SKETCH_
     prepare(spark)
     scratch = Scratch(spark)
     vocabulary = scratch.keep(words.select("word", "n").where("word is not null"), "vocabulary")
-    letters = [r.c for r in vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c != ''").distinct().collect()]
+    each = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", i, F.lit(1)))
+    letters = [r.c for r in vocabulary.select(F.explode(F.array_distinct(each)).alias("c")).where("c != ''").distinct().collect()]
     met = near_words(vocabulary, letters, sketch_bytes)
     best = met.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("k"), F.col("near").alias("w"))).alias("best"))
     formed = -F.col("best.k") >= ratio * F.col("n")

@@ -52,7 +52,7 @@ def test_whole_neighbourhoods_once(words):
 
 WORDS = {
     "receive": 900, "recieve": 3, "receve": 100, "recceive": 180, "receives": 20, "deceive": 900, "recxive": 5, "recxxive": 1, "straße": 50, "strasse": 9, "straßen": 250, "strabe": 5,
-    "aaaaaa": 5, "aaaaaaa": 25, "aaaaaaaa": 125, "aaaaaaaaa": 625, "lonely": 7, "tiebreak": 5, "tiebreal": 25, "tiebreaj": 25,
+    "aaaaaa": 5, "aaaaaaa": 25, "aaaaaaaa": 125, "aaaaaaaaa": 625, "lonely": 7, "tiebreak": 5, "tiebreal": 25, "tiebreaj": 25, "ab\U0001F600cde": 6, "ab\U0001F601cde": 60,
 }
 
 
