@@ -10,6 +10,8 @@ from .shared import Scratch, look_up
 
 WORD = r"[^\x20\x09-\x0D]+"
 FILTERS = "ABCDE"
+#: Documents that one task replays.
+TASK_ROWS = 200_000
 
 
 def orders(spark: SparkSession, letters: str = FILTERS) -> DataFrame:
@@ -118,5 +120,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Rows that share an id and a text do not fail E by each other. Repeated rows count each; labels of several rows of
     an id are united, and null labels say nothing. Other columns of either table are ignored. Without documents, no rows.
     """
-    flagged = Scratch(docs.sparkSession).keep(flags(docs, labels, id_col, text_col, part_col), "flags")
-    return replay(flagged)
+    spark = docs.sparkSession
+    flagged = Scratch(spark).keep(flags(docs, labels, id_col, text_col, part_col), "flags")
+    # A document is a few bytes here and 600 rows of work: the number of tasks follows from rows, not from bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flagged.count() // TASK_ROWS))
+    return replay(flagged.repartition(tasks))
