@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import EMAIL, HOST, IPV4, NAME, STOP_WORDS
+from evidentia.functions.text import EMAIL, HAS_EMAIL, HAS_HOST, HAS_IPV4, HOST, IPV4, NAME, STOP_WORDS
 from evidentia.operators.matching import count_phrases, replace_in_turn, replace_phrases
 from evidentia.operators.numbering import numbered
 
@@ -43,11 +43,14 @@ def phrase_hits(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     that no stop word opens; two words are a person, more a term. The last word of
     a person is a surname if it has four letters or more.
     """
-    def found(pattern: str, group: int, kind: str, confidence: float, order: int) -> Column:
-        hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    def found(pattern: str, group: int, kind: str, confidence: float, order: int, only: str | None = None) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        hits = F.array_distinct(F.when(F.col(text).rlike(only), hits).otherwise(F.array().cast("array<string>")) if only else hits)
         return F.transform(hits, lambda p: F.struct(p.alias("phrase"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(order).alias("ord")))
 
-    every = F.concat(found(EMAIL, 0, "email", 0.95, 2), found(IPV4, 0, "host", 0.9, 3), found(HOST, 0, "host", 0.8, 4), found(NAME, 1, "term", 0.6, 5))
+    every = F.concat(
+        found(EMAIL, 0, "email", 0.95, 2, HAS_EMAIL), found(IPV4, 0, "host", 0.9, 3, HAS_IPV4), found(HOST, 0, "host", 0.8, 4, HAS_HOST), found(NAME, 1, "term", 0.6, 5)
+    )
     # Texts without hits go afterwards: from a plain explode a filter would be inferred that does all the matching once more.
     hits = texts.select(key, F.explode_outer(every).alias("h")).select(key, "h.*").where("phrase is not null")
     words, name = F.split("phrase", r"\s+"), F.col("ord") == 5
