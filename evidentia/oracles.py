@@ -411,7 +411,7 @@ def page_sql(title: str, body: list[str]) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', floor({x} * 1e{digits} + 0.5) / 1e{digits})"
+    return f"coalesce(printf('%.{digits}f', floor({x} * 1e{digits} + 0.5) / 1e{digits}), '—')"
 
 
 def pct_sql(x: str) -> str:
@@ -423,7 +423,7 @@ _brief = page_sql("Sizing Brief", [
     passage("context"), "'<h2>Environment</h2>'", heads("Attribute", "Value"),
     cells("'Shards'", "c.shards"), cells("'Processors per home node'", "c.ho"), cells("'Processors per recovery node'", "CASE WHEN c.ho IS NOT NULL THEN 8 END"), cells("'Data on disk'", fixed("c.gb / 1000", 1) + " || ' TB'"), "'</table>'",
     "'<h2>Load by role</h2>'", heads("Role", "Mean", "Peak"), *[cells(f"'{n}'", pct_sql(f"c.{a}"), pct_sql(f"c.{p}")) for n, a, p in (("Primary", "pa", "pp"), ("Secondary", "ha", "hp"), ("Recovery", "da", "dp"))], "'</table>'",
-    f"'<p>The peak is ' || coalesce({fixed('c.wp / nullif(c.wa, 0)', 2)}, '—') || ' times the mean of ' || {fixed('c.wa', 1)} || ': ' || {fixed('c.wp', 1)} || '</p>'", "'<h2>Approach</h2>'", passage("approach"),
+    f"'<p>The peak is ' || {fixed('c.wp / nullif(c.wa, 0)', 2)} || ' times the mean of ' || {fixed('c.wa', 1)} || ': ' || {fixed('c.wp', 1)} || '</p>'", "'<h2>Approach</h2>'", passage("approach"),
     "'<h2>Scenarios</h2>'", heads("Scenario", "Base", "2x / 3x", "Compute a year", "Storage a year", "Total a year"), per_nation("cy", cells(*_base_cells, usd("cc"), usd("cs"), usd("cc + cs")), "i"), "'</table>'",
     "'<h2>Evidence</h2>'", passage("evidence"), "'<h2>Open questions</h2>'",
     f"CASE WHEN EXISTS (FROM ask WHERE ask.n_nationkey = n.n_nationkey) THEN '<ul>' || {per_nation('ask', "'<li>' || " + esc('request') + " || '</li>'", 'rank')} || '</ul>' ELSE {passage('questions')} END",

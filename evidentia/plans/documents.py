@@ -86,7 +86,7 @@ def _percent(x: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", half_up(x * 10**digits) / 10**digits)
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string(f"%.{digits}f", half_up(x * 10**digits) / 10**digits))
 
 
 def _rendered(documents: DataFrame, keys: list[str], name: str, title: str, body: Column) -> DataFrame:
@@ -103,7 +103,7 @@ def sizing_brief(documents: DataFrame, keys: list[str]) -> DataFrame:
         _cells(F.lit("Shards"), b["shards"].cast("long")), _cells(F.lit("Processors per home node"), b["ho_vcpu"].cast("long")),
         _cells(F.lit("Processors per recovery node"), b["dr_vcpu"].cast("long")), _cells(F.lit("Data on disk"), F.concat(_fixed(b["storage_gb"] / 1000, 1), F.lit(" TB"))),
     )
-    ratio = F.concat(F.lit("The peak is "), F.when(c["work_ratio"].isNull(), F.lit("—")).otherwise(_fixed(c["work_ratio"], 2)), F.lit(" times the mean of "), _fixed(c["work_avg"], 1), F.lit(": "), _fixed(c["work_peak"], 1))
+    ratio = F.concat(F.lit("The peak is "), _fixed(c["work_ratio"], 2), F.lit(" times the mean of "), _fixed(c["work_avg"], 1), F.lit(": "), _fixed(c["work_peak"], 1))
     years = F.transform("sizing.scenarios", lambda s: _cells(
         F.initcap(s["posture"]), s["base"], F.concat_ws(" / ", s["ceiling_2x"], s["ceiling_3x"]), dollars(12 * s["monthly_compute"]), dollars(12 * s["monthly_storage"]), dollars(s["total_annual"])
     ))
