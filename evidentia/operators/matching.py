@@ -130,13 +130,20 @@ def filters(phrases: DataFrame, filter_bytes: int = FILTER_BYTES) -> list[Filter
     return made
 
 
-def windows(column: pa.Array, known: list[Filter]) -> Iterator[tuple[int, int, int, str]]:
-    """(text, begin, end, window) in bytes of every window that may be a phrase, by text and begin.
+@dataclass
+class Found:
+    """The windows of a piece of bytes that may be phrases: where they begin in it, their lengths, hashes and texts, by place and length."""
 
-    Every window of every text is looked at, in pieces of BLOCK bytes that overlap by the longest phrase; a window belongs
-    to the piece where it begins.
-    """
-    data, offsets = _flat(column)
+    start: int
+    piece: np.ndarray
+    at: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+    owners: np.ndarray
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, known: list[Filter]) -> Iterator[Found]:
+    """Every window of every text is looked at, in pieces of BLOCK bytes that overlap by the longest phrase; a window belongs to the piece where it begins."""
     if not known or not len(data):
         return
     lengths = known[0].lengths
@@ -158,23 +165,71 @@ def windows(column: pa.Array, known: list[Filter]) -> Iterator[tuple[int, int, i
                     if f.parts > 1:
                         own = mixed % np.uint64(f.parts) == f.part
                         inside, mixed = inside[own], mixed[own]
-                    hit = inside[f.pass_on(mixed)]
-                    found.append(np.stack([hit, np.full(len(hit), n)], axis=1))
-        if not found:
-            continue
-        every = np.concatenate(found)
-        every = every[np.lexsort((every[:, 1], every[:, 0]))]
-        raw = piece.tobytes()
-        owners = np.searchsorted(offsets, start + every[:, 0], side="right") - 1
-        for owner, (at, n) in zip(owners.tolist(), every.tolist()):
+                    hit = f.pass_on(mixed)
+                    found.append((inside[hit], np.full(len(hit), n), mixed[hit]))
+        if found:
+            at, n, mixed = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((n, at))
+            at = at[order]
+            yield Found(start, piece, at, n[order], mixed[order], np.searchsorted(offsets, start + at, side="right") - 1)
+
+
+def windows(column: pa.Array, known: list[Filter]) -> Iterator[tuple[int, int, int, str]]:
+    """(text, begin, end, window) in bytes of every window that may be a phrase, by text and begin."""
+    data, offsets = _flat(column)
+    for f in _found(data, offsets, known):
+        raw = f.piece.tobytes()
+        for owner, at, n in zip(f.owners.tolist(), f.at.tolist(), f.lengths.tolist()):
             try:
                 spelled = raw[at : at + n].decode()
             except UnicodeDecodeError:  # it begins or ends within a character
                 continue
-            base = start - int(offsets[owner])
+            base = f.start - int(offsets[owner])
             yield owner, base + at, base + at + n, spelled
 
 
+def _counted(column: pa.Array, known: list[Filter]) -> dict[str, int]:
+    """How often each window that may be a phrase stands in the texts, without overlaps of a window with itself.
+
+    Windows of one piece are told apart by their length and a hash of 64 bits. Only those that overlap one of the same kind, or
+    such a one of the piece before, are walked one by one.
+    """
+    counts: dict[str, int] = {}
+    ends: dict[tuple[int, int], int] = {}  # of windows that reach into the next piece, where they end
+    for f in _found(*_flat(column), known):
+        order = np.lexsort((f.at, f.hashes, f.lengths, f.owners))
+        own, at, n, kind = f.owners[order], f.start + f.at[order], f.lengths[order], f.hashes[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (n[1:] != n[:-1]) | (kind[1:] != kind[:-1])
+        cuts = np.append(np.flatnonzero(new), len(at))
+        crowded = ~new
+        crowded[1:] &= at[1:] < at[:-1] + n[:-1]
+        group = np.cumsum(new) - 1
+        odd = set(group[crowded].tolist())
+        if ends:
+            odd |= set(np.flatnonzero(at[cuts[:-1]] < max(ends.values())).tolist())
+        taken = np.ones(len(at), dtype=bool)
+        for g in odd:
+            end = ends.get((int(n[cuts[g]]), int(kind[cuts[g]])), 0)
+            for i in range(cuts[g], cuts[g + 1]):
+                taken[i] = at[i] >= end
+                end = at[i] + n[i] if taken[i] else end
+        over = np.flatnonzero(taken & (at + n > f.start + BLOCK))
+        ends = {k: e for k, e in ends.items() if e > f.start + BLOCK} | {(int(n[i]), int(kind[i])): int(at[i] + n[i]) for i in over}
+        at, n, kind = at[taken], n[taken], kind[taken]
+        order = np.lexsort((kind, n))
+        n, kind = n[order], kind[order]
+        first = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (kind[1:] != kind[:-1])))) if len(n) else np.zeros(0, dtype=np.int64)
+        raw = f.piece.tobytes()
+        for i, size, where in zip(first.tolist(), np.diff(np.append(first, len(n))).tolist(), (at[order][first] - f.start).tolist()):
+            try:
+                spelled = raw[where : where + int(n[i])].decode()
+            except UnicodeDecodeError:  # it begins or ends within a character
+                continue
+            counts[spelled] = counts.get(spelled, 0) + size
+    return counts
+
+
 def _folded(column: pa.Array, either_case: bool) -> pa.Array:
     return pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.large_string()) if either_case else column
 
@@ -199,14 +254,7 @@ def count_phrases(texts: DataFrame, phrases: DataFrame, text: str = "text", eith
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, int] = {}
-            at, ends = -1, {}
-            for owner, begin, end, spelled in windows(_folded(batch.column(0), either_case), wanted):
-                if owner != at:
-                    at, ends = owner, {}
-                if begin >= ends.get(spelled, 0):
-                    ends[spelled] = end
-                    counts[spelled] = counts.get(spelled, 0) + 1
+            counts = _counted(_folded(batch.column(0), either_case), wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["phrase", "n"])
 
     found = texts.select(F.col(text)).mapInArrow(run, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
