@@ -530,3 +530,17 @@ SQL["extracted_files"] = f"""SELECT 'p' || page_id AS name, 'html' AS type, 'tex
  UNION ALL SELECT 'e' || event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END, 'text', props, NULL, NULL, NULL FROM events
  UNION ALL SELECT 'c' || c_custkey, 'csv', 'table', NULL, 'name|segment', c_name || '|' || c_mktsegment || '|-|' || c_custkey, NULL FROM customer
  UNION ALL SELECT 'n' || n_nationkey, 'text', 'text', 'Of ' || n_name, NULL, NULL, NULL FROM nation"""
+SQL["archive_commits"] = """WITH o AS (SELECT *, 'c-' || o_custkey AS case_id, lpad(o_orderkey::VARCHAR, 12, '0') AS version FROM orders),
+v AS (SELECT case_id, version, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM o WHERE (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_custkey % 5 <> 0
+ UNION ALL SELECT case_id, version, 'anew' FROM o WHERE o_custkey % 10 = 0 AND o_orderkey % 7 = 0),
+b AS (SELECT case_id, count(DISTINCT o_orderstatus) AS n_blobs FROM o WHERE o_custkey % 5 <> 0 GROUP BY 1)
+SELECT case_id, version, state, coalesce(n_blobs, 0) AS n_blobs FROM v LEFT JOIN b USING (case_id)"""
+SQL["bar_charts"] = """WITH s AS (SELECT n_regionkey, n_nationkey % 3 AS bar, n_nationkey // 3 AS ord, n_name || ' &amp; co' AS label, n_nationkey * 7 + 1 AS value FROM nation),
+t AS (SELECT *, sum(value) OVER (PARTITION BY n_regionkey, bar ORDER BY ord) AS top, min(ord) OVER (PARTITION BY n_regionkey, bar) AS first, max(bar) OVER (PARTITION BY n_regionkey) + 1 AS bars FROM s),
+u AS (SELECT *, 280.0::DOUBLE / max(top) OVER (PARTITION BY n_regionkey) AS scale, 560 / bars AS step FROM t)
+SELECT n_regionkey, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 640 360">' || string_agg(
+ '<rect x="' || printf('%.1f', 40 + step * bar) || '" y="' || printf('%.1f', 320 - top * scale) || '" width="' || printf('%.1f', step * 0.7) || '" height="' || printf('%.1f', value * scale) || '" fill="' || ['#30475e', '#7a9e9f', '#c9d6df', '#e2b33c'][ord % 4 + 1] || '"/>'
+ || CASE WHEN ord = first THEN '<text x="' || printf('%.1f', 40 + step * bar) || '" y="340" font-size="12">' || label || '</text>' ELSE '' END, '' ORDER BY bar, ord) || '</svg>' AS svg FROM u GROUP BY 1"""
+SQL["cells_of_tables"] = """WITH r AS (SELECT 't' || c_custkey // 20 || '#s1' AS source, (row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1)::INTEGER AS row_idx, c_name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_nationkey::VARCHAR END AS nation FROM customer)
+SELECT source, row_idx, 0 AS col_idx, 'name' AS header, c_name AS cell FROM r UNION ALL SELECT source, row_idx, 1, 'nation', nation FROM r"""
+SQL["clamped_values"] = "SELECT event_id, least(greatest(value / 100, 0.25), 1.0)::DOUBLE AS share, event_id % 9 > 1 AS finite FROM events"

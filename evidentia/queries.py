@@ -21,6 +21,7 @@ from evidentia.plans import ledger as G
 from evidentia.plans import render as D
 from evidentia.plans import reports as E
 from evidentia.plans import sizing as Z
+from evidentia.scratch import Scratch
 from evidentia.sources import files as R
 
 QUERIES = {}
@@ -560,6 +561,45 @@ def archive_listing(spark, d):
     return V.listing(case_versions(spark, d))
 
 
+@query
+def archive_commits(spark, d):
+    """What an archive of orders holds after two saves, of which the second replaces some versions, a deletion, a compaction and a save anew."""
+    path = f"{Scratch(spark).top}/archive"
+    rows = lambda o, state: o.select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("case_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("version"),
+                                     F.col("o_orderdate").cast("timestamp").alias("saved_at"), F.lit(state).alias("state"), F.array("o_orderstatus").alias("blobs"))
+    o = t(spark, d, "orders")
+    blobs = o.select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("case_id"), F.col("o_orderstatus").alias("blob"), F.col("o_orderstatus").cast("binary").alias("content")).distinct()
+    V.save_version(rows(o.where("o_orderkey % 2 = 0"), "first"), blobs, path)
+    V.save_version(rows(o.where("o_orderkey % 3 = 0"), "second"), blobs.where("false"), path)
+    V.delete_cases(o.where("o_custkey % 5 = 0").select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("case_id")), path)
+    V.compact(spark, path)
+    V.save_version(rows(o.where("o_custkey % 10 = 0 and o_orderkey % 7 = 0"), "anew"), blobs.where("false"), path)
+    held = V.stored_blobs(spark, path).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_blobs"))
+    return V.versions(spark, path).join(held, "case_id", "left").select("case_id", "version", "state", F.coalesce("n_blobs", F.lit(0).cast("long")).alias("n_blobs"))
+
+
+@query
+def clamped_values(spark, d):
+    return t(spark, d, "events").select("event_id", N.clamp(F.col("value") / 100, 0.25, 1.0).alias("share"), N.finite(F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).when(F.col("event_id") % 9 != 1, F.col("value"))).alias("finite"))
+
+
+@query
+def bar_charts(spark, d):
+    n = t(spark, d, "nation")
+    segments = n.select("n_regionkey", (F.col("n_nationkey") % 3).cast("int").alias("bar"), F.floor(F.col("n_nationkey") / 3).cast("int").alias("ord"), F.concat("n_name", F.lit(" & co")).alias("label"), (F.col("n_nationkey") * 7 + 1).cast("double").alias("value"))
+    return H.bar_chart(segments, ["n_regionkey"])
+
+
+@query
+def cells_of_tables(spark, d):
+    """Tables of twenty customers each as parts, and their cells; short rows have empty ones."""
+    c = t(spark, d, "customer")
+    row = F.when(F.col("c_custkey") % 4 == 0, F.array("c_name")).otherwise(F.array("c_name", F.col("c_nationkey").cast("string")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda x: x["row"])
+    tables = c.groupBy(F.concat(F.lit("t"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("name")).agg(rows.alias("rows")).withColumns({"kind": F.lit("table"), "part": F.lit("s1"), "headers": F.array(F.lit("name"), F.lit("nation"))})
+    return R.cells_of(tables)
+
+
 @query
 def archive_blobs(spark, d):
     last = V.current(case_versions(spark, d))
