@@ -15,10 +15,11 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name:
     are numbered in any order, but each has a number of its own. Null keys are a key.
     """
     scratch = Scratch(rows.sparkSession)
-    by = [*keys, *order]
-    cut = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
+    # Rows that the order does not tell apart are told apart by chance, so that many of them make many ranges too.
+    apart, by = rows.withColumn("__tie", F.rand(1)), [*keys, *order, "__tie"]
+    cut = apart.repartitionByRange(ranges, *by) if ranges else apart.repartitionByRange(*by)
     held = scratch.keep(cut.withColumn("__range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order, "__tie")
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = held.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__size"))
     bases = sizes.select(

@@ -132,3 +132,20 @@ def test_addresses_in_unbroken_text(spark):
     began = time.perf_counter()
     found = df.selectExpr(f"regexp_extract_all(text, r'{EMAIL}', 0) as found").first().found
     assert found == ["a@b.org", "x@y.com", "-z@w.org"] and time.perf_counter() - began < 5
+
+
+def test_numbers_of_equal_rows_are_dealt_to_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("'k' as kind", "0 as ord")
+    got = numbered(df, ["kind"], ["ord"], ranges=8)
+    assert sorted(r.n for r in got.collect()) == list(range(1, 20_001)) and got.columns == ["kind", "ord", "n"]
+    from evidentia.scratch import Scratch
+
+    seen = []
+    keep = Scratch.keep
+    try:
+        Scratch.keep = lambda self, d, name: seen.append(keep(self, d, name)) or seen[-1]
+        numbered(df, ["kind"], ["ord"], ranges=8).count()
+    finally:
+        Scratch.keep = keep
+    sizes = [r["count"] for r in seen[0].groupBy("__range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
