@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.numbers import is_percent, parse_number
 from evidentia.functions.text import is_currency, looks_like_time
+from evidentia.scratch import Scratch
 
 
 #: Accuracy of the sketch that brackets a rank, and how far to either side of it the bracket reaches.
 SKETCH_ACCURACY, BRACKET = 10_000, 0.0003
+#: Series whose bounds go to every task, at some 100 bytes each.
+FEW_SERIES = 100_000
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
@@ -22,11 +25,13 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> Da
     """
     rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
     ends = F.percentile_approx("v", [max(share - BRACKET, 0.0), min(share + BRACKET, 1.0)], SKETCH_ACCURACY)
-    bounds = rows.groupBy("k").agg(ends.alias("q"), F.count(F.lit(1)).alias("n"))
+    bounds = Scratch(df.sparkSession).keep(rows.groupBy("k").agg(ends.alias("q"), F.count(F.lit(1)).alias("n")), "bounds")
+    # A row for each series goes to every task, so that a series of any size is no task's alone; more series than FEW_SERIES are left to adaptive execution.
+    shared = F.broadcast if bounds.count() <= FEW_SERIES else lambda x: x
     rank = F.least(F.ceil(F.lit(share) * F.col("n")), F.col("n"))
     zone = F.when(F.col("v") < F.col("q")[0], 0).when(F.col("v") <= F.col("q")[1], 1).otherwise(2)
     values = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    placed = values.join(bounds.select("k", "q", rank.alias("rank")), "k").select("k", "rank", "v", "c", zone.alias("zone"))
+    placed = values.join(shared(bounds.select("k", "q", rank.alias("rank"))), "k").select("k", "rank", "v", "c", zone.alias("zone"))
     below, within = F.sum(F.when(F.col("zone") == 0, F.col("c")).otherwise(0)), F.sum(F.when(F.col("zone") == 1, F.col("c")).otherwise(0))
     counts = placed.groupBy("k", "rank").agg(below.alias("below"), within.alias("within"))
     upto = F.col("below") + F.col("within")
@@ -35,7 +40,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> Da
         (F.col("rank") - F.when(F.col("rank") <= F.col("below"), 0).when(F.col("rank") <= upto, F.col("below")).otherwise(upto)).alias("rest"),
     )
     so_far = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.join(chosen, ["k", "zone"]).withColumn("upto", F.sum("c").over(so_far))
+    ordered = placed.join(shared(chosen), ["k", "zone"]).withColumn("upto", F.sum("c").over(so_far))
     found = ordered.where(F.col("upto") >= F.col("rest")).groupBy("k").agg(F.min("v").alias("rank_value"))
     return found.select("k.*", "rank_value")
 
