@@ -164,3 +164,15 @@ def test_pieces_of_a_long_text(spark):
     assert pieces.where("doc_id = 1").select(F.spark_partition_id()).distinct().count() > 1
     want = {tuple(r) for r in phrase_hits(df).collect()}
     assert {tuple(r) for r in phrase_hits(pieces).collect()} == want and len(want) == 10
+
+
+def test_pieces_end_outside_of_names(spark):
+    from evidentia.operators.phrases import in_pieces, phrase_hits
+
+    # A window of ten characters ends between two words of a name; characters beyond the first plane of Unicode are one each.
+    rows = [(1, "abc defg Hijk Lmnop Rstu"), (2, "abcdefghij" + "\U0001f600" * 3 + " x Jane Okafor Poe")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    pieces = in_pieces(df, piece=10).collect()
+    assert [[r.text for r in sorted(pieces) if r.doc_id == k] for k in (1, 2)] == [[rows[0][1]], [rows[1][1][:14], rows[1][1][14:]]]
+    want = {tuple(r) for r in phrase_hits(df).collect()}
+    assert {tuple(r) for r in phrase_hits(spark.createDataFrame(pieces)).collect()} == want
