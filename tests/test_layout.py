@@ -23,6 +23,22 @@ def test_overlaps_by_all_pairs(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_overlaps_of_a_crowded_cell(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import layout
+
+    boxes = spark.range(400).selectExpr("'c' as chart", "id as idx", "cast(id % 3 as double) as x", "cast(id % 5 as double) as y", "9d as w", "9d as h")
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400)}
+    monkeypatch.setattr(layout, "SHARE", 32, raising=False)
+    monkeypatch.setattr(layout, "TASK_PAIRS", 4000, raising=False)
+    got = overlaps(boxes, ["chart"]).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r.i, r.j) for r in got} == want
+    # One place of all boxes is no task's alone.
+    tasks = [r.task for r in got]
+    assert len(set(tasks)) > 20 and max(tasks.count(k) for k in set(tasks)) < len(tasks) / 5
+
+
 def test_rank_beside_an_outlier(spark):
     values = spark.range(200_000).selectExpr("cast(id % 2 as int) as k", "case when id = 0 then 1e300 else cast((id * 7919) % 200003 as double) end as v")
     got = {r.k: r.rank_value for r in nearest_rank(values, ["k"], "v", 0.95).collect()}
