@@ -24,6 +24,8 @@ BITS_PER_ENTRY = 16
 PROBES = 4
 #: Bytes of text that are looked at together; a longer text is taken in such pieces.
 BLOCK = 1 << 20
+#: Entries, and their bytes, of a map that goes to every task whole where texts are replaced in turn; a larger one is looked up in joins.
+FEW_ENTRIES, FEW_BYTES = 1 << 16, 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -340,12 +342,41 @@ def _apply_in_turn(t: str, pairs: dict[str, str | None]) -> Iterator[tuple[str,
             yield t, places
 
 
+def _turned(texts: list[str], pairs: list[dict | None], known: list[Filter]) -> tuple[list[str], list[set[str]]]:
+    """Each text by the pairs that it knows, and the strings that have to be looked up: all of it without pairs, else what is new around slugs.
+
+    The texts are looked at together, about BLOCK characters at a time.
+    """
+    longest = known[0].lengths[-1]
+    done, asked, owners, held, size = list(texts), [set() for _ in texts], [], [], 0
+
+    def look() -> None:
+        for i, _, _, w in windows(pa.array(held, pa.string()), known):
+            asked[owners[i]].add(w)
+        owners.clear()
+        held.clear()
+
+    for k, (t, own) in enumerate(zip(texts, pairs)):
+        first = len(held)
+        if own is None:
+            held.append(t)
+        for done[k], places in _apply_in_turn(t, own or {}):
+            held += [done[k][max(0, a - longest + 1) : b + longest - 1] for a, b in places]
+        owners += [k] * (len(held) - first)
+        size += sum(map(len, held[first:]))
+        if size >= BLOCK:
+            look()
+            size = 0
+    look()
+    return done, [new - own.keys() if own else new for new, own in zip(asked, pairs)]
+
+
 def replace_in_turn(texts: DataFrame, entries: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``texts`` with every phrase replaced in turn, the longest first, so that a later phrase also finds earlier slugs.
 
     A text only has to know the phrases that stand in it at some moment. Those of the text itself are found first; they are
     applied in turn, and what may be a phrase around the slugs that this brings in is looked up in the map too, until a
-    round finds nothing new. The map has any size. A null text stays null; of several slugs of a phrase the first by order counts.
+    round finds nothing new. The map has any size: one of FEW_ENTRIES goes to the tasks, which then need no rounds of joins. A null text stays null; of several slugs of a phrase the first by order counts.
     """
     spark = texts.sparkSession
     prepare(spark)
@@ -354,23 +385,17 @@ def replace_in_turn(texts: DataFrame, entries: DataFrame, text: str = "text", fi
     wanted = filters(known, filter_bytes)
     if not wanted:
         return texts
-    longest = wanted[0].lengths[-1]
+    n, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("phrase") + F.coalesce(F.octet_length("slug"), F.lit(0)))).first()
+    if n <= FEW_ENTRIES and size <= FEW_BYTES:
+        return _in_turn_by_tasks(texts, dict(map(tuple, known.collect())), text, wanted)
     rows = scratch.keep(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text its outcome by the pairs so far, and the strings that have to be looked up."""
         for batch in batches:
-            ids, done, asked = batch.column(0).to_pylist(), [], []
-            for t, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                pairs = dict(pairs) if pairs is not None else None
-                seen, places = t, []
-                new = {w for *_, w in windows(pa.array([t]), wanted)} if pairs is None else set()
-                for seen, places in _apply_in_turn(t, pairs or {}):
-                    around = [seen[max(0, a - longest + 1) : b + longest - 1] for a, b in places]
-                    new |= {w for *_, w in windows(pa.array(around), wanted)} - pairs.keys()
-                done.append(seen)
-                asked.append(sorted(new))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(done, pa.string()), pa.array(asked, pa.list_(pa.string()))], ["__row", "out", "asked"])
+            pairs = [dict(p) if p is not None else None for p in batch.column(2).to_pylist()]
+            done, asked = _turned(batch.column(1).to_pylist(), pairs, wanted)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string()), pa.array(map(sorted, asked), pa.list_(pa.string()))], ["__row", "out", "asked"])
 
     state = rows.where(F.col(text).isNotNull()).select("__row", F.col(text).alias("t"), F.lit(None).cast("map<string,string>").alias("pairs"))
     finished, step = None, 0
@@ -386,3 +411,28 @@ def replace_in_turn(texts: DataFrame, entries: DataFrame, text: str = "text", fi
         step += 1
         state = scratch.keep(grown, f"state-{step}")
     return rows.join(finished, "__row", "left").select(*[F.col("out").alias(text) if c == text else F.col(c) for c in texts.columns])
+
+
+def _in_turn_by_tasks(texts: DataFrame, entries: dict[str, str | None], text: str, wanted: list[Filter]) -> DataFrame:
+    """``replace_in_turn`` by a map that every task holds."""
+    held, place = texts.sparkSession.sparkContext.broadcast(entries), texts.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = batch.column(place).to_pylist()
+            left = [k for k, t in enumerate(done) if t is not None]
+            first, pairs = {k: done[k] for k in left}, dict.fromkeys(left)
+            while left:
+                out, asked = _turned([first[k] for k in left], [pairs[k] for k in left], wanted)
+                more = []
+                for k, t, new in zip(left, out, asked):
+                    done[k] = t
+                    learnt = {p: held.value[p] for p in new if p in held.value}
+                    if learnt:
+                        pairs[k] = (pairs[k] or {}) | learnt
+                        more.append(k)
+                left = more
+            columns = [pa.array(done, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return texts.mapInArrow(run, texts.schema)

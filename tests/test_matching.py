@@ -149,3 +149,16 @@ def test_numbers_of_equal_rows_are_dealt_to_many_ranges(spark):
         Scratch.keep = keep
     sizes = [r["count"] for r in seen[0].groupBy("__range").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_replacing_in_turn_by_tasks_and_by_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW_ENTRIES", few, raising=False)
+    monkeypatch.setattr(M, "BLOCK", 64)
+    table = {"Apache": "the EV_1", "the": "EV_2", "EV": "W", "W_2": "é", "é b": "", "aa": "b"}
+    own = [None, "", "Apache the EV", "theEV_2 b", "aaa aa", "W_2 b", "none", *TEXTS]
+    texts = spark.createDataFrame([(k, t, [k]) for k, t in enumerate(own)], "id int, text string, more array<int>")
+    done = M.replace_in_turn(texts, spark.createDataFrame(list(table.items()), "phrase string, slug string"))
+    assert {r.id: (r.text, r.more) for r in done.collect()} == {k: (t if t is None else plain_turn(t, table), [k]) for k, t in enumerate(own)}
+    if few:  # a small map needs no text shuffled
+        assert "Exchange" not in done._jdf.queryExecution().toString()
