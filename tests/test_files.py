@@ -184,3 +184,12 @@ def test_containers_and_readers(spark):
     assert errors["a.pdf"].endswith("its pictures") and errors["b.doc"].endswith(".docx")
     own = extract(files, {"pdf": lambda name, content: iter([{"type": "pdf", "kind": "text", "part": "", "text": "read"}])})
     assert own.where("name = 'a.pdf'").first().text == "read"
+
+
+def test_a_type_is_worked_out_once_for_the_readers_and_once_for_the_rest(spark):
+    from evidentia.sources.files import HTML_START
+
+    files = spark.createDataFrame([("a", b"a,b\n1,2\n"), ("b", b"<p>x</p>"), ("c", b"\x01" * 3 + b"x" * 57), ("d", b"\x01" * 4 + b"x" * 57)], "name string, content binary")
+    got = extract(files)
+    assert {r.name: (r.type, r.kind) for r in got.collect()} == {"a": ("csv", "table"), "b": ("html", "text"), "c": ("text", "text"), "d": ("unknown", None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(HTML_START) == 2
