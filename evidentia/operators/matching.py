@@ -22,8 +22,8 @@ from evidentia.scratch import Scratch, prepare
 FILTER_BYTES = 1 << 25
 BITS_PER_ENTRY = 16
 PROBES = 4
-#: Bytes of text that are looked at together; a longer text is taken in such pieces.
-BLOCK = 1 << 20
+#: Bytes of text that are looked at together; a longer text is taken in such pieces. Hashes take some fifty times as much while they are made.
+BLOCK = 1 << 18
 #: Entries, and their bytes, of a map that goes to every task whole where texts are replaced in turn; a larger one is looked up in joins.
 FEW_ENTRIES, FEW_BYTES = 1 << 16, 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -270,6 +270,16 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
+def _slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with BLOCK bytes of text at ``place``, or one row: what a task makes of a batch does not follow the batch's size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _map_of(entries: DataFrame, reverse: bool = False) -> DataFrame:
     """phrase, slug; of several slugs of a phrase the first by order counts. Empty phrases go."""
     a, b = ("slug", "phrase") if reverse else ("phrase", "slug")
@@ -293,11 +303,11 @@ def replace_phrases(texts: DataFrame, entries: DataFrame, text: str = "text", re
     place = rows.columns.index(text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("phrase", pa.string())]))
+        for batch in (s for whole in batches for s in _slices(whole, place)):
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for owner, begin, end, spelled in windows(batch.column(place), wanted):
                 hits[owner].append({"at": begin, "stop": end, "phrase": spelled})
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("phrase", pa.string())]))
             yield _with_column(batch, "__hits", pa.array(hits, kind))
 
     marked = scratch.keep(rows.mapInArrow(find, StructType([*rows.schema.fields, StructField("__hits", _HITS)])), "marked")
@@ -307,7 +317,7 @@ def replace_phrases(texts: DataFrame, entries: DataFrame, text: str = "text", re
     met = marked.where(some).drop("__hits").join(matches, "__row", "left")
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for whole in batches for s in _slices(whole, place)):
             done, counts = [], []
             for t, found in zip(batch.column(place).to_pylist(), batch.column(batch.schema.get_field_index("__matches")).to_pylist()):
                 raw, parts, at = t.encode(), [], 0
@@ -418,7 +428,7 @@ def _in_turn_by_tasks(texts: DataFrame, entries: dict[str, str | None], text: st
     held, place = texts.sparkSession.sparkContext.broadcast(entries), texts.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for whole in batches for s in _slices(whole, place)):
             done = batch.column(place).to_pylist()
             left = [k for k, t in enumerate(done) if t is not None]
             first, pairs = {k: done[k] for k in left}, dict.fromkeys(left)

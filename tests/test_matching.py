@@ -162,3 +162,12 @@ def test_replacing_in_turn_by_tasks_and_by_joins(spark, monkeypatch, few):
     assert {r.id: (r.text, r.more) for r in done.collect()} == {k: (t if t is None else plain_turn(t, table), [k]) for k, t in enumerate(own)}
     if few:  # a small map needs no text shuffled
         assert "Exchange" not in done._jdf.queryExecution().toString()
+
+
+def test_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 10)
+    texts = ["abcd", None, "efgh", "é" * 20, "", "ab", "cdefghij", "k"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    found = [s.column(1).to_pylist() for s in M._slices(batch, 1)]
+    assert sum(found, []) == texts and found == [["abcd", None, "efgh"], ["é" * 20], ["", "ab", "cdefghij"], ["k"]]
+    assert not list(M._slices(batch.slice(0, 0), 1)) and [s.num_rows for s in M._slices(batch.slice(2, 2), 1)] == [1, 1]
