@@ -26,6 +26,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges, name = scratch.keep(edges, "edges-0"), "edges-0"
     mark = _mark(edges)
     for k in range(1, ROUNDS):
+        if not mark[0]:
+            break
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         met = look_up(ways, least, ["a"], "n", 2 * mark[0], "b")
